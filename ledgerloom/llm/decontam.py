@@ -64,15 +64,17 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     table, _ = written(sketches(items, least), "sketches")
     few = table.count() <= BROADCAST_SKETCHES
     rows = docs.select(_key(docs["doc_id"], docs["text"]).alias("key"), docs["text"].alias("text"))
-    probes = rows.select("key", shingle_hashes(words(F.col("text"))).alias("h")).select("key", F.size("h").alias("n"), F.explode("h").alias("hash"))
+    # words are a column of their own, and the generator an outer one, so that no rule of the optimizer inlines
+    # the split into the lambda or a filter, where it would run for every window
+    probes = rows.select("key", words(F.col("text")).alias("w")).select("key", shingle_hashes(F.col("w")).alias("h")).select("key", F.size("h").alias("n"), F.explode_outer("h").alias("hash"))
     near = probes.join(F.broadcast(table) if few else table, "hash").where(F.col("n") >= F.col("band_need")).select("key", "item").distinct()
     near, _ = written(near, "candidates")
     some = near.count() <= BROADCAST_PAIRS
     wanted = items.select("item", "item_id", F.array_distinct(shingles(F.col("w"))).alias("wanted"))
     pairs = near.join(F.broadcast(wanted) if few else wanted, "item").select("key", "item_id", "wanted")
     # an item may lie in a third of all documents: pairs are joined by document
-    with_text = rows.join(F.broadcast(pairs) if some else pairs, "key")
-    found = with_text.select("key", "item_id", F.size("wanted").alias("n_shingles"), F.size(F.array_intersect(shingles(words(F.col("text"))), F.col("wanted"))).alias("n_found"))
+    with_text = rows.join(F.broadcast(pairs) if some else pairs, "key").select("key", "item_id", "wanted", words(F.col("text")).alias("w"))
+    found = with_text.select("key", "item_id", F.size("wanted").alias("n_shingles"), F.size(F.array_intersect(shingles(F.col("w")), F.col("wanted"))).alias("n_found"))
     return found.where(F.col("n_found") >= F.ceil(F.lit(least) * F.col("n_shingles") - F.lit(1e-9)))
 
 

@@ -105,12 +105,14 @@ def _flown(units: DataFrame, by: list[str], land: bool) -> DataFrame:
     Ids travel as strings: a null among numbers would turn them into doubles.
     """
 
+    columns = units.columns
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
             for batch in batches:
                 yield from batch.itertuples(index=False, name=None)
 
-        columns, done = units.columns, []
+        done = []
         at = [columns.index(c) for c in by]
         i_size, i_p, i_seed = columns.index("size"), columns.index("p"), columns.index("seed")
         source, held = rows(), []

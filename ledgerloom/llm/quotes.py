@@ -41,7 +41,7 @@ def _digest(text: Column) -> Column:
 
 def passages(messages: DataFrame) -> DataFrame:
     """m, conv_id, turn, level, text: runs of lines of one level, in order (run)."""
-    rows = messages.select("m", "conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    rows = messages.select("m", "conv_id", "turn", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
     rows = rows.select("m", "conv_id", "turn", "n", level(F.col("line")).alias("level"), F.when(level(F.col("line")) > 0, unquoted(F.col("line"))).otherwise(F.col("line")).alias("line"))
     order = Window.partitionBy("m").orderBy("n")
     change = F.when(F.col("level") == F.lag("level").over(order), 0).otherwise(1)
@@ -69,8 +69,8 @@ def link(conversations: DataFrame) -> DataFrame:
     spans, spans_at = written(passages(messages), "passages")
     body = spans.where("level = 0").groupBy("m", "conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n").alias("body"))
     counted = spans.groupBy("m").agg(F.count_if(F.col("level") > 0).alias("n_quotes"), F.max("level").alias("max_level"))
-    said = body.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(_units(F.col("body"))).alias("h")).distinct().select("conv_id", "h", "turn", F.col("turn").alias("origin"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("run"), F.lit(0).alias("weight"), F.lit(0).alias("level"))
-    quotes = spans.where("level > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", "m", F.col("run").cast("long").alias("run"), "level", F.explode(_units(F.col("text"))).alias("h"))
+    said = body.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode_outer(_units(F.col("body"))).alias("h")).where("h is not null").distinct().select("conv_id", "h", "turn", F.col("turn").alias("origin"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("run"), F.lit(0).alias("weight"), F.lit(0).alias("level"))
+    quotes = spans.where("level > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", "m", F.col("run").cast("long").alias("run"), "level", F.explode_outer(_units(F.col("text"))).alias("h")).where("h is not null")
     asked = quotes.select("conv_id", "h", "turn", F.lit(None).cast(said.schema["origin"].dataType).alias("origin"), "m", "run", F.lit(1).alias("weight"), "level")
     # only what somebody quotes is dealt out; the latest earlier turn that said it comes by a running last value
     wanted = asked.select("conv_id", "h").distinct()

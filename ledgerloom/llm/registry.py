@@ -64,7 +64,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES: dict[str, str] = {
     # No message of these tables quotes: what is left to check is that texts, counts and positions are whole.
     "op2_quotation_linking": """
-        WITH q AS (SELECT *, len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '^[ \\t]*>'))) AS quoted FROM conversations)
+        WITH q AS (SELECT *, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^[ \\t]*>'))) AS quoted FROM conversations)
         SELECT conv_id, turn, role, CAST(NULL AS BIGINT) AS reply_to, turn AS thread,
                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS position,
                CAST(quoted AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS max_level, coalesce(text, '') AS text
@@ -80,10 +80,10 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
     "op5_decontamination": """
-        WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
-        b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-        ds AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
-        bs AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
+        WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+        ds AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+        bs AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
         n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
         f AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS c FROM ds JOIN bs USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, n.n AS n_shingles, c AS n_found, round(c / n.n, 6) AS containment
