@@ -27,20 +27,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def _windows(w: Column, size: int, of) -> Column:
-    """of(window's words) for each window; the whole sequence if it is shorter, nothing if it is empty."""
-    whole = F.when(F.size(w) > 0, F.array(of([F.array_join(w, " ")]))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: of([F.get(w, i + k) for k in range(size)]))).otherwise(whole)
+def _let(value: Column, of) -> Column:
+    """of(value) with value bound once: wherever the optimizer moves the expression, a lambda in it reads a variable."""
+    return F.get(F.transform(F.array(value), of), 0)
 
 
 def shingles(w: Column, size: int = WORDS) -> Column:
-    return _windows(w, size, lambda parts: F.concat_ws(" ", *parts))
+    """The windows of a word array; the whole of it if it is shorter, nothing if it is empty."""
+    none = F.array().cast("array<string>")
+    windows = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - size), lambda i: F.concat_ws(" ", *[F.get(v, i + k) for k in range(size)]))
+    return _let(w, lambda v: F.when(F.size(v) >= size, windows(v)).when(F.size(v) > 0, F.array(F.array_join(v, " "))).otherwise(none))
 
 
 def shingle_hashes(w: Column, size: int = WORDS) -> Column:
     """64-bit hashes of the windows of a word array."""
-    whole = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<long>"))
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))).otherwise(whole)
+    none = F.array().cast("array<long>")
+    windows = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - size), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(size)]))
+    return _let(w, lambda v: F.when(F.size(v) >= size, windows(v)).when(F.size(v) > 0, F.array(F.xxhash64(F.array_join(v, " ")))).otherwise(none))
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -64,8 +67,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     table, _ = written(sketches(items, least), "sketches")
     few = table.count() <= BROADCAST_SKETCHES
     rows = docs.select(_key(docs["doc_id"], docs["text"]).alias("key"), docs["text"].alias("text"))
-    # words are a column of their own, and the generator an outer one, so that no rule of the optimizer inlines
-    # the split into the lambda or a filter, where it would run for every window
+    # an outer generator: the filter that the optimizer derives from an inner one would make every array twice
     probes = rows.select("key", words(F.col("text")).alias("w")).select("key", shingle_hashes(F.col("w")).alias("h")).select("key", F.size("h").alias("n"), F.explode_outer("h").alias("hash"))
     near = probes.join(F.broadcast(table) if few else table, "hash").where(F.col("n") >= F.col("band_need")).select("key", "item").distinct()
     near, _ = written(near, "candidates")
@@ -75,7 +77,8 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     # an item may lie in a third of all documents: pairs are joined by document
     with_text = rows.join(F.broadcast(pairs) if some else pairs, "key").select("key", "item_id", "wanted", words(F.col("text")).alias("w"))
     found = with_text.select("key", "item_id", F.size("wanted").alias("n_shingles"), F.size(F.array_intersect(shingles(F.col("w")), F.col("wanted"))).alias("n_found"))
-    return found.where(F.col("n_found") >= F.ceil(F.lit(least) * F.col("n_shingles") - F.lit(1e-9)))
+    best = found.groupBy("key", "item_id").agg(F.max(F.struct(F.col("n_found") / F.col("n_shingles"), "n_shingles", "n_found")).alias("m"))
+    return best.select("key", "item_id", "m.n_shingles", "m.n_found").where(F.col("n_found") >= F.ceil(F.lit(least) * F.col("n_shingles") - F.lit(1e-9)))
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -85,9 +88,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Da
     or empty texts have none and are never found. Of rows that repeat an id the best counts. Documents
     without an id are reported with a null id, once for each distinct text. Items without an id likewise.
     """
-    rows = _pairs(docs, benchmark, least).groupBy("key", "item_id").agg(F.max(F.struct(F.col("n_found") / F.col("n_shingles"), "n_shingles", "n_found")).alias("m"))
     doc_id = F.when(~F.startswith("key", F.lit("~")), F.col("key").cast("long"))
-    return rows.select(doc_id.alias("doc_id"), "item_id", F.col("m.n_shingles").cast("long").alias("n_shingles"), F.col("m.n_found").cast("long").alias("n_found"), F.round(F.col("m.n_found") / F.col("m.n_shingles"), 6).alias("containment"))
+    return _pairs(docs, benchmark, least).select(doc_id.alias("doc_id"), "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("n_found").cast("long").alias("n_found"), F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

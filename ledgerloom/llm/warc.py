@@ -174,6 +174,8 @@ def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 stray(value[:i], base + start)
             while i < len(value):
                 if record is None:
+                    if not value.startswith(MAGIC, i):  # the separator that a file's end lacks
+                        break
                     head = value[i + len(MAGIC) :]
                     record, need = {"offset": base + start + i, "head": head_of(head)}, (_length(head) or 0) + len(SEP)
                     i = len(value)
