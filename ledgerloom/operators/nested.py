@@ -13,8 +13,7 @@ ENVELOPE = f"struct<batch_id:string,batch_total:bigint,changes:array<{CHANGE}>>"
 def change_list(content: Column) -> Column:
     """Changes of a content string whatever its shape: a list, a wrapper with changes, a single change, or any of
     these as a string in JSON; null if it is none."""
-    inner = F.coalesce(F.from_json(content, "string", {"allowNonNumericNumbers": "false"}), content)
-    text = F.when(content.rlike(r'^\s*"'), F.get_json_object(F.concat(F.lit('{"x":'), content, F.lit("}")), "$.x")).otherwise(inner)
+    text = F.when(content.rlike(r'^\s*"'), F.get_json_object(F.concat(F.lit('{"x":'), content, F.lit("}")), "$.x")).otherwise(content)
     listed = F.from_json(text, f"array<{CHANGE}>")
     wrapped = F.from_json(text, ENVELOPE)
     single = F.from_json(text, CHANGE)

@@ -62,7 +62,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fact for each line; newest is last by (ingested_at, document_id, line)."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
+    # line numbers repeat within some orders: a line is what they have in common
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity"), F.min("l_returnflag").alias("l_returnflag"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = o.withColumn("previous", F.lag("o_orderkey").over(before))
@@ -145,7 +146,7 @@ SQL: dict[str, str] = {
         CASE WHEN l_suppkey % 4 > 0 THEN 'MSA-' || CAST(l_suppkey % 4 AS VARCHAR) ELSE '' END AS agreement_id, {_case("key", KEYS, "l_linenumber % 6")}, CAST(l_quantity AS BIGINT) AS value,
         {_case("doc_type", DOC_TYPES, "l_orderkey % 6")}, CASE WHEN l_orderkey % 6 IN (2, 4) THEN 'operational' ELSE 'contractual' END AS obligation_scope,
         CASE WHEN l_returnflag = 'R' THEN 'unless disputed' ELSE '' END AS conditions, CASE WHEN l_orderkey % 6 = 1 THEN previous END AS supersedes_id, o_orderdate AS ingested_at, CAST(l_linenumber AS BIGINT) AS line
-        FROM lineitem JOIN (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders) ON l_orderkey = o_orderkey""",
+        FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) JOIN (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders) ON l_orderkey = o_orderkey""",
     "run_events": """SELECT event_id, user_id AS run_id, event_type AS stage, ts, CAST(floor(abs(value)) AS BIGINT) AS duration_ms,
         CASE WHEN event_id % 5 <> 0 THEN coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) ELSE 0 END AS tokens_in,
         CASE WHEN event_id % 5 <> 0 THEN coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) * 2 ELSE 0 END AS tokens_out,

@@ -159,7 +159,7 @@ def _derived(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DERIVED = f"""SELECT * FROM (WITH run AS ({_RUN}), f AS (SELECT facts.*, new_document_id FROM facts JOIN run USING (collection_id)),
-    auth AS (SELECT * FROM (SELECT *, bool_or(obligation_scope = 'contractual') OVER g AS some FROM f WINDOW g AS (PARTITION BY collection_id, agreement_id, key)) WHERE obligation_scope = 'contractual' OR NOT some),
+    auth AS (SELECT * FROM (SELECT *, bool_or(obligation_scope = 'contractual') OVER g AS has_contract FROM f WINDOW g AS (PARTITION BY collection_id, agreement_id, key)) WHERE obligation_scope = 'contractual' OR NOT has_contract),
     ret AS (SELECT DISTINCT collection_id, agreement_id, key, supersedes_id AS document_id FROM auth WHERE supersedes_id IS NOT NULL AND document_id <> new_document_id),
     live AS (SELECT * FROM (SELECT *, bool_or(stays) OVER (PARTITION BY collection_id, agreement_id, key) AS any_stays FROM (SELECT a.*, r.document_id IS NULL AS stays FROM auth a LEFT JOIN ret r USING (collection_id, agreement_id, key, document_id))) WHERE stays OR NOT any_stays),
     ch AS (SELECT collection_id, agreement_id, key, max_by(fact_id, ROW(CAST(document_id = new_document_id AS INT), ingested_at, document_id, line)) AS challenger_id FROM live GROUP BY ALL),
@@ -182,8 +182,8 @@ def d3_d6_g9_derived_register(spark: SparkSession, d: str) -> DataFrame:
     return _derived(spark, d)
 
 
-@query("""SELECT fact_id, CASE WHEN agreement_id <> '' THEN agreement_id WHEN n = 1 THEN only ELSE '' END AS bucket, CASE WHEN agreement_id = '' AND n > 1 THEN n ELSE 0 END AS ambiguous_among
-    FROM facts LEFT JOIN (SELECT collection_id, count(DISTINCT agreement_id) AS n, min(agreement_id) AS only FROM facts WHERE agreement_id <> '' GROUP BY 1) USING (collection_id)""", "facts")
+@query("""SELECT fact_id, CASE WHEN agreement_id <> '' THEN agreement_id WHEN n = 1 THEN sole ELSE '' END AS bucket, CASE WHEN agreement_id = '' AND n > 1 THEN n ELSE 0 END AS ambiguous_among
+    FROM facts LEFT JOIN (SELECT collection_id, count(DISTINCT agreement_id) AS n, min(agreement_id) AS sole FROM facts WHERE agreement_id <> '' GROUP BY 1) USING (collection_id)""", "facts")
 def d1_resolved_agreement(spark: SparkSession, d: str) -> DataFrame:
     f = frames.facts(spark, d)
     return derive.resolve_agreement(f.where("agreement_id <> ''"), f).select("fact_id", "bucket", "ambiguous_among")
@@ -408,7 +408,7 @@ def n1_n4_nested_changes(spark: SparkSession, d: str) -> DataFrame:
     one = F.concat(F.lit('{"change_id":"c'), i, F.lit('"'))
     wrap = F.concat(F.lit('{"batch_id":"b'), u, F.lit('","batch_total":2,"changes":['), one, F.lit("}"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(',{"change_id":"d'), i, F.lit('","batch_id":"own"}'))).otherwise(""), F.lit("]}"))
     single = F.concat(one, F.lit(',"batch_id":"b'), u, F.lit('","batch_total":2}'))
-    quoted = F.concat(F.lit('"'), F.regexp_replace(wrap, '"', '\\\\\\\\"'), F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.replace(wrap, F.lit('"'), F.lit('\\"')), F.lit('"'))
     content = F.when(F.col("event_id") % 4 == 0, wrap).when(F.col("event_id") % 4 == 1, quoted).when(F.col("event_id") % 4 == 2, single).otherwise("not json")
     return nested.changes(e.select(F.col("event_id").alias("id"), content.alias("content"))).select("id", "place", "change_id", "batch_id", "batch_total")
 
