@@ -16,9 +16,9 @@ FACT = "fact_id long, document_id long, collection_id long, agreement_id string,
 def test_derive_agrees_with_plain_python(spark, seed):
     rng = random.Random(seed)
     rows = []
-    for k in range(400):
+    for k in range(90):
         doc = rng.randrange(60)
-        rows.append((k, doc, doc % 4, rng.choice(["", "A"]), rng.choice(["p", "q"]), rng.randrange(3), "amendment", rng.choice(["contractual", "contractual", "operational"]), rng.choice(["", "", "if"]), rng.choice([None, None, (doc + 4 * rng.randrange(15)) % 60]), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=doc), k))
+        rows.append((k, doc, doc % 4, rng.choice(["", "A"]), rng.choice(["p", "q"]), rng.choice([1, 1, 1, 2, 3]), "amendment", rng.choice(["contractual", "contractual", "operational"]), rng.choice(["", "", "if"]), rng.choice([None, None, (doc + 4 * rng.randrange(15)) % 60]), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=doc), k))
     run = {c: rng.choice([c + 4 * rng.randrange(15), -1]) for c in range(4)}
     named = {0: 1, 1: 2, 2: 2}
     claimed = {(c, a, k) for c in range(4) for a in ("", "A") for k in ("p", "q") if rng.random() < 0.6}
@@ -30,7 +30,7 @@ def test_derive_agrees_with_plain_python(spark, seed):
     ).collect()
     names = [c.split()[0] for c in FACT.split(", ")]
     facts = [dict(zip(names, r, strict=True)) for r in rows]
-    assert {r.state for r in out} > {"supported", "disputed"} or seed
+    assert {r.state for r in out} == {"supported", "disputed", "ambiguous"}
     for r in out:
         own = sorted((f for f in facts if (f["collection_id"], f["agreement_id"], f["key"]) == (r.collection_id, r.agreement_id, r.key)), key=lambda f: (f["ingested_at"], f["document_id"], f["line"]))
         want = derive.derive_one(own, run[r.collection_id], (r.collection_id, r.agreement_id, r.key) in claimed, r.agreement_id, named.get(r.collection_id, 0))
@@ -121,7 +121,6 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(data.getvalue())
     (tmp_path / "b.txt").write_text("One\n\nTwo\n \n\nThree")
     (tmp_path / "c.txt").write_bytes(b"\xff\xfe")
-    (tmp_path / "d.txt").write_bytes(b"")
     (tmp_path / "e.pdf").write_bytes(b"%PDF")
     (tmp_path / "f.bin").write_bytes(b"x")
     rows = files.read_files(spark, str(tmp_path)).collect()
@@ -129,6 +128,8 @@ def test_files(spark, tmp_path):
     for r in rows:
         by.setdefault(r.path[-5:], []).append(r.text or r.error)
     assert by[".docx"[-5:]] == ["First", "a | b"] and by["b.txt"] == ["One", "Two", "Three"]
-    assert "utf-8" in by["c.txt"][0] and by["d.txt"] == ["uploaded file is empty"] and "no reader" in by["e.pdf"][0] and "unsupported" in by["f.bin"][0]
+    assert "utf-8" in by["c.txt"][0] and "no reader" in by["e.pdf"][0] and "unsupported" in by["f.bin"][0]
+    direct = files.blocks_of(spark.createDataFrame([("d.txt", 0, bytearray()), ("g.txt", files.LARGEST + 1, None)], "path string, length long, content binary"))
+    assert ["empty" in r.error or "too large" in r.error for r in direct.collect()] == [True, True]  # Spark's reader passes over empty files
     text = {r.path[-5:]: (r.text, r.methods) for r in files.text_of(files.read_files(spark, str(tmp_path))).collect()}
     assert text["b.txt"] == ("One\n\nTwo\n\nThree", "txt") and len(text) == 2
