@@ -61,6 +61,7 @@ class LineRuns:
         self.spark, self.fan = spark, fan
         self.levels: list[list[tuple[DataFrame, str]]] = []
         self.changes: list[tuple[DataFrame, str]] = []
+        self.merged_away: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [df for level in self.levels for df, _ in level]
@@ -73,7 +74,11 @@ class LineRuns:
         return written(df.sortWithinPartitions("h"), tag)
 
     def add(self, docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-        """Add a batch (documents not added before); returns the run of the keys that no earlier run has."""
+        """Add a batch (documents not added before); returns the run of the keys that no earlier run has, to be read
+        before the next batch is added."""
+        for path in self.merged_away:
+            drop_path(self.spark, path)
+        self.merged_away = []
         batch = line_hashes(docs, least).groupBy("h").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         older = self.runs()
         if not older:
@@ -101,8 +106,7 @@ class LineRuns:
             rest = [df.join(known.hint("merge"), "h", "left_anti") for df, _ in self.changes]
             new = self._write(self._merged(parts + mine))
             left = [self._write(reduce(DataFrame.unionByName, rest), "changes")] if rest and self.runs() else []
-            for _, path in old + self.changes:
-                drop_path(self.spark, path)
+            self.merged_away += [path for _, path in old + self.changes]
             self.changes = left
             self._put(new, level + 1)
 
