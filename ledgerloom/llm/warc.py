@@ -1,10 +1,11 @@
 """WARC archives: written by the text sink, read back by following record lengths.
 
 Every record ends in CR LF CR LF, so a sink with that line separator writes whole archives through any file
-system Spark knows. The reader splits on it too and knows each piece's offset, but a payload may hold the
-separator or the magic of a record. Tasks therefore emit, for each magic, the offset and that of its
-successor by Content-Length, contracted to the way out of the block; pointer jumping from each file's start
-keeps what is reachable, and only this is read as records.
+system Spark knows. The reader splits on the magic that begins each record (it does not overlap itself, so
+blocks of a file agree on where it is) and knows each piece's offset, but a payload may hold the magic too.
+Tasks therefore emit, for each piece, its offset and that of its successor by Content-Length, contracted to
+the way out of the block; pointer jumping from each file's start keeps what is reachable, and only this is
+read as records.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ MAGIC = b"WARC/1.1\r\n"
 #: Entries (one row for each block of a file) up to so many are broadcast to the blocks.
 BROADCAST_ROWS = 200_000
 
-RECORD = "file string, offset long, page_id long, record_type string, refers_to long, declared_bytes long, declared_digest string, target string, payload binary, whole boolean, block long, at long"
+RECORD = "file string, offset long, length long, page_id long, record_type string, refers_to long, declared_bytes long, declared_digest string, target string, payload binary, whole boolean, block long, at long"
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*([^\r\n]*)", re.M)
 
 
@@ -68,21 +69,29 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, value: what lies between separators, in order within a block."""
-    return spark.read.option("lineSep", SEP.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    """file, block, value: what lies between magics, in order within a block."""
+    return spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
 def _field(head: bytes) -> dict[bytes, bytes]:
     return {k.lower(): v.strip() for k, v in _FIELD.findall(head)}
 
 
-def _length(head: bytes) -> int | None:
-    found = _field(head).get(b"content-length", b"")
-    return int(found) if found.isdigit() else None
+def _head(piece: bytes) -> tuple[dict[bytes, bytes], int, int] | None:
+    """Fields, size with its separator and Content-Length of a record's head, or None if it is not one."""
+    end = piece.find(SEP)
+    if end < 0:
+        return None
+    fields = _field(piece[:end])
+    size = fields.get(b"content-length", b"")
+    return (fields, end + len(SEP), int(size)) if size.isdigit() else None
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each block: its bytes, and its candidates' offsets with the way each leaves the block."""
+    """One row for each block: its bytes, and its candidates' offsets with the way each leaves the block.
+
+    A candidate's offset is that of its piece, behind the magic.
+    """
     now, at, offs, succ = None, 0, [], []
 
     def row():
@@ -100,20 +109,17 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield row()
                 now, at, offs, succ = (file, block), 0, [], []
             value = bytes(value)
-            i = value.find(MAGIC)
-            while i >= 0:
-                if (size := _length(value[i + len(MAGIC) :])) is not None:
-                    offs.append(at + i)
-                    succ.append(at + len(value) + len(SEP) + size + len(SEP))
-                i = value.find(MAGIC, i + 1)
-            at += len(value) + len(SEP)
+            if head := _head(value):
+                offs.append(at)
+                succ.append(at + head[1] + head[2] + len(SEP) + len(MAGIC))
+            at += len(value) + len(MAGIC)
     if now:
         yield row()
 
 
 def _jumped(nodes: DataFrame, longest: int) -> DataFrame:
-    """file, off: the candidates reached from offset 0 of each file, by pointer doubling over (file, off, out)."""
-    jump, reached = nodes.select("file", "off", "out"), nodes.where("off = 0").select("file", "off")
+    """file, off: the candidates reached from each file's first record, by pointer doubling over (file, off, out)."""
+    jump, reached = nodes.select("file", "off", "out"), nodes.where(F.col("off") == len(MAGIC)).select("file", "off")
     made = []
     hops = 1
     while hops < longest:
@@ -129,63 +135,52 @@ def _jumped(nodes: DataFrame, longest: int) -> DataFrame:
 
 def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Records of each block from its entry on; payloads that cross a block's end come in parts."""
+    columns = [c.split()[0] for c in RECORD.split(", ")]
     now, rows, held = None, [], 0
     at = base = entry = 0
-    record: dict | None = None
+    record: tuple | None = None
     need = 0
     parts: list[bytes] = []
 
     def emit(whole: bool):
         nonlocal record, parts, held
         payload = b"".join(parts)
-        payload = payload[: -len(SEP)] if whole else payload
-        rows.append((now[0], record["offset"], *record["head"], payload, whole, now[1], record["offset"]))
+        rows.append((now[0], *record, payload[: record[1]], whole, now[1], record[0]))
         held += len(payload)
         record, parts = None, []
 
-    def stray(piece: bytes, where: int):
-        nonlocal held
-        rows.append((now[0], None, None, None, None, None, None, None, piece, False, now[1], where))
-        held += len(piece)
-
     def frame():
-        out = pd.DataFrame(rows, columns=["file", "offset", "page_id", "record_type", "refers_to", "declared_bytes", "declared_digest", "target", "payload", "whole", "block", "at"])
-        return out.astype({k: "Int64" for k in ("offset", "page_id", "refers_to", "declared_bytes", "block", "at")})
+        return pd.DataFrame(rows, columns=columns).astype({k: "Int64" for k in ("offset", "length", "page_id", "refers_to", "declared_bytes", "block", "at")})
 
     def number(x: bytes) -> int | None:
         found = re.search(rb"-?\d+", x)
         return int(found[0]) if found else None
 
-    def head_of(value: bytes):
-        f = _field(value)
-        return (number(f.get(b"warc-record-id", b"")[9:]), f.get(b"warc-type", b"").decode(), number(f.get(b"warc-refers-to", b"")), number(f.get(b"x-payload-length", b"")), f.get(b"warc-payload-digest", b"").decode().removeprefix("sha256:"), f.get(b"warc-target-uri", b"").decode("utf-8", "replace"))
-
     for batch in batches:
         for file, block, value, b, e in zip(batch["file"].tolist(), batch["block"].tolist(), batch["value"].tolist(), batch["base"].tolist(), batch["entry"].tolist(), strict=True):
             if (file, block) != now:
                 if record:
                     emit(False)
                 now, at, base, entry = (file, block), 0, int(b), -1 if e is None or pd.isna(e) else int(e)
-            value = bytes(value) + SEP
-            start, at = at, at + len(value)
-            i = 0
-            if record is None and (entry < 0 or start < entry):  # still of a record before this block
-                i = len(value) if entry < 0 else min(len(value), entry - start)
-                stray(value[:i], base + start)
-            while i < len(value):
-                if record is None:
-                    if not value.startswith(MAGIC, i):  # the separator that a file's end lacks
-                        break
-                    head = value[i + len(MAGIC) :]
-                    record, need = {"offset": base + start + i, "head": head_of(head)}, (_length(head) or 0) + len(SEP)
-                    i = len(value)
-                    continue
-                piece = value[i : i + need]
-                parts.append(piece)
-                need -= len(piece)
-                i += len(piece)
-                if not need:
-                    emit(True)
+                expected = entry
+            value = bytes(value)
+            start, at = at, at + len(value) + len(MAGIC)
+            if record is None and start == expected:
+                f, size, length = _head(value)
+                text = lambda k, f=f: f.get(k, b"").decode("utf-8", "replace")
+                record = (base + start - len(MAGIC), length, number(f.get(b"warc-record-id", b"")[9:]), text(b"warc-type"), number(f.get(b"warc-refers-to", b"")), number(f.get(b"x-payload-length", b"")), text(b"warc-payload-digest").removeprefix("sha256:"), text(b"warc-target-uri"))
+                need, value = length + len(SEP), value[size:]
+                expected = start + size + need + len(MAGIC)
+            elif record is None:
+                if entry < 0 or start < entry:  # of a record that begins in an earlier block
+                    rows.append((now[0], *[None] * 8, value + MAGIC, False, now[1], base + start))
+                    held += len(value)
+                continue
+            piece = (value + MAGIC)[:need]
+            parts.append(piece)
+            need -= len(piece)
+            if not need:
+                emit(True)
             if held > 8_000_000 or len(rows) > 5_000:
                 yield frame()
                 rows, held = [], 0
@@ -201,7 +196,7 @@ def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, page_id, record_type, refers_to, declared_bytes, declared_digest, target, payload of each record.
 
-    Records are those reachable from offset 0 of each file, whatever their payloads hold. A record that a
+    Records are those reachable from the first of each file, whatever their payloads hold. A record that a
     file's end cuts off has the payload that is there.
     """
     blocks, _ = written(_pieces(spark, path).mapInPandas(_candidates, "file string, block long, total long, offs array<long>, outs array<long>"), "blocks")
@@ -222,14 +217,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     rows = ready.select("file", "block", "value", "base", "entry").mapInPandas(_walked, RECORD)
     rows, _ = written(rows, "records")
     fields = ["page_id", "record_type", "refers_to", "declared_bytes", "declared_digest", "target"]
-    end = len(SEP)
-    trim = F.expr(f"CASE WHEN octet_length(payload) >= {end} AND substring(payload, -{end}, {end}) = X'{SEP.hex()}' THEN substring(payload, 1, octet_length(payload) - {end}) ELSE payload END")
     whole = rows.where("whole").select("file", "offset", *fields, "payload")
     last = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     cut = rows.where("not whole").withColumn("offset", F.last("offset", ignorenulls=True).over(last))
-    parts = cut.where("offset is not null").groupBy("file", "offset").agg(*[F.max(f).alias(f) for f in fields], F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("_p"))
-    joined = F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p["payload"])).alias("payload")
-    return whole.unionByName(parts.select("file", "offset", *fields, joined).select("file", "offset", *fields, trim.alias("payload")))
+    parts = cut.where("offset is not null").groupBy("file", "offset").agg(F.max("length").alias("length"), *[F.max(f).alias(f) for f in fields], F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("_p"))
+    joined = F.substring(F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p["payload"])), F.lit(1), F.col("length").cast("int")).alias("payload")
+    return whole.unionByName(parts.select("file", "offset", *fields, joined))
 
 
 def round_trip(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
