@@ -454,3 +454,124 @@ def o1_j17_register_export(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id AS eventId, user_id AS userId, event_type AS eventType FROM events")
 def io14_camel_case(spark: SparkSession, d: str) -> DataFrame:
     return nested.camel_names(frames.table(spark, d, "events").select("event_id", "user_id", "event_type"))
+
+
+# Approved proposals as a register sees them later: by the parity of their value some rows have moved.
+_APPROVED = f"SELECT * FROM ({_PROPOSALS}) WHERE kind IN ('conflict', 'register_update') AND after % 3 <> 0"
+
+
+def _approved(spark: SparkSession, d: str) -> DataFrame:
+    return register.proposals(_hash(_derived(spark, d)), _register(spark, d)).where("kind in ('conflict', 'register_update') and after % 3 <> 0")
+
+
+@query(f"""SELECT * FROM (WITH now AS (SELECT collection_id, agreement_id, key, version + CASE WHEN value % 2 = 0 THEN 1 ELSE 0 END AS actual_version, sha256(coalesce(CAST(value AS VARCHAR), '') || '|' || state) AS actual_hash FROM ({_REGISTER}))
+    SELECT collection_id, agreement_id, key, base_version, actual_version FROM ({_APPROVED}) LEFT JOIN now USING (collection_id, agreement_id, key) WHERE before_hash IS DISTINCT FROM actual_hash OR base_version <> coalesce(actual_version, 0))""", "facts")
+def j14_stale_proposals(spark: SparkSession, d: str) -> DataFrame:
+    moved = _register(spark, d).withColumn("version", F.col("version") + F.when(F.col("value") % 2 == 0, 1).otherwise(0))
+    return register.stale(_approved(spark, d), moved).select("collection_id", "agreement_id", "key", "base_version", "actual_version")
+
+
+@query(f"SELECT collection_id, agreement_id, key, after FROM ({_APPROVED}) p ANTI JOIN (SELECT *, {_HASH} FROM ({_REGISTER})) r ON p.collection_id = r.collection_id AND p.agreement_id = r.agreement_id AND p.key = r.key AND p.content_hash = r.content_hash", "facts")
+def j15_g14_outstanding(spark: SparkSession, d: str) -> DataFrame:
+    return register.outstanding(_approved(spark, d), _register(spark, d)).select("collection_id", "agreement_id", "key", "after")
+
+
+@query(f"SELECT collection_id, agreement_id, key, before AS old_value, after AS new_value FROM ({_APPROVED}) WHERE before_hash IS DISTINCT FROM content_hash", "facts")
+def j9_o2_change_log(spark: SparkSession, d: str) -> DataFrame:
+    done = spark.createDataFrame([(0,)], "run_id long")
+    return register.commit(1, _register(spark, d), _approved(spark, d), done)["changes"].drop("run_id")
+
+
+@query(f"""SELECT collection_id, count(*) AS n_keys, count(*) FILTER (WHERE b = a) AS n_unchanged FROM
+    (SELECT r.collection_id, r.content_hash AS b, coalesce(p.content_hash, r.content_hash) AS a FROM (SELECT *, {_HASH} FROM ({_REGISTER})) r LEFT JOIN ({_APPROVED}) p USING (collection_id, agreement_id, key)) GROUP BY 1""", "facts")
+def d13_unchanged_proof(spark: SparkSession, d: str) -> DataFrame:
+    before = _register(spark, d)
+    after = register.candidate(before, _approved(spark, d)).select("collection_id", "agreement_id", "key", F.col("content_hash").alias("after_hash"))
+    rows = before.join(after, ["collection_id", "agreement_id", "key"])
+    return rows.groupBy("collection_id").agg(F.count("*").alias("n_keys"), F.count_if(F.col("content_hash") == F.col("after_hash")).alias("n_unchanged"))
+
+
+@query("""SELECT agreement_id, key, count(DISTINCT value) AS n_values, count(*) AS n_facts, string_agg(DISTINCT CAST(value AS VARCHAR), ',' ORDER BY CAST(value AS VARCHAR)) AS values_seen FROM facts GROUP BY ALL""", "facts")
+def a10_a11_values_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return frames.facts(spark, d).groupBy("agreement_id", "key").agg(F.count_distinct("value").alias("n_values"), F.count("*").alias("n_facts"), F.array_join(F.array_sort(F.collect_set(F.col("value").cast("string"))), ",").alias("values_seen"))
+
+
+@query("SELECT doc_type, count(*) AS n, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM docs GROUP BY doc_type", "docs")
+def a16_method_sets(spark: SparkSession, d: str) -> DataFrame:
+    return frames.documents(spark, d).groupBy("doc_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+
+
+@query("""SELECT collection_id, agreement_id, key, max_by(fact_id, ROW(CAST(document_id = nd AS INT), ingested_at, document_id, line)) AS challenger_id FROM facts JOIN (SELECT collection_id, max_by(document_id, ROW(ingested_at, document_id)) AS nd FROM facts GROUP BY 1) USING (collection_id) GROUP BY ALL""", "facts")
+def k3_challenger(spark: SparkSession, d: str) -> DataFrame:
+    f = frames.facts(spark, d).join(_run(spark, d), "collection_id")
+    return derive.sides(f).select("collection_id", "agreement_id", "key", F.col("challenger.fact_id").alias("challenger_id")).distinct()
+
+
+@query(f"SELECT code, target, verdict FROM ({_FINDINGS}) WHERE verdict <> 'pass'", "facts", "rules")
+def p7_adverse_findings(spark: SparkSession, d: str) -> DataFrame:
+    return _findings(spark, d).where("verdict <> 'pass'").select("code", "target", "verdict")
+
+
+# Cached source verdicts: a document's key is known if an earlier document of the collection has the same text.
+@query("""SELECT document_id, first_value(document_id) OVER (PARTITION BY collection_id, sha256(text) ORDER BY ingested_at, document_id) AS reused_from, row_number() OVER (PARTITION BY collection_id, sha256(text) ORDER BY ingested_at, document_id) > 1 AS hit FROM docs""", "docs")
+def r5_w12_rule_cache(spark: SparkSession, d: str) -> DataFrame:
+    from ledgerloom.functions import hashing
+
+    docs = frames.documents(spark, d).withColumn("cache_key", hashing.source_rule_cache_key(F.col("collection_id"), F.sha2("text", 256), F.lit(None).cast("string")))
+    w = Window.partitionBy("cache_key").orderBy("ingested_at", "document_id")
+    return docs.select("document_id", F.first("document_id").over(w).alias("reused_from"), (F.row_number().over(w) > 1).alias("hit"))
+
+
+@query(f"""SELECT collection_id, agreement_id || '::' || key AS target, agreement_id || '::' || key || ' = {{"days":' || CAST(value AS VARCHAR) || '}} (' || state || ')' AS statement FROM ({_REGISTER}) SEMI JOIN (SELECT DISTINCT collection_id AS c, key AS k FROM facts WHERE document_id % 100 = 1) n ON collection_id = n.c AND key = n.k""", "facts")
+def r6_deliverable_targets(spark: SparkSession, d: str) -> DataFrame:
+    touched = frames.facts(spark, d).where("document_id % 100 = 1").select("collection_id", "key").distinct()
+    value = F.to_json(F.struct(F.col("value").alias("days")))
+    return _register(spark, d).join(touched, ["collection_id", "key"], "left_semi").select("collection_id", relational.scoped_key().alias("target"), F.concat(relational.scoped_key(), F.lit(" = "), value, F.lit(" ("), "state", F.lit(")")).alias("statement"))
+
+
+@query(f"""SELECT c.collection_id, coalesce(n, 0) AS n_findings, CASE WHEN coalesce(n, 0) = 0 THEN 'deliverable_confirmation' ELSE 'findings' END AS gate FROM collections c LEFT JOIN (SELECT collection_id, count(*) AS n FROM ({_FINDINGS}) WHERE verdict = 'violation' AND severity = 'minor' GROUP BY 1) USING (collection_id)""", "collections", "facts", "rules")
+def r8_gate_items(spark: SparkSession, d: str) -> DataFrame:
+    n = _findings(spark, d).where("verdict = 'violation' and severity = 'minor'").groupBy("collection_id").agg(F.count("*").alias("n"))
+    rows = frames.collections(spark, d).join(n, "collection_id", "left").select("collection_id", F.coalesce("n", F.lit(0)).alias("n_findings"))
+    return rows.withColumn("gate", F.when(F.col("n_findings") == 0, "deliverable_confirmation").otherwise("findings"))
+
+
+@query(f"""SELECT code, count(*) AS undecided FROM (SELECT code, target FROM ({_FINDINGS}) WHERE verdict <> 'pass' GROUP BY ALL) f ANTI JOIN (SELECT DISTINCT agreement_id || '::' || key AS target FROM facts WHERE document_id % 10 = 3 AND agreement_id <> '') d ON f.target = d.target GROUP BY code""", "facts", "rules")
+def r9_undecided_items(spark: SparkSession, d: str) -> DataFrame:
+    open_items = _findings(spark, d).where("verdict <> 'pass'").select("code", "target").distinct()
+    decided = frames.facts(spark, d).where("document_id % 10 = 3 and agreement_id <> ''").select(relational.scoped_key().alias("target")).distinct()
+    return open_items.join(decided, "target", "left_anti").groupBy("code").agg(F.count("*").alias("undecided"))
+
+
+@query("""SELECT p_brand, p_partkey AS upload, changed, CASE WHEN changed AND p_size % 3 = 0 THEN 'stale' WHEN changed THEN 'installed' ELSE 'no_op' END AS outcome FROM (SELECT *, coalesce(lag(p_type) OVER (PARTITION BY p_brand ORDER BY p_partkey) <> p_type, true) AS changed FROM part)""")
+def w9_ruleset_install(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    changed = F.coalesce(F.lag("p_type").over(w) != F.col("p_type"), F.lit(True))
+    rows = frames.table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("upload"), changed.alias("changed"), "p_size")
+    return rows.select("p_brand", "upload", "changed", F.when(F.col("changed") & (F.col("p_size") % 3 == 0), "stale").when(F.col("changed"), "installed").otherwise("no_op").alias("outcome"))
+
+
+@query(f"""SELECT collection_id, agreement_id, key, version <> supplied AS refused FROM (SELECT *, CASE WHEN value % 4 = 0 THEN version - 1 ELSE version END AS supplied FROM ({_REGISTER}))""", "facts")
+def w11_decision_basis(spark: SparkSession, d: str) -> DataFrame:
+    supplied = F.when(F.col("value") % 4 == 0, F.col("version") - 1).otherwise(F.col("version"))
+    return _register(spark, d).select("collection_id", "agreement_id", "key", (~F.col("version").eqNullSafe(supplied)).alias("refused"))
+
+
+@query("""SELECT document_id, count(*) FILTER (WHERE block_index > 0 AND text LIKE '%unless%') AS n_invalid, CASE WHEN count(*) FILTER (WHERE text LIKE '%unless%') = 0 THEN 'stored' WHEN any_value(document_id) % 2 = 0 THEN 'repaired' ELSE 'abstained' END AS outcome FROM blocks GROUP BY document_id""", "blocks")
+def g7_repair_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.contains("text", F.lit("unless"))
+    rows = frames.blocks(spark, d).groupBy("document_id").agg(F.count_if(bad & (F.col("block_index") > 0)).alias("n_invalid"), F.count_if(bad).alias("n"))
+    return rows.select("document_id", "n_invalid", F.when(F.col("n") == 0, "stored").when(F.col("document_id") % 2 == 0, "repaired").otherwise("abstained").alias("outcome"))
+
+
+@query("""SELECT party_id, max_by(doc_type, ROW(ingested_at, document_id)) AS doc_type, max_by(document_id, ROW(ingested_at, document_id)) FILTER (WHERE doc_type = 'amendment') AS last_amendment FROM docs GROUP BY party_id""", "docs")
+def g19_latest_values(spark: SparkSession, d: str) -> DataFrame:
+    at = F.struct("ingested_at", "document_id")
+    return frames.documents(spark, d).groupBy("party_id").agg(F.max_by("doc_type", at).alias("doc_type"), F.max_by("document_id", F.when(F.col("doc_type") == "amendment", at)).alias("last_amendment"))
+
+
+@query("""SELECT agreement_id, key, 'new' AS origin FROM (SELECT agreement_id, key FROM facts WHERE document_id % 500 = 1 EXCEPT SELECT agreement_id, key FROM facts WHERE document_id % 500 = 2) UNION ALL SELECT agreement_id, key, 'both' FROM (SELECT agreement_id, key FROM facts WHERE document_id % 500 = 1 INTERSECT SELECT agreement_id, key FROM facts WHERE document_id % 500 = 2)""", "facts")
+def s1_key_sets(spark: SparkSession, d: str) -> DataFrame:
+    f = frames.facts(spark, d)
+    a, b = (f.where(f"document_id % 500 = {k}").select("agreement_id", "key") for k in (1, 2))
+    return a.subtract(b).withColumn("origin", F.lit("new")).unionByName(a.intersect(b).withColumn("origin", F.lit("both")))
