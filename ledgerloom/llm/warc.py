@@ -133,8 +133,8 @@ def _jumped(nodes: DataFrame, longest: int) -> DataFrame:
     return reached
 
 
-def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records of each block from its entry on; payloads that cross a block's end come in parts."""
+def _walked(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.DataFrame]:
+    """Records of each block from its entry on: those that end in it if complete, else the parts of those that don't."""
     columns = [c.split()[0] for c in RECORD.split(", ")]
     now, rows, held = None, [], 0
     at = base = entry = 0
@@ -144,9 +144,10 @@ def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def emit(whole: bool):
         nonlocal record, parts, held
-        payload = b"".join(parts)
-        rows.append((now[0], *record, payload[: record[1]], whole, now[1], record[0]))
-        held += len(payload)
+        if whole == complete:
+            payload = b"".join(parts)
+            rows.append((now[0], *record, payload[: record[1]], whole, now[1], record[0]))
+            held += len(payload)
         record, parts = None, []
 
     def frame():
@@ -172,7 +173,7 @@ def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 need, value = length + len(SEP), value[size:]
                 expected = start + size + need + len(MAGIC)
             elif record is None:
-                if entry < 0 or start < entry:  # of a record that begins in an earlier block
+                if not complete and (entry < 0 or start < entry):  # of a record that begins in an earlier block
                     rows.append((now[0], *[None] * 8, value + MAGIC, False, now[1], base + start))
                     held += len(value)
                 continue
@@ -214,12 +215,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         ready = pieces.join(F.broadcast(entries), ["file", "block"])
     else:  # in order again after the shuffle
         ready = pieces.withColumn("_n", F.monotonically_increasing_id()).join(entries, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "_n")
-    rows = ready.select("file", "block", "value", "base", "entry").mapInPandas(_walked, RECORD)
-    rows, _ = written(rows, "records")
+    ready = ready.select("file", "block", "value", "base", "entry")
+    # two walks instead of a stored copy of all payloads: the second gives the few parts that cross a block's end
+    whole, cut = (ready.mapInPandas(lambda batches, c=c: _walked(batches, c), RECORD) for c in (True, False))
     fields = ["page_id", "record_type", "refers_to", "declared_bytes", "declared_digest", "target"]
-    whole = rows.where("whole").select("file", "offset", *fields, "payload")
+    whole = whole.select("file", "offset", *fields, "payload")
     last = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.where("not whole").withColumn("offset", F.last("offset", ignorenulls=True).over(last))
+    cut = cut.withColumn("offset", F.last("offset", ignorenulls=True).over(last))
     parts = cut.where("offset is not null").groupBy("file", "offset").agg(F.max("length").alias("length"), *[F.max(f).alias(f) for f in fields], F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("_p"))
     joined = F.substring(F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p["payload"])), F.lit(1), F.col("length").cast("int")).alias("payload")
     return whole.unionByName(parts.select("file", "offset", *fields, joined))
