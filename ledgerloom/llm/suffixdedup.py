@@ -27,6 +27,8 @@ from ledgerloom.llm.common import as_texts, mixed, slices
 LEAST, KMER = 50, 20
 #: Text bytes for each bucket of minimisers and for each group of documents: this bounds what a task holds.
 BUCKET_BYTES = 16_000_000
+#: Bytes of strings whose transforms are merged at a time.
+PART_BYTES = 1_000_000
 SHARDS = 2
 
 _BATCH, _CHUNK = 2_000_000, 250_000
@@ -200,6 +202,36 @@ def least_of_windows(strings: list[bytes], docs: np.ndarray, shards: int = SHARD
     return [out[a : a + n - LEAST + 1] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
+def least_by_rounds(strings: list[bytes], docs: np.ndarray, windows: int | None = None) -> list[np.ndarray]:
+    """The same for strings beyond one merge: equal windows meet in one of several rounds, by hash, and are compared byte by byte."""
+    count = np.fromiter(map(len, strings), np.int64, len(strings)) - LEAST + 1
+    end = np.cumsum(count)
+    n = int(end[-1])
+    rounds = -(-n // (windows or PART_BYTES))
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(strings), np.uint8), LEAST)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), count)
+    weight = np.cumprod(np.full(LEAST, _ODD))
+    turn = np.empty(n, np.uint32)
+
+    def bytes_of(w: np.ndarray) -> np.ndarray:
+        return view[w + owner[w].astype(np.int64) * (LEAST - 1)]
+
+    for a in range(0, n, 50_000):
+        w = np.arange(a, min(a + 50_000, n))
+        turn[w] = mixed(bytes_of(w).astype(np.uint64) @ weight) % np.uint64(rounds)
+    out = np.empty(n, np.int64)
+    for r in range(rounds):
+        w = np.flatnonzero(turn == r)
+        if not w.size:
+            continue
+        rows = bytes_of(w).view(f"S{LEAST}").ravel()
+        order = np.argsort(rows)
+        rows, w = rows[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        out[w] = np.repeat(np.minimum.reduceat(docs[owner[w]], first), np.diff(np.append(first, w.size)))
+    return [out[b - k : b] for b, k in zip(end.tolist(), count.tolist(), strict=True)]
+
+
 def _pack(data: bytes, level: int = 3) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
@@ -337,11 +369,13 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by.setdefault(group, []).append(k)
         text = [s for _, s in seen]
         windows = [np.full(len(s) - LEAST + 1, d, np.int64) for s, d in zip(text, least, strict=True)]
-        many = [k for ks in by.values() if len(ks) > 1 for k in ks]
-        # strings of one minimiser stay together; a part is merged at a time
-        for s in slices([len(text[k]) for k in many], 1_000_000):
-            part = many[s]
-            for k, w in zip(part, least_of_windows([text[k] for k in part], np.array([least[k] for k in part])), strict=True):
+        many = [ks for ks in by.values() if len(ks) > 1]
+        sizes = [sum(len(text[k]) for k in ks) for ks in many]
+        # strings of one minimiser stay together: a part is several of these groups, or one that is beyond a merge
+        for s in slices(sizes, PART_BYTES):
+            part = [k for ks in many[s] for k in ks]
+            find = least_of_windows if sum(sizes[s]) <= PART_BYTES else least_by_rounds
+            for k, w in zip(part, find([text[k] for k in part], np.array([least[k] for k in part])), strict=True):
                 windows[k] = np.minimum(windows[k], w)
         low = np.fromiter((w.min() for w in windows), np.int64, len(windows))
         high = np.fromiter((w.max() for w in windows), np.int64, len(windows))

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -133,6 +134,37 @@ def test_windows_by_merged_transforms(seed):
         assert all(list(g) == [least[s[i : i + 50]] for i in range(len(s) - 49)] for s, g in zip(strings, got, strict=True))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_by_rounds(seed):
+    rng = random.Random(seed)
+    base = bytes(rng.choice(b"ab \0") for _ in range(300 + 500 * seed))
+    strings = [base[a : a + 50 + rng.randrange(40)] for a in (rng.randrange(len(base) - 100) for _ in range(50))] + [b"z" * 400]
+    docs = np.array([rng.randrange(99) for _ in strings])
+    least = {}
+    for s, d in zip(strings, docs, strict=True):
+        for i in range(len(s) - 49):
+            least[s[i : i + 50]] = min(least.get(s[i : i + 50], 999), d)
+    for windows in (100, 10**6):
+        got = suffixdedup.least_by_rounds(strings, docs, windows)
+        assert all(list(g) == [least[s[i : i + 50]] for i in range(len(s) - 49)] for s, g in zip(strings, got, strict=True))
+
+
+@pytest.mark.parametrize("sizes", [[4] * 3000, [5, 13_000, 5]])
+def test_spans_of_more_strings_than_one_merge(sizes):
+    """Groups of one minimiser that meet the end of a part, and a group that is larger than a part."""
+    rng = random.Random(len(sizes))
+    strings = [(g, rng.randbytes(15).hex().encode() + passage + rng.randbytes(15).hex().encode()) for g, n in enumerate(sizes) for passage in [rng.randbytes(25).hex().encode()] for _ in range(n)]
+    docs = np.arange(len(strings), 0, -1)  # the least document of a group comes last
+    pack, text = suffixdedup._bytes, [s for _, s in strings]
+    rows = [(0, 0, 7, suffixdedup._pack(b"".join(text)), pack(np.array([len(s) for s in text]), "<u4"), pack(np.array([g for g, _ in strings]), "<u4"), pack(docs, "<i8"))]
+    rows.append((0, 1, 7, pack(np.arange(len(text)), "<u4"), pack(docs, "<i8"), pack(np.zeros(len(text)), "<u4"), None))
+    out = [x for batch in suffixdedup._spans(iter([pd.DataFrame(rows, columns=["bucket", "kind", "blob", "a", "b", "c", "d"])])) for x in batch.itertuples(index=False)]
+    got = sorted(zip(*(np.concatenate([suffixdedup._array(r[k], kind) for r in out]).tolist() for k, kind in ((1, "<i8"), (2, "<u4"), (3, "<u4"))), strict=True))
+    brute = suffixdedup.brute(list(zip(docs.tolist(), text, strict=True)))
+    assert Counter(d for d, _, n in got for _ in range(n)) == Counter({d: n for d, (n, _, _) in brute.items() if n})
+    assert len(got) == len(strings) - len(sizes)
+
+
 def test_substring_dedup(spark, odd, sf_dir):
     rng = random.Random(7)
     passage = prose(70, 60)
