@@ -99,7 +99,7 @@ def j4_affected_keys(spark: SparkSession, d: str) -> DataFrame:
     items = f.withColumn("item_id", _item())
     gone = f.where("supersedes_id is not null and collection_id = 1").select(F.col("supersedes_id").alias("document_id"))
     rows = items.select("item_id", "agreement_id", "key").distinct()
-    return relational.affected_keys(rows, items.select("item_id", "fact_id"), f, gone, f.where("document_id % 1000 = 1"))
+    return relational.affected_keys(rows, items.select("item_id", "fact_id"), f, gone, _newest(spark, d))
 
 
 @query(f"""SELECT {_ITEM} AS item_id, count(*) AS n_facts, count(DISTINCT sha256(CAST(value AS VARCHAR))) AS n_fingerprints, min(fact_id) AS first_fact FROM facts GROUP BY {_ITEM}""", "facts")
@@ -151,6 +151,12 @@ def _run(spark: SparkSession, d: str) -> DataFrame:
     return frames.facts(spark, d).groupBy("collection_id").agg(F.max_by("document_id", F.struct("ingested_at", "document_id")).alias("new_document_id"))
 
 
+def _newest(spark: SparkSession, d: str, how: str = "left_semi") -> DataFrame:
+    """Facts of each collection's newest document, or by left_anti those of all others."""
+    f, new = frames.facts(spark, d), _run(spark, d).select("collection_id", F.col("new_document_id").alias("document_id"))
+    return f.join(new, ["collection_id", "document_id"], how)
+
+
 def _derived(spark: SparkSession, d: str) -> DataFrame:
     f = frames.facts(spark, d)
     claims = f.where("doc_type = 'amendment'").select("collection_id", "agreement_id", "key").distinct()
@@ -527,7 +533,7 @@ def r5_w12_rule_cache(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT collection_id, agreement_id || '::' || key AS target, agreement_id || '::' || key || ' = {{"days":' || CAST(value AS VARCHAR) || '}} (' || state || ')' AS statement FROM ({_REGISTER}) SEMI JOIN (SELECT DISTINCT collection_id AS c, key AS k FROM facts WHERE document_id % 100 = 1) n ON collection_id = n.c AND key = n.k""", "facts")
 def r6_deliverable_targets(spark: SparkSession, d: str) -> DataFrame:
-    touched = frames.facts(spark, d).where("document_id % 100 = 1").select("collection_id", "key").distinct()
+    touched = _newest(spark, d).select("collection_id", "key").distinct()
     value = F.to_json(F.struct(F.col("value").alias("days")))
     return _register(spark, d).join(touched, ["collection_id", "key"], "left_semi").select("collection_id", relational.scoped_key().alias("target"), F.concat(relational.scoped_key(), F.lit(" = "), value, F.lit(" ("), "state", F.lit(")")).alias("statement"))
 
@@ -575,6 +581,6 @@ def g19_latest_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT agreement_id, key, 'new' AS origin FROM (SELECT agreement_id, key FROM facts WHERE document_id % 500 = 1 EXCEPT SELECT agreement_id, key FROM facts WHERE document_id % 500 = 2) UNION ALL SELECT agreement_id, key, 'both' FROM (SELECT agreement_id, key FROM facts WHERE document_id % 500 = 1 INTERSECT SELECT agreement_id, key FROM facts WHERE document_id % 500 = 2)""", "facts")
 def s1_key_sets(spark: SparkSession, d: str) -> DataFrame:
-    f = frames.facts(spark, d)
-    a, b = (f.where(f"document_id % 500 = {k}").select("agreement_id", "key") for k in (1, 2))
+    """Keys of the newest documents against those of all documents before them."""
+    a, b = (_newest(spark, d, how).select("agreement_id", "key") for how in ("left_semi", "left_anti"))
     return a.subtract(b).withColumn("origin", F.lit("new")).unionByName(a.intersect(b).withColumn("origin", F.lit("both")))

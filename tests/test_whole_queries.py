@@ -23,6 +23,15 @@ WHOLE = {
     "r9_undecided_items": f"SELECT code, count(DISTINCT target) AS undecided FROM ({FINDINGS}) WHERE verdict <> 'pass' AND target NOT IN (SELECT agreement_id || '::' || key FROM facts WHERE document_id % 10 = 3 AND agreement_id <> '') GROUP BY code",
 }
 
+NEWEST = "SELECT f.* FROM facts f WHERE NOT EXISTS (SELECT 1 FROM facts g WHERE g.collection_id = f.collection_id AND (g.ingested_at, g.document_id) > (f.ingested_at, f.document_id))"
+WHOLE |= {
+    "s1_key_sets": f"""SELECT agreement_id, key, CASE WHEN (agreement_id, key) IN (SELECT (agreement_id, key) FROM facts WHERE fact_id NOT IN (SELECT fact_id FROM ({NEWEST}))) THEN 'both' ELSE 'new' END AS origin FROM (SELECT DISTINCT agreement_id, key FROM ({NEWEST}))""",
+    "j4_affected_keys": f"""SELECT agreement_id, key FROM ({NEWEST}) UNION SELECT r.agreement_id, r.key FROM facts r JOIN facts c ON c.collection_id = r.collection_id AND c.agreement_id = r.agreement_id AND c.key = r.key
+        WHERE c.document_id IN (SELECT supersedes_id FROM facts WHERE collection_id = 1)""",
+    "r6_deliverable_targets": f"""SELECT collection_id, agreement_id || '::' || key AS target, agreement_id || '::' || key || ' = {{"days":' || CAST(arg_min(value, ROW(ingested_at, document_id, line)) AS VARCHAR) || '}} (supported)' AS statement FROM facts f
+        WHERE (collection_id, key) IN (SELECT (collection_id, key) FROM ({NEWEST})) GROUP BY collection_id, agreement_id, key""",
+}
+
 
 @pytest.fixture(scope="module")
 def db(sf_dir):
@@ -37,3 +46,10 @@ def test_all_facts(spark, sf_dir, db, name):
     df = catalog.queries()[name](spark, sf_dir)
     want = db.sql(frames.sql(WHOLE[name], "collections", "facts", "rules")).to_df()[df.columns]
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, want.astype(object).to_numpy().tolist()), key=repr)
+
+
+def test_j4_takes_the_newest_document(spark, monkeypatch):
+    rows = [(51, 5, 1, "MSA-1", "notice_days", 2, None), (41, 4, 1, "MSA-1", "liability_cap", 1, None), (42, 1001, 1, "MSA-2", "liability_cap", 1, None)]
+    f = spark.createDataFrame(rows, "fact_id long, document_id long, collection_id long, agreement_id string, key string, ingested_at long, supersedes_id long")
+    monkeypatch.setattr(frames, "facts", lambda *_: f)
+    assert [tuple(r) for r in catalog.queries()["j4_affected_keys"](spark, "").collect()] == [("MSA-1", "notice_days")]
