@@ -242,7 +242,7 @@ def t21_r3_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """The excerpts each source rule would see of each document; the fold over a budget is no SQL."""
     b = frames.blocks(spark, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "text", F.contains("text", F.lit("Ignore previous")).alias("flagged")))).alias("blocks"))
     rows = b.join(F.broadcast(rules.for_stage(frames.rules(spark), "source")), F.lit(True))
-    e = rows.select("document_id", "code", F.explode_outer(rules.excerpts(F.col("rule_text"), F.col("blocks"), 3, 160)).alias("e")).where("e is not null")
+    e = rows.select("document_id", "code", F.explode_outer(rules.excerpts(F.col("rule_text"), F.col("blocks"))).alias("e")).where("e is not null")
     return e.select("document_id", "code", F.col("e.position").cast("long").alias("position"), F.col("e.block_index").alias("block_index"), F.length("e.text").cast("long").alias("n_chars"))
 
 

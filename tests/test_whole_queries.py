@@ -53,3 +53,9 @@ def test_j4_takes_the_newest_document(spark, monkeypatch):
     f = spark.createDataFrame(rows, "fact_id long, document_id long, collection_id long, agreement_id string, key string, ingested_at long, supersedes_id long")
     monkeypatch.setattr(frames, "facts", lambda *_: f)
     assert [tuple(r) for r in catalog.queries()["j4_affected_keys"](spark, "").collect()] == [("MSA-1", "notice_days")]
+
+
+def test_t21_shows_every_block_that_fits_the_reference_budget(spark, sf_dir):
+    shown = catalog.queries()["t21_r3_excerpts"](spark, sf_dir).groupBy("document_id", "code").count()
+    master = frames.documents(spark, sf_dir).where("doc_type = 'master_agreement'").select("document_id")
+    assert {r[0] for r in shown.join(master, "document_id").select("count").distinct().collect()} == {4}
