@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import groupby
 
 import pytest
 
@@ -119,6 +120,51 @@ def test_quotes(spark):
     assert quotes.link(spark.createDataFrame([], TALK)).count() == 0
 
 
+def linked_by_hand(rows):
+    """Every field of distinct (conv_id, turn) messages, by definition."""
+    def level(line):
+        return (m := re.match("[ \t]*((?:>[ \t]?)+)", line)) and m[1].count(">") or 0
+
+    def units(text):
+        parts = [text, *re.split("\n[ \t]*\n", text), *text.split("\n")]
+        return {" ".join(p.lower().split()) for p in parts} - {""}
+
+    said, out = {}, {}
+    for c, t, role, text in sorted(rows):
+        spans = [(k, "\n".join(re.sub("^[ \t]*(?:>[ \t]?)+", "", x) if k else x for x in lines)) for k, lines in groupby((text or "").split("\n"), level)]
+        votes, linked = Counter(), 0
+        for k, passage in spans:
+            found = [max(u for u in said if u[0] == c and h in said[u])[1] for h in units(passage) if any(u[0] == c and h in said[u] for u in said)] if k else []
+            votes.update((k, f) for f in found)
+            linked += bool(found)
+        body = "\n".join(p for k, p in spans if not k)
+        reply = min(votes, key=lambda v: (v[0], -votes[v], -v[1]))[1] if votes else None
+        said[c, t] = units(body)
+        out[c, t] = [role, reply, t if reply is None else out[c, reply][2], sum(k > 0 for k, _ in spans), linked, max(k for k, _ in spans), body]
+    for c in {c for c, _ in out}:
+        for n, (_, t) in enumerate(sorted((v[2], t) for (x, t), v in out.items() if x == c), 1):
+            out[c, t].append(n)
+    return out
+
+
+def test_quotes_by_hand(spark):
+    rng = random.Random(3)
+    rows = []
+    for c in range(12):
+        texts = []
+        for t in range(12):
+            lines = [rng.choice(["one", "Two  words", "three of them", "four", "", " five"]) for _ in range(rng.randrange(1, 4))]
+            if texts and rng.random() < 0.7:
+                lines = ["> " * rng.randrange(2) + ">" + x for x in rng.choice(texts).split("\n")[: rng.randrange(1, 4)]] + lines
+            texts.append("\n".join([*lines, f"line {rng.randrange(30)}"]))
+            rows.append((c, t * 3, rng.choice(["user", "assistant"]), texts[-1]))
+    want = linked_by_hand(rows)
+    out = quotes.link(spark.createDataFrame([(*r, "x", 1) for r in rows], TALK)).collect()
+    got = {(r.conv_id, r.turn): [r.role, r.reply_to, r.thread, r.n_quotes, r.n_linked, r.max_level, r.text, r.position] for r in out}
+    assert got == want and len(out) == len(rows)
+    assert sum(v[1] is not None for v in want.values()) > 60 and max(v[5] for v in want.values()) > 2
+
+
 def test_quotes_use_functions_only(spark):
     out = quotes.link(spark.createDataFrame([(1, 0, "u", "a", "", 1)], TALK))
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
