@@ -150,6 +150,12 @@ def t20_terms(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join(F.slice(F.array_sort("t"), 1, 5), ",").alias("first_terms"))
 
 
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}'), lambda x: NOT list_contains({T.STOP_WORDS!r}, x)))), ',') AS terms FROM documents""")
+def t20_all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's whole set, where t20_terms shows the first five."""
+    return frames.table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.terms(F.col("text"))), ",").alias("terms"))
+
+
 @query("""SELECT document_id, CASE WHEN t LIKE '%amendment no%' OR t LIKE '%amendment to%' THEN 'amendment' WHEN t LIKE '%master services agreement%' THEN 'master_agreement' WHEN t LIKE '%invoice%' THEN 'invoice'
     WHEN t LIKE '%statement of work%' THEN 'sow' WHEN t LIKE '%purchase order%' THEN 'purchase_order' WHEN t LIKE '%addendum%' THEN 'policy' ELSE 'unknown' END AS doc_type, doc_type AS said FROM (SELECT document_id, doc_type, lower(string_split(text, chr(10))[1]) AS t FROM docs)""", "docs")
 def t22_classify(spark: SparkSession, d: str) -> DataFrame:
