@@ -115,7 +115,8 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, a, b) for m, (a, b) in PRICES.items()], "model string, price_in double, price_out double")
+    rows = spark.createDataFrame([(m, a, b) for m, (a, b) in PRICES.items()], "model string, price_in double, price_out double")
+    return rows.select("model", *[F.col(c).cast("decimal(9,4)").alias(c) for c in ("price_in", "price_out")])
 
 
 def _case(column: str, values, base: str) -> str:
@@ -154,7 +155,7 @@ SQL: dict[str, str] = {
         CASE WHEN event_id % 13 = 0 THEN 'branch' WHEN event_id % 17 = 0 THEN 'failed' ELSE 'ok' END AS decision FROM events""",
     "ledger": "SELECT run_id, stage, tokens_in AS input, count(*) AS attempts FROM run_events WHERE stage <> 'signup' GROUP BY ALL",
     "rules": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}', '{s}', '{k}', {list(keys)!r}::VARCHAR[])" for c, t, s, k, keys in RULES) + ") AS r(code, rule_text, severity, scope, target_keys)",
-    "prices": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for m, (a, b) in PRICES.items()) + ") AS p(model, price_in, price_out)",
+    "prices": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', CAST({a} AS DECIMAL(9, 4)), CAST({b} AS DECIMAL(9, 4)))" for m, (a, b) in PRICES.items()) + ") AS p(model, price_in, price_out)",
 }
 
 _NEEDS = {"blocks": ("docs",), "ledger": ("run_events",)}

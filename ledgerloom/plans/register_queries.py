@@ -92,8 +92,12 @@ def _item():
     return F.concat(F.col("collection_id").cast("string"), F.lit("/"), F.col("agreement_id"), F.lit("::"), F.col("key"))
 
 
+# Facts of each collection's newest document.
+_NEWEST = "SELECT f.* FROM facts f JOIN (SELECT collection_id, max_by(document_id, ROW(ingested_at, document_id)) AS document_id FROM facts GROUP BY collection_id) USING (collection_id, document_id)"
+
+
 @query(f"""WITH c AS (SELECT {_ITEM} AS item_id, f.* FROM facts f), gone AS (SELECT DISTINCT supersedes_id AS document_id FROM facts WHERE supersedes_id IS NOT NULL AND collection_id = 1)
-    SELECT DISTINCT agreement_id, key FROM (SELECT agreement_id, key FROM c SEMI JOIN gone USING (document_id) UNION ALL SELECT agreement_id, key FROM c WHERE document_id % 1000 = 1)""".replace("WITH c AS", "SELECT * FROM (WITH c AS") + ")", "facts")
+    SELECT DISTINCT agreement_id, key FROM (SELECT agreement_id, key FROM c SEMI JOIN gone USING (document_id) UNION ALL SELECT agreement_id, key FROM ({_NEWEST}))""".replace("WITH c AS", "SELECT * FROM (WITH c AS") + ")", "facts")
 def j4_affected_keys(spark: SparkSession, d: str) -> DataFrame:
     f = frames.facts(spark, d)
     items = f.withColumn("item_id", _item())
@@ -109,7 +113,7 @@ def j5_a3_cited_register(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.size("fact_ids").cast("long").alias("n_facts"), F.size("fingerprints").cast("long").alias("n_fingerprints"), F.element_at("fact_ids", 1).alias("first_fact"))
 
 
-_FINDINGS = "SELECT code, severity, agreement_id || '::' || key AS target, collection_id, CASE WHEN value > 45 THEN 'violation' WHEN value % 10 = 0 THEN 'insufficient_evidence' ELSE 'pass' END AS verdict FROM facts JOIN rules ON len(target_keys) = 0 OR list_contains(target_keys, key) WHERE scope IN ('deliverable', 'both') AND document_id % 50 = 0"
+_FINDINGS = "SELECT code, severity, agreement_id || '::' || key AS target, collection_id, CASE WHEN value > 45 THEN 'violation' WHEN value % 10 = 0 THEN 'insufficient_evidence' ELSE 'pass' END AS verdict FROM facts JOIN rules ON len(target_keys) = 0 OR list_contains(target_keys, key) WHERE scope IN ('deliverable', 'both')"
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +275,8 @@ def a6_r7_worst_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return rules.worst(_findings(spark, d))
 
 
-@query(f"""SELECT count(*) AS completed, count(*) FILTER (WHERE verdict = 'pass') AS pass, count(*) FILTER (WHERE verdict = 'violation') AS violation, count(*) FILTER (WHERE verdict = 'insufficient_evidence') AS insufficient_evidence, CAST(100 AS BIGINT) AS expected, count(*) = 100 AS complete, false AS clean FROM ({_FINDINGS})""", "facts", "rules")
+@query(f"""SELECT count(*) AS completed, count(*) FILTER (WHERE verdict = 'pass') AS pass, count(*) FILTER (WHERE verdict = 'violation') AS violation, count(*) FILTER (WHERE verdict = 'insufficient_evidence') AS insufficient_evidence, any_value(due) AS expected, count(*) = any_value(due) AS complete,
+    count(*) = any_value(due) AND any_value(due) > 0 AND count(*) FILTER (WHERE verdict <> 'pass') = 0 AS clean FROM ({_FINDINGS}), (SELECT CAST(sum(n) AS BIGINT) AS due FROM (SELECT key, count(*) AS n FROM facts GROUP BY key) JOIN rules ON len(target_keys) = 0 OR list_contains(target_keys, key) WHERE scope <> 'source')""", "facts", "rules")
 def a4_a5_rules_summary(spark: SparkSession, d: str) -> DataFrame:
     # expected comes from how many facts have each key, not from what was judged
     n = frames.facts(spark, d).groupBy("key").agg(F.count("*").alias("n"))
@@ -285,24 +290,40 @@ def p9_r10_upheld_blockers(spark: SparkSession, d: str) -> DataFrame:
     return rules.blockers(f)
 
 
-@query("""SELECT e.event_id, round(CASE WHEN tokens_in = 0 AND tokens_out = 0 THEN 0 ELSE coalesce(tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out, 0) END, 9) AS spend, NOT (tokens_in = 0 AND tokens_out = 0) AND price_in IS NULL AS unpriced FROM run_events e LEFT JOIN prices USING (model)""", "run_events", "prices")
+# Millionths of a dollar, exactly: tokens times price in decimals, rounded once at the end.
+_MICROS = "CASE WHEN tokens_in = 0 AND tokens_out = 0 THEN 0 ELSE coalesce(CAST(tokens_in AS DECIMAL(15, 0)) * price_in + CAST(tokens_out AS DECIMAL(15, 0)) * price_out, 0) END"
+_UNPRICED = "NOT (tokens_in = 0 AND tokens_out = 0) AND price_in IS NULL"
+
+
+def _usd(micros: str, places: int) -> str:
+    return f"CAST(round(CAST({micros} AS DECIMAL(28, 4)) * CAST(0.000001 AS DECIMAL(7, 6)), {places}) AS DOUBLE)"
+
+
+@query(f"SELECT e.event_id, {_usd(_MICROS, 9)} AS spend, {_UNPRICED} AS unpriced FROM run_events e LEFT JOIN prices USING (model)", "run_events", "prices")
 def r11_event_cost(spark: SparkSession, d: str) -> DataFrame:
-    return cost.priced(frames.run_events(spark, d), frames.prices(spark)).select("event_id", F.round("spend", 9).alias("spend"), "unpriced")
+    return cost.priced(frames.run_events(spark, d), frames.prices(spark)).select("event_id", cost.usd(F.col("micros"), 9).alias("spend"), "unpriced")
 
 
-_STAGE_COST = """SELECT e.run_id, e.stage, count(*) AS attempt_count, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, round(sum(CASE WHEN tokens_in = 0 AND tokens_out = 0 THEN 0 ELSE coalesce(tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out, 0) END), 6) AS spend_usd,
-    bool_or(NOT (tokens_in = 0 AND tokens_out = 0) AND price_in IS NULL) AS unpriced_usage, string_agg(DISTINCT e.model, ',' ORDER BY e.model) AS models, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, count(*) FILTER (WHERE cache_hit) AS cache_hits, count(external_service) AS external_service_calls, any_value(replay_attempts) AS replay_attempts
+_STAGE_COST = f"""SELECT e.run_id, e.stage, count(*) AS attempt_count, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, {_usd(f"sum({_MICROS})", 6)} AS spend_usd,
+    bool_or({_UNPRICED}) AS unpriced_usage, string_agg(DISTINCT e.model, ',' ORDER BY e.model) AS models, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, count(*) FILTER (WHERE cache_hit) AS cache_hits, count(external_service) AS external_service_calls, any_value(replay_attempts) AS replay_attempts,
+    any_value(replay_attempts) IS NOT NULL AS ledger_backed
     FROM run_events e LEFT JOIN prices USING (model) LEFT JOIN (SELECT run_id, stage, CAST(sum(greatest(attempts - 1, 0)) AS BIGINT) AS replay_attempts FROM ledger GROUP BY ALL) l ON l.run_id = e.run_id AND l.stage = e.stage GROUP BY e.run_id, e.stage"""
 
 
 @query(_STAGE_COST, "run_events", "ledger", "prices")
 def a7_a9_stage_cost(spark: SparkSession, d: str) -> DataFrame:
     s = cost.by_stage(frames.run_events(spark, d), frames.ledger(spark, d), frames.prices(spark))
-    return s.select("run_id", "stage", "attempt_count", "duration_ms", F.round("spend", 6).alias("spend_usd"), "unpriced_usage", F.array_join("models", ",").alias("models"), "tokens_in", "tokens_out", "cache_hits", "external_service_calls", "replay_attempts")
+    return s.select("run_id", "stage", "attempt_count", "duration_ms", cost.usd(F.col("micros"), 6).alias("spend_usd"), "unpriced_usage", F.array_join("models", ",").alias("models"), "tokens_in", "tokens_out", "cache_hits", "external_service_calls", "replay_attempts", "ledger_backed")
+
+
+@query(f"SELECT run_id, stage, row_number() OVER (PARTITION BY run_id, stage ORDER BY ts, event_id) AS attempt, decision, duration_ms, model, tokens_in, tokens_out, {_usd(_MICROS, 6)} AS spend_usd, {_UNPRICED} AS unpriced, cache_hit, external_service FROM run_events LEFT JOIN prices USING (model)", "run_events", "prices")
+def a7_stage_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """The attempts of each stage in order, one row each: a stage may have more than a row could hold nested."""
+    return cost.attempts(frames.run_events(spark, d), frames.prices(spark))
 
 
-@query("""SELECT run_id, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, round(sum(CASE WHEN tokens_in = 0 AND tokens_out = 0 THEN 0 ELSE coalesce(tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out, 0) END), 6) AS spend_usd, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
-    bool_or(NOT (tokens_in = 0 AND tokens_out = 0) AND price_in IS NULL) AS has_unpriced_usage, count(*) AS attempts FROM run_events LEFT JOIN prices USING (model) GROUP BY run_id""", "run_events", "prices")
+@query(f"""SELECT run_id, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, {_usd(f"sum({_MICROS})", 6)} AS spend_usd, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
+    bool_or({_UNPRICED}) AS has_unpriced_usage, count(*) AS attempts, coalesce(string_agg(DISTINCT model, ',' ORDER BY model) FILTER (WHERE {_UNPRICED}), '') AS unpriced_models FROM run_events LEFT JOIN prices USING (model) GROUP BY run_id""", "run_events", "prices")
 def a8_run_cost(spark: SparkSession, d: str) -> DataFrame:
     return cost.totals(cost.by_stage(frames.run_events(spark, d), frames.ledger(spark, d), frames.prices(spark)))
 
@@ -531,7 +552,7 @@ def r5_w12_rule_cache(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("document_id", F.first("document_id").over(w).alias("reused_from"), (F.row_number().over(w) > 1).alias("hit"))
 
 
-@query(f"""SELECT collection_id, agreement_id || '::' || key AS target, agreement_id || '::' || key || ' = {{"days":' || CAST(value AS VARCHAR) || '}} (' || state || ')' AS statement FROM ({_REGISTER}) SEMI JOIN (SELECT DISTINCT collection_id AS c, key AS k FROM facts WHERE document_id % 100 = 1) n ON collection_id = n.c AND key = n.k""", "facts")
+@query(f"""SELECT collection_id, agreement_id || '::' || key AS target, agreement_id || '::' || key || ' = {{"days":' || CAST(value AS VARCHAR) || '}} (' || state || ')' AS statement FROM ({_REGISTER}) SEMI JOIN (SELECT DISTINCT collection_id AS c, key AS k FROM ({_NEWEST})) n ON collection_id = n.c AND key = n.k""", "facts")
 def r6_deliverable_targets(spark: SparkSession, d: str) -> DataFrame:
     touched = _newest(spark, d).select("collection_id", "key").distinct()
     value = F.to_json(F.struct(F.col("value").alias("days")))
@@ -579,7 +600,8 @@ def g19_latest_values(spark: SparkSession, d: str) -> DataFrame:
     return frames.documents(spark, d).groupBy("party_id").agg(F.max_by("doc_type", at).alias("doc_type"), F.max_by("document_id", F.when(F.col("doc_type") == "amendment", at)).alias("last_amendment"))
 
 
-@query("""SELECT agreement_id, key, 'new' AS origin FROM (SELECT agreement_id, key FROM facts WHERE document_id % 500 = 1 EXCEPT SELECT agreement_id, key FROM facts WHERE document_id % 500 = 2) UNION ALL SELECT agreement_id, key, 'both' FROM (SELECT agreement_id, key FROM facts WHERE document_id % 500 = 1 INTERSECT SELECT agreement_id, key FROM facts WHERE document_id % 500 = 2)""", "facts")
+@query(f"""SELECT * FROM (WITH a AS (SELECT agreement_id, key FROM ({_NEWEST})), b AS (SELECT agreement_id, key FROM facts ANTI JOIN (SELECT DISTINCT collection_id, document_id FROM ({_NEWEST})) n USING (collection_id, document_id))
+    SELECT agreement_id, key, 'new' AS origin FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT agreement_id, key, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b))""", "facts")
 def s1_key_sets(spark: SparkSession, d: str) -> DataFrame:
     """Keys of the newest documents against those of all documents before them."""
     a, b = (_newest(spark, d, how).select("agreement_id", "key") for how in ("left_semi", "left_anti"))
