@@ -1,18 +1,18 @@
-"""Exact substring dedup by merged Burrows-Wheeler transforms.
+"""Exact substring dedup by merging the Burrows-Wheeler transforms of shards.
 
 1. Each text is cut into runs of windows of LEAST bytes that have the same least k-mer hash (minimiser). Equal
    windows have equal minimisers, so only runs whose minimiser is also in another document can repeat.
-2. The strings of those runs meet in the bucket of their minimiser, each different string once with the least
-   doc_id that has it. Strings whose minimiser has other strings too are divided into shards; each shard gets
-   its BWT, and the BWTs are merged by refining their interleave: each round moves the order of all suffixes
-   from prefixes of h symbols to h + 1 by one stable distribution, without comparing suffixes. Where blocks of
-   equal prefixes split gives the common prefixes; the blocks left after LEAST rounds are the repeated windows.
-3. Each block's least doc_id decides for every occurrence which bytes go.
+2. Documents are dealt into groups. A group's different strings of one bucket of minimisers are a shard: its
+   suffixes are sorted once, where its texts are, and only its transform and the least doc_id of each string travel.
+3. Where a bucket's shards meet, their transforms alone are merged. A transform says what stands before each of its
+   suffixes and where that longer suffix lies, so an interleave of all shards by h symbols becomes one by h + 2 by
+   a stable distribution on the two symbols before; suffixes are not sorted again. Neighbours that a round leaves in one
+   block have a common prefix of h + 2; the intervals that are left at LEAST symbols are the repeated windows.
+4. An interval's least doc_id goes back to the shards, whose documents lose what a smaller one has.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +25,51 @@ from ledgerloom.llm.common import as_texts, mixed, slices
 
 #: Bytes of a repeated string, and of the k-mers that minimisers are the least of.
 LEAST, KMER = 50, 20
-#: Text bytes for each bucket of minimisers and for each group of documents: this bounds what a task holds.
-BUCKET_BYTES = 16_000_000
-#: Bytes of strings whose transforms are merged at a time.
-PART_BYTES = 1_000_000
-SHARDS = 2
-
-_BATCH, _CHUNK = 2_000_000, 250_000
+#: Windows of a run at most; a longer one of a text that repeats itself is several.
+LONGEST = 256
+#: Text bytes for each group of documents and each bucket of minimisers: this bounds what a task holds.
+GROUP_BYTES = 16_000_000
+#: Parts of a bucket, merged one by one.
+PARTS = 16
+#: Minimisers with more bytes of strings than this are split: their windows are dealt one by one, by their own hash.
+HOT_BYTES = 4_000_000
+
+_CHUNK, _SORTED = 250_000, 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = []
+
+
+def _power_tables() -> list[np.ndarray]:
+    """Powers of the base of string hashes, and of its inverse."""
+    if not _powers:
+        n = _CHUNK + LEAST
+        for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            _powers.append(np.cumprod(table))
+    return _powers
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser hash, text index, first window and count of windows of each run of equal minimisers."""
-    parts = []
-    for s in slices([len(t) for t in texts], _CHUNK):  # arrays that fit the processor's cache
-        h, doc, at, count = _runs(texts[s])
-        parts.append((h, doc + s.start, at, count))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _runs([])
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Minimiser hash, text index, first window, count of windows and string hash of each run of equal minimisers.
+
+    Texts longer than a chunk are cut into overlapping pieces, so arrays stay small whatever a text's length.
+    """
+    pieces = [(k, a) for k, t in enumerate(texts) for a in range(0, len(t) - LEAST + 1, _CHUNK)]
+    parts = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))]
+    for s in slices([min(len(texts[k]) - a, _CHUNK + LEAST - 1) for k, a in pieces], _CHUNK):
+        own = pieces[s]
+        h, piece, at, count, string = _runs([texts[k][a : a + _CHUNK + LEAST - 1] for k, a in own])
+        k, a = np.array(own, np.int64).T
+        parts.append((h, k[piece], at + a[piece], count, string))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+def _runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    if size.sum() < LEAST:
-        return none
     start = np.cumsum(size) - size
-    h = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
-    n, top = 1, 1 << 64
+    code = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    n, top, h = 1, 1 << 64, code
     grown: list[tuple[np.ndarray, int]] = [(h, 1)]
     while 2 * n <= KMER:  # polynomials over windows of n bytes: n doubles, then what is missing is added
         h = h[:-n] * np.uint64(pow(int(_ODD), n, top)) + h[n:]
@@ -70,166 +88,133 @@ def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         n += step
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
     at = np.flatnonzero(owner[: least.size] == owner[LEAST - 1 :])
-    if not at.size:
-        return none
     least = least[at]
-    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(at) != 1)]))
+    new = np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(at) != 1)])
+    first = np.flatnonzero(new)
     count = np.diff(np.append(first, at.size))
-    doc = owner[at[first]].astype(np.int64)
-    return least[first], doc, at[first] - start[doc], count
-
-
-def _ranks(key: np.ndarray) -> np.ndarray:
-    """Dense ranks of key from 1 on."""
-    order = np.argsort(key)
-    key = key[order]
-    out = np.empty(key.size, np.int64)
-    out[order] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]))
-    return out
-
-
-def _order(*ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in stable order of one or two rank arrays, and whether each differs from the one before."""
-    n = ranks[0].size
-    key = ranks[0] if len(ranks) == 1 else ranks[0] << 21 | ranks[1]
-    if n < 1 << 21:
-        both = np.sort(key << 21 | np.arange(n))
-        order, key = both & ((1 << 21) - 1), both >> 21
-    else:
-        key = key if len(ranks) == 1 else _ranks(ranks[0]) << 31 | ranks[1]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-    return order, np.concatenate([[True], key[1:] != key[:-1]])[:n]
-
+    if count.max() > LONGEST:
+        new[(np.arange(at.size) - np.repeat(first, count)) % LONGEST == 0] = True
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, at.size))
+    power, inverse = _power_tables()
+    total = np.concatenate([[np.uint64(0)], np.cumsum(code * power[: code.size])])
+    a = at[first]
+    string = mixed((total[a + count + LEAST - 1] - total[a]) * inverse[a])
+    return least[first], owner[a].astype(np.int64), a - start[owner[a]], count, string
 
-def grams(codes: np.ndarray, left: np.ndarray, q: int) -> np.ndarray:
-    """Dense ranks of the q symbols (8 at most) from each position on, cut after its string's terminator (0)."""
-    n, key = codes.size, np.zeros(codes.size, np.uint64)
-    for k in range(q):
-        key[: n - k] = key[: n - k] << np.uint64(8) | np.where(left[: n - k] >= k, codes[k:], 0).astype(np.uint64)
-        key[n - k :] <<= np.uint64(8)
-    return _ranks(key)
 
+def _window_hashes(data: bytes) -> np.ndarray:
+    power, inverse = _power_tables()
+    total = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
+    return mixed((total[LEAST:] - total[:-LEAST]) * inverse[: len(data) - LEAST + 1])
 
-def shard_order(rank: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes of a shard sorted by their first LEAST symbols, by doubling from the ranks of 8."""
-    length = 8
-    while True:
-        step = min(length, LEAST - length)
-        ahead = np.zeros(rank.size, np.int64)
-        ahead[: rank.size - step] = np.where(left[: rank.size - step] >= step, rank[step:], 0)
-        order, new = _order(rank, ahead)
-        length += step
-        if length >= LEAST:
-            return order
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(new)
 
+def transform(strings: list[bytes], piece: np.ndarray) -> np.ndarray:
+    """The transform of the strings of each piece, pieces (ascending) one after the other.
 
-class Shard:
-    """A shard's suffixes in order, as its transform: what stands before each suffix, q symbols at a time."""
-
-    def __init__(self, order: np.ndarray):
-        self.order = order
-
-    def before(self, rank: np.ndarray, offset: np.ndarray, q: int) -> np.ndarray:
-        """Ranks of the q symbols before each suffix; 0 where its string has fewer."""
-        return np.where(offset[self.order] >= q, rank[self.order - q], 0)
-
-    def short(self, rank: np.ndarray, left: np.ndarray, q: int) -> np.ndarray:
-        """Ranks of the suffixes of less than q symbols, which stand before none."""
-        return rank[self.order[left[self.order] < q]]
-
-
-def interleaved(shards: list[Shard], codes: np.ndarray, rank8: np.ndarray, left: np.ndarray, offset: np.ndarray, q: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each suffix in merged order, and which of them begins a block of equal first LEAST symbols.
-
-    A round takes the order by h symbols to that by h + q: what stands before the suffixes, in their order,
-    is dealt out stably by its rank; only which shard each place belongs to is kept.
+    Symbols are bytes plus one; 0 ends a string, and ends of equal suffixes stand in the order of their strings.
+    Suffixes are sorted by eight symbols, then by doubling among those that are still equal.
     """
-    numbers = np.arange(len(shards), dtype=np.uint8)
-    z = np.repeat(numbers, [s.order.size for s in shards])
-    n = z.size
-    block, new = np.zeros(n, np.int64), np.zeros(n, bool)
-    done, now = 0, 0
-    while done < LEAST:
-        step = LEAST % q if done == 0 and LEAST % q else q
-        if step != now:
-            rank, now = rank8 if step == 8 else grams(codes, left, step), step
-            moved = [s.before(rank, offset, step) for s in shards]
-            short = [s.short(rank, left, step) for s in shards]
-            short_z = np.repeat(numbers, [x.size for x in short])
-            short = np.concatenate(short)
-        before = np.empty(n, np.int64)
-        for k, m in enumerate(moved):
-            before[z == k] = m
-        some = before > 0
-        came = np.concatenate([np.zeros(short.size, np.int64), block[some]])
-        order, new = _order(np.concatenate([short, before[some]]))
-        came = came[order]
-        new[1:] |= came[1:] != came[:-1]
-        z = np.concatenate([short_z, z[some]])[order]
-        block = np.cumsum(new)
-        done += step
-    return z, new
-
-
-def least_of_windows(strings: list[bytes], docs: np.ndarray, shards: int = SHARDS) -> list[np.ndarray]:
-    """For each window of LEAST bytes of each string, the least of the docs of all strings that have it."""
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    start = np.cumsum(size + 1) - size - 1
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    at = np.arange(text.size)
-    left, offset = np.repeat(start + size, size + 1) - at, at - np.repeat(start, size + 1)
-    used = np.flatnonzero(np.bincount(text, minlength=256))
-    if used.size > 255:
-        raise ValueError("UTF-8 text has fewer than 255 different bytes")
-    table = np.zeros(256, np.uint8)
-    table[used] = np.arange(1, used.size + 1)
-    codes = table[text]
-    codes[start + size] = 0
-    rank = grams(codes, left, 8)
-    cut = np.append(start, text.size)[np.linspace(0, len(strings), min(shards, len(strings)) + 1).astype(int)]
-    parts = [Shard(a + shard_order(rank[a:b], left[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    z, new = interleaved(parts, codes, rank, left, offset)
-    merged = np.empty(text.size, np.int64)
-    for k, part in enumerate(parts):
-        merged[z == k] = part.order
-    value = np.repeat(docs, size + 1)[merged]
-    first = np.flatnonzero(new)
-    out = np.empty(text.size, np.int64)
-    out[merged] = np.repeat(np.minimum.reduceat(value, first), np.diff(np.append(first, text.size)))
-    return [out[a : a + n - LEAST + 1] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-
-
-def least_by_rounds(strings: list[bytes], docs: np.ndarray, windows: int | None = None) -> list[np.ndarray]:
-    """The same for strings beyond one merge: equal windows meet in one of several rounds, by hash, and are compared byte by byte."""
-    count = np.fromiter(map(len, strings), np.int64, len(strings)) - LEAST + 1
-    end = np.cumsum(count)
-    n = int(end[-1])
-    rounds = -(-n // (windows or PART_BYTES))
-    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(strings), np.uint8), LEAST)
-    owner = np.repeat(np.arange(len(strings), dtype=np.int32), count)
-    weight = np.cumprod(np.full(LEAST, _ODD))
-    turn = np.empty(n, np.uint32)
-
-    def bytes_of(w: np.ndarray) -> np.ndarray:
-        return view[w + owner[w].astype(np.int64) * (LEAST - 1)]
-
-    for a in range(0, n, 50_000):
-        w = np.arange(a, min(a + 50_000, n))
-        turn[w] = mixed(bytes_of(w).astype(np.uint64) @ weight) % np.uint64(rounds)
-    out = np.empty(n, np.int64)
-    for r in range(rounds):
-        w = np.flatnonzero(turn == r)
-        if not w.size:
-            continue
-        rows = bytes_of(w).view(f"S{LEAST}").ravel()
-        order = np.argsort(rows)
-        rows, w = rows[order], w[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        out[w] = np.repeat(np.minimum.reduceat(docs[owner[w]], first), np.diff(np.append(first, w.size)))
-    return [out[b - k : b] for b, k in zip(end.tolist(), count.tolist(), strict=True)]
+    size = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
+    codes = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)  # no UTF-8 text has 0xff
+    n = codes.size
+    at = np.arange(n)
+    left = np.repeat(np.cumsum(size) - 1, size) - at
+    key, width = codes.astype(np.uint64), 1
+    while width < 8:  # nothing follows an end
+        ahead = np.zeros(n, np.uint64)
+        ahead[:-width] = key[width:]
+        ahead[left < width] = 0
+        key = key << np.uint64(8 * width) | ahead
+        width *= 2
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    length = width
+    still = order[~(new & np.append(new[1:], True))]
+    still = still[left[still] >= length]
+    while still.size:
+        key = rank[still] << 32 | rank[still + length]
+        order = np.argsort(key)
+        still, key = still[order], key[order]
+        place = np.arange(still.size)
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        block = np.concatenate([[True], key[1:] >> 32 != key[:-1] >> 32])
+        rank[still] = (key >> 32) + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(block, place, 0))
+        length *= 2
+        still = still[~(new & np.append(new[1:], True))]
+        still = still[left[still] >= length]
+    if n < 1 << 24 and piece[-1] - piece[0] < 1 << 15:
+        order = np.sort(np.repeat(piece - piece[0], size) << 48 | rank << 24 | at) & ((1 << 24) - 1)
+    else:
+        order = np.lexsort((at, rank, np.repeat(piece, size)))
+    return codes[order - 1]
+
+
+class Shards:
+    """The transforms of several shards: what stands before each suffix, and where the suffix one longer lies."""
+
+    def __init__(self, transforms: list[np.ndarray]):
+        size = [t.size for t in transforms]
+        self.before = np.concatenate(transforms)
+        n = self.before.size
+        shard = np.repeat(np.arange(len(size), dtype=np.uint16 if len(size) < 1 << 16 else np.int64), size)
+        by = np.argsort(self.before, kind="stable")
+        by = by[np.argsort(shard[by], kind="stable")]
+        self.longer = np.empty(n, np.int32)
+        self.longer[by] = np.arange(n, dtype=np.int32)
+        # each string is walked from its end, which stand first in their shard
+        ends = np.bincount(shard[self.before == 0], minlength=len(size))
+        start = np.cumsum(size) - size
+        now = np.repeat(start - (np.cumsum(ends) - ends), ends) + np.arange(ends.sum())
+        self.n_strings, who = ends, np.arange(now.size, dtype=np.int32)
+        self.string, self.left, self.length = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(now.size, np.int64)
+        step = 0
+        while now.size:
+            self.string[now], self.left[now] = who, step
+            more = self.before[now] > 0
+            self.length[who[~more]] = step
+            now, who = self.longer[now[more]], who[more]
+            step += 1
+
+    def windows(self, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """(places, begins): where windows of `least` (an even number) symbols begin, in the merged order of all shards,
+        and whether each is the first of an interval whose windows have all of them in common.
+
+        A round's blocks are the suffixes with h symbols in common; the next round's are derived from these and the
+        two symbols before. Only suffixes that lead to a window are carried: those `least` - h symbols behind its start.
+        """
+        place = np.flatnonzero(self.left <= self.length[self.string] - least).astype(np.int32)
+        begins = np.ones(place.size, bool)
+        pair = self.before[self.longer].astype(np.uint16) << np.uint16(8) | self.before
+        twice = self.longer[self.longer]
+        block = np.zeros(place.size, np.int32)
+        for _ in range(0, least, 2):
+            key = pair[place]
+            order = np.argsort(key, kind="stable")
+            key, place, block = key[order], twice[place[order]], block[order]
+            begins[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+            block = np.cumsum(begins, dtype=np.int32)
+        return place, begins
+
+
+def least_of_windows(transforms: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
+    """For each shard, the least of the docs of all strings of all shards that have a window: its windows string by string."""
+    shards = Shards(transforms)
+    own = np.concatenate(docs)
+    count = np.maximum(shards.length - LEAST + 1, 0)
+    begin = np.cumsum(count) - count
+    place, begins = shards.windows()
+    string = shards.string[place]
+    out = np.empty(place.size, np.int64)
+    if place.size:
+        first = np.flatnonzero(begins)
+        least = np.minimum.reduceat(own[string], first)
+        out[begin[string] + shards.length[string] - shards.left[place]] = np.repeat(least, np.diff(np.append(first, place.size)))
+    per_shard = np.add.reduceat(np.append(count, 0), np.minimum(np.cumsum(shards.n_strings) - shards.n_strings, count.size)) if len(docs) else []
+    return np.split(out, np.cumsum(per_shard)[:-1])
 
 
 def _pack(data: bytes, level: int = 3) -> bytes:
@@ -250,173 +235,223 @@ def _array(x: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpack(bytes(x)), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _minimisers(buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, texts = batch["doc_id"].to_numpy(), as_texts(batch["text"])
-            for s in slices([len(t) for t in texts], _BATCH):
-                h, doc, at, count = runs([t.encode("utf-8", "surrogatepass") for t in texts[s]])
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, doc, at, count, bucket = (h // np.uint64(buckets))[order], doc[order], at[order], count[order], bucket[order]
-                edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), bucket.size)
-                own = ids[s]
-                yield pd.DataFrame([(int(bucket[a]), h[a:b].astype("<u4").tobytes(), _bytes(own[doc[a:b]], "<i8"), _bytes(at[a:b], "<u4"), _bytes(count[a:b], "<u4")) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], columns=["bucket", "h", "doc", "at", "n"])
+def _starts(*sorted_arrays: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    new = np.zeros(sorted_arrays[0].size, bool)
+    new[:1] = True
+    for x in sorted_arrays:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _cuts(start: np.ndarray, size: int) -> list[tuple[int, int]]:
+    return list(zip(start.tolist(), [*start[1:].tolist(), size], strict=True)) if start.size else []
+
+
+class _Group:
+    """The rows of one group in an order that does not depend on how they came, and their runs by minimiser and string.
+
+    Rows are told apart by their place in it, never by their id, which may repeat.
+    """
+
+    def __init__(self, docs: pd.DataFrame, buckets: int):
+        ids, hashes, z = docs["id"].tolist(), docs["th"].tolist(), docs["z"].tolist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, int(ids[i] or 0), hashes[i]))
+        self.ids = [ids[i] for i in order]
+        self.texts = [_unpack(bytes(z[i])) for i in order]
+        named = sum(i is not None for i in self.ids)
+        self.own = np.array([int(i) for i in self.ids[:named]], np.int64)
+        h, doc, at, count, string = runs(self.texts[:named])
+        key = ((h % np.uint64(buckets)) << np.uint64(32) | (h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.lexsort((string, key))
+        self.doc, self.at, self.count, self.key = doc[order], at[order], count[order], key[order]
+        string = string[order]
+        #: First run of each minimiser and of each different string; runs stay in the order of doc_id within a string.
+        self.minimisers, self.strings = _starts(self.key), _starts(self.key, string)
+        self.string = np.repeat(np.arange(self.strings.size), np.diff(np.append(self.strings, key.size)))
+        #: By minimiser: what bucket it belongs to, and its share of each.
+        self.bucket = self.key[self.minimisers] >> 32
+        self.shares = _cuts(_starts(self.bucket), self.bucket.size)
+
+    def offered(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bucket the minimisers, whether two ids or more have each here, and the bytes of its strings."""
+        if not self.key.size:
+            return
+        own = self.own[self.doc]
+        shared = np.minimum.reduceat(own, self.minimisers) < np.maximum.reduceat(own, self.minimisers)
+        size = self.count[self.strings] + LEAST
+        size = np.minimum(np.add.reduceat(size, np.searchsorted(self.strings, self.minimisers)), 0xFFFF)
+        for a, b in self.shares:
+            yield int(self.bucket[a]), self.key[self.minimisers[a:b]] & 0xFFFFFFFF, shared[a:b], size[a:b]
+
+    def items(self, codes: dict[int, np.ndarray], buckets: int) -> None:
+        """Fixes what this group sends to buckets: the strings of shared minimisers, those of hot ones window by window."""
+        code = np.concatenate([codes[int(self.bucket[a])] for a, _ in self.shares]) if self.shares else np.zeros(0, np.uint8)
+        code = code[np.searchsorted(self.minimisers, self.strings, "right") - 1]
+        doc, at, size = self.doc[self.strings], self.at[self.strings], self.count[self.strings] + LEAST - 1
+        whole, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+        self.whole, self.hot = whole, hot
+        bucket, low = self.key[self.strings[whole]] >> 32, self.key[self.strings[whole]] & 0xFFFFFFFF
+        self.item_bucket, self.item_part = bucket, low % PARTS
+        self.item_doc, self.item_at, self.item_size = doc[whole], at[whole], size[whole]
+        self.item_least = self.own[doc[whole]]
+        self.window_item = np.zeros(0, np.int64)
+        if hot.size:
+            h = np.concatenate([_window_hashes(self.texts[d][a : a + n]) for d, a, n in zip(doc[hot].tolist(), at[hot].tolist(), size[hot].tolist(), strict=True)])
+            count = size[hot] - LEAST + 1
+            d, a = np.repeat(doc[hot], count), np.repeat(at[hot] - (np.cumsum(count) - count), count) + np.arange(h.size)
+            order = np.lexsort((self.own[d], h))
+            first = _starts(h[order])
+            self.window_item = np.empty(h.size, np.int64)
+            self.window_item[order] = np.repeat(np.arange(first.size), np.diff(np.append(first, h.size)))
+            h, d, a = h[order[first]], d[order[first]], a[order[first]]
+            own = [(h % np.uint64(buckets)).astype(np.int64), (h // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64), d, a, np.full(h.size, LEAST), self.own[d]]
+            for name, x in zip(("bucket", "part", "doc", "at", "size", "least"), own, strict=True):
+                setattr(self, f"item_{name}", np.concatenate([getattr(self, f"item_{name}"), x]))
+        self.order = np.lexsort((np.arange(self.item_bucket.size), self.item_part, self.item_bucket))
+
+    def sent(self) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+        """For each bucket the transforms of this shard's parts, their sizes and the least doc_id of each string."""
+        o = self.order
+        bucket, part, size = self.item_bucket[o], self.item_part[o], self.item_size[o] + 1
+        pieces = _starts(bucket, part)
+        symbols = np.add.reduceat(size, pieces) if pieces.size else np.zeros(0, np.int64)
+        ends = np.append(pieces[1:], o.size)
+        made = []
+        for s in slices(symbols.tolist(), _SORTED):
+            a, b = int(pieces[s.start]), int(ends[s.stop - 1])
+            texts = [self.texts[d][x : x + n] for d, x, n in zip(self.item_doc[o[a:b]].tolist(), self.item_at[o[a:b]].tolist(), self.item_size[o[a:b]].tolist(), strict=True)]
+            out = transform(texts, np.repeat(np.arange(s.start, s.stop), ends[s] - pieces[s]))
+            made += np.split(out, np.cumsum(symbols[s])[:-1])
+        for a, b in _cuts(_starts(bucket[pieces]), pieces.size):
+            sizes = np.zeros(PARTS, np.int64)
+            sizes[part[pieces[a:b]]] = symbols[a:b]
+            yield int(bucket[pieces[a]]), b"".join(x.tobytes() for x in made[a:b]), sizes, self.item_least[o[pieces[a] : ends[b - 1]]]
+
+    def spans(self, told: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, end) of what goes, given for each bucket the least doc_id of each window sent to it."""
+        o = self.order
+        none = (np.zeros(0, np.int64),) * 3
+        if not o.size:
+            return none
+        sent = np.concatenate([told[k] for k in np.unique(self.item_bucket).tolist()])
+        count = self.item_size - LEAST + 1
+        begin = np.empty(o.size, np.int64)
+        begin[o] = np.cumsum(count[o]) - count[o]
+        # windows of each string that is asked for, in one array: those of whole strings, then those of hot ones
+        n_whole = self.whole.size
+        at = np.repeat(begin[:n_whole] - (np.cumsum(count[:n_whole]) - count[:n_whole]), count[:n_whole]) + np.arange(count[:n_whole].sum())
+        windows = np.concatenate([sent[at], sent[begin[n_whole:]][self.window_item]])
+        kept = np.concatenate([self.whole, self.hot])
+        size = self.count[self.strings[kept]]
+        first = np.cumsum(size) - size
+        low, high = np.minimum.reduceat(windows, first), np.maximum.reduceat(windows, first)
+        index = np.full(self.strings.size, -1)
+        index[kept] = np.arange(kept.size)
+        k = index[self.string]
+        own = self.own[self.doc]
+        all_of = (k >= 0) & (own > high[k])
+        row, start, end = [self.doc[all_of]], [self.at[all_of]], [self.at[all_of] + self.count[all_of] + LEAST - 1]
+        some = np.flatnonzero((k >= 0) & ~all_of & (own > low[k]))
+        for s in slices(self.count[some].tolist(), 4_000_000):
+            r = some[s]
+            n = self.count[r]
+            which = np.repeat(np.arange(r.size), n)
+            within = np.arange(which.size) - np.repeat(np.cumsum(n) - n, n)
+            gone = windows[first[k[r]][which] + within] < own[r][which]
+            edge = np.flatnonzero(gone & ((within == 0) | ~np.append(False, gone[:-1])))
+            last = np.flatnonzero(gone & ((within == n[which] - 1) | ~np.append(gone[1:], False)))
+            row.append(self.doc[r][which[edge]])
+            start.append(self.at[r][which[edge]] + within[edge])
+            end.append(self.at[r][which[last]] + within[last] + LEAST)
+        return tuple(np.concatenate(x) for x in (row, start, end))
+
+
+def _offers(buckets: int):
+    def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+        rows = [(b, int(key[0]), _bytes(h, "<u4"), _bytes(shared, "u1"), _bytes(size, "<u2")) for b, h, shared, size in _Group(docs, buckets).offered()]
+        return pd.DataFrame(rows, columns=["bucket", "g", "h", "shared", "size"])
 
     return run
 
 
-def _group(doc: np.ndarray, groups: int) -> np.ndarray:
-    """The group of documents an id belongs to."""
-    return (mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+def _judged(hot: int):
+    """Which of the minimisers a group offered are in two documents or more (1), and which of these are hot (2).
 
+    A bucket holds each group's different minimisers once, so one that is in all documents is as many entries as
+    there are groups.
+    """
 
-def _shared(groups: int):
-    """The runs whose minimiser is in two documents or more, packed by group of documents; a bucket's rows come together."""
+    def finish(rows: list[tuple]) -> pd.DataFrame:
+        h, shared, size = (np.concatenate([_array(r[k], kind) for r in rows]) for k, kind in ((2, "<u4"), (3, "u1"), (4, "<u2")))
+        order = np.argsort(h, kind="stable")
+        first = _starts(h[order])
+        count = np.diff(np.append(first, h.size))
+        many = (count > 1) | (np.maximum.reduceat(shared[order], first) > 0)
+        code = np.empty(h.size, np.uint8)
+        code[order] = np.repeat(np.where(many, np.where(np.add.reduceat(size[order].astype(np.int64), first) > hot, 2, 1), 0), count)
+        end = np.cumsum([_array(r[3], "u1").size for r in rows])
+        return pd.DataFrame([(r[1], r[0], _bytes(c, "u1")) for r, c in zip(rows, np.split(code, end[:-1]), strict=True)], columns=["g", "bucket", "code"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, found, size = None, [], [], 0
-
-        def finish() -> None:
-            nonlocal held, size
-            h = np.concatenate([np.frombuffer(bytes(x[0]), "<u4") for x in held])
-            doc, at, n = (np.concatenate([_array(x[k], kind) for x in held]) for k, kind in ((1, "<i8"), (2, "<u4"), (3, "<u4")))
-            order = np.argsort(h, kind="stable")
-            h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-            count = np.diff(np.append(first, h.size))
-            keep = np.flatnonzero(np.repeat(many, count))
-            found.append((doc[keep], at[order][keep], n[order][keep], np.repeat(np.cumsum(many), count)[keep] | (now << 32)))
-            held, size = [], size + keep.size
-
-        def flush() -> pd.DataFrame:
-            nonlocal found, size
-            doc, at, n, mini = (np.concatenate([x[k] for x in found]) for k in range(4))
-            found, size = [], 0
-            group = _group(doc, groups)
-            order = np.lexsort((at, doc, group))
-            doc, at, n, mini, group = doc[order], at[order], n[order], mini[order], group[order]
-            edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), group.size)
-            return pd.DataFrame([(int(group[a]), _bytes(doc[a:b], "<i8"), _bytes(at[a:b], "<u4"), _bytes(n[a:b], "<u4"), _bytes(mini[a:b], "<i8")) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], columns=["g", "doc", "at", "n", "mini"])
-
+        held: list[tuple] = []
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                if row[0] != now and held:
-                    finish()
-                    if size > 1_000_000:
-                        yield flush()
-                now = row[0]
-                held.append(row[1:])
+                if held and row[0] != held[0][0]:
+                    yield finish(held)
+                    held = []
+                held.append(row)
         if held:
-            finish()
-        if size:
-            yield flush()
+            yield finish(held)
 
     return run
 
 
-_STRINGS = "bucket int, kind int, blob long, a binary, b binary, c binary, d binary"
-
-
-def _strings(key, docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """For each bucket the different strings of a group of documents (kind 0) and where they occur (kind 1)."""
-    columns = ["bucket", "kind", "blob", "a", "b", "c", "d"]
-    if not len(asked) or not len(docs):
-        return pd.DataFrame([], columns=columns)
-    texts = {int(i): z for i, z in zip(docs["id"].tolist(), docs["z"].tolist(), strict=True) if i is not None}
-    doc, at, n, mini = (np.concatenate([_array(x, kind) for x in asked[c].tolist()]) for c, kind in (("doc", "<i8"), ("at", "<u4"), ("n", "<u4"), ("mini", "<i8")))
-    order = np.lexsort((at, doc))
-    found: dict[int, tuple[dict, list, list, list, list]] = {}
-    last, data = None, b""
-    for i, a, size, m in zip(doc[order].tolist(), at[order].tolist(), n[order].tolist(), mini[order].tolist(), strict=True):
-        if i != last:
-            last, data = i, _unpack(bytes(texts[i]))
-        own = found.get(m >> 32)
-        if own is None:
-            own = found[m >> 32] = ({}, [], [], [], [])
-        seen, least = own[0], own[1]
-        string = (m & 0xFFFFFFFF, data[a : a + size + LEAST - 1])
-        k = seen.get(string)
-        if k is None:
-            k = seen[string] = len(seen)
-            least.append(i)
-        own[2].append(k)
-        own[3].append(i)
-        own[4].append(a)
-    rows, blob = [], int(key[0])
-    for bucket, (seen, least, s, i, a) in found.items():
-        group = np.fromiter((k[0] for k in seen), np.int64, len(seen))
-        text = [k[1] for k in seen]
-        rows.append((bucket, 0, blob, _pack(b"".join(text), 6), _bytes(np.fromiter(map(len, text), np.int64, len(text)), "<u4"), _bytes(group, "<u4"), _bytes(np.array(least), "<i8")))
-        rows.append((bucket, 1, blob, _bytes(np.array(s), "<u4"), _bytes(np.array(i), "<i8"), _bytes(np.array(a), "<u4"), None))
-    return pd.DataFrame(rows, columns=columns)
-
-
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What goes, packed by group of documents. A bucket's strings come before the places of its runs, which stream by."""
-    now, judged = None, False
-    seen: dict[tuple[int, bytes], int] = {}
-    least: list[int] = []
-    places: dict[int, np.ndarray] = {}
-    windows: list[np.ndarray] = []
-    low = high = size = np.zeros(0, np.int64)
-
-    def judge():
-        nonlocal windows, low, high, size
-        by: dict[int, list[int]] = {}
-        for (group, _), k in seen.items():
-            by.setdefault(group, []).append(k)
-        text = [s for _, s in seen]
-        windows = [np.full(len(s) - LEAST + 1, d, np.int64) for s, d in zip(text, least, strict=True)]
-        many = [ks for ks in by.values() if len(ks) > 1]
-        sizes = [sum(len(text[k]) for k in ks) for ks in many]
-        # strings of one minimiser stay together: a part is several of these groups, or one that is beyond a merge
-        for s in slices(sizes, PART_BYTES):
-            part = [k for ks in many[s] for k in ks]
-            find = least_of_windows if sum(sizes[s]) <= PART_BYTES else least_by_rounds
-            for k, w in zip(part, find([text[k] for k in part], np.array([least[k] for k in part])), strict=True):
-                windows[k] = np.minimum(windows[k], w)
-        low = np.fromiter((w.min() for w in windows), np.int64, len(windows))
-        high = np.fromiter((w.max() for w in windows), np.int64, len(windows))
-        size = np.fromiter(map(len, windows), np.int64, len(windows))
-        seen.clear()
+def _codes(judged: pd.DataFrame) -> dict[int, np.ndarray]:
+    return {int(b): _array(c, "u1") for b, c in zip(judged["bucket"].tolist(), judged["code"].tolist(), strict=True)}
+
+
+def _shards(buckets: int):
+    def run(key: tuple, docs: pd.DataFrame, judged: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(docs):
+            group = _Group(docs, buckets)
+            group.items(_codes(judged), buckets)
+            rows = [(b, int(key[0]), _pack(t), _bytes(n, "<u4"), _bytes(least, "<i8")) for b, t, n, least in group.sent()]
+        return pd.DataFrame(rows, columns=["bucket", "g", "transforms", "sizes", "docs"])
 
+    return run
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each shard of a bucket, the least doc_id of each of its windows, as runs of equal values."""
+
+    def finish(rows: list[tuple]) -> pd.DataFrame:
+        sizes = [_array(r[3], "<u4").astype(np.int64) for r in rows]
+        shards = [np.split(np.frombuffer(_unpack(bytes(r[2])), np.uint8), np.cumsum(n)[:-1]) for r, n in zip(rows, sizes, strict=True)]
+        docs = [np.split(_array(r[4], "<i8"), np.cumsum([np.count_nonzero(t == 0) for t in ts])[:-1]) for r, ts in zip(rows, shards, strict=True)]
+        out: list[list[np.ndarray]] = [[] for _ in rows]
+        for part in range(PARTS):
+            some = [k for k, n in enumerate(sizes) if n[part]]
+            if some:
+                for k, least in zip(some, least_of_windows([shards[k][part] for k in some], [docs[k][part] for k in some]), strict=True):
+                    out[k].append(least)
+        told = []
+        for r, parts in zip(rows, out, strict=True):
+            least = np.concatenate(parts)
+            first = _starts(least)
+            told.append((r[1], r[0], _bytes(least[first], "<i8"), _bytes(np.diff(np.append(first, least.size)), "<u4")))
+        return pd.DataFrame(told, columns=["g", "bucket", "least", "n"])
+
+    held: list[tuple] = []
     for batch in batches:
-        for bucket, kind, blob, a, b, c, d in batch.itertuples(index=False, name=None):
-            if bucket != now:
-                now, judged, seen, least, places = bucket, False, {}, [], {}
-            if kind == 0:
-                joined, lens, group, docs = _unpack(bytes(a)), _array(b, "<u4"), _array(c, "<u4"), _array(d, "<i8")
-                end = np.cumsum(lens.astype(np.int64))
-                where = np.empty(lens.size, np.int64)
-                for i, (e, n, g, doc) in enumerate(zip(end.tolist(), lens.tolist(), group.tolist(), docs.tolist(), strict=True)):
-                    key = (g, joined[e - n : e])
-                    k = seen.setdefault(key, len(seen))
-                    if k == len(least):
-                        least.append(doc)
-                    elif doc < least[k]:
-                        least[k] = doc
-                    where[i] = k
-                places[blob] = where
-                continue
-            if not judged:
-                judge()
-                judged = True
-            k, doc, at = places[blob][_array(a, "<u4")], _array(b, "<i8"), _array(c, "<u4").astype(np.int64)
-            whole = doc > high[k]
-            ids, starts, ends = [doc[whole]], [at[whole]], [at[whole] + size[k[whole]] + LEAST - 1]
-            for i in np.flatnonzero(~whole & (doc > low[k])).tolist():
-                gone = np.concatenate([[0], (windows[k[i]] < doc[i]).view(np.int8), [0]])
-                edge = np.diff(gone)
-                s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                ids.append(np.full(s.size, doc[i]))
-                starts.append(at[i] + s)
-                ends.append(at[i] + e + LEAST - 1)
-            ids, starts, ends = np.concatenate(ids), np.concatenate(starts), np.concatenate(ends)
-            if ids.size:
-                order = np.lexsort((starts, ids))
-                yield pd.DataFrame([(int(blob), _bytes(ids[order], "<i8"), _bytes(starts[order], "<u4"), _bytes((ends - starts)[order], "<u4"))], columns=["g", "doc", "at", "n"])
+        for row in batch.itertuples(index=False, name=None):
+            if held and row[0] != held[0][0]:
+                yield finish(held)
+                held = []
+            held.append(row)
+    if held:
+        yield finish(held)
 
 
 def removed(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -431,62 +466,58 @@ def removed(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int
     return kept, len(data) - len(kept), len(a)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def _cut(buckets: int):
+    def run(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        columns = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
+        if not len(docs):
+            return pd.DataFrame([], columns=columns)
+        group = _Group(docs, buckets)
+        judged = told[told["code"].notna()]
+        told = told[told["code"].isna()]
+        group.items(_codes(judged), buckets)
+        row, start, end = group.spans({int(b): np.repeat(_array(v, "<i8"), _array(n, "<u4")) for b, v, n in zip(told["bucket"].tolist(), told["least"].tolist(), told["n"].tolist(), strict=True)})
+        order = np.argsort(row, kind="stable")
+        row, start, end = row[order], start[order], end[order]
+        edge = np.searchsorted(row, np.arange(len(group.ids) + 1))
+        rows = []
+        for i, (doc, data, a, b) in enumerate(zip(group.ids, group.texts, edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            kept, size, k = removed(data, start[a:b], end[a:b])
+            group.texts[i] = b""
+            rows.append((doc, len(data), size, k, kept))
+        return pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, hot: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every document.
 
     A byte goes if a string of LEAST bytes that covers it also starts in a document with a smaller doc_id.
     Null texts are empty. Rows without an id lose nothing and take nothing from others; rows that repeat an
-    id are not smaller than one another, and what one of them loses all of them are asked for at the same
-    places, so ids must name one text. No rows give no rows.
+    id, whatever their texts, are not smaller than one another and are each judged alone. No rows give no rows.
 
-    Texts are dealt out once, compressed, by group of documents; the step that reads the strings and the one
-    that removes bytes share that exchange. Everything else travels packed.
+    Texts are dealt out once, compressed, by group of documents; all three steps that read them share that
+    exchange. What travels between groups and buckets is packed: minimisers, transforms, least doc_ids. In a group,
+    strings are one if minimiser and string hash (96 bits) agree. Tasks hold one group or one bucket: about
+    group_bytes of text, and for each minimiser at most one entry of each group. Their number is the square of what
+    group_bytes divides the text into, so very large inputs want larger groups (100 TB: about 256 MB).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, min(1 << 20, -(-total // BUCKET_BYTES)))
-    named = docs.where("doc_id is not null and text is not null")
-    minimal = named.mapInPandas(_minimisers(buckets), "bucket int, h binary, doc binary, at binary, n binary")
-    asked = minimal.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_shared(buckets), "g int, doc binary, at binary, n binary, mini binary")
+    buckets = max(8, -(-total // group_bytes))
+    # equal rows of one partition meet, those of several need not
+    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(buckets)).cast("int")
 
-    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, spread = batch["id"].tolist(), batch["spread"].to_numpy()
-            group = np.fromiter((_group(np.array([int(i)]), buckets)[0] if i is not None else k % buckets for i, k in zip(ids, spread.tolist(), strict=True)), np.int32, len(ids))
-            yield pd.DataFrame({"g": group, "id": ids, "z": [_pack(t.encode("utf-8", "surrogatepass")) for t in as_texts(batch["text"])]})
-
-    dealt = docs.select(F.col("doc_id").cast("string").alias("id"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("spread"), "text").mapInPandas(grouped, "g int, id string, z binary")
-    strings = dealt.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(_strings, _STRINGS)
-    spans = strings.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInPandas(_spans, "g int, doc binary, at binary, n binary")
-
-    def cut(key, texts: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-        none = np.zeros(0, np.int64)
-        doc, at, n = (np.concatenate([none, *(_array(x, kind).astype(np.int64) for x in gone[c].tolist())]) for c, kind in (("doc", "<i8"), ("at", "<u4"), ("n", "<u4")))
-        order = np.argsort(doc, kind="stable")
-        doc, at, n = doc[order], at[order], n[order]
-        rows = []
-        for i, z in zip(texts["id"].tolist(), texts["z"].tolist(), strict=True):
-            data = _unpack(bytes(z))
-            a, b = (0, 0) if i is None else (np.searchsorted(doc, int(i), "left"), np.searchsorted(doc, int(i), "right"))
-            kept, size, k = removed(data, at[a:b], at[a:b] + n[a:b])
-            rows.append((i, len(data), size, k, kept))
-        return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    out = dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInPandas(cut, "id string, n_bytes long, n_removed long, n_spans long, kept binary")
+            yield pd.DataFrame({"g": batch["g"], "id": batch["id"], "th": batch["th"], "z": [_pack(t.encode("utf-8", "surrogatepass")) for t in as_texts(batch["text"])]})
+
+    dealt = docs.select(group.alias("g"), F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("th"), "text").mapInPandas(packed, "g int, id string, th long, z binary")
+    offers = dealt.groupBy("g").applyInPandas(_offers(buckets), "bucket int, g int, h binary, shared binary, size binary")
+    judged = offers.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_judged(hot), "g int, bucket int, code binary")
+    shards = dealt.groupBy("g").cogroup(judged.groupBy("g")).applyInPandas(_shards(buckets), "bucket int, g int, transforms binary, sizes binary, docs binary")
+    least = shards.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_merged, "g int, bucket int, least binary, n binary")
+    none = F.lit(None).cast("binary")
+    told = least.withColumn("code", none).unionByName(judged.select("g", "bucket", none.alias("least"), none.alias("n"), "code"))
+    out = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(_cut(buckets), "id string, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.col("id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
-
-
-def brute(docs: list[tuple[int, bytes]]) -> dict[int, tuple[int, int, str]]:
-    """The same by definition, for tests: doc_id to n_removed, n_spans and the digest of what is left."""
-    out, first = {}, {}
-    for doc, data in sorted(docs):
-        for i in range(len(data) - LEAST + 1):
-            first.setdefault(data[i : i + LEAST], doc)
-    for doc, data in docs:
-        gone = bytearray(len(data))
-        for i in range(len(data) - LEAST + 1):
-            if first[data[i : i + LEAST]] < doc:
-                gone[i : i + LEAST] = b"\1" * LEAST
-        kept = bytes(x for x, g in zip(data, gone, strict=True) if not g)
-        out[doc] = sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()
-    return out

@@ -118,66 +118,105 @@ def test_line_runs_are_disjoint_and_compacted(spark):
     assert [(r.max_doc) for r in runs.frequent(4).collect()] == [3]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_windows_by_merged_transforms(seed):
-    rng = random.Random(seed)
-    base = bytes(rng.choice(b"ab \xc3") for _ in range(300 + 500 * seed))
-    strings = list(dict.fromkeys(base[a : a + 50 + rng.randrange(40)] for a in (rng.randrange(len(base) - 100) for _ in range(50))))
-    strings.append(b"z" * 400)
-    docs = np.array([rng.randrange(99) for _ in strings])
+def substrings_by_hand(docs):
+    """By definition: a row for each (doc_id, bytes), whatever ids repeat."""
+    first, out = {}, []
+    for doc, data in sorted(docs):
+        for i in range(len(data) - 49):
+            first.setdefault(data[i : i + 50], doc)
+    for doc, data in docs:
+        gone, upto = bytearray(len(data)), 0
+        for i in range(len(data) - 49):
+            if first[data[i : i + 50]] < doc:
+                gone[max(i, upto) : i + 50] = b"\1" * (i + 50 - max(i, upto))
+                upto = i + 50
+        kept = bytes(x for x, g in zip(data, gone, strict=True) if not g)
+        out.append((doc, len(data), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+def least_by_hand(strings, docs):
     least = {}
     for s, d in zip(strings, docs, strict=True):
         for i in range(len(s) - 49):
             least[s[i : i + 50]] = min(least.get(s[i : i + 50], 999), d)
-    for shards in (1, 2, 5):
-        got = suffixdedup.least_of_windows(strings, docs, shards)
-        assert all(list(g) == [least[s[i : i + 50]] for i in range(len(s) - 49)] for s, g in zip(strings, got, strict=True))
+    return least
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_windows_by_rounds(seed):
+def test_windows_by_merged_transforms(seed):
     rng = random.Random(seed)
-    base = bytes(rng.choice(b"ab \0") for _ in range(300 + 500 * seed))
-    strings = [base[a : a + 50 + rng.randrange(40)] for a in (rng.randrange(len(base) - 100) for _ in range(50))] + [b"z" * 400]
+    base = bytes(rng.choice(b"ab \xc3") for _ in range(300 + 500 * seed))
+    strings = [base[a : a + 50 + rng.randrange(40)] for a in (rng.randrange(len(base) - 100) for _ in range(90))] + [b"z" * 300, b"abcab" * 50, b"z" * 200, b"short"]
     docs = np.array([rng.randrange(99) for _ in strings])
-    least = {}
-    for s, d in zip(strings, docs, strict=True):
-        for i in range(len(s) - 49):
-            least[s[i : i + 50]] = min(least.get(s[i : i + 50], 999), d)
-    for windows in (100, 10**6):
-        got = suffixdedup.least_by_rounds(strings, docs, windows)
-        assert all(list(g) == [least[s[i : i + 50]] for i in range(len(s) - 49)] for s, g in zip(strings, got, strict=True))
-
-
-@pytest.mark.parametrize("sizes", [[4] * 3000, [5, 13_000, 5]])
-def test_spans_of_more_strings_than_one_merge(sizes):
-    """Groups of one minimiser that meet the end of a part, and a group that is larger than a part."""
-    rng = random.Random(len(sizes))
-    strings = [(g, rng.randbytes(15).hex().encode() + passage + rng.randbytes(15).hex().encode()) for g, n in enumerate(sizes) for passage in [rng.randbytes(25).hex().encode()] for _ in range(n)]
-    docs = np.arange(len(strings), 0, -1)  # the least document of a group comes last
-    pack, text = suffixdedup._bytes, [s for _, s in strings]
-    rows = [(0, 0, 7, suffixdedup._pack(b"".join(text)), pack(np.array([len(s) for s in text]), "<u4"), pack(np.array([g for g, _ in strings]), "<u4"), pack(docs, "<i8"))]
-    rows.append((0, 1, 7, pack(np.arange(len(text)), "<u4"), pack(docs, "<i8"), pack(np.zeros(len(text)), "<u4"), None))
-    out = [x for batch in suffixdedup._spans(iter([pd.DataFrame(rows, columns=["bucket", "kind", "blob", "a", "b", "c", "d"])])) for x in batch.itertuples(index=False)]
-    got = sorted(zip(*(np.concatenate([suffixdedup._array(r[k], kind) for r in out]).tolist() for k, kind in ((1, "<i8"), (2, "<u4"), (3, "<u4"))), strict=True))
-    brute = suffixdedup.brute(list(zip(docs.tolist(), text, strict=True)))
-    assert Counter(d for d, _, n in got for _ in range(n)) == Counter({d: n for d, (n, _, _) in brute.items() if n})
-    assert len(got) == len(strings) - len(sizes)
+    least = least_by_hand(strings, docs)
+    for n in (1, 2, 7):
+        shard = np.sort(np.array([rng.randrange(n) for _ in strings]))
+        symbols = [sum(len(s) + 1 for s, k in zip(strings, shard, strict=True) if k == j) for j in range(n)]
+        made = np.split(suffixdedup.transform(strings, shard), np.cumsum(symbols)[:-1])
+        got = suffixdedup.least_of_windows(made, [docs[shard == j] for j in range(n)])
+        assert [g.tolist() for g in got] == [[least[s[i : i + 50]] for s, k in zip(strings, shard, strict=True) if k == j for i in range(len(s) - 49)] for j in range(n)]
+
+
+def test_merged_transforms_keep_the_order_of_prefixes():
+    strings = sorted({prose(k, 12).encode() + prose(k % 3, 12).encode() for k in range(12)})
+    made = [suffixdedup.transform(strings[k::2], np.zeros(len(strings[k::2]), int)) for k in range(2)]
+    shards = suffixdedup.Shards(made)
+    place, begins = shards.windows()
+    parted = [*strings[0::2], *strings[1::2]]
+    windows = [parted[s][n - k : n - k + 50] for s, n, k in zip(shards.string[place].tolist(), shards.length[shards.string[place]].tolist(), shards.left[place].tolist(), strict=True)]
+    assert windows == sorted(windows) and begins.tolist() == [True] + [a != b for a, b in zip(windows, windows[1:])]
+
+
+def test_transform_of_one_string():
+    text = b"mississippi"
+    suffixes = sorted(text[i:] + b"\0" for i in range(len(text) + 1))
+    want = [(b"\0" + text)[len(text) + 1 - len(s)] for s in suffixes]
+    assert [max(x - 1, 0) for x in suffixdedup.transform([text], np.zeros(1, int)).tolist()] == want
+
+
+def digests(rows):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows if r.doc_id is not None)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substring_dedup_of_repeated_ids(spark, turned, parts):
+    passage = prose(70, 20)
+    rows = [(1, passage), (2, "other words " + passage), (2, "short"), (2, passage[5:] + " end"), (3, passage), (3, passage), (3, None)]
+    rows = rows[::-1] if turned else rows
+    docs = spark.createDataFrame([*rows, (None, passage), (None, None)], "doc_id long, text string").repartition(parts)
+    out = suffixdedup.dedup(docs).collect()
+    assert digests(out) == substrings_by_hand([(i, (t or "").encode()) for i, t in rows])
+    assert sorted(r.n_bytes for r in out if r.doc_id is None and not r.n_removed) == [0, len(passage)]
+
+
+@pytest.mark.parametrize("hot", [4_000_000, 2_000, 100])
+def test_substring_dedup_splits_hot_minimisers(spark, hot):
+    """Strings that differ around one passage: beyond a size their windows are dealt one by one."""
+    rng = random.Random(3)
+    passage = prose(70, 6)[:40]
+    rows = [(300 - k, prose(k, 4) + passage + prose(k % 7 + 500, 4)) for k in range(120)] + [(400 + k, "ab" * rng.randrange(500)) for k in range(12)]
+    assert digests(suffixdedup.dedup(frame(spark, [(i, t, "s") for i, t in rows]), hot=hot).collect()) == substrings_by_hand([(i, t.encode()) for i, t in rows])
+
+
+def test_substring_dedup_of_a_text_of_megabytes(spark):
+    long = prose(5, 180_000)
+    assert len(long) > 4 * suffixdedup._CHUNK
+    rows = [(9, long), (4, long[300_000:700_000]), (12, long[249_900:250_300]), (3, "x" * 600_000), (20, "x" * 500_000)]
+    assert digests(suffixdedup.dedup(frame(spark, [(i, t, "s") for i, t in rows])).collect()) == substrings_by_hand([(i, t.encode()) for i, t in rows])
 
 
 def test_substring_dedup(spark, odd, sf_dir):
     rng = random.Random(7)
     passage = prose(70, 60)
-    rows = [(i, t) for i, t, _ in odd[0] if i not in (7, None, 13)]
+    rows = [(i, t) for i, t, _ in odd[0] if i is not None]
     rows += [(100 + k, prose(k, 30) + passage[rng.randrange(90) : rng.randrange(150, 380)] + "ü" * rng.randrange(60) + prose(k + 1, 5)) for k in range(40)]
-    real = [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    rows += real
-    want = suffixdedup.brute([(i, (t or "").encode()) for i, t in rows])
-    docs = frame(spark, [(i, t, "s") for i, t in rows] + [(None, passage, "s")])
-    out = {r.doc_id: r for r in suffixdedup.dedup(docs).collect()}
-    assert len(out) == len(rows) + 1 and out[None].n_removed == 0
-    got = {i: (r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in out.items() if i is not None}
-    assert got == want and sum(w[0] > 0 for w in want.values()) > 50
+    rows += [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = substrings_by_hand([(i, (t or "").encode()) for i, t in rows])
+    out = suffixdedup.dedup(frame(spark, [(i, t, "s") for i, t in rows] + [(None, passage, "s")])).collect()
+    assert len(out) == len(rows) + 1 and [r.n_removed for r in out if r.doc_id is None] == [0]
+    assert digests(out) == want and sum(n for w, n in want.items() if w[2]) > 50
 
 
 def fingerprint_by_hand(text):
