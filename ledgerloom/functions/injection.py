@@ -10,19 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.functions.text import strip
+
 # Characters without a rendering, markup that a page hides, and the named imperatives.
 INVISIBLE = "[\\u00AD\\u180E\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2064\\u206A-\\u206F\\uFEFF]"
 TAG_CHARACTERS = "[\\x{E0000}-\\x{E007F}]"
-HIDDEN_MARKUP = r"""(?is)<!--.*?-->|<[^>]*\b(?:alt|title|aria-label|data-[\w-]+)\s*=\s*["'][^"']*["'][^>]*>"""
-HIDDEN_MARKDOWN = r"""!\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\([^)\s]*\s+"[^"]*"\)"""
+HIDDEN_MARKUP = r"""(?isU)<!--.*?-->|<[^>]*\b(?:alt|title|aria-label|data-[\w-]+)\s*=\s*["'][^"']*["'][^>]*>"""
+HIDDEN_MARKDOWN = r"""(?U)!\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\([^)\s]*\s+"[^"]*"\)"""
 IMPERATIVES = {
-    "override_instructions": r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|earlier|above|preceding|system)\s+(?:instruction|instructions|prompt|prompts|rules?|context)\b",
-    "role_impersonation": r"(?i)(?:^|\n)\s*(?:system|assistant|agent|developer)\s*:",
-    "approval_demand": r"(?i)\b(?:approve|accept|sign\s+off\s+on|auto[- ]?approve|commit)\s+(?:this|the|all|every)\b",
-    "concealment": r"(?i)\b(?:do\s+not|don't|never)\s+(?:tell|show|report|mention|flag|escalate)\b",
-    "secret_exfiltration": r"(?i)\b(?:reveal|print|output|repeat|send|leak)\s+(?:the\s+|your\s+)?(?:system\s+prompt|api[\s_-]?key|secret|credential|token|password)\b",
-    "tool_invocation": r"(?i)\b(?:call|invoke|execute|run)\s+(?:the\s+)?(?:tool|function|command|sql|query|shell)\b",
-    "instruction_to_agent": r"(?i)\b(?:you\s+(?:must|should|shall|will)|your\s+task\s+is|new\s+instructions?)\b",
+    "override_instructions": r"(?iU)\b(?:ignore|disregard|forget|override)\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|earlier|above|preceding|system)\s+(?:instruction|instructions|prompt|prompts|rules?|context)\b",
+    "role_impersonation": r"(?iU)(?:^|\n)\s*(?:system|assistant|agent|developer)\s*:",
+    "approval_demand": r"(?iU)\b(?:approve|accept|sign\s+off\s+on|auto[- ]?approve|commit)\s+(?:this|the|all|every)\b",
+    "concealment": r"(?iU)\b(?:do\s+not|don't|never)\s+(?:tell|show|report|mention|flag|escalate)\b",
+    "secret_exfiltration": r"(?iU)\b(?:reveal|print|output|repeat|send|leak)\s+(?:the\s+|your\s+)?(?:system\s+prompt|api[\s_-]?key|secret|credential|token|password)\b",
+    "tool_invocation": r"(?iU)\b(?:call|invoke|execute|run)\s+(?:the\s+)?(?:tool|function|command|sql|query|shell)\b",
+    "instruction_to_agent": r"(?iU)\b(?:you\s+(?:must|should|shall|will)|your\s+task\s+is|new\s+instructions?)\b",
 }
 
 
@@ -40,7 +42,7 @@ def _unwrapped(text: Column, pattern: str, marks: str) -> Column:
 
 
 def _grouped(pattern: str) -> str:
-    return f"(?is)({pattern[5:]})" if pattern.startswith("(?is)") else f"({pattern})"
+    return f"(?isU)({pattern[6:]})" if pattern.startswith("(?isU)") else f"({pattern})"
 
 
 def normalise(text: Column) -> Column:
@@ -53,7 +55,7 @@ def scan_of(cleaned: Column, text: Column, method: Column | str = "txt") -> Colu
     """struct<suspicious, signals, quotes> given a text and its normalised form."""
     method = method if isinstance(method, Column) else F.lit(method)
     signals = F.array_compact(F.array(*[F.when(cleaned.rlike(p), F.lit(name)) for name, p in IMPERATIVES.items()]))
-    quotes = F.filter(F.array(*[F.trim(F.regexp_extract(cleaned, p, 0)) for p in IMPERATIVES.values()]), lambda q: q != "")
+    quotes = F.filter(F.array(*[strip(F.regexp_extract(cleaned, p, 0)) for p in IMPERATIVES.values()]), lambda q: q != "")
     hidden = F.array_compact(F.array(F.when(text.rlike(INVISIBLE) | text.rlike(TAG_CHARACTERS), F.lit("invisible_characters")), F.when(text.rlike(HIDDEN_MARKUP) | text.rlike(HIDDEN_MARKDOWN), F.lit("hidden_markup")), F.when((F.size(signals) > 0) & (method != "txt"), F.concat(F.lit("read_by_"), method))))
     return F.struct((F.size(signals) > 0).alias("suspicious"), F.concat(signals, hidden).alias("signals"), quotes.alias("quotes"))
 

@@ -39,8 +39,13 @@ TITLE_LINES, UNKNOWN_CONFIDENCE = 12, 0.45
 #: How an agreement is named: a label, then the identifier (a fixed value).
 AGREEMENT_REF = r"(?iU)\b(?:master\s+services\s+agreement|agreement|contract|msa|sow)\s*(?:no\b\.?|nos\b\.?|number\b|#|ref\b\.?|reference\b)\s*[:.]?\s*([A-Za-z0-9][A-Za-z0-9./_-]{2,})"
 #: Where a sentence ends: after a stop that is no abbreviation's, before a new one; or a line break (fixed values).
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[\"“(A-Z0-9])"
-RELATION_SENTENCE_BREAK = r"(?<!(?i:\bno\.))(?<!(?i:\bnos\.))(?<!(?i:\binc\.))(?<!(?i:\bltd\.))(?<!(?i:\bco\.))(?<!(?i:\bsec\.))(?<=[.!?])\s+(?=[\"“(A-Z])|\n+"
+SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[\"“(A-Z0-9])"
+RELATION_SENTENCE_BREAK = r"(?U)(?<!(?i:\bno\.))(?<!(?i:\bnos\.))(?<!(?i:\binc\.))(?<!(?i:\bltd\.))(?<!(?i:\bco\.))(?<!(?i:\bsec\.))(?<=[.!?])\s+(?=[\"“(A-Z])|\n+"
+
+
+def strip(text: Column) -> Column:
+    """White space of any kind goes at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -87,7 +92,7 @@ def agreement_ref(text: Column) -> Column:
 
 
 def sentences(text: Column, pattern: str = RELATION_SENTENCE_BREAK) -> Column:
-    return F.filter(F.transform(F.split(text, pattern), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, pattern), strip), lambda s: s != "")
 
 
 def terms(text: Column) -> Column:
