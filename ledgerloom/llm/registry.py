@@ -61,14 +61,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+_UNITS = r"list_distinct(list_filter(list_transform(list_concat([{0}], string_split_regex({0}, '\n[ \t]*\n'), string_split({0}, chr(10))), lambda p: trim(regexp_replace(lower(p), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda p: p <> ''))"
+_QUOTES = rf"""WITH RECURSIVE msg AS MATERIALIZED (SELECT row_number() OVER () AS m, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+    cut AS (SELECT m, conv_id, turn, n, list_extract(l, n) AS line, length(regexp_replace(regexp_extract(list_extract(l, n), '{_MARKS}', 1), '[^>]', '', 'g')) AS level
+        FROM (SELECT *, unnest(range(1, len(l) + 1)) AS n FROM (SELECT m, conv_id, turn, string_split(text, chr(10)) AS l FROM msg))),
+    ln AS (SELECT * FROM (SELECT *, level = 0 AND regexp_matches(line, '{quotes.ATTRIBUTION}') AND coalesce(lead(level) OVER (PARTITION BY m ORDER BY n), 0) > 0 AS introduces FROM cut) WHERE NOT introduces),
+    run AS (SELECT *, sum(change) OVER (PARTITION BY m ORDER BY n) AS run FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY m ORDER BY n) THEN 0 ELSE 1 END AS change FROM ln)),
+    span AS (SELECT m, conv_id, turn, run, level, string_agg(CASE WHEN level > 0 THEN regexp_replace(line, '{_MARKS}', '') ELSE line END, chr(10) ORDER BY n) AS text FROM run GROUP BY ALL),
+    body AS (SELECT m, conv_id, turn, string_agg(text, chr(10) ORDER BY run) AS body FROM span WHERE level = 0 GROUP BY ALL),
+    said AS (SELECT DISTINCT conv_id, turn, unnest({_UNITS.format("body")}) AS h FROM body),
+    quo AS (SELECT m, conv_id, turn, run, level, unnest({_UNITS.format("text")}) AS h FROM span WHERE level > 0),
+    hit AS (SELECT q.m, q.run, q.level, q.h, max(s.turn) AS found FROM quo q JOIN said s ON s.conv_id = q.conv_id AND s.h = q.h AND s.turn < q.turn GROUP BY ALL),
+    vote AS (SELECT m, level, found, count(*) AS n FROM hit GROUP BY ALL),
+    reply AS (SELECT m, arg_min(found, ROW(level, -n, -found)) AS reply_to FROM vote GROUP BY m),
+    linked AS (SELECT m, count(DISTINCT run) AS n_linked FROM hit GROUP BY m),
+    up AS (SELECT conv_id, turn, min(reply_to) AS parent FROM msg JOIN reply USING (m) GROUP BY ALL),
+    tree AS (SELECT DISTINCT conv_id, turn, turn AS root, [turn] AS path FROM msg ANTI JOIN up USING (conv_id, turn) WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+        UNION ALL SELECT u.conv_id, u.turn, t.root, list_append(t.path, u.turn) FROM tree t JOIN up u ON u.conv_id = t.conv_id AND u.parent = t.turn),
+    counted AS (SELECT m, count(*) FILTER (WHERE level > 0) AS n_quotes, max(level) AS max_level FROM span GROUP BY m)
+    SELECT conv_id, turn, role, reply_to, thread, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, path NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, md5(text)) AS position, n_quotes, n_linked, max_level, body AS text FROM
+        (SELECT msg.conv_id, msg.turn, role, msg.text, reply_to, coalesce(root, msg.turn) AS thread, path, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level, coalesce(body, '') AS body
+         FROM msg LEFT JOIN counted USING (m) LEFT JOIN (SELECT m, body FROM body) USING (m) LEFT JOIN reply USING (m) LEFT JOIN linked USING (m) LEFT JOIN tree ON tree.conv_id = msg.conv_id AND tree.turn = msg.turn)"""
+
 ORACLES: dict[str, str] = {
-    # No message of these tables quotes: what is left to check is that texts, counts and positions are whole.
-    "op2_quotation_linking": """
-        WITH q AS (SELECT *, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^[ \\t]*>'))) AS quoted FROM conversations)
-        SELECT conv_id, turn, role, CAST(NULL AS BIGINT) AS reply_to, turn AS thread,
-               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS position,
-               CAST(quoted AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS max_level, coalesce(text, '') AS text
-        FROM q""",
+    "op2_quotation_linking": _QUOTES,
     "op3_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, n, list_extract(l, n) AS line,

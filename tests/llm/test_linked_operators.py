@@ -4,9 +4,10 @@ import re
 from collections import Counter
 from itertools import groupby
 
+import duckdb
 import pytest
 
-from ledgerloom.llm import common, decontam, quotes, warc
+from ledgerloom.llm import common, decontam, quotes, registry, warc
 
 PAGE = "page_id long, url string, html string, digest string, value string"
 
@@ -131,7 +132,9 @@ def linked_by_hand(rows):
 
     said, out = {}, {}
     for c, t, role, text in sorted(rows):
-        spans = [(k, "\n".join(re.sub("^[ \t]*(?:>[ \t]?)+", "", x) if k else x for x in lines)) for k, lines in groupby((text or "").split("\n"), level)]
+        lines = (text or "").split("\n")
+        lines = [x for x, y in zip(lines, [*lines[1:], ""], strict=True) if not (level(y) and not level(x) and re.fullmatch("[ \t]*[Oo][Nn][ \t].*[ \t][Ww][Rr][Oo][Tt][Ee]:[ \t]*", x))]
+        spans = [(k, "\n".join(re.sub("^[ \t]*(?:>[ \t]?)+", "", x) if k else x for x in part)) for k, part in groupby(lines, level)]
         votes, linked = Counter(), 0
         for k, passage in spans:
             found = [max(u for u in said if u[0] == c and h in said[u])[1] for h in units(passage) if any(u[0] == c and h in said[u] for u in said)] if k else []
@@ -140,31 +143,68 @@ def linked_by_hand(rows):
         body = "\n".join(p for k, p in spans if not k)
         reply = min(votes, key=lambda v: (v[0], -votes[v], -v[1]))[1] if votes else None
         said[c, t] = units(body)
-        out[c, t] = [role, reply, t if reply is None else out[c, reply][2], sum(k > 0 for k, _ in spans), linked, max(k for k, _ in spans), body]
+        out[c, t] = [role, reply, t if reply is None else out[c, reply][2], sum(k > 0 for k, _ in spans), linked, max([k for k, _ in spans], default=0), body]
+
+    def path(c, t):
+        return (path(c, out[c, t][1]) if out[c, t][1] is not None else ()) + (t,)
+
     for c in {c for c, _ in out}:
-        for n, (_, t) in enumerate(sorted((v[2], t) for (x, t), v in out.items() if x == c), 1):
+        for n, t in enumerate(sorted((t for x, t in out if x == c), key=lambda t: path(c, t)), 1):
             out[c, t].append(n)
     return out
 
 
-def test_quotes_by_hand(spark):
-    rng = random.Random(3)
+def talk(seed):
+    """Conversations whose messages quote earlier ones, some of them introduced, at up to four levels."""
+    rng = random.Random(seed)
     rows = []
     for c in range(12):
         texts = []
         for t in range(12):
             lines = [rng.choice(["one", "Two  words", "three of them", "four", "", " five"]) for _ in range(rng.randrange(1, 4))]
             if texts and rng.random() < 0.7:
-                lines = ["> " * rng.randrange(2) + ">" + x for x in rng.choice(texts).split("\n")[: rng.randrange(1, 4)]] + lines
+                intro = [rng.choice(["On Monday, Ann wrote:", " on 1 May he WROTE: ", "Only he wrote:"])] if rng.random() < 0.4 else []
+                lines = intro + ["> " * rng.randrange(2) + ">" + x for x in rng.choice(texts).split("\n")[: rng.randrange(1, 4)]] + lines
             texts.append("\n".join([*lines, f"line {rng.randrange(30)}"]))
             rows.append((c, t * 3, rng.choice(["user", "assistant"]), texts[-1]))
+    return rows
+
+
+@pytest.mark.parametrize("span", [1, 5, 1024])
+def test_quotes_by_hand(spark, span):
+    rows = talk(span)
     want = linked_by_hand(rows)
-    out = quotes.link(spark.createDataFrame([(*r, "x", 1) for r in rows], TALK)).collect()
+    out = quotes.link(spark.createDataFrame([(*r, "x", 1) for r in rows], TALK).repartition(3), span).collect()
     got = {(r.conv_id, r.turn): [r.role, r.reply_to, r.thread, r.n_quotes, r.n_linked, r.max_level, r.text, r.position] for r in out}
     assert got == want and len(out) == len(rows)
     assert sum(v[1] is not None for v in want.values()) > 60 and max(v[5] for v in want.values()) > 2
 
 
+def test_replies_come_before_later_branches(spark):
+    rows = [(1, 0, "u", "first\nzero"), (1, 1, "a", "> zero\none"), (1, 2, "a", "> first\ntwo"), (1, 3, "u", "> one\nthree"), (1, 4, "u", "> two\nfour"), (1, 5, "u", "> three\nfive")]
+    out = quotes.link(spark.createDataFrame([(*r, "x", 1) for r in rows], TALK)).orderBy("position").collect()
+    assert [(r.turn, r.reply_to) for r in out] == [(0, None), (1, 0), (3, 1), (5, 3), (2, 0), (4, 2)]
+
+
+def test_quotes_agree_with_their_sql(spark):
+    rows = talk(9) + [(3, 40, "user", None), (3, 40, None, ""), (3, 41, "user", "> four\nagain"), (3, 41, "user", "> four\nagain"), (3, 41, "assistant", ">one\nother"), (None, 1, "user", "> one"), (None, None, None, "x"), (4, None, "user", "> one\ny"), (5, 50, "user", "> three of them\n" * 400)]
+    out = quotes.link(spark.createDataFrame([(*r, "x", 1) for r in rows], TALK).repartition(4))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(registry.oracle_sql()["op2_quotation_linking"])
+    assert Counter(map(tuple, out.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
+def test_a_conversation_of_many_turns_and_a_long_chain(spark):
+    """One conversation holds most rows: a chain of answers, and a message that very many answer."""
+    rows = [(1, 0, "u", "the start")] + [(1, t, "u", f"> line {t - 1}\nline {t}" if t > 1 else "line 1") for t in range(1, 120)] + [(1, 200 + t, "a", "> the start\nyes") for t in range(150)] + [(2, 0, "u", "alone")]
+    out = {(r.conv_id, r.turn): r for r in quotes.link(spark.createDataFrame([(*r, "x", 1) for r in rows], TALK), span=16).collect()}
+    assert [out[1, t].thread for t in (119, 349)] == [1, 0] and out[1, 119].reply_to == 118
+    order = sorted((r for k, r in out.items() if k[0] == 1), key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(1, 271)) and [r.turn for r in order] == [0, *range(200, 350), *range(1, 120)]
+
+
 def test_quotes_use_functions_only(spark):
     out = quotes.link(spark.createDataFrame([(1, 0, "u", "a", "", 1)], TALK))
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
