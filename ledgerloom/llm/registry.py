@@ -99,10 +99,11 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": """
         WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
         b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-        ds AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
-        bs AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
+        sizes AS (SELECT DISTINCT least(5, len(w)) AS s FROM b WHERE len(w) > 0),
+        ds AS (SELECT DISTINCT id, x FROM (SELECT id, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i+s-1], ' '))) AS x FROM d, sizes WHERE len(w) >= s)),
+        bs AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i+least(5, len(w))-1], ' '))) AS x FROM b WHERE len(w) > 0),
         n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
-        f AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS c FROM ds JOIN bs USING (s) GROUP BY ALL)
+        f AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS c FROM ds JOIN bs USING (x) GROUP BY ALL)
         SELECT doc_id, item_id, n.n AS n_shingles, c AS n_found, round(c / n.n, 6) AS containment
         FROM f JOIN n ON n.id = f.item_id WHERE c >= ceil(0.8 * n.n - 1e-9)""",
     "op8_warc": """

@@ -50,23 +50,28 @@ def test_warc_payloads(spark):
     assert warc.round_trip(pages.limit(0), common.new_path(spark, "warc")).count() == 0
 
 
-def shingles(text):
+def shingles(text, size=5):
     words = (text or "").lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
 def contained_by_hand(docs, items):
+    """Items of fewer than five words are one shingle, to be found anywhere."""
     out = {}
     for i, t in docs:
         for k, b in items:
-            want = shingles(b)
-            found = len(want & shingles(t))
+            size = min(5, len((b or "").split()))
+            want = shingles(b, size) if size else set()
+            found = len(want & shingles(t, size)) if size else 0
             if want and found >= 0.8 * len(want) - 1e-9:
                 out[i, k] = max(out.get((i, k), (0, 0, 0)), (round(found / len(want), 6), len(want), found))
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bound", [32_000_000, 0])
+def test_decontamination(spark, monkeypatch, bound):
+    """By broadcasting, and by shuffling where nothing is small enough."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bound)
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop")
     text = lambda n: " ".join(word() for _ in range(n))
@@ -77,7 +82,7 @@ def test_decontamination(spark):
         for _ in range(rng.randrange(4)):
             words[rng.randrange(len(words))] = word()
         docs.append((i, text(rng.randrange(300)) + " " + rng.choice([" ", "\n"]).join(words).title() + " " + text(rng.randrange(50))))
-    docs += [(200, None), (201, ""), (202, "Two  WORDS"), (203, text(3)), (5, docs[6][1]), (204, text(20_000) + " " + items[3][1])]
+    docs += [(200, None), (201, ""), (202, "Two  WORDS"), (203, text(3)), (206, "there are two words in here"), (207, "two\nwords"), (208, "wordstwo words"), (5, docs[6][1]), (204, text(20_000) + " " + items[3][1])]
     want = contained_by_hand(docs, items)
     d = spark.createDataFrame([(i, t, "w", 1) for i, t in [*docs, (None, items[4][1]), (None, items[4][1]), (None, "fine")]], "doc_id long, text string, key string, item_id int")
     b = spark.createDataFrame(items, "item_id long, text string")
@@ -92,6 +97,38 @@ def test_decontamination(spark):
     assert decontam.contained(d.limit(0), b).count() == 0 and decontam.clean(d, b.limit(0)).count() == d.count()
 
 
+def test_signatures_miss_nothing(spark):
+    """Each item less any of the shingles that it may lack still has enough of its signature."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([5, 6, 9, 14, 25, 60, 200, 3])]
+    docs = []
+    for k, t in items:
+        words = t.split()
+        for j in range(12):  # cut a fifth of the shingles off at either end, or break one place
+            lost = int(0.2 * max(1, len(words) - 4) + 1e-9)
+            a = rng.randrange(lost + 1)
+            docs.append((100 * k + j, text(rng.randrange(5)) + " " + " ".join(words[a : len(words) - (lost - a)]) + " " + text(rng.randrange(400))))
+    want = contained_by_hand(docs, items)
+    assert len(want) == len(docs)
+    out = decontam.contained(spark.createDataFrame([(*d, "", 1) for d in docs], "doc_id long, text string, key string, item_id int"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.containment, r.n_shingles, r.n_found) for r in out} == want
+
+
+def test_decontamination_agrees_with_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    rng = random.Random(2)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()] + [(900, "two words"), (901, "One"), (902, None)]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(10**6 + k, f"so {rng.choice(items)[1]} one two words") for k in range(30)]
+    for name, columns, rows in (("documents", "doc_id BIGINT, text VARCHAR", docs), ("benchmark", "item_id BIGINT, text VARCHAR", items)):
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = con.sql(registry.oracle_sql()["op5_decontamination"])
+    out = decontam.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = Counter(map(tuple, out.select(*want.columns).collect()))
+    assert got == Counter(want.fetchall()) and sum(k[want.columns.index("item_id")] == 900 for k in got) >= 30
+
+
 TALK = "conv_id long, turn long, role string, text string, m string, level int"
 
 
