@@ -7,6 +7,7 @@ filter's false positives in that language's slice, and the largest decides.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import as_texts, mixed, slices
+from ledgerloom.llm.common import as_texts, drop_path, mixed, slices, written
 
-#: Labelled texts of each language to learn from at most: those with the least hash of their id.
+#: Labelled ids of each language to learn from at most: those with the least hash.
 SAMPLE = 400
 #: Grams kept for each length and language, by frequency; equal for all languages, so none is favoured.
 GRAMS = {2: 700, 3: 4_000, 4: 8_000}
 SLOTS, HASHES = 1 << 19, 3
+#: Bits of the slices that hashes of ids are counted by, and ids up to which the sample is broadcast.
+SLICE_BITS, BROADCAST_IDS = 12, 100_000
 
 _P = np.uint64(0x100000001B3)
 _BATCH = 1_000_000
@@ -115,34 +118,53 @@ class LanguageFilter:
         return langs, scores
 
 
+def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """lang, doc_id of the ids to learn from: at most sample of each language, those with the least hash.
+
+    Chosen by ids alone. Hashes are counted by slice, which tells how many slices a language needs; only what is in
+    these is ranked.
+    """
+    key = [F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang")]
+    ids = labelled.where("doc_id is not null and lang is not null and text is not null").select(*key).distinct().withColumn("_h", F.xxhash64("doc_id")).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS))
+    ids, path = written(ids, "sampled")
+    before = Window.partitionBy("lang").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ids.groupBy("lang", "_slice").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ends = counts.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_slice").alias("_end"))
+    few = ids.join(ends, "lang").where("_slice <= _end")
+    rank = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    out, _ = written(few.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= sample).select("lang", "doc_id"), "sample")
+    drop_path(labelled.sparkSession, path)
+    return out
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE, kept: dict[int, int] = GRAMS) -> LanguageFilter:
     """A filter from doc_id, text and lang of the rows that have all three.
 
-    At most sample texts of a language (those with the least hash of their id) are read whole; each language
-    sends the driver its most frequent grams, sum(kept) 64-bit hashes at most.
+    At most sample ids of a language are read, with whole texts; of rows that repeat an id and language the least text
+    counts. Grams are counted in every task and summed; each language sends the driver its most frequent ones,
+    sum(kept) 64-bit hashes at most.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("doc_id is not null and lang is not null and text is not null")
-    rows = known.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= sample)
-
-    def top(group: pd.DataFrame) -> pd.DataFrame:
-        texts = as_texts(group["text"])
-        parts: dict[int, list] = {n: [] for n in kept}
-        for s in slices([len(t) for t in texts], _BATCH):
-            for n, (h, _) in grams(texts[s], tuple(kept))[1].items():
-                parts[n].append(np.unique(h, return_counts=True))
-        best = []
-        for n, most in kept.items():
-            found = [p for p in parts[n] if p[0].size]
-            if found:
-                h, back = np.unique(np.concatenate([p[0] for p in found]), return_inverse=True)
-                count = np.bincount(back, weights=np.concatenate([p[1] for p in found]))
-                best.append(h[np.lexsort((h, -count))[:most]])
-        hashes = np.concatenate(best) if best else np.zeros(0, np.uint64)
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "grams": [hashes.astype("<u8").tobytes()]})
-
-    found = rows.select("lang", "text").groupBy("lang").applyInPandas(top, "lang string, grams binary").collect()
-    return LanguageFilter.build({r["lang"]: np.frombuffer(bytes(r["grams"]), "<u8") for r in found})
+    chosen = _sampled(labelled, sample)
+    few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("text is not null")
+    rows = texts.join(F.broadcast(chosen) if few else chosen, ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, group in batch.groupby("lang"):
+                texts = as_texts(group["text"])
+                for s in slices([len(t) for t in texts], _BATCH):
+                    for n, (h, _) in grams(texts[s], tuple(kept))[1].items():
+                        h, c = np.unique(h, return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "n": n, "h": h.view(np.int64), "c": c.astype(np.int64)})
+
+    counts = rows.select("lang", "text").mapInPandas(counted, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
+    best = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "h")))
+    limit = F.lit(0)
+    for n, most in kept.items():
+        limit = F.when(F.col("n") == n, most).otherwise(limit)
+    found = best.where(F.col("_rank") <= limit).groupBy("lang").agg(F.collect_list("h").alias("grams")).collect()
+    return LanguageFilter.build({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in found})
 
 
 def predicted(model: LanguageFilter, text):
