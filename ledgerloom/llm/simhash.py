@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType
 from ledgerloom.llm.common import as_texts, connected_components, mixed, slices, written
 
 REACH, SEGMENTS, CHAIN, SHINGLE, SEED = 4, 9, 6, 4, 42
-#: Fingerprints of one key that are compared at once; larger sets are dealt out in pairs of such blocks.
+#: Fingerprints of one key that are compared at once; larger sets are dealt out by further bits.
 BLOCK = 4_096
 
 _BATCH = 1_000_000
@@ -104,14 +104,12 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 20_000):
             fp = batch["fp"].to_numpy()[at : at + 20_000].view(np.uint64)
             for k, (_, mask) in enumerate(KEYS):
-                yield pd.DataFrame({"key": (mixed(fp & mask) & ~np.uint64(63) | np.uint64(k)).view(np.int64), "fp": fp.view(np.int64)})
+                yield pd.DataFrame({"key": (mixed(fp & mask) & ~np.uint64(63) | np.uint64(k)).view(np.int64), "agreed": np.int64(0), "fp": fp.view(np.int64)})
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Links that join the same members as all links within a (b empty) or between a and b do."""
-    nodes = np.concatenate([a, b])
-    n, first = len(nodes), len(a) if len(b) else 0
-    left = np.ones(n, bool)
+def _spanning(nodes: np.ndarray, start: int | None) -> list[tuple[int, int]]:
+    """Links that join the same members as all links do; without a start by the distance alone."""
+    left = np.ones(len(nodes), bool)
     out = []
     while left.any():
         root = int(np.argmax(left))
@@ -120,80 +118,98 @@ def _spanning(a: np.ndarray, b: np.ndarray, start: int) -> list[tuple[int, int]]
         while front:
             at = front.pop()
             others = np.flatnonzero(left)
-            if first:
-                others = others[(others >= first) != (at >= first)]
-            near = others[linked(nodes[others] ^ nodes[at], start)]
+            x = nodes[others] ^ nodes[at]
+            near = others[np.bitwise_count(x) <= REACH if start is None else linked(x, start)]
             left[near] = False
             out += [(at, int(j)) for j in near]
             front += near.tolist()
     return out
 
 
-_LINKS = "a long, b long, start int, left binary, right binary"
-
-
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key and fp to links; sets larger than BLOCK go on as pairs of blocks."""
-    kept_key, kept = None, []
-
-    def finish(key: int, fp: np.ndarray):
-        k = int(np.uint64(key & 0xFFFFFFFFFFFFFFFF) & np.uint64(63))
-        start = KEYS[k][0]
-        if len(fp) <= BLOCK:
-            pairs = _spanning(fp, fp[:0], start)
-            return [(int(fp[i].view(np.int64)), int(fp[j].view(np.int64)), None, None, None) for i, j in pairs]
-        blocks = [fp[i : i + BLOCK].tobytes() for i in range(0, len(fp), BLOCK)]
-        return [(None, None, start, blocks[i], blocks[j] if j != i else b"") for i in range(len(blocks)) for j in range(i, len(blocks))]
-
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=["a", "b", "start", "left", "right"])
-        return out.astype({"a": "Int64", "b": "Int64", "start": "Int32"})
-
-    for batch in batches:
-        key, fp = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
-        if not len(key):
-            continue
-        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        size = np.diff(edge)
-        rows = []
-        for i in np.flatnonzero((size > 1) | (np.arange(size.size) == 0) | (np.arange(size.size) == size.size - 1)).tolist():
-            k, part = int(key[edge[i]]), fp[edge[i] : edge[i + 1]]
-            if kept and k != kept_key:
-                whole = np.concatenate(kept)
-                rows += finish(kept_key, whole) if len(whole) > 1 else []
-                kept = []
-            if i == size.size - 1:
-                kept_key, kept = k, [*kept, part.copy()]
-            elif kept:
-                whole, kept = np.concatenate([*kept, part]), []
-                rows += finish(k, whole) if len(whole) > 1 else []
-            elif len(part) > 1:
-                rows += finish(k, part)
-        if rows:
-            yield frame(rows)
-    if kept and len(whole := np.concatenate(kept)) > 1:
-        yield frame(finish(kept_key, whole))
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start, left, right in zip(batch["start"].tolist(), batch["left"].tolist(), batch["right"].tolist(), strict=True):
-            a, b = np.frombuffer(bytes(left), np.uint64), np.frombuffer(bytes(right), np.uint64)
-            nodes = np.concatenate([a, b]).view(np.int64)
-            pairs = _spanning(a, b, int(start))
-            yield pd.DataFrame({"a": nodes[[i for i, _ in pairs]], "b": nodes[[j for _, j in pairs]]}, dtype="int64")
-
-
-def links(prints: DataFrame) -> DataFrame:
+def pieces(agreed: int) -> list[np.uint64]:
+    """The bits that are not agreed, cut into one piece more than may differ: linked fingerprints agree on one of them."""
+    free = [b for b in range(64) if not agreed >> b & 1]
+    return [np.uint64(sum(1 << b for b in free[i :: REACH + 1])) for i in range(REACH + 1)]
+
+
+_LINKS = "a long, b long, key long, agreed long, fp long"
+
+
+def _compared(block: int):
+    """Rows sorted by key and fp to links (a, b). What has a key in common with more than block others goes on instead,
+    under a key for each piece of the bits that this key does not fix (key, agreed, fp)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, hot = None, [], False
+        a: list[int] = []
+        b: list[int] = []
+
+        def again(fp: np.ndarray) -> Iterator[pd.DataFrame]:
+            key, agreed = now
+            mask = np.uint64(agreed & 0xFFFFFFFFFFFFFFFF) if agreed else KEYS[key & 63][1]
+            for i, piece in enumerate(pieces(int(mask))):
+                new = mixed(np.full(fp.size, np.uint64(key & 0xFFFFFFFFFFFFFFFF)) ^ mixed((fp & piece) + np.uint64(i + 1)))
+                rows = pd.DataFrame({"key": new.view(np.int64), "agreed": np.array(mask | piece, np.uint64).view(np.int64), "fp": fp.view(np.int64)})
+                yield rows.assign(a=None, b=None)[["a", "b", "key", "agreed", "fp"]].astype({"a": "Int64", "b": "Int64"})
+
+        def finish() -> Iterator[pd.DataFrame]:
+            nonlocal held
+            fp = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held = []
+            if hot and fp.size:
+                yield from again(fp)
+            elif fp.size > 1:
+                nodes = fp.view(np.int64)
+                for i, j in _spanning(fp, None if now[1] else KEYS[now[0] & 63][0]):
+                    a.append(int(nodes[i]))
+                    b.append(int(nodes[j]))
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame({"a": a, "b": b}, dtype="Int64").assign(key=None, agreed=None, fp=None).astype({"key": "Int64", "agreed": "Int64", "fp": "Int64"})
+            a.clear()
+            b.clear()
+            return out
+
+        for batch in batches:
+            key, agreed, fp = batch["key"].to_numpy(), batch["agreed"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+            if not len(key):
+                continue
+            edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (agreed[1:] != agreed[:-1])) + 1, [len(key)]])
+            size = np.diff(edge)
+            # sets of one are passed over, but for those at the ends, which may go on in other batches
+            for i in np.flatnonzero((size > 1) | (np.arange(size.size) == 0) | (np.arange(size.size) == size.size - 1)).tolist():
+                this, part = (int(key[edge[i]]), int(agreed[edge[i]])), fp[edge[i] : edge[i + 1]]
+                if this != now:
+                    yield from finish()
+                    now, hot = this, False
+                held.append(part.copy())
+                hot = hot or sum(map(len, held)) > block
+                if hot and sum(map(len, held)) > 20_000:
+                    yield from finish()
+            if len(a) > 100_000:
+                yield frame()
+        yield from finish()
+        if a:
+            yield frame()
+
+    return run
+
+
+def links(prints: DataFrame, block: int | None = None) -> DataFrame:
     """a, b: links between distinct fingerprints (fp) that join the same groups as all links do.
 
-    A set with one key is spanned in its task, not written out as all its pairs.
+    A set with one key is spanned in its task, not written out as all its pairs. A set larger than block is dealt out
+    again, by pieces of what its key leaves open, until sets are small: after some rounds a key fixes all but a few bits
+    (block must be 16 or more: sets that a key leaves four bits are never larger).
     """
-    rows = prints.select("fp").mapInPandas(_keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_compared, _LINKS)
-    found, _ = written(rows, "links")
-    large = found.where("left is not null")
-    more = large.repartition(F.xxhash64("left", "right")).mapInPandas(_blocks, "a long, b long")
-    return found.where("left is null").select("a", "b").unionByName(more)
+    rows, found = prints.select("fp").mapInPandas(_keyed, "key long, agreed long, fp long"), None
+    while True:
+        table, _ = written(rows.repartition("key").sortWithinPartitions("key", "agreed", "fp").mapInPandas(_compared(block or BLOCK), _LINKS), "links")
+        new = table.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = new if found is None else found.unionByName(new)
+        rows = table.where("a is null").select("key", "agreed", "fp").distinct()
+        if not rows.take(1):
+            return found.distinct()  # a link may be found under several keys
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,7 +223,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(links(prints)).withColumnRenamed("node", "fp")
     placed = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    placed, _ = written(placed, "placed")
+    # written first: adaptive execution splits a join by a common root only if neither side is aggregated in its stage
+    least, _ = written(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     table, _ = written(placed.join(least, "root").select("fp", "component_id"), "classes")
     # a fingerprint may be that of a third of all rows: adaptive execution splits this join
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
