@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, linededup, mixing, packing, quality, simhash, suffixdedup
 
@@ -85,6 +87,39 @@ def test_language(spark, odd, sf_dir):
     assert has[0] and counts[0][0] > 0 and counts[0][1] > 0
 
 
+def test_language_by_hand(spark, sf_dir):
+    """Everything by definition, with exact sets in place of the filter; what the filter adds is corrected."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs = spark.createDataFrame([*rows, *rows[:3], (None, "lost", "en"), (900_001, None, "xx")], "doc_id long, text string, lang string")
+    order = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"))).collect()}
+    sample, kept = 20, {2: 150, 3: 500}
+    known = {i: (t, lang) for i, t, lang in rows if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+
+    def grams_of(text, n):
+        line = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return Counter(g for w in [re.sub(" +", " ", line)] for g in (w[i : i + n] for i in range(len(w) - n + 1)))
+
+    best = {}
+    for lang in sorted({x for _, x in known.values()}):
+        ids = sorted((i for i, (_, x) in known.items() if x == lang), key=lambda i: (order[i], str(i)))[:sample]
+        for n in kept:
+            best[lang, n] = sum((grams_of(known[i][0], n) for i in ids), Counter())
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))), sample, kept)
+    assert model.langs == sorted({x for x, _ in best})
+    texts = [t for _, t, _ in rows if t]
+    has, counts = model.counts(texts)
+    right = 0
+    for j, t in enumerate(texts):
+        exact = {}
+        for lang in model.langs:
+            exact[lang] = 0
+            for n, most in kept.items():
+                cut = sorted(best[lang, n].values(), reverse=True)[most - 1 : most]
+                exact[lang] += sum(c for g, c in grams_of(t, n).items() if best[lang, n][g] > (cut[0] if cut else 0))
+        right += bool(has[j]) and model.langs[int(np.argmax(counts[j]))] == max(exact, key=exact.get)
+    assert right >= 0.98 * sum(map(bool, has))
+
+
 def lines_by_hand(rows, least_docs=5):
     holders = defaultdict(set)
     lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
@@ -285,6 +320,22 @@ def test_links_of_large_groups(spark, monkeypatch):
         assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 4
         root[find(r.a)] = find(r.b)
     assert len({find(signed(x)) for x in near}) == 1 and len(links) < 120 * 120
+    ids = {x: k for k, x in enumerate(fps)}
+    want = components_by_hand(None, {k: x & (1 << 64) - 1 for x, k in ids.items()})
+    least = defaultdict(lambda: 10**9)
+    for x, k in ids.items():
+        least[find(x)] = min(least[find(x)], k)
+    assert {k: least[find(x)] for x, k in ids.items()} == want
+
+
+def test_pieces_leave_one_for_every_link():
+    rng = random.Random(1)
+    for _ in range(200):
+        agreed = rng.getrandbits(64) & rng.getrandbits(64)
+        parts = [int(p) for p in simhash.pieces(agreed)]
+        assert sum(parts) == (1 << 64) - 1 - agreed and all(parts)
+        x = sum(1 << b for b in rng.sample([b for b in range(64) if not agreed >> b & 1], 4))
+        assert any(x & p == 0 for p in parts)
 
 
 def test_mixing(spark, odd, sf_dir):
@@ -316,7 +367,53 @@ def test_mixing(spark, odd, sf_dir):
 
 def test_mixing_odd_rows(spark, odd):
     out = mixing.mix(odd[1]).collect()
-    assert len(out) == len(odd[0]) and all(r.size == len((t or "").split()) for r, t in []) and {r.size for r in out if r.doc_id == 4} == {0}
+    words = lambda t: len(re.findall("[^ \t-\r]+", t or ""))
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((i, words(t)) for i, t, _ in odd[0])
+    whole, targets = targets_by_hand(Counter({s: sum(words(t) for _, t, x in odd[0] if x == s) for s in {x for _, _, x in odd[0]}}))
+    source = {(i, words(t)): s for i, t, s in odd[0]}
+    assert all(r.source_size == whole[source[r.doc_id, r.size]] and abs(r.target - targets[source[r.doc_id, r.size]]) < 1e-6 * sum(whole.values()) for r in out if r.doc_id is not None)
+
+
+def targets_by_hand(sizes, share=1.5, cap=2):
+    """Sizes and targets by source: what is above a cap is dealt again by weight, until nothing is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    left, out, free = share * sum(sizes.values()), {}, set(order)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= cap * sizes[s]}
+        for s in full or free:
+            out[s] = min(level * weight[s], cap * sizes[s])
+        if not full:
+            break
+        left -= sum(out[s] for s in full)
+        free -= full
+    return sizes, out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_by_hand(spark, seed):
+    """Targets by water filling, and what the mix takes of each source, to within its landing."""
+    rng = random.Random(seed)
+    rows = [(k, " ".join("w" for _ in range(rng.choice([0, 1, 3, 9, 40]))), rng.choice(["a", "a", "a", "b", "é", None, "z", "one"][: 5 + seed])) for k in range(400)]
+    sizes, targets = targets_by_hand(Counter({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in {x for _, _, x in rows}}))
+    out = {r.doc_id: r for r in mixing.mix(frame(spark, rows)).collect()}
+    taken = Counter()
+    for i, t, s in rows:
+        assert out[i].size == len(t.split()) and out[i].source_size == sizes[s] and abs(out[i].target - targets[s]) < 1e-6 * sum(sizes.values()) and out[i].copies in (0, 1, 2)
+        taken[s] += out[i].copies * out[i].size
+    assert all(abs(taken[s] - targets[s]) <= 80 for s in sizes)
+
+
+def test_small_flights_keep_the_design():
+    """Every end of a small flight is one that the two sums allow: no other set of ends has them."""
+    for seed in range(20):
+        rng = random.Random(seed)
+        rows = [(k, rng.randrange(1, 6), rng.choice([0.25, 0.5, 0.75]), str(k)) for k in range(7)]
+        out = dict(mixing.flight(rows, False))
+        want = sum(p for _, _, p, _ in rows), sum(x * p for _, x, p, _ in rows)
+        assert abs(sum(out.values()) - want[0]) < 1e-6 and abs(sum(out[k] * x for k, x, _, _ in rows) - want[1]) < 1e-6
+        assert all(-1e-9 <= p <= 1 + 1e-9 for p in out.values()) and sum(1e-9 < p < 1 - 1e-9 for p in out.values()) <= 2
 
 
 def test_flight_keeps_both_sums():
