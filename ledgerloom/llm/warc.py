@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +24,11 @@ from ledgerloom.llm.common import drop_path, written
 #: Payloads below this size are never revisits.
 LEAST = 100
 SEP = b"\r\n\r\n"
-MAGIC = b"WARC/1.1\r\n"
+#: What begins each record, whatever its minor version; records are written as the last of VERSIONS.
+MAGIC = b"WARC/1."
+VERSIONS = (b"0\r\n", b"1\r\n")
+#: What a revisit says about what it is equal to (a fixed value of the format).
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Entries (one row for each block of a file) up to so many are broadcast to the blocks.
 BROADCAST_ROWS = 200_000
 
@@ -32,8 +36,14 @@ RECORD = "file string, offset long, length long, page_id long, record_type strin
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*([^\r\n]*)", re.M)
 
 
-def to_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """value: a record for each page without its last separator.
+def _record_id(name: Column) -> Column:
+    """A record id of a name, which is no other record's."""
+    h = F.md5(name)
+    return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), *[F.concat(F.lit("-"), F.substring(h, a, n)) for a, n in ((9, 4), (13, 4), (17, 4), (21, 12))], F.lit(">"))
+
+
+def to_records(pages: DataFrame, least: int = LEAST, date: str | None = None) -> DataFrame:
+    """value: a record for each page without its last separator; date (of today, by default) is that of the capture.
 
     Of equal payloads of at least `least` bytes, the smallest page_id is the response. Rows that repeat that
     page_id are all responses; rows without a page_id are responses and nothing refers to them. Null html is
@@ -45,16 +55,28 @@ def to_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     firsts = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select(F.col("digest").alias("_digest"), "first")
     firsts, _ = written(firsts, "payloads")
     rows = rows.join(firsts, F.col("digest") == F.col("_digest"), "left")
+    # rows that repeat an id are records of their own, which nothing can name by that id
+    repeated = pages.where("page_id is not null").groupBy(F.col("page_id").cast("long").alias("_again")).count().where("count > 1").select("_again")
+    repeated, _ = written(repeated, "repeated")
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    again = F.broadcast(repeated) if few else repeated
+    rows = rows.join(again, F.col("page_id") == F.col("_again"), "left").join(again.withColumnRenamed("_again", "_first"), F.col("first") == F.col("_first"), "left")
+    own = F.when(F.col("_again").isNotNull() | F.col("page_id").isNull(), F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string"))).otherwise(F.concat(F.lit("page:"), F.col("page_id").cast("string")))
+    when = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     visit = F.col("first") < F.col("page_id")
     kind = F.when(visit, "revisit").otherwise("response")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
-        F.lit(MAGIC.decode()),
+        F.lit((MAGIC + VERSIONS[-1]).decode()),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(">"))),
+        line("WARC-Record-ID", _record_id(own)),
+        line("WARC-Date", when),
         line("WARC-Target-URI", F.col("url")),
-        F.when(visit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))).otherwise(""),
+        F.when(visit, line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
+        F.when(visit & F.col("_first").isNull(), line("WARC-Refers-To", _record_id(F.concat(F.lit("page:"), F.col("first").cast("string"))))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        F.when(F.col("page_id").isNotNull(), line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(""),
+        F.when(visit, line("X-Refers-To-Page-ID", F.col("first").cast("string"))).otherwise(""),
         line("X-Payload-Length", F.col("size").cast("string")),
         line("Content-Type", F.lit("text/html")),
         F.concat(F.lit("Content-Length: "), F.when(visit, "0").otherwise(F.col("size").cast("string"))),
@@ -80,9 +102,9 @@ def _field(head: bytes) -> dict[bytes, bytes]:
 def _head(piece: bytes) -> tuple[dict[bytes, bytes], int, int] | None:
     """Fields, size with its separator and Content-Length of a record's head, or None if it is not one."""
     end = piece.find(SEP)
-    if end < 0:
+    if end < 0 or piece[:3] not in VERSIONS:
         return None
-    fields = _field(piece[:end])
+    fields = _field(piece[3:end])
     size = fields.get(b"content-length", b"")
     return (fields, end + len(SEP), int(size)) if size.isdigit() else None
 
@@ -169,7 +191,7 @@ def _walked(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.Data
             if record is None and start == expected:
                 f, size, length = _head(value)
                 text = lambda k, f=f: f.get(k, b"").decode("utf-8", "replace")
-                record = (base + start - len(MAGIC), length, number(f.get(b"warc-record-id", b"")[9:]), text(b"warc-type"), number(f.get(b"warc-refers-to", b"")), number(f.get(b"x-payload-length", b"")), text(b"warc-payload-digest").removeprefix("sha256:"), text(b"warc-target-uri"))
+                record = (base + start - len(MAGIC), length, number(f.get(b"x-page-id", b"")), text(b"warc-type"), number(f.get(b"x-refers-to-page-id", b"")), number(f.get(b"x-payload-length", b"")), text(b"warc-payload-digest").removeprefix("sha256:"), text(b"warc-target-uri"))
                 need, value = length + len(SEP), value[size:]
                 expected = start + size + need + len(MAGIC)
             elif record is None:
@@ -197,8 +219,9 @@ def _walked(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.Data
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, page_id, record_type, refers_to, declared_bytes, declared_digest, target, payload of each record.
 
-    Records are those reachable from the first of each file, whatever their payloads hold. A record that a
-    file's end cuts off has the payload that is there.
+    Records of versions 1.0 and 1.1 are those reachable from the first of each file, whatever their payloads hold. A
+    record that a file's end cuts off has the payload that is there. Archives compressed by record (names that end
+    in .gz) are read as one block each, and offsets are those of what they hold. Page ids are null in archives of others.
     """
     blocks, _ = written(_pieces(spark, path).mapInPandas(_candidates, "file string, block long, total long, offs array<long>, outs array<long>"), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -50,6 +51,33 @@ def test_warc_payloads(spark):
     assert warc.round_trip(pages.limit(0), common.new_path(spark, "warc")).count() == 0
 
 
+def test_warc_records_are_whole(spark):
+    """What the format asks of each record, and ids that are no other record's, though page ids repeat."""
+    path, same = common.new_path(spark, "warc"), "x" * 150
+    pages = spark.createDataFrame([(1, "http://a/", same, "", ""), (2, "http://b/", same, "", ""), (3, "", "y" * 200, "", ""), (3, "", "y" * 200, "", ""), (4, "", "y" * 200, "", ""), (None, None, None, "", "")], PAGE)
+    warc.to_records(pages, date="2024-01-02T03:04:05Z").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path).orderBy("path").collect()).decode()
+    heads = [dict(line.split(": ", 1) for line in head.split("\r\n")[1:]) for head in re.findall(r"WARC/1\.1\r\n.*?(?=\r\n\r\n)", raw, re.S)]
+    assert len(heads) == 6 and all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(h) and h["WARC-Date"] == "2024-01-02T03:04:05Z" for h in heads)
+    assert len({h["WARC-Record-ID"] for h in heads}) == 6 and all(re.fullmatch("<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", h["WARC-Record-ID"]) for h in heads)
+    by = {h.get("X-Page-ID"): h for h in heads}
+    assert by["2"]["WARC-Type"] == "revisit" and by["2"]["WARC-Profile"] == warc.PROFILE and by["2"]["WARC-Refers-To"] == by["1"]["WARC-Record-ID"]
+    assert by["4"]["X-Refers-To-Page-ID"] == "3" and "WARC-Refers-To" not in by["4"]
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Both versions in one file, fields in other case, and an archive compressed record by record."""
+    def record(version, uri, body):
+        return f"WARC/{version}\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:{uri}>\r\nWarc-Target-URI: {uri}\r\ncontent-length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    fake = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    records = [record("1.0", "a", b"one " + fake), record("1.1", "b", b"WARC/1.2\r\nContent-Length: 1\r\n\r\n"), record("1.0", "c", b"")]
+    (tmp_path / "x.warc").write_bytes(b"".join(records))
+    (tmp_path / "y.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    out = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert Counter((r.file[-3:], r.target, bytes(r.payload), r.page_id) for r in out) == Counter((k, t, b, None) for k in ("arc", ".gz") for t, b in (("a", b"one " + fake), ("b", b"WARC/1.2\r\nContent-Length: 1\r\n\r\n"), ("c", b"")))
+
+
 def shingles(text, size=5):
     words = (text or "").lower().split()
     return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
