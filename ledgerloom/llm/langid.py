@@ -130,7 +130,9 @@ def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
     before = Window.partitionBy("lang").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = ids.groupBy("lang", "_slice").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     ends = counts.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_slice").alias("_end"))
-    few = ids.join(ends, "lang").where("_slice <= _end")
+    # a language may be that of most rows: the few ends go to them
+    narrow = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = ids.join(F.broadcast(ends) if narrow else ends, "lang").where("_slice <= _end")
     rank = Window.partitionBy("lang").orderBy("_h", "doc_id")
     out, _ = written(few.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= sample).select("lang", "doc_id"), "sample")
     drop_path(labelled.sparkSession, path)
