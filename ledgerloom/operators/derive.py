@@ -6,70 +6,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions import scoping
+from ledgerloom.sources.shared import written
+
 GROUP = ["collection_id", "agreement_id", "key"]
 #: Facts are ordered from the oldest to the newest by these.
 ORDER = ["ingested_at", "document_id", "line"]
 
 
-def authoritative(facts: DataFrame) -> DataFrame:
-    """Contract terms outrank operational ones of the same key; operational ones decide where there are no others."""
-    w = Window.partitionBy(*GROUP)
+def active(facts: DataFrame, new_document: str = "new_document_id") -> DataFrame:
+    """The facts that decide each key: contract terms, or operational ones where there are no others; without those of
+    documents that another than the run's own document has superseded, unless none would be left.
+
+    With n_facts of the key, its challenger (a struct) and whether each fact is in the challenger's scope. The challenger
+    is the newest fact of the run's document, else the newest of all. Comparability is not transitive, so facts are never
+    grouped by scope: each is compared with the one challenger. Keys may hold most of the facts, so all steps are
+    aggregates that combine before they shuffle and joins that adaptive execution can split.
+    """
     contractual = F.col("obligation_scope") == "contractual"
-    rows = facts.withColumn("_any", F.bool_or(contractual).over(w))
-    return rows.where(contractual | ~F.col("_any")).drop("_any")
+    counts = facts.groupBy(*GROUP).agg(F.count("*").alias("n_facts"), F.bool_or(contractual).alias("_any"))
+    rows = facts.join(counts, GROUP).where(contractual | ~F.col("_any")).drop("_any")
+    retired = rows.where(F.col("supersedes_id").isNotNull() & ~F.col("document_id").eqNullSafe(F.col(new_document))).select(*GROUP, F.col("supersedes_id").alias("document_id")).distinct().withColumn("_retired", F.lit(True))
+    rows = rows.join(retired, [*GROUP, "document_id"], "left").withColumn("_stays", F.col("_retired").isNull()).drop("_retired")
+    return _against_challenger(rows, new_document)
 
 
-def not_retired(facts: DataFrame, new_document: str = "new_document_id") -> DataFrame:
-    """Facts of documents that another than the run's own document has superseded go, unless none would be left."""
-    w = Window.partitionBy(*GROUP)
-    retired = facts.where(F.col("supersedes_id").isNotNull() & ~F.col("document_id").eqNullSafe(F.col(new_document))).select(*GROUP, F.col("supersedes_id").alias("document_id")).distinct().withColumn("_retired", F.lit(True))
-    rows = facts.join(retired, [*GROUP, "document_id"], "left").withColumn("_stays", F.col("_retired").isNull()).withColumn("_some", F.bool_or("_stays").over(w))
-    return rows.where(F.col("_stays") | ~F.col("_some")).select(*facts.columns)
+def _against_challenger(rows: DataFrame, new_document: str) -> DataFrame:
+    at = F.struct((F.col("document_id").eqNullSafe(F.col(new_document))).cast("int").alias("own"), *[F.col(c) for c in ORDER])
+    side = F.struct("fact_id", "document_id", "value", "supersedes_id", "obligation_scope", "conditions", "doc_type", "parties")
+    best = rows.groupBy(*GROUP).agg(F.bool_or("_stays").alias("_some"), F.max_by(side, F.when(F.col("_stays"), at)).alias("_live"), F.max_by(side, at).alias("_newest"))
+    best = best.select(*GROUP, "_some", F.when(F.col("_some"), F.col("_live")).otherwise(F.col("_newest")).alias("challenger"))
+    rows = rows.join(best, GROUP).where(F.col("_stays") | ~F.col("_some")).drop("_stays", "_some")
+    # facts of one key are of one agreement already
+    scope = lambda at: F.struct(F.lit(None).cast("string").alias("agreement_id"), *[F.col(f"{at}{c}").alias(c) for c in ("parties", "obligation_scope", "conditions")])
+    return rows.withColumn("in_scope", scoping.comparable(scope(""), scope("challenger.")))
 
 
 def sides(facts: DataFrame, new_document: str = "new_document_id") -> DataFrame:
-    """facts with the challenger (a struct) and whether each is in its scope.
-
-    The challenger is the newest fact of the run's document, else the newest of all. Comparability is not
-    transitive, so facts are never grouped by scope: each is compared with the one challenger.
-    """
-    at = F.struct((F.col("document_id").eqNullSafe(F.col(new_document))).cast("int").alias("own"), *[F.col(c) for c in ORDER])
-    best = facts.groupBy(*GROUP).agg(F.max_by(F.struct("fact_id", "document_id", "value", "supersedes_id", "obligation_scope", "conditions", "doc_type"), at).alias("challenger"))
-    rows = facts.join(best, GROUP)
-    return rows.withColumn("in_scope", (F.col("obligation_scope") == F.col("challenger.obligation_scope")) & (F.col("conditions") == F.col("challenger.conditions")))
+    """facts with their key's challenger and whether each is in its scope, whatever decides the key."""
+    return _against_challenger(facts.withColumn("_stays", F.lit(True)), new_document)
 
 
-def derive(facts: DataFrame, run: DataFrame, evidence: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
-    """A row for each key: value, state, conflict_kind, incumbent_id, challenger_id, n_in_scope, n_parallel.
+def derive(facts: DataFrame, run: DataFrame, evidence: DataFrame | None = None, named: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """A row for each key: value, state, conflict_kind, incumbent_id, challenger_id, n_in_scope, n_parallel, reason.
 
     run gives each collection's new_document_id; evidence the keys (GROUP) for which the new document claims a
     replacement; named the number of agreements a collection names, which makes an unnamed contractual value
-    ambiguous if there are two or more. Every step is an aggregate or join by key.
+    ambiguous if there are two or more; wanted the keys that need a row, missing if no fact is about them.
     """
-    facts = facts.join(run, "collection_id", "left")
-    active = not_retired(authoritative(facts))
-    rows = sides(active)
-    scoped = rows.where("in_scope")
+    if "parties" not in facts.columns:
+        facts = facts.withColumn("parties", F.array().cast("array<string>"))
+    rows, _ = written(active(facts.join(run, "collection_id", "left")).where("in_scope"), "active")
     at = F.struct(*[F.col(c) for c in ORDER])
     differs = F.col("value") != F.col("challenger.value")
-    agg = scoped.groupBy(*GROUP).agg(
+    out = rows.groupBy(*GROUP).agg(
         F.count("*").alias("n_in_scope"),
-        F.count_distinct("value").alias("n_values"),
+        F.max("n_facts").alias("n_facts"),
+        F.bool_or(differs).alias("differs"),
         F.max_by(F.struct("fact_id", "document_id", "value"), F.when(differs, at)).alias("rival"),
         F.min_by(F.struct("fact_id", "document_id", "value"), at).alias("oldest"),
-        F.first("challenger").alias("challenger"),
-        F.first("new_document_id").alias("new_document_id"),
+        F.max_by("challenger", "fact_id").alias("challenger"),
+        F.max("new_document_id").alias("new_document_id"),
     )
-    count = facts.groupBy(*GROUP).agg(F.count("*").alias("n_facts"))
-    out = agg.join(count, GROUP)
     out = out.join(evidence.select(*GROUP).distinct().withColumn("claimed", F.lit(True)), GROUP, "left") if evidence is not None else out.withColumn("claimed", F.lit(None).cast("boolean"))
     out = out.join(named, "collection_id", "left") if named is not None else out.withColumn("n_named", F.lit(0))
     incumbent = F.coalesce("rival", "oldest")
     ambiguous = (F.col("agreement_id") == "") & (F.coalesce("n_named", F.lit(0)) > 1) & (F.col("challenger.obligation_scope") == "contractual")
     superseding = F.coalesce("claimed", F.lit(False)) & F.col("challenger.document_id").eqNullSafe(F.col("new_document_id")) & F.coalesce(F.col("challenger.supersedes_id") == incumbent["document_id"], F.lit(False))
-    case = lambda a, b, c, d: F.when(ambiguous, a).when(F.col("n_values") == 1, b).when(superseding, c).otherwise(d)
+    case = lambda a, b, c, d: F.when(ambiguous, a).when(~F.col("differs"), b).when(superseding, c).otherwise(d)
     none = F.lit(None)
-    return out.select(
+    parallel = F.col("n_facts") - F.col("n_in_scope")
+    note = F.when(parallel > 0, F.concat(F.lit("; "), parallel.cast("string"), F.lit(" out of scope"))).otherwise("")
+    out = out.select(
         *GROUP,
         case(none.cast("long"), F.col("oldest.value"), F.col("challenger.value"), incumbent["value"]).alias("value"),
         case(F.lit("ambiguous"), F.lit("supported"), F.lit("supported"), F.lit("disputed")).alias("state"),
@@ -77,28 +85,43 @@ def derive(facts: DataFrame, run: DataFrame, evidence: DataFrame | None = None,
         case(F.col("oldest.fact_id"), none.cast("long"), incumbent["fact_id"], incumbent["fact_id"]).alias("incumbent_id"),
         case(F.col("challenger.fact_id"), none.cast("long"), F.col("challenger.fact_id"), F.col("challenger.fact_id")).alias("challenger_id"),
         "n_in_scope",
-        (F.col("n_facts") - F.col("n_in_scope")).alias("n_parallel"),
+        parallel.alias("n_parallel"),
+        F.concat(case(F.concat(F.lit("may be of "), F.col("n_named").cast("string"), F.lit(" agreements")), F.concat(F.col("n_in_scope").cast("string"), F.lit(" agree")), F.lit("claims to replace"), F.lit("differ without a claim")), note).alias("reason"),
     )
-
-
-def derive_one(facts: list[dict], new_document=None, claimed: bool = False, agreement: str = "", n_named: int = 0) -> dict:
-    """The same for the facts of one key, oldest first, in plain Python: what tests hold derive() against."""
-    if not facts:
-        return {"value": None, "state": "missing", "conflict_kind": None}
-    top = [f for f in facts if f["obligation_scope"] == "contractual"] or facts
-    gone = {f["supersedes_id"] for f in top if f["supersedes_id"] is not None and f["document_id"] != new_document}
-    top = [f for f in top if f["document_id"] not in gone] or top
-    challenger = ([f for f in top if f["document_id"] == new_document] or top)[-1]
-    scope = [f for f in top if (f["obligation_scope"], f["conditions"]) == (challenger["obligation_scope"], challenger["conditions"])]
-    if agreement == "" and n_named > 1 and challenger["obligation_scope"] == "contractual":
-        return {"value": None, "state": "ambiguous", "conflict_kind": "ambiguous_scope"}
-    if len({f["value"] for f in scope}) == 1:
-        return {"value": scope[0]["value"], "state": "supported", "conflict_kind": None}
-    rivals = [f for f in scope if f["value"] != challenger["value"]]
-    incumbent = rivals[-1] if rivals else scope[0]
-    if claimed and challenger["document_id"] == new_document and challenger["supersedes_id"] == incumbent["document_id"]:
-        return {"value": challenger["value"], "state": "supported", "conflict_kind": "supersession_candidate"}
-    return {"value": incumbent["value"], "state": "disputed", "conflict_kind": "contradiction"}
+    if wanted is None:
+        return out
+    lost = wanted.select(*GROUP).distinct().join(out.select(*GROUP), GROUP, "left_anti")
+    empty = {"state": F.lit("missing"), "reason": F.lit("no evidence"), "n_in_scope": F.lit(0).cast("long"), "n_parallel": F.lit(0).cast("long")}
+    return out.unionByName(lost.select(*GROUP, *[empty.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in out.schema if f.name not in GROUP]))
+
+
+def citations(facts: DataFrame, run: DataFrame, derived: DataFrame) -> DataFrame:
+    """GROUP, fact_id of what each derivation cites, one row each: all facts in scope, or those with the value that
+    replaces another."""
+    if "parties" not in facts.columns:
+        facts = facts.withColumn("parties", F.array().cast("array<string>"))
+    rows = active(facts.join(run, "collection_id", "left")).where("in_scope").select(*GROUP, "fact_id", F.col("value").alias("_value"))
+    cited = rows.join(derived.select(*GROUP, "value", "conflict_kind"), GROUP)
+    return cited.where((F.coalesce("conflict_kind", F.lit("")) != "supersession_candidate") | (F.col("_value") == F.col("value"))).select(*GROUP, "fact_id")
+
+
+def agreement_of(relations: DataFrame, declared: DataFrame) -> DataFrame:
+    """document_id, agreement_id: what a document declares of itself, else the first agreement that it amends, else is
+    governed by, else references, else supersedes; of each kind only the first relation counts, and '' names none."""
+    rank = F.array_position(F.array(*map(F.lit, scoping.KIND_ORDER)), F.col("kind"))
+    firsts = relations.groupBy("document_id", "kind").agg(F.min_by("target_ref", "place").alias("target_ref"))
+    best = firsts.where("target_ref <> ''").groupBy("document_id").agg(F.min_by("target_ref", rank).alias("_related"))
+    rows = declared.join(best, "document_id", "left")
+    return rows.select("document_id", F.coalesce("agreement_ref", "_related", F.lit("")).alias("agreement_id"))
+
+
+def supersession_target(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """document_id, target of every amendment: the document its relation names (targets: document_id, target), else the
+    party's newest agreement or statement of work before it."""
+    before = Window.partitionBy("party_id").orderBy("ingested_at", "document_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.last(F.when(F.col("doc_type").isin("master_agreement", "sow"), F.col("document_id")), ignorenulls=True).over(before)
+    rows = documents.withColumn("_base", base).where("doc_type = 'amendment'").join(targets.withColumnRenamed("target", "_named"), "document_id", "left")
+    return rows.select("document_id", F.coalesce("_named", "_base").alias("target"))
 
 
 def resolve_agreement(named: DataFrame, rows: DataFrame) -> DataFrame:

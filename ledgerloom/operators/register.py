@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.sources.shared import written
+
 KEY = ["collection_id", "agreement_id", "key"]
 
 
@@ -34,10 +36,14 @@ def drift(then: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, KEY, "full").where(~F.col("then").eqNullSafe(F.col("now")))
 
 
+def against(approved: DataFrame, register: DataFrame) -> DataFrame:
+    """Approved proposals with the hash and version that their row has now."""
+    return approved.join(register.select(*KEY, F.col("content_hash").alias("actual_hash"), F.col("version").alias("actual_version")), KEY, "left")
+
+
 def stale(approved: DataFrame, register: DataFrame) -> DataFrame:
     """Approved proposals whose row is no longer what they were made against."""
-    now = register.select(*KEY, F.col("content_hash").alias("actual_hash"), F.col("version").alias("actual_version"))
-    return approved.join(now, KEY, "left").where(~F.col("before_hash").eqNullSafe(F.col("actual_hash")) | (F.col("base_version") != F.coalesce("actual_version", F.lit(0))))
+    return against(approved, register).where(~F.col("before_hash").eqNullSafe(F.col("actual_hash")) | (F.col("base_version") != F.coalesce("actual_version", F.lit(0))))
 
 
 def outstanding(approved: DataFrame, register: DataFrame) -> DataFrame:
@@ -51,9 +57,11 @@ def commit(run_id, register: DataFrame, approved: DataFrame, done: DataFrame) ->
     Nothing changes if the ledger (done) has the run; proposals whose hash is the row's are no-ops, stale ones
     are refused. The frames are pure functions of the inputs, so a repeated attempt writes the same rows.
     """
-    open_run = approved.join(done.where(F.col("run_id") == run_id).select("run_id").distinct(), F.lit(True), "left_anti")
-    refused = stale(open_run, register)
-    good = open_run.join(refused.select(*KEY), KEY, "left_anti").where(~F.col("before_hash").eqNullSafe(F.col("content_hash")))
+    open_run = approved.limit(0) if done.where(F.col("run_id") == run_id).take(1) else approved
+    judged, _ = written(against(open_run, register), "judged")
+    moved = ~F.col("before_hash").eqNullSafe(F.col("actual_hash")) | (F.col("base_version") != F.coalesce("actual_version", F.lit(0)))
+    refused = judged.where(moved)
+    good = judged.where(~moved & ~F.col("before_hash").eqNullSafe(F.col("content_hash"))).drop("actual_hash", "actual_version")
     after = candidate(register, good)
     touched = good.select(*KEY)
     snap = lambda df, phase: df.join(touched, KEY, "left_semi").select(F.lit(run_id).alias("run_id"), F.lit(phase).alias("phase"), *KEY, "content_hash", "version")

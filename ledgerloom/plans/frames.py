@@ -82,6 +82,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_orderkey") % 6 == 1, F.col("previous")).alias("supersedes_id"),
         F.col("o_orderdate").alias("ingested_at"),
         F.col("l_linenumber").cast("long").alias("line"),
+        F.when(F.col("l_suppkey") % 10 < 7, F.array().cast("array<string>")).when(F.col("l_suppkey") % 10 < 9, F.array(F.lit("Acme Buyer LLC"), F.lit("Northstar Vendor Inc"))).otherwise(F.array(F.lit("Acme Buyer LLC"), F.lit("Other Vendor"))).alias("parties"),
     )
 
 
@@ -146,7 +147,8 @@ SQL: dict[str, str] = {
     "facts": f"""SELECT l_orderkey * 10 + l_linenumber AS fact_id, l_orderkey AS document_id, o_custkey % 5 AS collection_id,
         CASE WHEN l_suppkey % 4 > 0 THEN 'MSA-' || CAST(l_suppkey % 4 AS VARCHAR) ELSE '' END AS agreement_id, {_case("key", KEYS, "l_linenumber % 6")}, CAST(l_quantity AS BIGINT) AS value,
         {_case("doc_type", DOC_TYPES, "l_orderkey % 6")}, CASE WHEN l_orderkey % 6 IN (2, 4) THEN 'operational' ELSE 'contractual' END AS obligation_scope,
-        CASE WHEN l_returnflag = 'R' THEN 'unless disputed' ELSE '' END AS conditions, CASE WHEN l_orderkey % 6 = 1 THEN previous END AS supersedes_id, o_orderdate AS ingested_at, CAST(l_linenumber AS BIGINT) AS line
+        CASE WHEN l_returnflag = 'R' THEN 'unless disputed' ELSE '' END AS conditions, CASE WHEN l_orderkey % 6 = 1 THEN previous END AS supersedes_id, o_orderdate AS ingested_at, CAST(l_linenumber AS BIGINT) AS line,
+        CASE WHEN l_suppkey % 10 < 7 THEN CAST([] AS VARCHAR[]) WHEN l_suppkey % 10 < 9 THEN ['Acme Buyer LLC', 'Northstar Vendor Inc'] ELSE ['Acme Buyer LLC', 'Other Vendor'] END AS parties
         FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) JOIN (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders) ON l_orderkey = o_orderkey""",
     "run_events": """SELECT event_id, user_id AS run_id, event_type AS stage, ts, CAST(floor(abs(value)) AS BIGINT) AS duration_ms,
         CASE WHEN event_id % 5 <> 0 THEN coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) ELSE 0 END AS tokens_in,

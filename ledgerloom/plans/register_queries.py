@@ -10,6 +10,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import cost, derive, events, nested, register, relational, rules
 from ledgerloom.plans import frames
 from ledgerloom.plans.registry import query
+from ledgerloom.sources.shared import written
 
 # Runs are orders; those of a collection are open or over by order status.
 _RUNS = "SELECT o_orderkey AS run_id, o_custkey % 5 AS collection_id, CASE o_orderstatus WHEN 'F' THEN 'committed' WHEN 'O' THEN 'running' ELSE 'blocked' END AS status, o_orderdate AS started_at FROM orders"
@@ -28,7 +29,7 @@ def _hash(df: DataFrame) -> DataFrame:
 
 def _register(spark: SparkSession, d: str) -> DataFrame:
     f = frames.facts(spark, d)
-    return _hash(f.groupBy("collection_id", "agreement_id", "key").agg(F.min_by("value", F.struct("ingested_at", "document_id", "line")).alias("value"), F.lit("supported").alias("state"), (F.count("*") % 4 + 1).alias("version")))
+    return written(_hash(f.groupBy("collection_id", "agreement_id", "key").agg(F.min_by("value", F.struct("ingested_at", "document_id", "line")).alias("value"), F.lit("supported").alias("state"), (F.count("*") % 4 + 1).alias("version"))), "register")[0]
 
 
 _HASH = "sha256(coalesce(CAST(value AS VARCHAR), '') || '|' || state) AS content_hash"
@@ -165,7 +166,8 @@ def _derived(spark: SparkSession, d: str) -> DataFrame:
     f = frames.facts(spark, d)
     claims = f.where("doc_type = 'amendment'").select("collection_id", "agreement_id", "key").distinct()
     named = f.where("agreement_id <> ''").groupBy("collection_id").agg(F.count_distinct("agreement_id").alias("n_named"))
-    return derive.derive(f, _run(spark, d), claims, named)
+    # derived once, for what is proposed and committed reads it again and again
+    return written(derive.derive(f, _run(spark, d), claims, named), "derived")[0]
 
 
 _DERIVED = f"""SELECT * FROM (WITH run AS ({_RUN}), f AS (SELECT facts.*, new_document_id FROM facts JOIN run USING (collection_id)),
@@ -173,8 +175,8 @@ _DERIVED = f"""SELECT * FROM (WITH run AS ({_RUN}), f AS (SELECT facts.*, new_do
     ret AS (SELECT DISTINCT collection_id, agreement_id, key, supersedes_id AS document_id FROM auth WHERE supersedes_id IS NOT NULL AND document_id <> new_document_id),
     live AS (SELECT * FROM (SELECT *, bool_or(stays) OVER (PARTITION BY collection_id, agreement_id, key) AS any_stays FROM (SELECT a.*, r.document_id IS NULL AS stays FROM auth a LEFT JOIN ret r USING (collection_id, agreement_id, key, document_id))) WHERE stays OR NOT any_stays),
     ch AS (SELECT collection_id, agreement_id, key, max_by(fact_id, ROW(CAST(document_id = new_document_id AS INT), ingested_at, document_id, line)) AS challenger_id FROM live GROUP BY ALL),
-    c AS (SELECT ch.*, l.value AS c_value, l.document_id AS c_doc, l.supersedes_id AS c_sup, l.obligation_scope AS c_scope, l.conditions AS c_cond FROM ch JOIN live l ON l.fact_id = ch.challenger_id),
-    s AS (SELECT l.*, c.challenger_id, c_value, c_doc, c_sup, c_scope FROM live l JOIN c USING (collection_id, agreement_id, key) WHERE l.obligation_scope = c_scope AND l.conditions = c_cond),
+    c AS (SELECT ch.*, l.value AS c_value, l.document_id AS c_doc, l.supersedes_id AS c_sup, l.obligation_scope AS c_scope, l.conditions AS c_cond, l.parties AS c_parties FROM ch JOIN live l ON l.fact_id = ch.challenger_id),
+    s AS (SELECT l.*, c.challenger_id, c_value, c_doc, c_sup, c_scope FROM live l JOIN c USING (collection_id, agreement_id, key) WHERE l.obligation_scope = c_scope AND l.conditions = c_cond AND (len(l.parties) = 0 OR len(c_parties) = 0 OR l.parties = c_parties)),
     a AS (SELECT collection_id, agreement_id, key, count(*) AS n_in_scope, count(DISTINCT value) AS n_values, max_by(fact_id, ROW(ingested_at, document_id, line)) FILTER (WHERE value <> c_value) AS rival, min_by(fact_id, ROW(ingested_at, document_id, line)) AS oldest,
           any_value(challenger_id) AS challenger_id, any_value(c_value) AS c_value, any_value(c_doc) AS c_doc, any_value(c_sup) AS c_sup, any_value(c_scope) AS c_scope, any_value(new_document_id) AS nd FROM s GROUP BY ALL),
     n AS (SELECT collection_id, agreement_id, key, count(*) AS n_facts, bool_or(doc_type = 'amendment') AS claimed FROM f GROUP BY ALL),
@@ -184,7 +186,8 @@ _DERIVED = f"""SELECT * FROM (WITH run AS ({_RUN}), f AS (SELECT facts.*, new_do
     SELECT collection_id, agreement_id, key, CASE WHEN amb THEN NULL WHEN n_values = 1 THEN o_value WHEN sup THEN c_value ELSE i_value END AS value,
       CASE WHEN amb THEN 'ambiguous' WHEN n_values = 1 THEN 'supported' WHEN sup THEN 'supported' ELSE 'disputed' END AS state,
       CASE WHEN amb THEN 'ambiguous_scope' WHEN n_values = 1 THEN NULL WHEN sup THEN 'supersession_candidate' ELSE 'contradiction' END AS conflict_kind,
-      CASE WHEN amb THEN oldest WHEN n_values = 1 THEN NULL ELSE i_id END AS incumbent_id, CASE WHEN NOT amb AND n_values = 1 THEN NULL ELSE challenger_id END AS challenger_id, n_in_scope, n_facts - n_in_scope AS n_parallel FROM j)"""
+      CASE WHEN amb THEN oldest WHEN n_values = 1 THEN NULL ELSE i_id END AS incumbent_id, CASE WHEN NOT amb AND n_values = 1 THEN NULL ELSE challenger_id END AS challenger_id, n_in_scope, n_facts - n_in_scope AS n_parallel,
+      CASE WHEN amb THEN 'may be of ' || CAST(n_named AS VARCHAR) || ' agreements' WHEN n_values = 1 THEN CAST(n_in_scope AS VARCHAR) || ' agree' WHEN sup THEN 'claims to replace' ELSE 'differ without a claim' END || CASE WHEN n_facts > n_in_scope THEN '; ' || CAST(n_facts - n_in_scope AS VARCHAR) || ' out of scope' ELSE '' END AS reason FROM j)"""
 
 
 @query(_DERIVED, "facts")

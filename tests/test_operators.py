@@ -9,7 +9,27 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import cost, derive, events, nested, register, rules
 from ledgerloom.sources import files
 
-FACT = "fact_id long, document_id long, collection_id long, agreement_id string, key string, value long, doc_type string, obligation_scope string, conditions string, supersedes_id long, ingested_at timestamp_ntz, line long"
+FACT = "fact_id long, document_id long, collection_id long, agreement_id string, key string, value long, doc_type string, obligation_scope string, conditions string, supersedes_id long, ingested_at timestamp_ntz, line long, parties array<string>"
+
+
+def derive_one(facts: list[dict], new_document=None, claimed: bool = False, agreement: str = "", n_named: int = 0) -> dict:
+    """The same for the facts of one key, oldest first, in plain Python: what tests hold derive() against."""
+    if not facts:
+        return {"value": None, "state": "missing", "conflict_kind": None}
+    top = [f for f in facts if f["obligation_scope"] == "contractual"] or facts
+    gone = {f["supersedes_id"] for f in top if f["supersedes_id"] is not None and f["document_id"] != new_document}
+    top = [f for f in top if f["document_id"] not in gone] or top
+    challenger = ([f for f in top if f["document_id"] == new_document] or top)[-1]
+    scope = [f for f in top if (f["obligation_scope"], f["conditions"]) == (challenger["obligation_scope"], challenger["conditions"]) and (not f["parties"] or not challenger["parties"] or f["parties"] == challenger["parties"])]
+    if agreement == "" and n_named > 1 and challenger["obligation_scope"] == "contractual":
+        return {"value": None, "state": "ambiguous", "conflict_kind": "ambiguous_scope"}
+    if len({f["value"] for f in scope}) == 1:
+        return {"value": scope[0]["value"], "state": "supported", "conflict_kind": None}
+    rivals = [f for f in scope if f["value"] != challenger["value"]]
+    incumbent = rivals[-1] if rivals else scope[0]
+    if claimed and challenger["document_id"] == new_document and challenger["supersedes_id"] == incumbent["document_id"]:
+        return {"value": challenger["value"], "state": "supported", "conflict_kind": "supersession_candidate"}
+    return {"value": incumbent["value"], "state": "disputed", "conflict_kind": "contradiction"}
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -18,7 +38,7 @@ def test_derive_agrees_with_plain_python(spark, seed):
     rows = []
     for k in range(90):
         doc = rng.randrange(60)
-        rows.append((k, doc, doc % 4, rng.choice(["", "A"]), rng.choice(["p", "q"]), rng.choice([1, 1, 1, 2, 3]), "amendment", rng.choice(["contractual", "contractual", "operational"]), rng.choice(["", "", "if"]), rng.choice([None, None, (doc + 4 * rng.randrange(15)) % 60]), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=doc), k))
+        rows.append((k, doc, doc % 4, rng.choice(["", "A"]), rng.choice(["p", "q"]), rng.choice([1, 1, 1, 2, 3]), "amendment", rng.choice(["contractual", "contractual", "operational"]), rng.choice(["", "", "if"]), rng.choice([None, None, (doc + 4 * rng.randrange(15)) % 60]), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=doc), k, rng.choice([[], ["A", "B"], ["A", "C"]])))
     run = {c: rng.choice([c + 4 * rng.randrange(15), -1]) for c in range(4)}
     named = {0: 1, 1: 2, 2: 2}
     claimed = {(c, a, k) for c in range(4) for a in ("", "A") for k in ("p", "q") if rng.random() < 0.6}
@@ -33,7 +53,7 @@ def test_derive_agrees_with_plain_python(spark, seed):
     assert {r.state for r in out} == {"supported", "disputed", "ambiguous"}
     for r in out:
         own = sorted((f for f in facts if (f["collection_id"], f["agreement_id"], f["key"]) == (r.collection_id, r.agreement_id, r.key)), key=lambda f: (f["ingested_at"], f["document_id"], f["line"]))
-        want = derive.derive_one(own, run[r.collection_id], (r.collection_id, r.agreement_id, r.key) in claimed, r.agreement_id, named.get(r.collection_id, 0))
+        want = derive_one(own, run[r.collection_id], (r.collection_id, r.agreement_id, r.key) in claimed, r.agreement_id, named.get(r.collection_id, 0))
         assert {k: r[k] for k in want} == want
 
 
