@@ -1,50 +1,18 @@
-"""Shared pieces: the shared folder, written intermediate tables, batches by size, components."""
+"""Shared pieces: written intermediate tables, batches by size, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import drop_path, new_path, written  # noqa: F401  (used by the operators)
+
 #: The white space that all operators here split and strip by.
 SPACE = " \t\n\x0b\x0c\r"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def slices(lengths, limit: int) -> Iterator[slice]:
     """Consecutive slices whose lengths sum to about limit, one item at least."""
     start = total = 0
