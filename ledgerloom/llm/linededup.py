@@ -186,4 +186,5 @@ def dedup(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOC
                 rows.append((doc, n, n - len(lines), "\n".join(lines)))
             yield pd.DataFrame(rows, columns=["id", "n_lines", "n_dropped", "kept_text"])
 
-    return docs.join(lost, "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), "text", "lost").mapInPandas(drop, "id string, n_lines long, n_dropped long, kept_text string").select(F.col("id").cast("long").alias("doc_id"), "n_lines", "n_dropped", "kept_text")
+    # shuffled at every size: what a document loses grows with the documents
+    return docs.join(lost.hint("merge"), "doc_id", "left").select(F.col("doc_id").cast("string").alias("id"), "text", "lost").mapInPandas(drop, "id string, n_lines long, n_dropped long, kept_text string").select(F.col("id").cast("long").alias("doc_id"), "n_lines", "n_dropped", "kept_text")
