@@ -65,3 +65,138 @@ def export(register: DataFrame, citations: DataFrame, facts: DataFrame) -> DataF
     """A row for each register row with its citations nested in order of fact; rows without one stay."""
     c = citations.join(facts.select("fact_id", "document_id", "value"), "fact_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("fact_id", "document_id", "value"))).alias("quotes"))
     return register.join(c, "item_id", "left").select(register["*"], F.coalesce("quotes", F.array().cast("array<struct<fact_id:bigint,document_id:bigint,value:bigint>>")).alias("quotes"))
+
+
+def matching(frame: DataFrame, order: list | None = None, **wanted) -> DataFrame:
+    """Rows whose columns have the wanted values: one value, or any of a list (none of them for an empty one); None asks
+    for nothing."""
+    for name, value in wanted.items():
+        if isinstance(value, (list, tuple, set)):
+            frame = frame.where(F.col(name).isin(*value)) if value else frame.limit(0)
+        elif value is not None:
+            frame = frame.where(F.col(name) == value)
+    return frame.orderBy(*order) if order else frame
+
+
+def watched(collections: DataFrame) -> DataFrame:
+    """Collections with a folder to watch, by name."""
+    return collections.where("watch_path is not null and watch_path <> ''").orderBy("slug")
+
+
+def active_facts(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """facts with their document's party, oldest first; facts of unknown documents go."""
+    return facts.join(documents.select("document_id", "party_id"), "document_id").orderBy("ingested_at", "document_id", "line")
+
+
+def committed_by(register: DataFrame, reviews: DataFrame) -> DataFrame:
+    """register with n_reviews: the approved reviews (collection_id, state, payload) whose payload names its key."""
+    named = reviews.where("state = 'approved'").select("collection_id", F.get_json_object("payload", "$.target_key").alias("_target")).groupBy("collection_id", "_target").agg(F.count("*").alias("_n"))
+    rows = register.withColumn("_target", scoped_key()).join(named, ["collection_id", "_target"], "left")
+    return rows.select(*register.columns, F.coalesce("_n", F.lit(0)).alias("n_reviews"))
+
+
+def register_filter(register: DataFrame, agreement: str | None = None, state: str | None = None, key_part: str | None = None) -> DataFrame:
+    """What a reader picks: an agreement ('' is the unnamed one), a state, a part of a key in any case."""
+    rows = matching(register, agreement_id=agreement, state=state)
+    return rows.where(F.contains(F.lower("key"), F.lit(key_part.lower()))) if key_part else rows
+
+
+#: What rows of no agreement are listed under (a fixed value).
+UNNAMED = "(no agreement named)"
+
+
+def by_agreement(register: DataFrame) -> DataFrame:
+    """label, n_rows, keys of each agreement, by label, the unnamed last."""
+    label = F.when(F.col("agreement_id") == "", UNNAMED).otherwise(F.col("agreement_id"))
+    rows = register.groupBy(label.alias("label")).agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set("key")).alias("keys"))
+    return rows.orderBy(F.col("label") == UNNAMED, "label")
+
+
+#: In what order each kind of list is shown.
+LISTS = {
+    "runs": [F.desc, "started_at", "run_id"],
+    "documents": [F.desc, "ingested_at", "document_id"],
+    "register": [F.asc, "agreement_id", "key"],
+    "findings": [F.asc, "kind", "target", "code"],
+    "events": [F.asc, "run_id", "seq"],
+    "relations": [F.asc, "document_id", "quote_start"],
+    "stages": [F.asc, "created_at", "stage"],
+    "reviews": [F.asc, "kind", "target"],
+}
+
+
+def listed(frame: DataFrame, kind: str) -> DataFrame:
+    """A list in its order: the first column as the list wants it, ties by the others."""
+    direction, first, *rest = LISTS[kind]
+    return frame.orderBy(direction(first), *rest)
+
+
+def existing(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows whose parent exists; others are not written."""
+    return rows.join(parents.select(key).distinct(), key, "left_semi")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows with columns of the one row of a table that has their key, or nulls."""
+    return rows.join(table.select(key, *columns), key, "left")
+
+
+def with_decision(changes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """changes with decided: whether their id is a key of the decisions (a map by batch)."""
+    rows = changes.join(decisions, "batch_id", "left")
+    return rows.select(*changes.columns, F.coalesce(F.array_contains(F.map_keys("decisions"), F.col("change_id")), F.lit(False)).alias("decided"))
+
+
+def key_sets(new: DataFrame, old: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct keys of new with origin: 'new' if old lacks them, else 'both'."""
+    known = old.select(*columns).distinct().withColumn("_known", F.lit(True))
+    return new.select(*columns).distinct().join(known, columns, "left").select(*columns, F.when(F.col("_known"), "both").otherwise("new").alias("origin"))
+
+
+def values_by_key(facts: DataFrame, by: list[str]) -> DataFrame:
+    """Values of each key by their canonical JSON, with the facts that state each: n_facts, first_fact, last_fact. Long
+    form, a row for each value, for a key may have as many facts as there are documents."""
+    canonical = F.to_json(F.struct(F.col("value").alias("value")), {"ignoreNullFields": "false"})
+    return facts.groupBy(*by, canonical.alias("canonical")).agg(F.count("*").alias("n_facts"), F.min("fact_id").alias("first_fact"), F.max("fact_id").alias("last_fact"))
+
+
+def sets_of(rows: DataFrame, by: str, what: str) -> DataFrame:
+    """The sorted set of what occurs in each group, as text, with its count of rows."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(what)), ",").alias(f"{what}_set"))
+
+
+def document_text(blocks: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """document_id, n_blocks, text of documents put together from their blocks in order."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"])
+    return blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.array_join(parts, separator).alias("text"))
+
+
+def page_guard(uploads: DataFrame, chunks: str = "chunks", most_pages: int = 3, per_page: int = 12) -> DataFrame:
+    """uploads with pages (of so many chunks each) and whether they are allowed."""
+    pages = F.ceil(F.col(chunks) / F.lit(float(per_page))).cast("long")
+    return uploads.withColumn("pages", pages).withColumn("allowed", F.col("pages") <= most_pages)
+
+
+def whole_export(register: DataFrame, citations: DataFrame, facts: DataFrame, documents: DataFrame, findings: DataFrame, ruleset: DataFrame) -> DataFrame:
+    """collection_id, section, place, body: the whole artifact in long form, a JSON body for each row of each section, in
+    order; register rows carry the number of their quotes, which are rows of their own."""
+
+    def section(name: str, frame: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("collection_id").orderBy(*order))
+        return frame.select("collection_id", F.lit(name).alias("section"), place.cast("long").alias("place"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
+
+    quotes = citations.join(facts.select("fact_id", "document_id", "value"), "fact_id")
+    counts = quotes.groupBy("item_id").agg(F.count("*").alias("n_quotes"))
+    rows = register.join(counts, "item_id", "left").withColumn("n_quotes", F.coalesce("n_quotes", F.lit(0)))
+    cited = quotes.join(register.select("item_id", "collection_id"), "item_id")
+    parts = [
+        section("register", rows, ["agreement_id", "key"], ["agreement_id", "key", "value", "state", "version", "n_quotes"]),
+        section("quotes", cited, ["item_id", "fact_id"], ["item_id", "fact_id", "document_id", "value"]),
+        section("documents", documents, ["document_id"], ["document_id", "doc_type"]),
+        section("findings", findings, ["code", "target", "verdict"], ["code", "target", "verdict", "severity"]),
+        section("ruleset", ruleset, ["code"], ["code", "rule_text", "severity", "scope"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
