@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions import hashing, injection
 from ledgerloom.functions import text as T
-from ledgerloom.operators import cost, derive, events, nested, register, relational, rules
+from ledgerloom.operators import cost, derive, events, nested, register, relational, review, rules
 from ledgerloom.plans import frames
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.shared import written
@@ -37,12 +38,12 @@ _HASH = "sha256(coalesce(CAST(value AS VARCHAR), '') || '|' || state) AS content
 
 @query("SELECT document_id, party_id, status FROM docs WHERE collection_id = 3 AND doc_type IN ('invoice', 'sow')", "docs")
 def p1_p2_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return frames.documents(spark, d).where((F.col("collection_id") == 3) & F.col("doc_type").isin("invoice", "sow")).select("document_id", "party_id", "status")
+    return relational.matching(frames.documents(spark, d), collection_id=3, doc_type=["invoice", "sow"], party_id=None).select("document_id", "party_id", "status")
 
 
 @query("SELECT slug, watch_path FROM collections WHERE watch_path IS NOT NULL AND watch_path <> ''", "collections")
 def p4_watched_collections(spark: SparkSession, d: str) -> DataFrame:
-    return frames.collections(spark, d).where("watch_path is not null and watch_path <> ''").select("slug", "watch_path")
+    return relational.watched(frames.collections(spark, d)).select("slug", "watch_path")
 
 
 @query("SELECT fact_id, agreement_id || '::' || key AS scoped_key, agreement_id AS parsed_agreement, key AS parsed_key FROM facts", "facts")
@@ -54,8 +55,7 @@ def p6_scoped_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT agreement_id, key, count(*) AS n FROM ({_REGISTER}) WHERE contains(lower(key), 'pay') AND state = 'supported' GROUP BY ALL", "facts")
 def p8_console_filter(spark: SparkSession, d: str) -> DataFrame:
-    r = _register(spark, d)
-    return r.where(F.contains(F.lower("key"), F.lit("pay")) & (F.col("state") == "supported")).groupBy("agreement_id", "key").agg(F.count("*").alias("n"))
+    return relational.register_filter(_register(spark, d), state="supported", key_part="PAY").groupBy("agreement_id", "key").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH runs AS ({_RUNS}), last AS (SELECT run_id, max_by(stage, ROW(ts, event_id)) AS current_stage FROM run_events GROUP BY run_id), pend AS (SELECT user_id AS run_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY user_id)
@@ -81,8 +81,8 @@ def j2_a2_document_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT fact_id, f.doc_type, supersedes_id, party_id FROM facts f JOIN docs USING (document_id) WHERE supersedes_id IS NOT NULL", "facts", "docs")
 def j3_active_facts(spark: SparkSession, d: str) -> DataFrame:
-    docs = frames.documents(spark, d).select("document_id", "party_id")
-    return frames.facts(spark, d).where("supersedes_id is not null").join(docs, "document_id").select("fact_id", "doc_type", "supersedes_id", "party_id")
+    rows = relational.active_facts(frames.facts(spark, d), frames.documents(spark, d))
+    return rows.where("supersedes_id is not null").select("fact_id", "doc_type", "supersedes_id", "party_id")
 
 
 # Register rows cite every fact of their key; items are named by collection and key.
@@ -143,10 +143,9 @@ def j7_j16_relation_targets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT r.collection_id, r.agreement_id, r.key, count(o.document_id) AS n_reviews FROM ({_REGISTER}) r LEFT JOIN (SELECT *, agreement_id || '::' || key AS target_key FROM facts WHERE line = 1) o
     ON o.target_key = r.agreement_id || '::' || r.key AND o.collection_id = r.collection_id GROUP BY ALL""", "facts")
 def j8_committed_by(spark: SparkSession, d: str) -> DataFrame:
-    r = _register(spark, d).select("collection_id", "agreement_id", "key", relational.scoped_key().alias("target_key"))
     payload = F.to_json(F.struct(relational.scoped_key().alias("target_key")))
-    reviews = frames.facts(spark, d).where("line = 1").select("collection_id", F.get_json_object(payload, "$.target_key").alias("target_key")).groupBy("collection_id", "target_key").agg(F.count("*").alias("n"))
-    return r.join(reviews, ["collection_id", "target_key"], "left").select("collection_id", "agreement_id", "key", F.coalesce("n", F.lit(0)).alias("n_reviews"))
+    reviews = frames.facts(spark, d).select("collection_id", payload.alias("payload"), F.when(F.col("line") == 1, "approved").otherwise("rejected").alias("state"))
+    return relational.committed_by(_register(spark, d), reviews).select("collection_id", "agreement_id", "key", "n_reviews")
 
 
 _RUN = "SELECT collection_id, max_by(document_id, ROW(ingested_at, document_id)) AS new_document_id FROM facts GROUP BY collection_id"
@@ -244,20 +243,29 @@ def r2_rules_for_stage(spark: SparkSession, d: str) -> DataFrame:
     return rules.for_stage(frames.rules(spark), "source").select("code", "scope")
 
 
-@query()
+# The documents of these tables are within the budget, so all their blocks are shown; tests have tighter budgets.
+_FLAGGED = "regexp_matches(text, '(?i)\\bignore\\s+previous\\s+instructions\\b')"
+
+
+@query(f"""SELECT document_id, code, row_number() OVER (PARTITION BY document_id, code ORDER BY block_index) - 1 AS position, block_index, length(text) AS n_chars FROM blocks, rules WHERE scope IN ('source', 'both') AND NOT {_FLAGGED}""", "blocks", "rules")
 def t21_r3_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """The excerpts each source rule would see of each document; the fold over a budget is no SQL."""
-    b = frames.blocks(spark, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "text", F.contains("text", F.lit("Ignore previous")).alias("flagged")))).alias("blocks"))
-    rows = b.join(F.broadcast(rules.for_stage(frames.rules(spark), "source")), F.lit(True))
-    e = rows.select("document_id", "code", F.explode_outer(rules.excerpts(F.col("rule_text"), F.col("blocks"))).alias("e")).where("e is not null")
-    return e.select("document_id", "code", F.col("e.position").cast("long").alias("position"), F.col("e.block_index").alias("block_index"), F.length("e.text").cast("long").alias("n_chars"))
+    """The excerpts each source rule would see of each document, without blocks that speak to the reader's model."""
+    e = rules.excerpted(review.quarantined(frames.blocks(spark, d)), frames.rules(spark))
+    return e.select("document_id", "code", F.col("position").cast("long").alias("position"), "block_index", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+_WORDS = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z]{{4,}}'), lambda w: NOT list_contains({rules.CONTENT_STOP!r}, w)))"
+_LIMITS = "SELECT code, rule_text, CASE code WHEN 'LIA-01' THEN 'at_least' WHEN 'PAY-01' THEN 'at_most' END AS kind, CASE code WHEN 'LIA-01' THEN 250000 WHEN 'PAY-01' THEN 45 END AS bound, CASE code WHEN 'LIA-01' THEN 'liability' WHEN 'PAY-01' THEN 'payment' END AS subject FROM rules WHERE scope IN ('source', 'both')"
+_MONEY, _DAYS = "regexp_extract(q, '(?:USD|US\\$|\\$)\\s*(\\d[\\d,]*(?:\\.\\d+)?)', 1)", "regexp_extract(q, '(?i)(\\d[\\d,]*)\\s*\\)?\\s*(?:[a-z]+\\s+){0,2}days?\\b', 1)"
+
+
+@query(f"""SELECT * FROM (WITH s AS (SELECT document_id, block_index, i, trim(l[i]) AS q FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT document_id, block_index, string_split(regexp_replace(text, '([.!?])\\s+(["“(A-Z0-9])', '\\1' || chr(2) || '\\2', 'g'), chr(2)) AS l FROM blocks))),
+    m AS (SELECT code, document_id, kind, bound, block_index, i, q, contains(lower(q), subject) AS has, len(list_intersect({_WORDS("rule_text")}, {_WORDS("q")})) AS overlap, CAST(replace(nullif(CASE code WHEN 'LIA-01' THEN {_MONEY} ELSE {_DAYS} END, ''), ',', '') AS DOUBLE) AS n FROM s, ({_LIMITS})),
+    b AS (SELECT code, document_id, any_value(kind) AS kind, any_value(bound) AS bound, arg_min(ROW(n, q, block_index), ROW(NOT has, -overlap, block_index, i)) FILTER (WHERE kind IS NOT NULL AND (has OR overlap >= 3) AND n IS NOT NULL) AS f FROM m GROUP BY ALL)
+    SELECT code, document_id AS target, CASE WHEN f IS NULL THEN 'insufficient_evidence' WHEN kind = 'at_least' AND f[1] < bound OR kind = 'at_most' AND f[1] > bound THEN 'violation' ELSE 'pass' END AS verdict, f[2] AS quote, f[3] AS block_index FROM b)""", "blocks", "rules")
 def t25_r3_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Every source rule judged over every document's blocks by the threshold evaluator."""
-    pairs = frames.blocks(spark, d).join(F.broadcast(rules.for_stage(frames.rules(spark), "source")), F.lit(True)).select("code", "rule_text", F.col("document_id").alias("target"), "block_index", "text")
-    return rules.evaluate(pairs)
+    return rules.evaluate_all(frames.blocks(spark, d).withColumnRenamed("document_id", "target"), rules.for_stage(frames.rules(spark), "source"))
 
 
 @query("""SELECT code, document_id AS target, CASE WHEN f IS NOT NULL AND v = 'violation' THEN 'insufficient_evidence' ELSE v END AS verdict, f AS failure, CASE WHEN f IS NULL THEN CAST(instr(text, q) - 1 AS BIGINT) END AS quote_start, CASE WHEN f IS NULL THEN CAST(instr(text, q) - 1 + length(q) AS BIGINT) END AS quote_end FROM
@@ -331,15 +339,24 @@ def a8_run_cost(spark: SparkSession, d: str) -> DataFrame:
     return cost.totals(cost.by_stage(frames.run_events(spark, d), frames.ledger(spark, d), frames.prices(spark)))
 
 
-@query("SELECT stage, decision, count(*) AS n, count(DISTINCT run_id) AS n_runs FROM run_events GROUP BY ALL", "run_events")
+# Review items are events: their kind by event type, their state by decision.
+_REVIEWS = "SELECT event_id AS item, run_id, CASE stage WHEN 'purchase' THEN 'finding' WHEN 'signup' THEN 'classification' WHEN 'error' THEN 'conflict' ELSE 'register_update' END AS kind, CASE decision WHEN 'ok' THEN 'approved' WHEN 'failed' THEN 'rejected' ELSE 'pending' END AS state, model AS actor, ts FROM run_events"
+
+
+def _reviews(spark: SparkSession, d: str) -> DataFrame:
+    e = frames.run_events(spark, d)
+    kind = F.when(F.col("stage") == "purchase", "finding").when(F.col("stage") == "signup", "classification").when(F.col("stage") == "error", "conflict").otherwise("register_update")
+    return e.select(F.col("event_id").alias("item"), "run_id", kind.alias("kind"), F.when(F.col("decision") == "ok", "approved").when(F.col("decision") == "failed", "rejected").otherwise("pending").alias("state"), F.col("model").alias("actor"), "ts")
+
+
+@query(f"SELECT kind, state, count(*) AS n, count(DISTINCT run_id) AS n_runs FROM ({_REVIEWS}) GROUP BY ALL", "run_events")
 def a12_reviews_by_kind(spark: SparkSession, d: str) -> DataFrame:
-    return frames.run_events(spark, d).groupBy("stage", "decision").agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("n_runs"))
+    return review.review_counts(_reviews(spark, d))
 
 
 @query(f"SELECT CASE agreement_id WHEN '' THEN '(no agreement named)' ELSE agreement_id END AS label, count(*) AS n_rows, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM ({_REGISTER}) GROUP BY 1", "facts")
 def a13_k7_register_by_agreement(spark: SparkSession, d: str) -> DataFrame:
-    label = F.when(F.col("agreement_id") == "", "(no agreement named)").otherwise(F.col("agreement_id"))
-    return _register(spark, d).groupBy(label.alias("label")).agg(F.count("*").alias("n_rows"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
+    return relational.by_agreement(_register(spark, d)).withColumn("keys", F.array_join("keys", ","))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS seq FROM run_events", "run_events")
@@ -349,14 +366,12 @@ def a14_event_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT run_id, CAST(sum(CASE WHEN tokens_in > 0 THEN duration_ms ELSE 0 END) AS BIGINT) AS model_time, count(*) FILTER (WHERE cache_hit) AS cache_hits, count(*) FILTER (WHERE model = 'mystery' AND tokens_in > 0) AS unpriced, count(*) FILTER (WHERE decision = 'failed') AS failed FROM run_events GROUP BY run_id""", "run_events")
 def a15_dashboard(spark: SparkSession, d: str) -> DataFrame:
-    e = frames.run_events(spark, d)
-    return e.groupBy("run_id").agg(F.sum(F.when(F.col("tokens_in") > 0, F.col("duration_ms")).otherwise(0)).alias("model_time"), F.count_if("cache_hit").alias("cache_hits"), F.count_if((F.col("model") == "mystery") & (F.col("tokens_in") > 0)).alias("unpriced"), F.count_if(F.col("decision") == "failed").alias("failed"))
+    return review.run_dashboard(frames.run_events(spark, d), (F.col("model") == "mystery") & (F.col("tokens_in") > 0))
 
 
 @query("""SELECT collection_id, count(*) AS n_rows, count(DISTINCT sha256(text)) AS n_texts, count(*) - count(DISTINCT sha256(text)) AS n_repeats FROM docs GROUP BY collection_id""", "docs")
 def a17_exactly_once_audit(spark: SparkSession, d: str) -> DataFrame:
-    rows = frames.documents(spark, d).groupBy("collection_id").agg(F.count("*").alias("n_rows"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"))
-    return rows.withColumn("n_repeats", F.col("n_rows") - F.col("n_texts"))
+    return review.exactly_once(frames.documents(spark, d), "collection_id", F.sha2("text", 256))
 
 
 @query("""SELECT p_brand, p_partkey AS ruleset_id, p_size AS version FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey DESC) AS r FROM part) WHERE r = 1""")
@@ -365,12 +380,22 @@ def k1_g1_active_ruleset(spark: SparkSession, d: str) -> DataFrame:
     return relational.latest(p, ["p_brand"], [F.desc("p_size"), F.desc("p_partkey")]).select("p_brand", F.col("p_partkey").alias("ruleset_id"), F.col("p_size").alias("version"))
 
 
-@query("""SELECT document_id, (SELECT max_by(m.document_id, ROW(m.ingested_at, m.document_id)) FROM docs m WHERE m.party_id = d.party_id AND m.doc_type IN ('master_agreement', 'sow') AND ROW(m.ingested_at, m.document_id) < ROW(d.ingested_at, d.document_id)) AS target FROM docs d WHERE doc_type = 'amendment'""", "docs")
+# An amendment's relation names a target if a master agreement of its collection declares that reference.
+_NAMED = "SELECT m.document_id AS target, a.document_id FROM (SELECT collection_id, ref, max_by(document_id, ROW(ingested_at, document_id)) AS document_id FROM r WHERE doc_type = 'master_agreement' GROUP BY ALL) m JOIN (SELECT * FROM r WHERE doc_type = 'amendment') a USING (collection_id, ref)"
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    docs = frames.documents(spark, d).withColumn("ref", T.agreement_ref(F.col("text")))
+    declared = docs.where("doc_type = 'master_agreement'").withColumnRenamed("ref", "agreement_ref")
+    claims = docs.where("doc_type = 'amendment'").select("document_id", "collection_id", F.col("ref").alias("target_ref"))
+    return relational.resolved(claims, declared).where("target_document_id is not null").select("document_id", F.col("target_document_id").alias("target"))
+
+
+@query(f"""SELECT * FROM (WITH r AS ({_REFS}), named AS ({_NAMED}) SELECT document_id, coalesce((SELECT max(n.target) FROM named n WHERE n.document_id = d.document_id),
+    (SELECT max_by(m.document_id, ROW(m.ingested_at, m.document_id)) FROM docs m WHERE m.party_id = d.party_id AND m.doc_type IN ('master_agreement', 'sow') AND ROW(m.ingested_at, m.document_id) < ROW(d.ingested_at, d.document_id))) AS target FROM docs d WHERE doc_type = 'amendment')""", "docs")
 def k2_d7_supersession_target(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("party_id").orderBy("ingested_at", "document_id").rowsBetween(Window.unboundedPreceding, -1)
     docs = frames.documents(spark, d)
-    target = F.last(F.when(F.col("doc_type").isin("master_agreement", "sow"), F.col("document_id")), ignorenulls=True).over(w)
-    return docs.withColumn("target", target).where("doc_type = 'amendment'").select("document_id", "target")
+    return derive.supersession_target(docs, _targets(spark, d))
 
 
 @query("""SELECT run_id, grp, any_value(stage) AS stage, count(*) AS attempts, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, coalesce(max(CASE WHEN change = 1 AND branched THEN 1 END), 0) AS depth FROM
@@ -381,8 +406,7 @@ def k4_attempt_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT code, CASE severity WHEN 'blocker' THEN 1 WHEN 'major' THEN 2 WHEN 'minor' THEN 3 ELSE 4 END AS rank FROM rules", "rules")
 def k6_severity_order(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.when(F.col("severity") == "blocker", 1).when(F.col("severity") == "major", 2).when(F.col("severity") == "minor", 3).otherwise(4)
-    return frames.rules(spark).select("code", rank.alias("rank")).orderBy("rank", "code")
+    return frames.rules(spark).select("code", review.severity_rank(F.col("severity")).alias("rank")).orderBy("rank", "code")
 
 
 @query("SELECT document_id, collection_id, sha256(text) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY collection_id, sha256(text) ORDER BY ingested_at, document_id) AS r FROM docs) WHERE r = 1", "docs")
@@ -425,12 +449,14 @@ def w10_idempotency_claims(spark: SparkSession, d: str) -> DataFrame:
     return events.claims(frames.run_events(spark, d).select(F.col("run_id").alias("request_key"), F.col("stage").alias("fingerprint")))
 
 
-@query("""SELECT document_id, doc_type, 0.7 <= CASE doc_type WHEN 'policy' THEN 0.5 ELSE 0.9 END AS proceeds, CASE WHEN doc_type = 'policy' AND status = 'F' THEN 'sow' WHEN doc_type = 'policy' THEN NULL ELSE doc_type END AS final_type FROM docs""", "docs")
+# A quarter of the documents is read with less confidence; people answer for some of them, not always with a type.
+@query("""SELECT document_id, doc_type, confidence >= 0.7 AS proceeds, CASE WHEN confidence >= 0.7 THEN doc_type WHEN status = 'F' THEN 'sow' END AS final_type FROM
+    (SELECT document_id, doc_type, status, CASE doc_type WHEN 'amendment' THEN 0.95 WHEN 'master_agreement' THEN 0.96 WHEN 'invoice' THEN 0.94 WHEN 'policy' THEN 0.91 ELSE 0.93 END - CASE WHEN document_id % 4 = 1 THEN 0.3 ELSE 0 END AS confidence FROM docs)""", "docs")
 def g4_classification_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = frames.documents(spark, d)
-    proceeds = F.when(F.col("doc_type") == "policy", 0.5).otherwise(0.9) >= 0.7
-    human = F.when(F.col("status") == "F", "sow")
-    return docs.select("document_id", "doc_type", proceeds.alias("proceeds"), F.when(proceeds, F.col("doc_type")).otherwise(human).alias("final_type"))
+    said = docs.select("document_id", T.classify(F.col("text")).alias("c")).select("document_id", "c.doc_type", (F.col("c.confidence") - F.when(F.col("document_id") % 4 == 1, 0.3).otherwise(0.0)).alias("confidence"))
+    answers = docs.where("status <> 'P'").select("document_id", F.when(F.col("status") == "F", "sow").otherwise("memo").alias("answer"))
+    return review.classified(said, answers).select("document_id", "doc_type", "proceeds", "final_type")
 
 
 @query("SELECT event_id AS id, 0 AS place, 'c' || CAST(event_id AS VARCHAR) AS change_id, 'b' || CAST(user_id AS VARCHAR) AS batch_id, CAST(2 AS BIGINT) AS batch_total FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, 1, 'd' || CAST(event_id AS VARCHAR), 'own', 2 FROM events WHERE event_id % 4 = 0")
@@ -524,14 +550,15 @@ def d13_unchanged_proof(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("collection_id").agg(F.count("*").alias("n_keys"), F.count_if(F.col("content_hash") == F.col("after_hash")).alias("n_unchanged"))
 
 
-@query("""SELECT agreement_id, key, count(DISTINCT value) AS n_values, count(*) AS n_facts, string_agg(DISTINCT CAST(value AS VARCHAR), ',' ORDER BY CAST(value AS VARCHAR)) AS values_seen FROM facts GROUP BY ALL""", "facts")
+@query("""SELECT agreement_id, key, '{"value":' || CAST(value AS VARCHAR) || '}' AS canonical, count(*) AS n_facts, min(fact_id) AS first_fact, max(fact_id) AS last_fact FROM facts GROUP BY agreement_id, key, value""", "facts")
 def a10_a11_values_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return frames.facts(spark, d).groupBy("agreement_id", "key").agg(F.count_distinct("value").alias("n_values"), F.count("*").alias("n_facts"), F.array_join(F.array_sort(F.collect_set(F.col("value").cast("string"))), ",").alias("values_seen"))
+    return relational.values_by_key(frames.facts(spark, d), ["agreement_id", "key"])
 
 
-@query("SELECT doc_type, count(*) AS n, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM docs GROUP BY doc_type", "docs")
+@query("SELECT doc_type, count(*) AS n, string_agg(DISTINCT m, ',' ORDER BY m) AS method_set FROM (SELECT doc_type, CASE WHEN block_index = 0 THEN 'native' WHEN length(text) % 3 = 0 THEN 'ocr' ELSE 'table' END AS m FROM blocks) GROUP BY doc_type", "blocks")
 def a16_method_sets(spark: SparkSession, d: str) -> DataFrame:
-    return frames.documents(spark, d).groupBy("doc_type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+    methods = frames.blocks(spark, d).select("doc_type", F.when(F.col("block_index") == 0, "native").when(F.length("text") % 3 == 0, "ocr").otherwise("table").alias("method"))
+    return relational.sets_of(methods, "doc_type", "method")
 
 
 @query("""SELECT collection_id, agreement_id, key, max_by(fact_id, ROW(CAST(document_id = nd AS INT), ingested_at, document_id, line)) AS challenger_id FROM facts JOIN (SELECT collection_id, max_by(document_id, ROW(ingested_at, document_id)) AS nd FROM facts GROUP BY 1) USING (collection_id) GROUP BY ALL""", "facts")
@@ -540,72 +567,75 @@ def k3_challenger(spark: SparkSession, d: str) -> DataFrame:
     return derive.sides(f).select("collection_id", "agreement_id", "key", F.col("challenger.fact_id").alias("challenger_id")).distinct()
 
 
-@query(f"SELECT code, target, verdict FROM ({_FINDINGS}) WHERE verdict <> 'pass'", "facts", "rules")
+@query(f"SELECT code, target, verdict FROM ({_FINDINGS}) WHERE verdict <> 'pass' AND severity <> 'info'", "facts", "rules")
 def p7_adverse_findings(spark: SparkSession, d: str) -> DataFrame:
-    return _findings(spark, d).where("verdict <> 'pass'").select("code", "target", "verdict")
+    found = _findings(spark, d).withColumn("target_kind", F.when(F.col("severity") == "info", "document").otherwise("register_item"))
+    return review.adverse(found, "register_item").select("code", "target", "verdict")
 
 
 # Cached source verdicts: a document's key is known if an earlier document of the collection has the same text.
 @query("""SELECT document_id, first_value(document_id) OVER (PARTITION BY collection_id, sha256(text) ORDER BY ingested_at, document_id) AS reused_from, row_number() OVER (PARTITION BY collection_id, sha256(text) ORDER BY ingested_at, document_id) > 1 AS hit FROM docs""", "docs")
 def r5_w12_rule_cache(spark: SparkSession, d: str) -> DataFrame:
-    from ledgerloom.functions import hashing
-
     docs = frames.documents(spark, d).withColumn("cache_key", hashing.source_rule_cache_key(F.col("collection_id"), F.sha2("text", 256), F.lit(None).cast("string")))
-    w = Window.partitionBy("cache_key").orderBy("ingested_at", "document_id")
-    return docs.select("document_id", F.first("document_id").over(w).alias("reused_from"), (F.row_number().over(w) > 1).alias("hit"))
+    return review.reused(docs, ["ingested_at", "document_id"]).select("document_id", "reused_from", "hit")
 
 
 @query(f"""SELECT collection_id, agreement_id || '::' || key AS target, agreement_id || '::' || key || ' = {{"days":' || CAST(value AS VARCHAR) || '}} (' || state || ')' AS statement FROM ({_REGISTER}) SEMI JOIN (SELECT DISTINCT collection_id AS c, key AS k FROM ({_NEWEST})) n ON collection_id = n.c AND key = n.k""", "facts")
 def r6_deliverable_targets(spark: SparkSession, d: str) -> DataFrame:
-    touched = _newest(spark, d).select("collection_id", "key").distinct()
-    value = F.to_json(F.struct(F.col("value").alias("days")))
-    return _register(spark, d).join(touched, ["collection_id", "key"], "left_semi").select("collection_id", relational.scoped_key().alias("target"), F.concat(relational.scoped_key(), F.lit(" = "), value, F.lit(" ("), "state", F.lit(")")).alias("statement"))
+    return review.deliverable_targets(_register(spark, d), _newest(spark, d), ["collection_id", "key"])
 
 
 @query(f"""SELECT c.collection_id, coalesce(n, 0) AS n_findings, CASE WHEN coalesce(n, 0) = 0 THEN 'deliverable_confirmation' ELSE 'findings' END AS gate FROM collections c LEFT JOIN (SELECT collection_id, count(*) AS n FROM ({_FINDINGS}) WHERE verdict = 'violation' AND severity = 'minor' GROUP BY 1) USING (collection_id)""", "collections", "facts", "rules")
 def r8_gate_items(spark: SparkSession, d: str) -> DataFrame:
-    n = _findings(spark, d).where("verdict = 'violation' and severity = 'minor'").groupBy("collection_id").agg(F.count("*").alias("n"))
-    rows = frames.collections(spark, d).join(n, "collection_id", "left").select("collection_id", F.coalesce("n", F.lit(0)).alias("n_findings"))
-    return rows.withColumn("gate", F.when(F.col("n_findings") == 0, "deliverable_confirmation").otherwise("findings"))
+    found = _findings(spark, d)
+    return review.gate_items(frames.collections(spark, d), found.where("verdict = 'violation' and severity = 'minor'"), found)
 
 
 @query(f"""SELECT code, count(*) AS undecided FROM (SELECT code, target FROM ({_FINDINGS}) WHERE verdict <> 'pass' GROUP BY ALL) f ANTI JOIN (SELECT DISTINCT agreement_id || '::' || key AS target FROM facts WHERE document_id % 10 = 3 AND agreement_id <> '') d ON f.target = d.target GROUP BY code""", "facts", "rules")
 def r9_undecided_items(spark: SparkSession, d: str) -> DataFrame:
     open_items = _findings(spark, d).where("verdict <> 'pass'").select("code", "target").distinct()
-    decided = frames.facts(spark, d).where("document_id % 10 = 3 and agreement_id <> ''").select(relational.scoped_key().alias("target")).distinct()
-    return open_items.join(decided, "target", "left_anti").groupBy("code").agg(F.count("*").alias("undecided"))
+    decided = frames.facts(spark, d).where("document_id % 10 = 3 and agreement_id <> ''").select(relational.scoped_key().alias("target"))
+    return review.undecided(open_items, decided, ["target"]).groupBy("code").agg(F.count("*").alias("undecided"))
 
 
-@query("""SELECT p_brand, p_partkey AS upload, changed, CASE WHEN changed AND p_size % 3 = 0 THEN 'stale' WHEN changed THEN 'installed' ELSE 'no_op' END AS outcome FROM (SELECT *, coalesce(lag(p_type) OVER (PARTITION BY p_brand ORDER BY p_partkey) <> p_type, true) AS changed FROM part)""")
+@query("""SELECT * FROM (WITH RECURSIVE u AS (SELECT p_brand, p_partkey AS upload, p_type, CASE WHEN p_size % 3 > 0 THEN p_size % 4 END AS if_match, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+    f AS (SELECT p_brand, upload, p_type AS active, CAST(1 AS BIGINT) AS version, n, true AS changed, 'installed' AS outcome FROM u WHERE n = 1
+      UNION ALL SELECT u.p_brand, u.upload, CASE WHEN u.p_type <> f.active AND if_match = version THEN u.p_type ELSE f.active END, f.version + CASE WHEN u.p_type <> f.active AND if_match = version THEN 1 ELSE 0 END, u.n, u.p_type <> f.active,
+        CASE WHEN u.p_type = f.active THEN 'no_op' WHEN if_match = version THEN 'installed' ELSE 'stale' END FROM f JOIN u ON u.p_brand = f.p_brand AND u.n = f.n + 1)
+    SELECT p_brand, upload, changed, version, outcome FROM f)""")
 def w9_ruleset_install(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    changed = F.coalesce(F.lag("p_type").over(w) != F.col("p_type"), F.lit(True))
-    rows = frames.table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("upload"), changed.alias("changed"), "p_size")
-    return rows.select("p_brand", "upload", "changed", F.when(F.col("changed") & (F.col("p_size") % 3 == 0), "stale").when(F.col("changed"), "installed").otherwise("no_op").alias("outcome"))
+    p = frames.table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("upload"), "p_type", F.when(F.col("p_size") % 3 > 0, (F.col("p_size") % 4).cast("long")).alias("if_match"))
+    return review.install(p, "p_brand", "upload", "p_type")
 
 
-@query(f"""SELECT collection_id, agreement_id, key, version <> supplied AS refused FROM (SELECT *, CASE WHEN value % 4 = 0 THEN version - 1 ELSE version END AS supplied FROM ({_REGISTER}))""", "facts")
+@query(f"""SELECT collection_id, agreement_id, key, CASE value % 3 WHEN 0 THEN 'finding' WHEN 1 THEN 'proposal' ELSE 'classification' END AS kind, CASE value % 3 WHEN 1 THEN value % 4 = 0 WHEN 0 THEN value % 5 = 0 ELSE false END AS refused FROM ({_REGISTER})""", "facts")
 def w11_decision_basis(spark: SparkSession, d: str) -> DataFrame:
-    supplied = F.when(F.col("value") % 4 == 0, F.col("version") - 1).otherwise(F.col("version"))
-    return _register(spark, d).select("collection_id", "agreement_id", "key", (~F.col("version").eqNullSafe(supplied)).alias("refused"))
+    reg = _register(spark, d)
+    basis = review.candidate_basis(reg, F.lit("r1"))
+    now = reg.join(basis, "collection_id").select("collection_id", "agreement_id", "key", "version", "content_hash", "basis")
+    kind = F.when(F.col("value") % 3 == 0, "finding").when(F.col("value") % 3 == 1, "proposal").otherwise("classification")
+    supplied = reg.join(basis, "collection_id").select("collection_id", "agreement_id", "key", kind.alias("kind"), F.when(F.col("value") % 4 == 0, F.col("version") - 1).otherwise(F.col("version")).alias("supplied_version"), F.col("content_hash").alias("supplied_hash"), F.when(F.col("value") % 5 == 0, "old").otherwise(F.col("basis")).alias("supplied_basis"))
+    return review.basis_refused(supplied, now, ["collection_id", "agreement_id", "key"]).select("collection_id", "agreement_id", "key", "kind", "refused")
 
 
-@query("""SELECT document_id, count(*) FILTER (WHERE block_index > 0 AND text LIKE '%unless%') AS n_invalid, CASE WHEN count(*) FILTER (WHERE text LIKE '%unless%') = 0 THEN 'stored' WHEN any_value(document_id) % 2 = 0 THEN 'repaired' ELSE 'abstained' END AS outcome FROM blocks GROUP BY document_id""", "blocks")
+@query("""SELECT document_id, count(*) FILTER (WHERE contains(text, 'unless')) AS n_invalid, CASE WHEN count(*) FILTER (WHERE contains(text, 'unless')) = 0 THEN 'stored' WHEN count(*) FILTER (WHERE contains(text, 'without')) = 0 THEN 'repaired' ELSE 'abstained' END AS outcome FROM blocks GROUP BY document_id""", "blocks")
 def g7_repair_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    bad = F.contains("text", F.lit("unless"))
-    rows = frames.blocks(spark, d).groupBy("document_id").agg(F.count_if(bad & (F.col("block_index") > 0)).alias("n_invalid"), F.count_if(bad).alias("n"))
-    return rows.select("document_id", "n_invalid", F.when(F.col("n") == 0, "stored").when(F.col("document_id") % 2 == 0, "repaired").otherwise("abstained").alias("outcome"))
+    b = frames.blocks(spark, d)
+    # the first attempt quotes less than the clause, the second the whole block
+    tries = b.select("document_id", F.lit(0).alias("attempt"), F.instr("text", "unless").alias("at"), "text").unionByName(b.select("document_id", F.lit(1).alias("attempt"), F.instr("text", "without").alias("at"), "text"))
+    return review.repair(tries.select("document_id", "attempt", (F.col("at") == 0).alias("valid")))
 
 
 @query("""SELECT party_id, max_by(doc_type, ROW(ingested_at, document_id)) AS doc_type, max_by(document_id, ROW(ingested_at, document_id)) FILTER (WHERE doc_type = 'amendment') AS last_amendment FROM docs GROUP BY party_id""", "docs")
 def g19_latest_values(spark: SparkSession, d: str) -> DataFrame:
-    at = F.struct("ingested_at", "document_id")
-    return frames.documents(spark, d).groupBy("party_id").agg(F.max_by("doc_type", at).alias("doc_type"), F.max_by("document_id", F.when(F.col("doc_type") == "amendment", at)).alias("last_amendment"))
+    u = frames.documents(spark, d).select("party_id", "ingested_at", "document_id", "doc_type", F.when(F.col("doc_type") == "amendment", F.col("document_id")).alias("last_amendment"))
+    return review.lifecycle(u, "party_id", ["doc_type", "last_amendment"], ["ingested_at", "document_id"])
 
 
 @query(f"""SELECT * FROM (WITH a AS (SELECT agreement_id, key FROM ({_NEWEST})), b AS (SELECT agreement_id, key FROM facts ANTI JOIN (SELECT DISTINCT collection_id, document_id FROM ({_NEWEST})) n USING (collection_id, document_id))
     SELECT agreement_id, key, 'new' AS origin FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT agreement_id, key, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b))""", "facts")
 def s1_key_sets(spark: SparkSession, d: str) -> DataFrame:
     """Keys of the newest documents against those of all documents before them."""
-    a, b = (_newest(spark, d, how).select("agreement_id", "key") for how in ("left_semi", "left_anti"))
-    return a.subtract(b).withColumn("origin", F.lit("new")).unionByName(a.intersect(b).withColumn("origin", F.lit("both")))
+    return relational.key_sets(_newest(spark, d), _newest(spark, d, "left_anti"), ["agreement_id", "key"])
+
+

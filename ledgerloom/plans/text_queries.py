@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import grounding, hashing, injection, scoping
 from ledgerloom.functions import text as T
+from ledgerloom.operators import relational, review
 from ledgerloom.plans import frames
 from ledgerloom.plans.registry import query
 
@@ -36,9 +37,7 @@ def io4_type_sniff(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT document_id, count(*) AS n_blocks, string_agg(text, {_NL2} ORDER BY block_index) AS text FROM blocks GROUP BY document_id""", "blocks")
 def io5_document_text(spark: SparkSession, d: str) -> DataFrame:
-    b = frames.blocks(spark, d)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"])
-    return b.groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.array_join(parts, "\n\n").alias("text"))
+    return relational.document_text(frames.blocks(spark, d))
 
 
 @query("""SELECT doc_id, i - 1 AS line, CASE WHEN length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) < 30 THEN 'native extraction produced no readable text'
@@ -62,8 +61,8 @@ def io7_text_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT p_partkey AS upload_id, CAST(ceil(p_size / 12.0) AS BIGINT) AS pages, ceil(p_size / 12.0) <= 3 AS allowed FROM part""")
 def io16_page_guard(spark: SparkSession, d: str) -> DataFrame:
-    n = F.ceil(F.col("p_size") / 12.0).cast("long")
-    return frames.table(spark, d, "part").select(F.col("p_partkey").alias("upload_id"), n.alias("pages"), (n <= 3).alias("allowed"))
+    uploads = frames.table(spark, d, "part").select(F.col("p_partkey").alias("upload_id"), F.col("p_size").alias("chunks"))
+    return relational.page_guard(uploads).drop("chunks")
 
 
 @query(f"""SELECT document_id, CAST(len(p) AS BIGINT) AS n_paragraphs, array_to_string(p, '|') AS joined FROM
@@ -87,12 +86,18 @@ def t3_t4_injection_scan(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", injection.scan_of(F.col("clean"), F.col("t")).alias("s")).select("conv_id", "turn", "s.suspicious", F.array_join("s.signals", ",").alias("signals"), F.array_join("s.quotes", "|").alias("quotes"))
 
 
-@query("""SELECT document_id, block_index, regexp_matches(text, '(?i)\\b(?:ignore|disregard|forget|override)\\s+(?:all\\s+|any\\s+|the\\s+)?(?:previous|prior|earlier|above|preceding|system)\\s+(?:instruction|instructions|prompt|prompts|rules?|context)\\b') AS overrides,
-    regexp_matches(text, '(?i)\\b(?:approve|accept|sign\\s+off\\s+on|auto[- ]?approve|commit)\\s+(?:this|the|all|every)\\b') AS demands FROM blocks""", "blocks")
+_IMPERATIVES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{_re2(p)}') THEN '{n}' END" for n, p in injection.IMPERATIVES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT document_id, block_index, len(s) > 0 AS flagged, CASE WHEN len(s) > 0 THEN 'block ' || CAST(block_index AS VARCHAR) || ' set aside: ' || array_to_string(s, ', ') END AS warning FROM (SELECT *, {_IMPERATIVES} AS s FROM blocks)", "blocks")
 def g5_flagged_blocks(spark: SparkSession, d: str) -> DataFrame:
-    b = frames.blocks(spark, d)
-    has = lambda n: F.col("text").rlike(injection.IMPERATIVES[n])
-    return b.select("document_id", "block_index", has("override_instructions").alias("overrides"), has("approval_demand").alias("demands"))
+    return review.quarantined(frames.blocks(spark, d)).select("document_id", "block_index", "flagged", "warning")
+
+
+@query(f"SELECT document_id, block_index, CASE WHEN doc_type IN ('invoice', 'purchase_order') THEN 'operational' ELSE 'contractual' END AS obligation_scope FROM blocks WHERE len({_IMPERATIVES}) = 0", "blocks")
+def g6_extractable_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = review.extractable(frames.blocks(spark, d), frames.documents(spark, d))
+    return rows.select("document_id", "block_index", "scope.obligation_scope")
 
 
 # Every block of these documents is one sentence, so what follows a quote in its block is the rest of its sentence.
@@ -250,11 +255,11 @@ def h2_h3_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return f.select("fact_id", hashing.register_content_hash(F.struct(F.col("value").alias("days")), F.array(F.sha2(F.col("fact_id").cast("string"), 256)), F.lit("supported")).alias("content_hash"))
 
 
-@query("""SELECT collection_id, sha256('[' || string_agg('{"key":"' || agreement_id || '::' || key || '","value":' || CAST(v AS VARCHAR) || '}', ',' ORDER BY agreement_id || '::' || key) || ']') AS basis FROM (SELECT collection_id, agreement_id, key, max(value) AS v FROM facts GROUP BY ALL) GROUP BY collection_id""", "facts")
+@query("""SELECT collection_id, sha256('{"register":[' || string_agg('{"key":"' || agreement_id || '::' || key || '","state":"supported","value":' || CAST(v AS VARCHAR) || ',"version":' || CAST(n AS VARCHAR) || '}', ',' ORDER BY agreement_id || '::' || key) || '],"ruleset":"r1"}') AS basis
+    FROM (SELECT collection_id, agreement_id, key, max(value) AS v, count(*) AS n FROM facts GROUP BY ALL) GROUP BY collection_id""", "facts")
 def h4_basis_hash(spark: SparkSession, d: str) -> DataFrame:
-    rows = frames.facts(spark, d).groupBy("collection_id", "agreement_id", "key").agg(F.max("value").alias("v"))
-    item = F.struct(F.concat("agreement_id", F.lit("::"), "key").alias("key"), F.col("v").alias("value"))
-    return rows.groupBy("collection_id").agg(hashing.sha256_text(hashing.canonical_json(F.array_sort(F.collect_list(item)))).alias("basis"))
+    rows = frames.facts(spark, d).groupBy("collection_id", "agreement_id", "key").agg(F.max("value").alias("value"), F.count("*").alias("version"), F.lit("supported").alias("state"))
+    return review.candidate_basis(rows, F.lit("r1"))
 
 
 @query(f"""SELECT document_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS target_id
