@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import cost, derive, events, nested, register, rules
+from ledgerloom.operators import cost, derive, events, nested, register, relational, review, rules
 from ledgerloom.sources import files
 
 FACT = "fact_id long, document_id long, collection_id long, agreement_id string, key string, value long, doc_type string, obligation_scope string, conditions string, supersedes_id long, ingested_at timestamp_ntz, line long, parties array<string>"
@@ -153,3 +153,49 @@ def test_files(spark, tmp_path):
     assert ["empty" in r.error or "too large" in r.error for r in direct.collect()] == [True, True]  # Spark's reader passes over empty files
     text = {r.path[-5:]: (r.text, r.methods) for r in files.text_of(files.read_files(spark, str(tmp_path))).collect()}
     assert text["b.txt"] == ("One\n\nTwo\n\nThree", "txt") and len(text) == 2
+
+
+def test_missing_keys_and_citations(spark):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(1, 10, 1, "A", "p", 30, "master_agreement", "contractual", "", None, t, 1, []), (2, 20, 1, "A", "p", 45, "amendment", "contractual", "", 10, t + datetime.timedelta(days=1), 1, []), (3, 30, 1, "A", "p", 9, "invoice", "operational", "", None, t + datetime.timedelta(days=2), 1, [])]
+    facts = spark.createDataFrame(rows, FACT)
+    run = spark.createDataFrame([(1, 20)], "collection_id long, new_document_id long")
+    keys = spark.createDataFrame([(1, "A", "p"), (1, "A", "q")], "collection_id long, agreement_id string, key string")
+    out = derive.derive(facts, run, keys.where("key = 'p'"), None, keys)
+    got = {r.key: r for r in out.collect()}
+    assert got["p"].value == 45 and got["p"].conflict_kind == "supersession_candidate" and got["p"].reason == "claims to replace; 1 out of scope"
+    assert got["q"].state == "missing" and got["q"].value is None
+    assert [r.fact_id for r in derive.citations(facts, run, out).collect()] == [2]
+
+
+def test_agreement_order(spark):
+    claims = spark.createDataFrame([(1, "references", "R-1", 0), (1, "amends", "", 1), (1, "amends", "A-1", 2), (2, "governed_by", "G-1", 3), (2, "amends", "A-2", 5), (3, "supersedes", "S-1", 0)], "document_id long, kind string, target_ref string, place int")
+    declared = spark.createDataFrame([(1, None), (2, None), (3, "OWN"), (4, None)], "document_id long, agreement_ref string")
+    assert {r.document_id: r.agreement_id for r in derive.agreement_of(claims, declared).collect()} == {1: "R-1", 2: "A-2", 3: "OWN", 4: ""}
+
+
+def test_lists_and_lookups(spark):
+    runs = spark.createDataFrame([(1, "b", 5), (2, "a", 9), (3, "c", 9)], "run_id long, status string, started_at long")
+    assert [r.run_id for r in relational.listed(runs, "runs").collect()] == [2, 3, 1]
+    assert relational.matching(runs, status=[]).count() == 0 and relational.matching(runs, status=None).count() == 3 and relational.matching(runs, status=["a", "b"], run_id=1).count() == 1
+    reg = spark.createDataFrame([("", "k1"), ("B", "k2"), ("A", "k3")], "agreement_id string, key string")
+    assert [r.label for r in relational.by_agreement(reg).collect()] == ["A", "B", relational.UNNAMED]
+    assert [r.key for r in relational.register_filter(reg, agreement="").collect()] == ["k1"]
+
+
+def test_gates(spark):
+    found = spark.createDataFrame([(1, "x")], "collection_id long, code string")
+    both = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "collection_id long, slug string")
+    assert {r.collection_id: r.gate for r in review.gate_items(both, found, both.where("collection_id < 3")).collect()} == {1: "findings", 2: "deliverable_confirmation", 3: "none"}
+    up = spark.createDataFrame([("p", 1, "a", None), ("p", 2, "a", None), ("p", 3, "b", None), ("p", 4, "b", 1), ("p", 5, "a", 1)], "name string, n long, content string, if_match long")
+    assert [(r.outcome, r.version) for r in review.install(up, "name", "n", "content").orderBy("n").collect()] == [("installed", 1), ("no_op", 1), ("stale", 1), ("installed", 2), ("stale", 2)]
+    tries = spark.createDataFrame([(1, 0, True), (2, 0, False), (2, 1, True), (3, 0, False), (3, 1, False), (3, 2, True)], "document_id long, attempt int, valid boolean")
+    assert {r.document_id: r.outcome for r in review.repair(tries).collect()} == {1: "stored", 2: "repaired", 3: "abstained"}
+
+
+def test_excerpts_within_a_budget(spark):
+    blocks = spark.createDataFrame([(1, 0, "payment terms here", False), (1, 1, "payment terms " * 40, False), (1, 2, "payment", False), (1, 3, "payment terms flagged", True), (1, 4, "other words", False)], "document_id long, block_index long, text string, flagged boolean")
+    playbook = spark.createDataFrame([("P", "Payment terms must not exceed 45 days.", "major", "source", [])], "code string, rule_text string, severity string, scope string, target_keys array<string>")
+    assert [(r.position, r.block_index) for r in rules.excerpted(blocks, playbook, 2, 40).orderBy("position").collect()] == [(0, 0), (1, 2)]
+    with pytest.raises(ValueError, match="rules at most"):
+        rules.applicable(spark.range(rules.MOST_RULES + 1).selectExpr("cast(id as string) as code", "'t' as rule_text", "'major' as severity", "'both' as scope", "cast(array() as array<string>) as target_keys"), blocks)
