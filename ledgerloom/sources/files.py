@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -116,3 +117,63 @@ def columns_of(boxes: DataFrame, gap: float = 20.0, least: int = 4) -> DataFrame
     n = F.count("*").over(Window.partitionBy("page"))
     rows = boxes.select("page", "x0", before.alias("reach"), n.alias("n"))
     return rows.groupBy("page").agg(F.when(F.max("n") < least, F.array(F.lit(0.0))).otherwise(F.array_sort(F.collect_list(F.when(F.col("reach").isNull() | (F.col("x0") > F.col("reach") + gap), F.col("x0"))))).alias("columns"))
+
+
+def image_coverage(boxes: DataFrame) -> DataFrame:
+    """path, page, image_share of pages from their boxes (path, page, kind, x0, y0, x1, y1, page_area): the area of image
+    boxes in that of the page, 1 at most; a page without area has none."""
+    area = F.when(F.col("kind") == "image", F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).otherwise(0.0)
+    rows = boxes.groupBy("path", "page").agg(F.sum(area).alias("covered"), F.max("page_area").alias("page_area"))
+    return rows.select("path", "page", F.when(F.abs("page_area") > 0, F.least(F.col("covered") / F.abs("page_area"), F.lit(1.0))).otherwise(0.0).alias("image_share"))
+
+
+PAGE = "path string, page int, text string, method string, error string, model string, tokens_in long, tokens_out long, duration_ms long"
+
+
+def read_pages(pages: DataFrame, reader: Callable[[bytes, int], tuple[str, dict]] | None = None) -> DataFrame:
+    """Pages (path, page, text, image_share, has_table, image) as PAGE: a page whose text cannot be trusted is read from
+    its image by the reader, a function of the image and page number to a text and its usage; without one, or if that is
+    no better, the page has an error. What each call used is kept beside the page."""
+    rows = pages.select("path", "page", "text", "image", T.quality_reason(F.coalesce("text", F.lit("")), F.col("image_share"), F.col("has_table")).alias("problem"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, page, text, image, problem in batch.itertuples(index=False, name=None):
+                if problem is None:
+                    out.append((path, page, text, "native", None, None, 0, 0, 0))
+                    continue
+                if reader is None:
+                    out.append((path, page, None, None, f"{problem}; no page reader is installed", None, 0, 0, 0))
+                    continue
+                began = time.perf_counter()
+                try:
+                    read, used = reader(bytes(image) if image is not None else b"", int(page))
+                    error = None if sum(c.isalnum() for c in read) >= T.LEAST_ALNUM else f"{problem}; the page reader found nothing legible"
+                except Exception as e:  # a page's failure is its own
+                    read, used, error = None, {}, f"{problem}; the page reader failed: {e}"[:300]
+                out.append((path, page, None if error else read, None if error else "ocr", error, used.get("model", "unknown"), used.get("tokens_in", 0), used.get("tokens_out", 0), int((time.perf_counter() - began) * 1000)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGE.split(", ")])
+
+    return rows.mapInPandas(run, PAGE)
+
+
+def page_events(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """What page readers used, as events of the run (path, run_id) that the file became."""
+    rows = pages.where("model is not null").join(runs.select("path", "run_id"), "path")
+    reason = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" read by "), "model")
+    return rows.select("run_id", F.lit("ingest").alias("stage"), F.lit("external_call").alias("decision"), reason.alias("reason"), "duration_ms", "tokens_in", "tokens_out", "model", F.lit("ocr").alias("external_service"))
+
+
+def runs_of(files: DataFrame, collection: str, started_at) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, blocks, refused) of files (path, length, content): the one way from bytes to a run. A file becomes a run with
+    all its blocks, or is refused with its error and becomes none. The id is that of collection and content."""
+    from ledgerloom.functions import hashing
+
+    read = blocks_of(files)
+    refused = read.where("error is not null").select("path", "error")
+    blocks = read.where("error is null").drop("error")
+    key = F.concat(F.lit(f"{collection}:"), F.sha2("content", 256))
+    named = files.select("path", hashing.name_uuid(key).alias("run_id"), F.sha2("content", 256).alias("sha"))
+    runs = blocks.groupBy("path").agg(F.count("*").alias("n_blocks")).join(named, "path")
+    return runs.select("run_id", F.lit(collection).alias("collection"), "path", "sha", "n_blocks", F.lit("running").alias("status"), F.lit(started_at).alias("started_at")), blocks, refused

@@ -11,7 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import hashing
-from ledgerloom.sources.files import LARGEST
+from ledgerloom.operators import relational
+from ledgerloom.sources.files import LARGEST, blocks_of
+from ledgerloom.sources.tables import append_new, stored
 
 # Fixed value: files that are still being written.
 PARTIAL = (".part", ".partial", ".crdownload", ".tmp", ".swp", ".swx")
@@ -32,15 +34,33 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path).where(wanted(F.col("path")))
 
 
+def folders(collections: DataFrame) -> list[tuple[str, str]]:
+    """(name, folder) of the collections that are watched now, listed afresh for each sweep: one row for each folder that
+    somebody set up by hand."""
+    return [(r.slug, r.watch_path) for r in relational.watched(collections).collect()]
+
+
 def keyed(files: DataFrame, collection: str, largest: int = LARGEST) -> DataFrame:
-    """files with collection, watch_key and outcome: by content, or by path and size for what is refused unread."""
+    """files with collection, watch_key and outcome: by content, or by path and size for what is refused unread. A file
+    whose content did not come is unavailable, and has no key: it is not recorded, so a later sweep takes it."""
     big = F.col("length") > largest
     key = F.when(big, F.concat(F.lit("watch:sha256:"), hashing.oversize_key(F.col("path"), F.col("length")))).otherwise(hashing.watch_key(F.col("content")))
-    return files.select("path", "length", F.lit(collection).alias("collection"), key.alias("watch_key"), F.when(big, "oversize").otherwise("new").alias("outcome"))
+    outcome = F.when(big, "oversize").when(F.col("content").isNull(), "unavailable").otherwise("new")
+    return files.select("path", "length", F.lit(collection).alias("collection"), key.alias("watch_key"), outcome.alias("outcome"), F.when(~big, F.col("content")).alias("content"))
+
+
+def judged(files: DataFrame, readers_of=blocks_of) -> DataFrame:
+    """files with outcome and n_blocks: a new file that cannot be read is unreadable and stays recorded as such, so it is
+    not read again; one file's failure is its own."""
+    read = readers_of(files.where("outcome = 'new'").select("path", "length", "content"))
+    found = read.groupBy("path").agg(F.max("error").alias("error"), F.count("block_index").alias("n_blocks"))
+    rows = files.drop("content").join(found, "path", "left")
+    return rows.withColumn("outcome", F.when(F.col("error").isNotNull(), "unreadable").otherwise(F.col("outcome"))).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
 
 
 def once_each(files: DataFrame) -> DataFrame:
-    """One row for each collection and content; the checkpoint remembers them over restarts."""
+    """One row for each collection and content of a stream. Its state is all keys seen; ingest() needs none, for it asks the
+    stored table."""
     return files.dropDuplicates(["collection", "watch_key"])
 
 
@@ -73,20 +93,41 @@ def stable_stream(sightings: DataFrame) -> DataFrame:
     return sightings.groupBy("path").applyInPandasWithState(run, "path string, size long, mtime long", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def sink(batch: DataFrame, batch_id: int, runs_path: str) -> None:
-    """Appends the contents that no run holds yet. Each batch has a folder of its own that a repeated attempt
-    overwrites, so a batch that is run twice is stored once."""
-    spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(f"{runs_path}/batch=*").where(F.input_file_name().rlike(f"batch={batch_id}/") == F.lit(False))
-        batch = batch.join(known.select("collection", "watch_key"), ["collection", "watch_key"], "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    batch.write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
+def sink(batch: DataFrame, batch_id: int, runs_path: str, collection: str, largest: int = LARGEST) -> None:
+    """Stores what each file of a batch came to, once for each content that no run holds yet. A batch that is run twice is
+    stored once."""
+    rows = judged(keyed(batch, collection, largest)).where("outcome <> 'unavailable'")
+    append_new(rows, runs_path, ["collection", "watch_key"], batch_id, ["path"])
+
+
+def ingest(spark: SparkSession, folder: str, collection: str, runs_path: str, checkpoint: str, largest: int = LARGEST):
+    """A stream that takes what is in the folder now, exactly once over restarts, and ends. It keeps no state but the stored
+    table, of which a batch reads the shards of its own keys."""
+    files = source(spark, folder)
+    return files.writeStream.foreachBatch(lambda df, i: sink(df, i, runs_path, collection, largest)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def report(spark: SparkSession, runs_path: str) -> DataFrame:
+    """collection, outcome, n, first_path, last_path of what was taken."""
+    return stored(spark, runs_path).groupBy("collection", "outcome").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+
+
+#: States that end a run (fixed values).
+SETTLED = ("committed", "blocked", "failed", "cancelled")
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """run_id, status, settled, n_events of runs from their status events (run_id, seq, status), batch or stream: the latest
+    wins, but nothing follows a settled state."""
+    first_end = F.min_by("status", F.when(F.col("status").isin(*SETTLED), F.col("seq")))
+    rows = events.groupBy("run_id").agg(first_end.alias("end"), F.max_by("status", "seq").alias("last"), F.count("*").alias("n_events"))
+    return rows.select("run_id", F.coalesce("end", "last").alias("status"), F.col("end").isNotNull().alias("settled"), "n_events")
 
 
-def ingest(spark: SparkSession, folder: str, collection: str, runs_path: str, checkpoint: str):
-    """A stream that takes what is in the folder now, exactly once over restarts, and ends."""
-    files = once_each(keyed(source(spark, folder), collection))
-    return files.writeStream.foreachBatch(lambda df, i: sink(df, i, runs_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def waits(interval: float = 2.0, factor: float = 1.5, longest: float = 30.0, timeout: float = 300.0) -> list[float]:
+    """How long a client that asks for a run's state waits each time, until its time is up."""
+    out, now = [], interval
+    while sum(out) + now <= timeout:
+        out.append(now)
+        now = min(now * factor, longest)
+    return out

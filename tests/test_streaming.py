@@ -23,3 +23,51 @@ def test_stable_sightings(spark):
     rows = [("a", 1, 5, 1), ("a", 2, 5, 1), ("a", 3, 6, 2), ("a", 5, 6, 2), ("b", 1, 1, 1)]
     got = {(r.path, r.poll): r.stable for r in watch.stable(spark.createDataFrame(rows, "path string, poll long, size long, mtime long")).collect()}
     assert got == {("a", 1): False, ("a", 2): True, ("a", 3): False, ("a", 5): False, ("b", 1): False}
+
+
+def test_outcomes_are_recorded_once(spark, tmp_path):
+    inbox, out, mark = tmp_path / "inbox", str(tmp_path / "runs"), str(tmp_path / "mark")
+    inbox.mkdir()
+    (inbox / "good.txt").write_text("one\n\ntwo")
+    (inbox / "bad.txt").write_bytes(b"\xff\xfe\x00")
+    (inbox / "what.exe").write_text("program")
+    (inbox / "big.txt").write_text("x" * 5000)
+    watch.ingest(spark, str(inbox), "c", out, mark, largest=1000).awaitTermination(60)
+    got = {r.path.rsplit("/", 1)[-1]: (r.outcome, r.n_blocks) for r in spark.read.parquet(out).collect()}
+    assert got == {"good.txt": ("new", 2), "bad.txt": ("unreadable", 0), "what.exe": ("unreadable", 0), "big.txt": ("oversize", 0)}
+    (inbox / "bad again.txt").write_bytes(b"\xff\xfe\x00")
+    watch.ingest(spark, str(inbox), "c", out, mark, largest=1000).awaitTermination(60)
+    assert spark.read.parquet(out).count() == 4
+    assert {r.outcome: r.n for r in watch.report(spark, out).collect()} == {"new": 1, "unreadable": 2, "oversize": 1}
+
+
+def test_a_batch_run_twice_is_stored_once(spark, tmp_path):
+    out = str(tmp_path / "runs")
+    files = lambda *rows: spark.createDataFrame(rows, "path string, length long, content binary")
+    first = files(("/a.txt", 1, bytearray(b"a")), ("/b.txt", 1, bytearray(b"b")), ("/gone.txt", 1, None))
+    watch.sink(first, 0, out, "c")
+    watch.sink(first, 0, out, "c")
+    watch.sink(files(("/c.txt", 1, bytearray(b"a")), ("/gone.txt", 1, bytearray(b"z"))), 1, out, "c")
+    assert sorted(r.path for r in spark.read.parquet(out).collect()) == ["/a.txt", "/b.txt", "/gone.txt"]
+
+
+def test_stable_stream(spark, tmp_path):
+    """Sightings of several sweeps; a file is taken when it holds still, and again after it has changed and does so."""
+    rows = [("a", 1, 5, 1), ("a", 2, 5, 1), ("a", 3, 5, 1), ("a", 4, 6, 2), ("a", 5, 6, 2), ("b", 1, 1, 1), ("b", 2, 2, 1), ("c", 1, 1, 1), ("c", 3, 1, 1)]
+    spark.createDataFrame(rows, "path string, poll long, size long, mtime long").write.parquet(str(tmp_path / "in"))
+    stream = watch.stable_stream(spark.readStream.schema("path string, poll long, size long, mtime long").parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("a", 5, 1), ("a", 6, 2)]
+
+
+def test_run_states_and_waits(spark):
+    rows = [(1, 1, "running"), (1, 2, "awaiting_review"), (2, 1, "running"), (2, 2, "committed"), (2, 3, "running"), (3, 1, "failed")]
+    got = {r.run_id: (r.status, r.settled, r.n_events) for r in watch.run_states(spark.createDataFrame(rows, "run_id long, seq long, status string")).collect()}
+    assert got == {1: ("awaiting_review", False, 2), 2: ("committed", True, 3), 3: ("failed", True, 1)}
+    w = watch.waits()
+    assert w[:3] == [2.0, 3.0, 4.5] and max(w) == 30.0 and sum(w) <= 300 < sum(w) + 30
+
+
+def test_folders(spark):
+    rows = spark.createDataFrame([("b", "/inbox/b"), ("a", "/inbox/a"), ("c", ""), ("d", None)], "slug string, watch_path string")
+    assert watch.folders(rows) == [("a", "/inbox/a"), ("b", "/inbox/b")]
