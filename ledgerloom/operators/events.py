@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.operators.folds import folded
+
 
 def sequenced(events: DataFrame) -> DataFrame:
     """events with seq, from 1 on within each run."""
@@ -58,14 +61,11 @@ def leases(takes: DataFrame, ttl_seconds: int = 300) -> DataFrame:
     The holder before a take is the owner of the last grant; grants are found by a fold over each run's takes
     in order, since each depends on the one before.
     """
-    ordered = takes.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "owner"))).alias("t"))
-    kind = "struct<owner:string,until:timestamp_ntz,out:array<struct<seq:bigint,owner:string,granted:boolean>>>"
-    start = F.lit(None).cast(kind)
+    kind = dict(takes.dtypes)["run_id"]
+    ttl = pd.Timedelta(seconds=ttl_seconds)
 
-    def step(s, x):
-        free = s.isNull() | (s["owner"] == x["owner"]) | (s["until"] <= x["ts"])
-        done = F.concat(F.coalesce(s["out"], F.array().cast("array<struct<seq:bigint,owner:string,granted:boolean>>")), F.array(F.struct(x["seq"].alias("seq"), x["owner"].alias("owner"), free.alias("granted"))))
-        until = x["ts"] + F.make_dt_interval(secs=F.lit(ttl_seconds))
-        return F.struct(F.when(free, x["owner"]).otherwise(s["owner"]).alias("owner"), F.when(free, until).otherwise(s["until"]).alias("until"), done.alias("out"))
+    def step(held, take):
+        free = held is None or held[0] == take.owner or held[1] <= take.ts
+        return ((take.owner, take.ts + ttl) if free else held), (take.seq, take.owner, free)
 
-    return ordered.select("run_id", F.explode(F.aggregate("t", start, step)["out"]).alias("o")).select("run_id", "o.*")
+    return folded(takes.select("run_id", "ts", "seq", "owner"), ["run_id"], ["ts", "seq", "owner"], f"run_id {kind}, seq long, owner string, granted boolean", None, step)

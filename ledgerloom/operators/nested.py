@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.operators.folds import folded
+
 CHANGE = "struct<change_id:string,operation:string,chunk_id:string,document_id:string,old_html:string,new_html:string,batch_id:string,batch_total:bigint>"
 ENVELOPE = f"struct<batch_id:string,batch_total:bigint,changes:array<{CHANGE}>>"
 
@@ -35,16 +37,16 @@ def first_of_each(frame: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def within_budget(calls: DataFrame, most: int, order: list[str], by: list[str]) -> DataFrame:
-    """calls (n) with used_before and allowed: a call is refused before it is made if it would pass the budget;
-    a refused call uses nothing, so those after it may still fit."""
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<k:bigint,used_before:bigint,allowed:boolean>>").alias("out"))
+    """calls (k, n) with used_before and allowed: a call is refused before it is made if it would pass the budget;
+    a refused call uses nothing, so those after it may still fit. Ties are in the order of n and k."""
+    kinds = dict(calls.dtypes)
+    rows = calls.select(*by, *order, F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"))
 
-    def step(s, x):
-        ok = s["used"] + x["n"] <= most
-        return F.struct((s["used"] + F.when(ok, x["n"]).otherwise(0)).cast("long").alias("used"), F.concat(s["out"], F.array(F.struct(x["k"].alias("k"), s["used"].alias("used_before"), ok.alias("allowed")))).alias("out"))
+    def step(used, call):
+        fits = used + call.n <= most
+        return used + call.n * fits, (call.k, used, fits)
 
-    rows = calls.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("n").cast("long").alias("n"), F.col("k")))).alias("c"))
-    return rows.select(*by, F.explode(F.aggregate("c", state, step)["out"]).alias("o")).select(*by, "o.*")
+    return folded(rows, by, [*order, "n", "k"], ", ".join([*(f"{c} {kinds[c]}" for c in by), "k long", "used_before long", "allowed boolean"]), 0, step)
 
 
 def camel_names(frame: DataFrame) -> DataFrame:

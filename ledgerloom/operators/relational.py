@@ -27,11 +27,20 @@ def pages(documents: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def cited(register: DataFrame, citations: DataFrame) -> DataFrame:
-    """Register rows with their fact ids and sorted fingerprints; empty arrays, never null."""
+    """Register rows with their fact ids and sorted fingerprints; empty arrays, never null. For rows with few citations:
+    all of a row's are one array (citation_counts and the long form have no such bound)."""
     c = citations.groupBy("item_id").agg(F.array_sort(F.collect_list("fact_id")).alias("fact_ids"), F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
     return register.join(c, "item_id", "left").select(register["*"], F.coalesce("fact_ids", F.array().cast("array<bigint>")).alias("fact_ids"), F.coalesce("fingerprints", F.array().cast("array<string>")).alias("fingerprints"))
 
 
+def citation_counts(register: DataFrame, citations: DataFrame) -> DataFrame:
+    """Register rows with n_facts, n_fingerprints and first_fact of their citations, which stay rows of their own: a key may
+    be cited by as many facts as there are documents."""
+    c = citations.groupBy("item_id").agg(F.count("*").alias("n_facts"), F.count_distinct("fingerprint").alias("n_fingerprints"), F.min("fact_id").alias("first_fact"))
+    rows = register.join(c, "item_id", "left")
+    return rows.select(register["*"], F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("n_fingerprints", F.lit(0)).alias("n_fingerprints"), "first_fact")
+
+
 def affected_keys(register: DataFrame, citations: DataFrame, facts: DataFrame, superseded: DataFrame, new: DataFrame) -> DataFrame:
     """agreement_id, key of rows that cite a superseded document's facts, and of new facts."""
     old = facts.join(superseded.select("document_id").distinct(), "document_id", "left_semi").select("fact_id")
@@ -62,7 +71,8 @@ def latest(frame: DataFrame, by: list[str], order: list) -> DataFrame:
 
 
 def export(register: DataFrame, citations: DataFrame, facts: DataFrame) -> DataFrame:
-    """A row for each register row with its citations nested in order of fact; rows without one stay."""
+    """A row for each register row with its citations nested in order of fact; rows without one stay. For rows with few
+    citations (whole_export has no such bound)."""
     c = citations.join(facts.select("fact_id", "document_id", "value"), "fact_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("fact_id", "document_id", "value"))).alias("quotes"))
     return register.join(c, "item_id", "left").select(register["*"], F.coalesce("quotes", F.array().cast("array<struct<fact_id:bigint,document_id:bigint,value:bigint>>")).alias("quotes"))
 
@@ -200,3 +210,11 @@ def whole_export(register: DataFrame, citations: DataFrame, facts: DataFrame, do
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def merged_spans(spans: DataFrame, by: str) -> DataFrame:
+    """by, s, e: spans (s, e) of each group with those that overlap or touch joined, by a running maximum."""
+    before = Window.partitionBy(by).orderBy("s", "e")
+    rows = spans.withColumn("_reach", F.max("e").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_group", F.sum(F.when(F.col("_reach").isNull() | (F.col("s") > F.col("_reach")), 1).otherwise(0)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(by, "_group").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_group")

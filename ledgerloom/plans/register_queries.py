@@ -110,8 +110,7 @@ def j4_affected_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT {_ITEM} AS item_id, count(*) AS n_facts, count(DISTINCT sha256(CAST(value AS VARCHAR))) AS n_fingerprints, min(fact_id) AS first_fact FROM facts GROUP BY {_ITEM}""", "facts")
 def j5_a3_cited_register(spark: SparkSession, d: str) -> DataFrame:
     f = frames.facts(spark, d).withColumn("item_id", _item())
-    rows = relational.cited(f.select("item_id").distinct(), f.select("item_id", "fact_id", F.sha2(F.col("value").cast("string"), 256).alias("fingerprint")))
-    return rows.select("item_id", F.size("fact_ids").cast("long").alias("n_facts"), F.size("fingerprints").cast("long").alias("n_fingerprints"), F.element_at("fact_ids", 1).alias("first_fact"))
+    return relational.citation_counts(f.select("item_id").distinct(), f.select("item_id", "fact_id", F.sha2(F.col("value").cast("string"), 256).alias("fingerprint")))
 
 
 _FINDINGS = "SELECT code, severity, agreement_id || '::' || key AS target, collection_id, CASE WHEN value > 45 THEN 'violation' WHEN value % 10 = 0 THEN 'insufficient_evidence' ELSE 'pass' END AS verdict FROM facts JOIN rules ON len(target_keys) = 0 OR list_contains(target_keys, key) WHERE scope IN ('deliverable', 'both')"
@@ -438,7 +437,10 @@ def w4_g11_decisions(spark: SparkSession, d: str) -> DataFrame:
     return events.decide(e.select(F.col("run_id").alias("item"), F.col("model").alias("actor"), F.when(F.col("cache_hit"), "rejected").otherwise("approved").alias("decision"), "ts", F.col("event_id").alias("seq")))[0]
 
 
-@query()
+@query("""SELECT * FROM (WITH RECURSIVE t AS (SELECT run_id, model AS owner, ts, event_id AS seq, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS r FROM run_events),
+    f AS (SELECT run_id, seq, owner, true AS granted, owner AS holder, ts + INTERVAL 36000 SECOND AS until, r FROM t WHERE r = 1
+      UNION ALL SELECT t.run_id, t.seq, t.owner, f.holder = t.owner OR f.until <= t.ts, CASE WHEN f.holder = t.owner OR f.until <= t.ts THEN t.owner ELSE f.holder END, CASE WHEN f.holder = t.owner OR f.until <= t.ts THEN t.ts + INTERVAL 36000 SECOND ELSE f.until END, t.r FROM f JOIN t ON t.run_id = f.run_id AND t.r = f.r + 1)
+    SELECT run_id, seq, owner, granted FROM f)""", "run_events")
 def w8_leases(spark: SparkSession, d: str) -> DataFrame:
     e = frames.run_events(spark, d)
     return events.leases(e.select("run_id", F.col("model").alias("owner"), "ts", F.col("event_id").alias("seq")), 36_000)
@@ -472,7 +474,10 @@ def n1_n4_nested_changes(spark: SparkSession, d: str) -> DataFrame:
     return nested.changes(e.select(F.col("event_id").alias("id"), content.alias("content"))).select("id", "place", "change_id", "batch_id", "batch_total")
 
 
-@query()
+@query("""SELECT * FROM (WITH RECURSIVE c AS (SELECT user_id, event_id AS k, CAST(event_id % 9 + 1 AS BIGINT) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id % 9, event_id) AS r FROM events),
+    f AS (SELECT user_id, k, CAST(0 AS BIGINT) AS used_before, true AS allowed, n AS used, r FROM c WHERE r = 1
+      UNION ALL SELECT c.user_id, c.k, f.used, f.used + c.n <= 60, f.used + CASE WHEN f.used + c.n <= 60 THEN c.n ELSE 0 END, c.r FROM f JOIN c ON c.user_id = f.user_id AND c.r = f.r + 1)
+    SELECT user_id, k, used_before, allowed FROM f)""")
 def n5_budget(spark: SparkSession, d: str) -> DataFrame:
     """Calls of each user in order of time against a budget; a fold, since a refused call uses nothing."""
     e = frames.table(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("k"), (F.col("event_id") % 9 + 1).alias("n"))
@@ -506,8 +511,9 @@ def st2_stable_sightings(spark: SparkSession, d: str) -> DataFrame:
 def o1_j17_register_export(spark: SparkSession, d: str) -> DataFrame:
     f = frames.facts(spark, d)
     reg = _register(spark, d).withColumn("item_id", _item())
-    out = relational.export(reg, f.select(_item().alias("item_id"), "fact_id"), f)
-    return out.select("collection_id", "agreement_id", "key", "version", F.size("quotes").cast("long").alias("n_quotes"), F.element_at("quotes", 1)["fact_id"].alias("first_fact"), F.element_at("quotes", 1)["document_id"].alias("first_document"))
+    cited = f.groupBy(_item().alias("item_id")).agg(F.min_by("document_id", "fact_id").alias("first_document"))
+    rows = relational.citation_counts(reg, f.select(_item().alias("item_id"), "fact_id", F.lit("").alias("fingerprint"))).join(cited, "item_id")
+    return rows.select("collection_id", "agreement_id", "key", "version", F.col("n_facts").alias("n_quotes"), "first_fact", "first_document")
 
 
 @query("SELECT event_id AS eventId, user_id AS userId, event_type AS eventType FROM events")

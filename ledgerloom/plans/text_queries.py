@@ -239,8 +239,7 @@ _SPANS = "SELECT l_orderkey AS document_id, CAST(l_partkey % 300 AS INT) AS s, C
     SELECT document_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS covered FROM m GROUP BY document_id""")
 def t29_merged_spans(spark: SparkSession, d: str) -> DataFrame:
     x = frames.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_partkey") % 300).cast("int").alias("s"), (F.col("l_partkey") % 300 + F.col("l_quantity")).cast("int").alias("e"))
-    m = x.groupBy("document_id").agg(T.merge_spans(F.collect_list(F.struct("s", "e"))).alias("m"))
-    return m.select("document_id", F.size("m").cast("long").alias("n_spans"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("covered"))
+    return relational.merged_spans(x, "document_id").groupBy("document_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("e") - F.col("s")).alias("covered"))
 
 
 @query("SELECT document_id, sha256(text) AS sha, sha256(CAST(collection_id AS VARCHAR) || '|' || sha256(text) || '||1') AS cache_key FROM docs", "docs")
