@@ -66,6 +66,35 @@ def test_quality(spark, odd, sf_dir):
     assert kept.columns == docs.columns and kept.where("doc_id = 10").count() == 0 and kept.where("doc_id = 1").count() == 1
 
 
+def verdict_by_hand(text):
+    """The largest share of word characters inside repeated windows, that of repeated lines, and whether both are allowed."""
+    words = re.findall("[^ \t-\r]+", text or "")
+    total = max(sum(map(len, words)), 1)
+    worst, bad = 0.0, False
+    for n, most in quality.COVERAGE.items():
+        windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        often = Counter(windows)
+        inside = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(n)}
+        share = sum(len(words[i]) for i in inside) / total
+        worst, bad = max(worst, share), bad or share > most
+    seen, again, chars = set(), 0, 0
+    for line in (text or "").split("\n"):
+        chars += len(line.strip(SPACE))
+        again += len(line.strip(SPACE)) if line in seen else 0
+        seen.add(line)
+    lines = again / max(chars, 1)
+    return round(worst, 9), round(lines, 9), not (by_hand(text)[-1] or bad or lines > quality.LINE_COVERAGE)
+
+
+def test_quality_verdict_by_hand(spark, odd, sf_dir):
+    rows = [(i, t) for i, t, _ in odd[0]] + [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(500 + k, prose(k, 120) + " " + prose(k, 6 + k) + "\n" + "\n".join([prose(90, 20)] * (k % 4))) for k in range(30)]
+    out = quality.quality(frame(spark, [(i, t, "s") for i, t in rows])).collect()
+    got = Counter((r.doc_id, round(r.ngram_share, 9), round(r.dup_line_share, 9), r.kept) for r in out)
+    assert got == Counter((i, *verdict_by_hand(t)) for i, t in rows)
+    assert 20 < sum(r.kept for r in out) < len(out) - 20 and sum(not r.kept and not r.base_failed for r in out) > 5
+
+
 def test_quality_labels(spark, sf_dir):
     """Clean documents stay."""
     labels = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/labels.parquet")
