@@ -25,8 +25,8 @@ from ledgerloom.llm.common import as_texts, written
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and the most that a source or document gives as a multiple of its size.
 SHARE, MOST = 1.5, 2.0
-#: Blocks of each source in the first flight: this bounds the second flight to twice as many documents.
-BLOCKS = 256
+#: Blocks of each source in the first flight, at least and by documents; the second flight has twice as many documents.
+BLOCKS, BLOCK_ROWS = 256, 100_000
 #: Up to so many sources (one row each) are broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 20_000
 
@@ -58,6 +58,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         if new <= level:
             break
         level = new
+    else:
+        raise RuntimeError("targets did not settle")
     return table.select("source", "rank", "source_size", F.least(F.col("weight") * level, cap).cast("double").alias("target"))
 
 
@@ -144,7 +146,7 @@ def _flown(units: DataFrame, by: list[str], land: bool) -> DataFrame:
     return units.repartition(*by).sortWithinPartitions(*by, F.col("seed"), F.col("doc_id"), F.col("size")).mapInPandas(run, units.schema)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int | None = None) -> DataFrame:
     """doc_id, source, text_key, size, source_size, target and copies of every document.
 
     A null or empty text has size 0 and gives no words. Null is a source of its own, the last. Repeated
@@ -152,6 +154,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     spark = docs.sparkSession
     units, _ = written(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size")), "sizes")
+    blocks = blocks or max(BLOCKS, -(-units.count() // BLOCK_ROWS))
     table, _ = written(targets(units, weights, share, most), "targets")
     few = table.count() <= BROADCAST_SOURCES
     side = table.select(F.col("source").alias("_source"), "rank", "source_size", "target")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerloom.llm.common import as_texts, connected_components, mixed, slices, written
+from ledgerloom.llm.common import as_texts, connected_components, drop_path, mixed, slices, written
 
 REACH, SEGMENTS, CHAIN, SHINGLE, SEED = 4, 9, 6, 4, 42
 #: Fingerprints of one key that are compared at once; larger sets are dealt out by further bits.
@@ -220,13 +220,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id is). Repeated rows and null ids get a row each; other columns are ignored. No rows give no rows.
     """
     rows, _ = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fp")), "prints")
-    prints, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    prints, prints_at = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(links(prints)).withColumnRenamed("node", "fp")
     placed = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    placed, _ = written(placed, "placed")
+    placed, placed_at = written(placed, "placed")
     # written first: adaptive execution splits a join by a common root only if neither side is aggregated in its stage
-    least, _ = written(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    least, least_at = written(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     table, _ = written(placed.join(least, "root").select("fp", "component_id"), "classes")
+    for path in (prints_at, placed_at, least_at):
+        drop_path(docs.sparkSession, path)
     # a fingerprint may be that of a third of all rows: adaptive execution splits this join
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -458,15 +458,14 @@ def test_best_fit():
     lengths = [rng.randint(1, 64) for _ in range(500)]
     rows = packing.best_fit(lengths, 64)
     assert sorted(i for r in rows for i in r) == list(range(500)) and all(sum(lengths[i] for i in r) <= 64 for r in rows)
-    space, used = [], []
+    space = []
     for i in sorted(range(500), key=lambda i: -lengths[i]):  # the same by searching all open rows
         fits = [k for k in range(len(space)) if space[k] >= lengths[i]]
         if fits:
             space[min(fits, key=lambda k: space[k])] -= lengths[i]
         else:
             space.append(64 - lengths[i])
-        used.append(i)
-    assert len(rows) == len(space)
+    assert sorted(64 - sum(lengths[i] for i in r) for r in rows) == sorted(space)
 
 
 def test_packing_round_trip(spark, odd):
@@ -484,4 +483,8 @@ def test_packing_round_trip(spark, odd):
             whole = np.concatenate([x for _, x in sorted(docs[i], key=lambda p: p[0])])
             assert whole[-1] == packing.END and encoder.encoding.decode(whole[:-1].tolist()) == (t or "")
             assert whole[:-1].tolist() == encoder.encoding.encode_ordinary(t or "")
-    assert sum(len(x) for x in docs.values()) >= len(odd[0])
+    # every row is packed once, those that repeat an id or have none too
+    ends = Counter(doc for r in rows for k, doc in enumerate(r.doc_ids) if np.frombuffer(bytes(r.input_ids), encoder.width)[r.cu_seqlens[k + 1] - 1] == packing.END)
+    assert ends == Counter(i for i, _, _ in odd[0])
+    total = sum(len(encoder.encoding.encode_ordinary(t or "")) + 1 for _, t, _ in odd[0])
+    assert sum(r.n_tokens for r in rows) == total
