@@ -28,9 +28,9 @@ def _hash(df: DataFrame) -> DataFrame:
     return df.withColumn("content_hash", F.sha2(F.concat_ws("|", F.coalesce(F.col("value").cast("string"), F.lit("")), "state"), 256))
 
 
-def _register(spark: SparkSession, d: str) -> DataFrame:
-    f = frames.facts(spark, d)
-    return written(_hash(f.groupBy("collection_id", "agreement_id", "key").agg(F.min_by("value", F.struct("ingested_at", "document_id", "line")).alias("value"), F.lit("supported").alias("state"), (F.count("*") % 4 + 1).alias("version"))), "register")[0]
+def _register(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
+    f = facts or frames.facts(spark, d)
+    return _hash(f.groupBy("collection_id", "agreement_id", "key").agg(F.min_by("value", F.struct("ingested_at", "document_id", "line")).alias("value"), F.lit("supported").alias("state"), (F.count("*") % 4 + 1).alias("version")))
 
 
 _HASH = "sha256(coalesce(CAST(value AS VARCHAR), '') || '|' || state) AS content_hash"
@@ -150,8 +150,8 @@ def j8_committed_by(spark: SparkSession, d: str) -> DataFrame:
 _RUN = "SELECT collection_id, max_by(document_id, ROW(ingested_at, document_id)) AS new_document_id FROM facts GROUP BY collection_id"
 
 
-def _run(spark: SparkSession, d: str) -> DataFrame:
-    return frames.facts(spark, d).groupBy("collection_id").agg(F.max_by("document_id", F.struct("ingested_at", "document_id")).alias("new_document_id"))
+def _run(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
+    return (facts or frames.facts(spark, d)).groupBy("collection_id").agg(F.max_by("document_id", F.struct("ingested_at", "document_id")).alias("new_document_id"))
 
 
 def _newest(spark: SparkSession, d: str, how: str = "left_semi") -> DataFrame:
@@ -160,12 +160,24 @@ def _newest(spark: SparkSession, d: str, how: str = "left_semi") -> DataFrame:
     return f.join(new, ["collection_id", "document_id"], how)
 
 
-def _derived(spark: SparkSession, d: str) -> DataFrame:
-    f = frames.facts(spark, d)
+def _derived(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
+    # facts are worked out once, for every step of the derivation reads them again
+    f = facts or written(frames.facts(spark, d), "facts")[0]
     claims = f.where("doc_type = 'amendment'").select("collection_id", "agreement_id", "key").distinct()
     named = f.where("agreement_id <> ''").groupBy("collection_id").agg(F.count_distinct("agreement_id").alias("n_named"))
-    # derived once, for what is proposed and committed reads it again and again
-    return written(derive.derive(f, _run(spark, d), claims, named), "derived")[0]
+    return derive.derive(f, _run(spark, d, f), claims, named)
+
+
+def _proposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(register, proposals), written once for what is committed and proved of them."""
+    f = written(frames.facts(spark, d), "facts")[0]
+    reg = written(_register(spark, d, f), "register")[0]
+    return reg, written(register.proposals(_hash(_derived(spark, d, f)), reg), "proposals")[0]
+
+
+def _approved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    reg, proposed = _proposed(spark, d)
+    return reg, proposed.where("kind in ('conflict', 'register_update') and after % 3 <> 0")
 
 
 _DERIVED = f"""SELECT * FROM (WITH run AS ({_RUN}), f AS (SELECT facts.*, new_document_id FROM facts JOIN run USING (collection_id)),
@@ -207,15 +219,14 @@ _PROPOSALS = f"""SELECT * FROM (WITH reg AS (SELECT *, {_HASH} FROM ({_REGISTER}
 
 @query(_PROPOSALS, "facts")
 def d9_proposals(spark: SparkSession, d: str) -> DataFrame:
-    return register.proposals(_hash(_derived(spark, d)), _register(spark, d))
+    return _proposed(spark, d)[1]
 
 
 @query(f"""SELECT * FROM (WITH reg AS (SELECT *, {_HASH} FROM ({_REGISTER})), p AS (SELECT * FROM ({_PROPOSALS}) WHERE kind IN ('conflict', 'register_update') AND after % 3 <> 0)
     SELECT collection_id, agreement_id, key, coalesce(p.after, reg.value) AS value, coalesce(p.state, reg.state) AS state, coalesce(p.content_hash, reg.content_hash) AS content_hash, coalesce(reg.version, 0) + CASE WHEN p.content_hash IS NOT NULL THEN 1 ELSE 0 END AS version
     FROM reg FULL JOIN p USING (collection_id, agreement_id, key))""", "facts")
 def d10_w6_committed_register(spark: SparkSession, d: str) -> DataFrame:
-    reg = _register(spark, d)
-    approved = register.proposals(_hash(_derived(spark, d)), reg).where("kind in ('conflict', 'register_update') and after % 3 <> 0")
+    reg, approved = _approved(spark, d)
     done = spark.createDataFrame([(0,)], "run_id long")
     return register.commit(1, reg, approved, done)["register"]
 
@@ -525,33 +536,32 @@ def io14_camel_case(spark: SparkSession, d: str) -> DataFrame:
 _APPROVED = f"SELECT * FROM ({_PROPOSALS}) WHERE kind IN ('conflict', 'register_update') AND after % 3 <> 0"
 
 
-def _approved(spark: SparkSession, d: str) -> DataFrame:
-    return register.proposals(_hash(_derived(spark, d)), _register(spark, d)).where("kind in ('conflict', 'register_update') and after % 3 <> 0")
-
-
 @query(f"""SELECT * FROM (WITH now AS (SELECT collection_id, agreement_id, key, version + CASE WHEN value % 2 = 0 THEN 1 ELSE 0 END AS actual_version, sha256(coalesce(CAST(value AS VARCHAR), '') || '|' || state) AS actual_hash FROM ({_REGISTER}))
     SELECT collection_id, agreement_id, key, base_version, actual_version FROM ({_APPROVED}) LEFT JOIN now USING (collection_id, agreement_id, key) WHERE before_hash IS DISTINCT FROM actual_hash OR base_version <> coalesce(actual_version, 0))""", "facts")
 def j14_stale_proposals(spark: SparkSession, d: str) -> DataFrame:
-    moved = _register(spark, d).withColumn("version", F.col("version") + F.when(F.col("value") % 2 == 0, 1).otherwise(0))
-    return register.stale(_approved(spark, d), moved).select("collection_id", "agreement_id", "key", "base_version", "actual_version")
+    reg, approved = _approved(spark, d)
+    moved = reg.withColumn("version", F.col("version") + F.when(F.col("value") % 2 == 0, 1).otherwise(0))
+    return register.stale(approved, moved).select("collection_id", "agreement_id", "key", "base_version", "actual_version")
 
 
 @query(f"SELECT collection_id, agreement_id, key, after FROM ({_APPROVED}) p ANTI JOIN (SELECT *, {_HASH} FROM ({_REGISTER})) r ON p.collection_id = r.collection_id AND p.agreement_id = r.agreement_id AND p.key = r.key AND p.content_hash = r.content_hash", "facts")
 def j15_g14_outstanding(spark: SparkSession, d: str) -> DataFrame:
-    return register.outstanding(_approved(spark, d), _register(spark, d)).select("collection_id", "agreement_id", "key", "after")
+    reg, approved = _approved(spark, d)
+    return register.outstanding(approved, reg).select("collection_id", "agreement_id", "key", "after")
 
 
 @query(f"SELECT collection_id, agreement_id, key, before AS old_value, after AS new_value FROM ({_APPROVED}) WHERE before_hash IS DISTINCT FROM content_hash", "facts")
 def j9_o2_change_log(spark: SparkSession, d: str) -> DataFrame:
     done = spark.createDataFrame([(0,)], "run_id long")
-    return register.commit(1, _register(spark, d), _approved(spark, d), done)["changes"].drop("run_id")
+    reg, approved = _approved(spark, d)
+    return register.commit(1, reg, approved, done)["changes"].drop("run_id")
 
 
 @query(f"""SELECT collection_id, count(*) AS n_keys, count(*) FILTER (WHERE b = a) AS n_unchanged FROM
     (SELECT r.collection_id, r.content_hash AS b, coalesce(p.content_hash, r.content_hash) AS a FROM (SELECT *, {_HASH} FROM ({_REGISTER})) r LEFT JOIN ({_APPROVED}) p USING (collection_id, agreement_id, key)) GROUP BY 1""", "facts")
 def d13_unchanged_proof(spark: SparkSession, d: str) -> DataFrame:
-    before = _register(spark, d)
-    after = register.candidate(before, _approved(spark, d)).select("collection_id", "agreement_id", "key", F.col("content_hash").alias("after_hash"))
+    before, approved = _approved(spark, d)
+    after = register.candidate(before, approved).select("collection_id", "agreement_id", "key", F.col("content_hash").alias("after_hash"))
     rows = before.join(after, ["collection_id", "agreement_id", "key"])
     return rows.groupBy("collection_id").agg(F.count("*").alias("n_keys"), F.count_if(F.col("content_hash") == F.col("after_hash")).alias("n_unchanged"))
 
