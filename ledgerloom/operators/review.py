@@ -241,3 +241,67 @@ def assessed(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     verdicts = R.judged(shown, rules)
     offered = shown.select("code", F.col("document_id").alias("target"), F.col("position").alias("excerpt"), F.col("block_index").alias("block"), "text")
     return R.ground(verdicts.select("code", "target", "verdict", F.col("quote"), F.col("position").alias("excerpt")), offered)
+
+
+def ingested(documents: DataFrame, started: DataFrame, order: list[str]) -> DataFrame:
+    """documents (document_id, collection_id, sha, run_id) with duplicate and branch: a text that its collection has is a
+    duplicate, unless this run started on it before (started: run_id, sha), for then it was this run that stored it.
+    Duplicates skip extraction but not the source rules."""
+    earlier = F.row_number().over(Window.partitionBy("collection_id", "sha").orderBy(*order)) > 1
+    rows = documents.withColumn("_known", earlier).join(started.select("run_id", "sha").distinct().withColumn("_own", F.lit(True)), ["run_id", "sha"], "left")
+    rows = rows.withColumn("duplicate", F.col("_known") & F.col("_own").isNull()).drop("_known", "_own")
+    return rows.withColumn("branch", F.when(F.col("duplicate"), "source_rules").otherwise("extract"))
+
+
+def pinned(runs: DataFrame, rulesets: DataFrame) -> DataFrame:
+    """runs (run_id, collection_id, started_at) with the playbook (ruleset_id, ruleset_hash of its raw text) that was active
+    when they began; null if there was none, and then no rule runs."""
+    known = rulesets.select("collection_id", F.col("installed_at").alias("at"), F.struct("ruleset_id", F.sha2("raw", 256).alias("ruleset_hash")).alias("pin"), F.lit(None).cast("long").alias("run_id"))
+    asked = runs.select("collection_id", F.col("started_at").alias("at"), F.lit(None).cast(known.schema["pin"].dataType).alias("pin"), "run_id")
+    w = Window.partitionBy("collection_id").orderBy("at", F.col("run_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = known.unionByName(asked).withColumn("pin", F.last("pin", ignorenulls=True).over(w)).where("run_id is not null")
+    return rows.select("run_id", "pin.ruleset_id", "pin.ruleset_hash")
+
+
+def ruleset_content(rules: DataFrame, by: str) -> DataFrame:
+    """by, content_hash: what a playbook says, whatever its version, layout or order: name and rules in order of code, keys
+    sorted."""
+    rule = F.struct(F.trim("code").alias("code"), F.array_sort("target_keys").alias("keys"), F.lower(F.trim("scope")).alias("scope"), F.lower(F.trim("severity")).alias("severity"), F.trim("rule_text").alias("text"))
+    whole = F.struct(F.max(F.trim("name")).alias("name"), F.array_sort(F.collect_list(rule)).alias("rules"))
+    return rules.groupBy(by).agg(hashing.sha256_text(hashing.canonical_json(whole)).alias("content_hash"))
+
+
+def binding_drift(then: DataFrame, now: DataFrame, rulesets: DataFrame) -> DataFrame:
+    """collection_id, what: the keys whose version changed since a decision was bound, and the playbook if its hash did."""
+    from ledgerloom.operators import register
+
+    keys = register.drift(then, now).select("collection_id", scoped_key().alias("what"))
+    changed = rulesets.where(~F.col("bound_hash").eqNullSafe(F.col("ruleset_hash"))).select("collection_id", F.lit("(playbook)").alias("what"))
+    return keys.unionByName(changed)
+
+
+def carried_warnings(events: DataFrame, label: str = "warnings: ") -> DataFrame:
+    """run_id, place, warning: the warnings that earlier extractions left in event reasons, in order."""
+    rows = events.where(F.col("reason").startswith(label)).withColumn("_w", F.split(F.substring("reason", len(label) + 1, 1 << 30), "; "))
+    return rows.select("run_id", "seq", F.posexplode("_w").alias("place", "warning")).where("warning <> ''")
+
+
+#: Bounds of what a model's answer may say (fixed values).
+VERDICTS, REASON_CHARS = ("pass", "violation", "insufficient_evidence"), 500
+
+
+def answers(raw: DataFrame, known_keys: list[str]) -> DataFrame:
+    """id, verdict, confidence, reason, key, value, quote_start, quote_end of model answers (id, content, text), one row for
+    each fact: the outermost object is read; verdicts outside the list are no evidence, confidence is clamped, reasons are
+    cut; facts with other keys or without a value are dropped, a bare value is wrapped, and quotes are placed where the text
+    has them, or nowhere (0, 0)."""
+    from ledgerloom.functions import text as T
+
+    body = F.from_json(T.json_body(F.col("content")), "verdict string, confidence double, reason string, facts array<struct<key:string,value:string,quote:string>>")
+    rows = raw.select("id", "text", body.alias("b")).where("b is not null")
+    verdict = F.when(F.lower("b.verdict").isin(*VERDICTS), F.lower("b.verdict")).otherwise("insufficient_evidence")
+    rows = rows.select("id", "text", verdict.alias("verdict"), F.least(F.greatest(F.coalesce("b.confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.substring("b.reason", 1, REASON_CHARS).alias("reason"), F.explode_outer("b.facts").alias("f"))
+    rows = rows.where(F.col("f.key").isin(*known_keys) & F.col("f.value").isNotNull())
+    value = F.when(F.col("f.value").startswith("{"), F.col("f.value")).otherwise(F.to_json(F.struct(F.col("f.value").alias("value"))))
+    at = F.when(F.coalesce(F.col("f.quote"), F.lit("")) != "", F.call_function("locate", F.col("f.quote"), F.col("text")) - 1).otherwise(-1)
+    return rows.select("id", "verdict", "confidence", "reason", "f.key", value.alias("value"), F.when(at >= 0, at).otherwise(0).alias("quote_start"), F.when(at >= 0, at + F.length("f.quote")).otherwise(0).alias("quote_end"))

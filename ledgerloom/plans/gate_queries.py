@@ -225,3 +225,80 @@ def d5_citations(spark: SparkSession, d: str) -> DataFrame:
     cited = derive.citations(frames.facts(spark, d), Q._run(spark, d), der)
     rows = der.where("coalesce(conflict_kind, '') <> 'supersession_candidate'").select("collection_id", "agreement_id", "key")
     return rows.join(cited, ["collection_id", "agreement_id", "key"]).groupBy("collection_id", "agreement_id", "key").agg(F.count("*").alias("n_cited"))
+
+
+@query("""SELECT run_id AS item, actor, decision, seq FROM (SELECT run_id, model AS actor, CASE WHEN cache_hit THEN 'rejected' ELSE 'approved' END AS decision, event_id AS seq, row_number() OVER w AS n,
+    first_value(model) OVER w AS a, first_value(CASE WHEN cache_hit THEN 'rejected' ELSE 'approved' END) OVER w AS d FROM run_events WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)) WHERE n > 1 AND (actor <> a OR decision <> d)""", "run_events")
+def w4_refused_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions that come after another's, or that say something else."""
+    from ledgerloom.operators import events
+
+    e = frames.run_events(spark, d)
+    log = e.select(F.col("run_id").alias("item"), F.col("model").alias("actor"), F.when(F.col("cache_hit"), "rejected").otherwise("approved").alias("decision"), "ts", F.col("event_id").alias("seq"))
+    return events.decide(log)[1].select("item", "actor", "decision", "seq")
+
+
+@query("""SELECT document_id, collection_id FROM (SELECT *, row_number() OVER (PARTITION BY collection_id, sha256(text) ORDER BY CASE WHEN document_id % 2 = 0 THEN 0 ELSE 1 END, ingested_at, document_id) AS r FROM docs
+    WHERE document_id % 2 = 1 OR document_id IN (SELECT min_by(document_id, ROW(ingested_at, document_id)) FROM docs WHERE document_id % 2 = 0 GROUP BY collection_id, sha256(text))) WHERE r = 1""", "docs")
+def w1_into_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of odd ids into a table that holds the even ones: what it has already is refused."""
+    from ledgerloom.operators import register
+
+    docs = frames.documents(spark, d).select("document_id", "collection_id", F.sha2("text", 256).alias("sha"), "ingested_at")
+    key, order = ["collection_id", "sha"], ["ingested_at", "document_id"]
+    even, _ = register.insert_if_absent(docs.limit(0), docs.where("document_id % 2 = 0"), key, order)
+    return register.insert_if_absent(even, docs.where("document_id % 2 = 1"), key, order)[0].select("document_id", "collection_id")
+
+
+@query("""SELECT document_id, duplicate, CASE WHEN duplicate THEN 'source_rules' ELSE 'extract' END AS branch FROM (SELECT document_id, row_number() OVER (PARTITION BY collection_id, sha256(text) ORDER BY ingested_at, document_id) > 1 AND party_id % 3 <> 0 AS duplicate FROM docs)""", "docs")
+def g2_g3_ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as runs take them in; a third of the runs had started on their text before."""
+    docs = frames.documents(spark, d).select("document_id", "collection_id", F.sha2("text", 256).alias("sha"), F.col("document_id").alias("run_id"), "ingested_at", "party_id")
+    return review.ingested(docs.drop("party_id"), docs.where("party_id % 3 = 0"), ["ingested_at", "document_id"]).select("document_id", "duplicate", "branch")
+
+
+@query("""SELECT o_orderkey AS run_id, p_partkey AS ruleset_id, sha256(p_name) AS ruleset_hash FROM orders o ASOF LEFT JOIN (SELECT p_partkey % 7 AS c, p_partkey, p_name, TIMESTAMP '1992-01-01' + to_days(CAST(p_partkey AS INT)) AS at FROM part) p ON o.o_custkey % 7 = p.c AND o.o_orderdate >= p.at""")
+def g1_pinned_rulesets(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with the playbook that was active when they began; one is installed each day, by turns of seven collections."""
+    day = F.expr("timestamp_ntz'1992-01-01 00:00:00' + make_dt_interval(cast(p_partkey as int))")
+    sets = frames.table(spark, d, "part").select((F.col("p_partkey") % 7).alias("collection_id"), day.alias("installed_at"), F.col("p_partkey").alias("ruleset_id"), F.col("p_name").alias("raw"))
+    runs = frames.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 7).alias("collection_id"), F.col("o_orderdate").alias("started_at"))
+    return review.pinned(runs, sets)
+
+
+@query("""SELECT scope, sha256('{"name":"book","rules":[' || string_agg('{"code":"' || code || '","keys":[' || coalesce(array_to_string(list_transform(list_sort(target_keys), lambda k: '"' || k || '"'), ','), '') || '],"scope":"' || scope || '","severity":"' || severity || '","text":"' || rule_text || '"}', ',' ORDER BY code) || ']}') AS content_hash FROM rules GROUP BY scope""", "rules")
+def h8_ruleset_content(spark: SparkSession, d: str) -> DataFrame:
+    """Playbooks, one for each scope, by what they say: blanks and capitals around it make no difference."""
+    r = frames.rules(spark).select(F.lit(" book").alias("name"), F.concat("code", F.lit(" ")).alias("code"), "rule_text", F.upper("severity").alias("severity"), "scope", F.reverse("target_keys").alias("target_keys"))
+    return review.ruleset_content(r, "scope")
+
+
+@query(f"""SELECT * FROM (WITH reg AS ({Q._REGISTER}), later AS (SELECT collection_id, agreement_id, key, version + CASE WHEN value % 5 = 0 THEN 1 ELSE 0 END AS version FROM reg WHERE value % 7 <> 0)
+    SELECT collection_id, agreement_id || '::' || key AS what FROM reg FULL JOIN later USING (collection_id, agreement_id, key) WHERE reg.version IS DISTINCT FROM later.version
+    UNION ALL SELECT collection_id, '(playbook)' FROM collections WHERE collection_id % 2 = 0)""", "collections", "facts")
+def d11_binding_and_playbook(spark: SparkSession, d: str) -> DataFrame:
+    reg = Q._register(spark, d)
+    later = reg.where("value % 7 <> 0").withColumn("version", F.col("version") + F.when(F.col("value") % 5 == 0, 1).otherwise(0))
+    sets = frames.collections(spark, d).select("collection_id", F.lit("r1").alias("bound_hash"), F.when(F.col("collection_id") % 2 == 0, "r2").otherwise("r1").alias("ruleset_hash"))
+    return review.binding_drift(reg, later, sets)
+
+
+@query("""SELECT run_id, event_id AS seq, i - 1 AS place, w[i] AS warning FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT run_id, event_id, string_split('block ' || CAST(duration_ms AS VARCHAR) || ' set aside; ' || stage || '; ', '; ') AS w FROM run_events WHERE event_id % 3 = 0)) WHERE w[i] <> ''""", "run_events")
+def g14_carried_warnings(spark: SparkSession, d: str) -> DataFrame:
+    e = frames.run_events(spark, d)
+    reason = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("warnings: block "), F.col("duration_ms").cast("string"), F.lit(" set aside; "), "stage", F.lit("; "))).otherwise(F.lit("no warnings: x"))
+    return review.carried_warnings(e.select("run_id", F.col("event_id").alias("seq"), reason.alias("reason")))
+
+
+@query("""SELECT document_id AS id, CASE document_id % 3 WHEN 0 THEN 'violation' ELSE 'insufficient_evidence' END AS verdict, CASE document_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END AS confidence, rpad('r', 500, 'r') AS reason, 'notice_days' AS key, CASE WHEN document_id % 2 = 0 THEN '{"days":30}' ELSE '{"value":"30"}' END AS value,
+    CASE WHEN instr(text, 'Payment') > 0 THEN instr(text, 'Payment') - 1 ELSE 0 END AS quote_start, CASE WHEN instr(text, 'Payment') > 0 THEN instr(text, 'Payment') + 6 ELSE 0 END AS quote_end FROM docs WHERE document_id % 5 <> 0""", "docs")
+def t26_model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with words around them, too sure or not sure at all, with a fact nobody asked for and one without a value."""
+    k = F.col("document_id")
+    value = F.when(k % 2 == 0, F.lit('{"days":30}')).otherwise(F.lit("30"))
+    fact = F.concat(F.lit('{"key":"notice_days","value":'), value, F.lit(',"quote":"Payment"},{"key":"colour","value":1},{"key":"liability_cap","value":null}'))
+    verdict = F.when(k % 3 == 0, "VIOLATION").when(k % 3 == 1, "maybe").otherwise("insufficient_evidence")
+    sure = F.when(k % 4 == 0, "7").when(k % 4 == 1, "-1").otherwise("0.5")
+    content = F.concat(F.lit("Sure: {"), F.lit('"verdict":"'), verdict, F.lit('","confidence":'), sure, F.lit(',"reason":"'), F.lit("r" * 600), F.lit('","facts":['), fact, F.lit("]} done"))
+    raw = frames.documents(spark, d).select(k.alias("id"), F.when(k % 5 == 0, "no answer").otherwise(content).alias("content"), "text")
+    return review.answers(raw, ["notice_days", "liability_cap"])
