@@ -52,7 +52,7 @@ def outstanding(approved: DataFrame, register: DataFrame) -> DataFrame:
 
 
 def commit(run_id, register: DataFrame, approved: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
-    """Frames to publish for a run: register, changes, before and after snapshots, ledger.
+    """Frames to publish for a run: register, changes, before and after snapshots, refused, ledger, and its event.
 
     Nothing changes if the ledger (done) has the run; proposals whose hash is the row's are no-ops, stale ones
     are refused. The frames are pure functions of the inputs, so a repeated attempt writes the same rows.
@@ -66,7 +66,11 @@ def commit(run_id, register: DataFrame, approved: DataFrame, done: DataFrame) ->
     touched = good.select(*KEY)
     snap = lambda df, phase: df.join(touched, KEY, "left_semi").select(F.lit(run_id).alias("run_id"), F.lit(phase).alias("phase"), *KEY, "content_hash", "version")
     changes = good.select(F.lit(run_id).alias("run_id"), *KEY, F.col("before").alias("old_value"), F.col("after").alias("new_value"))
-    return {"register": after, "changes": changes, "before": snap(register, "before"), "after": snap(after, "after"), "refused": refused, "ledger": good.agg(F.count("*").alias("n_changes")).select(F.lit(run_id).alias("run_id"), "n_changes")}
+    n_refused = refused.agg(F.count("*").alias("n_refused"))
+    ledger = good.agg(F.count("*").alias("n_changes")).select(F.lit(run_id).alias("run_id"), "n_changes")
+    # both are one row
+    event = ledger.withColumn("_one", F.lit(1)).join(n_refused.withColumn("_one", F.lit(1)), "_one").select("run_id", F.lit("commit").alias("stage"), F.when(F.col("n_refused") > 0, "partial_commit").otherwise("commit").alias("decision"), "n_changes", "n_refused")
+    return {"event": event, "register": after, "changes": changes, "before": snap(register, "before"), "after": snap(after, "after"), "refused": refused, "ledger": ledger}
 
 
 def insert_if_absent(stored: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -302,3 +302,15 @@ def t26_model_answers(spark: SparkSession, d: str) -> DataFrame:
     content = F.concat(F.lit("Sure: {"), F.lit('"verdict":"'), verdict, F.lit('","confidence":'), sure, F.lit(',"reason":"'), F.lit("r" * 600), F.lit('","facts":['), fact, F.lit("]} done"))
     raw = frames.documents(spark, d).select(k.alias("id"), F.when(k % 5 == 0, "no answer").otherwise(content).alias("content"), "text")
     return review.answers(raw, ["notice_days", "liability_cap"])
+
+
+@query(f"""SELECT * FROM (WITH now AS (SELECT collection_id, agreement_id, key, version + CASE WHEN value % 2 = 0 THEN 1 ELSE 0 END AS actual_version, sha256(coalesce(CAST(value AS VARCHAR), '') || '|' || state) AS actual_hash FROM ({Q._REGISTER})),
+    j AS (SELECT *, before_hash IS DISTINCT FROM actual_hash OR base_version <> coalesce(actual_version, 0) AS moved FROM ({Q._APPROVED}) LEFT JOIN now USING (collection_id, agreement_id, key))
+    SELECT CAST(1 AS INT) AS run_id, 'commit' AS stage, CASE WHEN count(*) FILTER (WHERE moved) > 0 THEN 'partial_commit' ELSE 'commit' END AS decision, count(*) FILTER (WHERE NOT moved AND before_hash IS DISTINCT FROM content_hash) AS n_changes, count(*) FILTER (WHERE moved) AS n_refused FROM j)""", "facts")
+def g16_commit_event(spark: SparkSession, d: str) -> DataFrame:
+    """What a run's commit leaves behind when some rows have moved since."""
+    from ledgerloom.operators import register
+
+    reg, approved = Q._approved(spark, d)
+    moved = reg.withColumn("version", F.col("version") + F.when(F.col("value") % 2 == 0, 1).otherwise(0))
+    return register.commit(1, moved, approved, spark.createDataFrame([(0,)], "run_id long"))["event"]

@@ -1,5 +1,6 @@
 import datetime
 import io
+import json
 import random
 import zipfile
 
@@ -199,3 +200,13 @@ def test_excerpts_within_a_budget(spark):
     assert [(r.position, r.block_index) for r in rules.excerpted(blocks, playbook, 2, 40).orderBy("position").collect()] == [(0, 0), (1, 2)]
     with pytest.raises(ValueError, match="rules at most"):
         rules.applicable(spark.range(rules.MOST_RULES + 1).selectExpr("cast(id as string) as code", "'t' as rule_text", "'major' as severity", "'both' as scope", "cast(array() as array<string>) as target_keys"), blocks)
+
+
+def test_playbooks_load_whole_or_not_at_all(spark):
+    good = {"name": " p ", "version": 2, "rules": [{"code": "A", "text": " t ", "severity": "MAJOR", "scope": "both", "keys": ["notice_days"]}]}
+    assert tuple(rules.playbook(spark, json.dumps(good)).first()) == ("A", "t", "major", "both", ["notice_days"], "p", 2)
+    good["rules"].append({"code": "A"})
+    with pytest.raises(ValueError, match="code is new.*severity"):
+        rules.playbook(spark, json.dumps(good))
+    with pytest.raises(ValueError, match="JSON"):
+        rules.playbook(spark, "{")
