@@ -69,9 +69,10 @@ def route_findings(findings: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.join(adverse, "run_id", "left").select(*runs.columns, F.when(F.col("_adverse"), "gate").otherwise("report").alias("next"))
 
 
-def adverse(findings: DataFrame, target_kind: str) -> DataFrame:
-    """The findings of one kind of target that somebody must look at."""
-    return findings.where((F.col("verdict") != "pass") & (F.col("target_kind") == target_kind))
+def adverse(findings: DataFrame, target_kind: str | None = None) -> DataFrame:
+    """The findings that somebody must look at, of one kind of target or of all."""
+    rows = findings.where("verdict <> 'pass'")
+    return rows.where(F.col("target_kind") == target_kind) if target_kind else rows
 
 
 def decided(findings: DataFrame, decisions: DataFrame) -> DataFrame:

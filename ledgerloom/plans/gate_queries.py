@@ -314,3 +314,8 @@ def g16_commit_event(spark: SparkSession, d: str) -> DataFrame:
     reg, approved = Q._approved(spark, d)
     moved = reg.withColumn("version", F.col("version") + F.when(F.col("value") % 2 == 0, 1).otherwise(0))
     return register.commit(1, moved, approved, spark.createDataFrame([(0,)], "run_id long"))["event"]
+
+
+@query(f"SELECT finding_id, verdict FROM ({_FOUND}) WHERE verdict <> 'pass' AND target_kind = 'register_item'", "facts", "rules")
+def p7_adverse_register_items(spark: SparkSession, d: str) -> DataFrame:
+    return review.adverse(_found(spark, d), "register_item").select("finding_id", "verdict")

@@ -583,10 +583,9 @@ def k3_challenger(spark: SparkSession, d: str) -> DataFrame:
     return derive.sides(f).select("collection_id", "agreement_id", "key", F.col("challenger.fact_id").alias("challenger_id")).distinct()
 
 
-@query(f"SELECT code, target, verdict FROM ({_FINDINGS}) WHERE verdict <> 'pass' AND severity <> 'info'", "facts", "rules")
+@query(f"SELECT code, target, verdict FROM ({_FINDINGS}) WHERE verdict <> 'pass'", "facts", "rules")
 def p7_adverse_findings(spark: SparkSession, d: str) -> DataFrame:
-    found = _findings(spark, d).withColumn("target_kind", F.when(F.col("severity") == "info", "document").otherwise("register_item"))
-    return review.adverse(found, "register_item").select("code", "target", "verdict")
+    return review.adverse(_findings(spark, d)).select("code", "target", "verdict")
 
 
 # Cached source verdicts: a document's key is known if an earlier document of the collection has the same text.
