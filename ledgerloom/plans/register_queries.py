@@ -183,10 +183,10 @@ def _approved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _DERIVED = f"""SELECT * FROM (WITH run AS ({_RUN}), f AS (SELECT facts.*, new_document_id FROM facts JOIN run USING (collection_id)),
     auth AS (SELECT * FROM (SELECT *, bool_or(obligation_scope = 'contractual') OVER g AS has_contract FROM f WINDOW g AS (PARTITION BY collection_id, agreement_id, key)) WHERE obligation_scope = 'contractual' OR NOT has_contract),
     ret AS (SELECT DISTINCT collection_id, agreement_id, key, supersedes_id AS document_id FROM auth WHERE supersedes_id IS NOT NULL AND document_id <> new_document_id),
-    live AS (SELECT * FROM (SELECT *, bool_or(stays) OVER (PARTITION BY collection_id, agreement_id, key) AS any_stays FROM (SELECT a.*, r.document_id IS NULL AS stays FROM auth a LEFT JOIN ret r USING (collection_id, agreement_id, key, document_id))) WHERE stays OR NOT any_stays),
+    live AS MATERIALIZED (SELECT * FROM (SELECT *, bool_or(stays) OVER (PARTITION BY collection_id, agreement_id, key) AS any_stays FROM (SELECT a.*, r.document_id IS NULL AS stays FROM auth a LEFT JOIN ret r USING (collection_id, agreement_id, key, document_id))) WHERE stays OR NOT any_stays),
     ch AS (SELECT collection_id, agreement_id, key, max_by(fact_id, ROW(CAST(document_id = new_document_id AS INT), ingested_at, document_id, line)) AS challenger_id FROM live GROUP BY ALL),
-    c AS (SELECT ch.*, l.value AS c_value, l.document_id AS c_doc, l.supersedes_id AS c_sup, l.obligation_scope AS c_scope, l.conditions AS c_cond, l.parties AS c_parties FROM ch JOIN live l ON l.fact_id = ch.challenger_id),
-    s AS (SELECT l.*, c.challenger_id, c_value, c_doc, c_sup, c_scope FROM live l JOIN c USING (collection_id, agreement_id, key) WHERE l.obligation_scope = c_scope AND l.conditions = c_cond AND (len(l.parties) = 0 OR len(c_parties) = 0 OR l.parties = c_parties)),
+    c AS MATERIALIZED (SELECT ch.*, l.value AS c_value, l.document_id AS c_doc, l.supersedes_id AS c_sup, l.obligation_scope AS c_scope, l.conditions AS c_cond, l.parties AS c_parties FROM ch JOIN live l ON l.fact_id = ch.challenger_id),
+    s AS (SELECT l.*, c.challenger_id, c_value, c_doc, c_sup, c_scope FROM live l JOIN c USING (collection_id, agreement_id, key) WHERE l.obligation_scope = c_scope AND l.conditions = c_cond AND CASE WHEN len(l.parties) = 0 OR len(c_parties) = 0 THEN true ELSE l.parties = c_parties END),
     a AS (SELECT collection_id, agreement_id, key, count(*) AS n_in_scope, count(DISTINCT value) AS n_values, max_by(fact_id, ROW(ingested_at, document_id, line)) FILTER (WHERE value <> c_value) AS rival, min_by(fact_id, ROW(ingested_at, document_id, line)) AS oldest,
           any_value(challenger_id) AS challenger_id, any_value(c_value) AS c_value, any_value(c_doc) AS c_doc, any_value(c_sup) AS c_sup, any_value(c_scope) AS c_scope, any_value(new_document_id) AS nd FROM s GROUP BY ALL),
     n AS (SELECT collection_id, agreement_id, key, count(*) AS n_facts, bool_or(doc_type = 'amendment') AS claimed FROM f GROUP BY ALL),

@@ -114,9 +114,10 @@ _CUES = f"(regexp_matches(rest, '{_re2(grounding.QUALIFIERS)}') OR regexp_matche
       (SELECT *, CAST(instr(text, m) - 1 AS INT) AS quote_start, CASE WHEN {_CUES} THEN substr(text, instr(text, m)) ELSE m END AS quote FROM (SELECT *, substr(text, instr(text, m) + length(m)) AS rest FROM ({_FACTS}) WHERE m <> '')))""", "blocks")
 def t5_t11_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Facts read from every block, each checked against its quote and its sentence."""
-    b = frames.blocks(spark, d).select("document_id", "block_index", "text", F.explode_outer(grounding.extracted(F.col("text"))).alias("f")).where("f is not null")
-    rows = b.select("document_id", "block_index", "text", "f.*")
-    rows = rows.select("*", grounding.grounded(F.col("key"), F.col("value"), F.col("quote")).alias("v"), grounding.whole_clause(F.col("text"), F.col("quote_start"), F.col("quote_end")).alias("q"))
+    b = frames.blocks(spark, d).select("document_id", "block_index", "doc_type", "text", F.explode_outer(grounding.extracted(F.col("text"))).alias("f")).where("f is not null")
+    rows = b.select("document_id", "block_index", "doc_type", "text", "f.*")
+    scope = scoping.obligation_scope(F.col("doc_type"), F.col("doc_type") == "amendment")
+    rows = rows.select("*", grounding.grounded(F.col("key"), F.col("value"), F.col("quote")).alias("v"), grounding.contractual_clause(scope, F.col("text"), F.col("quote_start"), F.col("quote_end")).alias("q"))
     return rows.select("document_id", "block_index", "key", "value", "quote", "quote_start", "quote_end", (F.col("v.ok") & F.col("q.ok")).alias("ok"), F.coalesce("v.reason", "q.reason").alias("reason"))
 
 
