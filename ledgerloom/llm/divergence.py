@@ -114,26 +114,18 @@ def _kept(counts: DataFrame, min_docs: int) -> DataFrame:
     return both.where(F.col("lang_docs") >= min_docs).select("lang", "term", "source", "n", "lang_n")
 
 
-def _encoded(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by language and term, with the chunk of their term and its id there; a chunk is one language's."""
-    now, chunk, kept = None, -1, np.array([], dtype=object)
+def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by language and term, with their term's number among those of the language that the task has."""
+    now, last, n = None, None, 0
     for batch in batches:
         for lang, rows in batch.groupby("lang", sort=False):
             if lang != now:
-                now, chunk, kept = lang, chunk + 1, kept[:0]
+                now, last, n = lang, None, 0
             terms = rows["term"].to_numpy()
-            start = 0
-            while start < terms.size:
-                fresh = np.unique(terms[start:])
-                fresh = fresh[fresh > kept[-1]] if kept.size else fresh
-                room = size - kept.size
-                kept = np.concatenate([kept, fresh[:room]])
-                end = terms.size if fresh.size <= room else start + int(np.searchsorted(terms[start:], fresh[room]))
-                part = rows.iloc[start:end]
-                yield part.assign(chunk=chunk, id=np.searchsorted(kept, terms[start:end]).astype(np.int32))
-                start = end
-                if start < terms.size:
-                    chunk, kept = chunk + 1, kept[:0]
+            kept = np.unique(terms)
+            first = n - (kept[0] == last)  # a term may go on from the batch before
+            yield rows.assign(id=first + np.searchsorted(kept, terms))
+            last, n = kept[-1], first + kept.size
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -184,33 +176,37 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, chunk: int = CHUNK, block:
     term: item is a kept term that the group has and holds more of than its language, value by how much; the TOP largest.
     A null text, lang or source is ''. Every row counts as a document, so repeated rows and ids count again. A language
     without kept terms has pairs of value 0. Other columns are ignored; no rows give no rows. Groups and chunks of terms are
-    joined by shuffling, and no task holds more than two blocks of sources by one chunk of terms.
+    joined by shuffling, chunks hold equally many terms however the ranges fall, and no task holds more than two blocks of sources by one chunk of terms.
     """
     spark = docs.sparkSession
     kept, kept_at = written(_kept(term_counts(docs), min_docs), "kept_terms")
     named = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     of_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     ranged = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
-    schema = "lang string, term string, source string, n long, lang_n long, chunk long, id int"
-    encoded, encoded_at = written(ranged.mapInPandas(lambda rows: _encoded(rows, chunk), schema).withColumn("chunk", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("chunk")), "encoded")
-    chunks = encoded.groupBy("lang", "chunk").agg((F.max("id") + 1).alias("n_terms"))
-    of_lang = chunks.groupBy("lang").agg(F.sum("n_terms").alias("terms")).join(of_group.groupBy("lang").agg(F.sum("group_n").alias("lang_n")), "lang")
+    schema = "lang string, term string, source string, n long, lang_n long, id long"
+    ranged, ranged_at = written(ranged.mapInPandas(_encoded, schema).withColumn("part", F.spark_partition_id()), "encoded")
+    # one row for each language of each range: what its numbers begin at
+    parts = ranged.groupBy("lang", "part").agg((F.max("id") + 1).alias("terms"))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("lang", "part", F.coalesce(F.sum("terms").over(before), F.lit(0)).alias("base"))
+    encoded = ranged.join(bases, ["lang", "part"]).withColumn("id", F.col("base") + F.col("id")).withColumn("chunk", F.floor(F.col("id") / chunk)).withColumn("id", F.col("id") % chunk)
+    of_lang = parts.groupBy("lang").agg(F.sum("terms").alias("terms")).join(of_group.groupBy("lang").agg(F.sum("group_n").alias("lang_n")), "lang")
     # one row for each source: its number in its language and its totals
     ordered = Window.partitionBy("lang").orderBy("source")
     groups = named.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").withColumn("sid", F.row_number().over(ordered) - 1).withColumn("last", F.floor((F.count("*").over(Window.partitionBy("lang")) - 1) / block))
     extra = F.coalesce("terms", F.lit(0)) * ADDED
-    groups, groups_at = written(groups.select("lang", "source", F.col("sid").cast("long").alias("sid"), "last", (F.coalesce("group_n", F.lit(0)) + extra).alias("total"), (F.coalesce("lang_n", F.lit(0)) + extra).alias("lang_total")), "groups")
+    groups, groups_at = written(groups.select("lang", "source", F.col("sid").cast("long").alias("sid"), "last", F.coalesce("terms", F.lit(0)).alias("terms"), (F.coalesce("group_n", F.lit(0)) + extra).alias("total"), (F.coalesce("lang_n", F.lit(0)) + extra).alias("lang_total")), "groups")
     mine = F.floor(F.col("sid") / block)
     units = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda other: F.struct(F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi")))).alias("_u")
-    placed = groups.select("lang", "source", "sid", "total", "lang_total", units).select("lang", "source", "sid", "total", "lang_total", "_u.*")
-    # a language without kept terms has one chunk of none
-    every = groups.select("lang").distinct().join(chunks, "lang", "left").select("lang", F.coalesce("chunk", F.lit(-1).cast("long")).alias("chunk"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
-    headers = placed.join(every, "lang")
+    placed = groups.select("lang", "source", "sid", "terms", "total", "lang_total", units).select("lang", "source", "sid", "terms", "total", "lang_total", "_u.*")
+    # every chunk of the language; one without kept terms has one chunk of none
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("terms") - 1, F.lit(0)) / chunk))).alias("chunk")
+    headers = placed.select("lang", chunks, "lo", "hi", "source", "sid", "total", "lang_total", "terms").withColumn("n_terms", F.least(F.col("terms") - F.col("chunk") * chunk, F.lit(chunk)))
     again = placed.select(*[F.col(c).alias(c) for c in ("lang", "source", "sid", "lo", "hi")])  # columns of its own
     entries = encoded.join(again, ["lang", "source"]).select("lang", "chunk", "lo", "hi", "sid", "id", "n", "lang_n", "term")
     key = ["lang", "chunk", "lo", "hi"]
     found, found_at = written(entries.groupBy(*key).cogroup(headers.groupBy(*key)).applyInPandas(lambda counts, sources: _chunk(counts, sources, block), "lang string, part string, source string, item string, value long"), "differences")
-    for path in (kept_at, encoded_at, groups_at):
+    for path in (kept_at, ranged_at, groups_at):
         drop_path(spark, path)
     one_way = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs = one_way.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("_p"), "value").select("lang", "_p.source", F.lit("pair").alias("part"), "_p.item", "value")
