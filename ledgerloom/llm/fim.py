@@ -44,7 +44,8 @@ def offsets(rows: DataFrame, block: str = BLOCK, unit: str = UNIT) -> DataFrame:
     needed = hit.groupBy(blocks["row"], "doc_id", "block", "units_before", "chars_before").agg(F.min("part").alias("part"))
     units = needed.select("row", "doc_id", "block", "units_before", "chars_before", F.posexplode(F.regexp_extract_all("part", F.lit(unit), F.lit(0))).alias("pos", "match")).select("row", "doc_id", "block", (F.col("units_before") + F.col("pos") + 1).alias("unit"), "chars_before", F.length("match").alias("length"))
     ends = units.withColumn("end", F.col("chars_before") + F.sum("length").over(Window.partitionBy(*key, "block").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = ends.join(requests, same(ends, requests)).where(F.col("unit") == F.col("ordinal"))
+    # rows meet by their number alone, by which they are dealt already; as a key the ordinal would have units shuffled
+    found = ends.join(requests, same(ends, requests)).where(F.col("unit") - F.col("ordinal") == 0)
     return found.groupBy(ends["row"], "doc_id").agg(F.max(F.when(F.col("cut") == "lo", F.col("end"))).alias("at_lo"), F.max(F.when(F.col("cut") == "hi", F.col("end"))).alias("at_hi"))
 
 
