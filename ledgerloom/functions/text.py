@@ -40,7 +40,7 @@ TITLE_LINES, UNKNOWN_CONFIDENCE = 12, 0.45
 AGREEMENT_REF = r"(?iU)\b(?:master\s+services\s+agreement|agreement|contract|msa|sow)\s*(?:no\b\.?|nos\b\.?|number\b|#|ref\b\.?|reference\b)\s*[:.]?\s*([A-Za-z0-9][A-Za-z0-9./_-]{2,})"
 #: Where a sentence ends: after a stop that is no abbreviation's, before a new one; or a line break (fixed values).
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[\"“(A-Z0-9])"
-RELATION_SENTENCE_BREAK = r"(?U)(?<!(?i:\bno\.))(?<!(?i:\bnos\.))(?<!(?i:\binc\.))(?<!(?i:\bltd\.))(?<!(?i:\bco\.))(?<!(?i:\bsec\.))(?<=[.!?])\s+(?=[\"“(A-Z])|\n+"
+RELATION_SENTENCE_BREAK = r"(?U)(?<=[.!?])(?<!(?i:\bno\.))(?<!(?i:\bnos\.))(?<!(?i:\binc\.))(?<!(?i:\bltd\.))(?<!(?i:\bco\.))(?<!(?i:\bsec\.))\s+(?=[\"“(A-Z])|\n+"
 
 
 def strip(text: Column) -> Column:

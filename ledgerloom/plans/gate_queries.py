@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scoping
-from ledgerloom.operators import derive, relational, review
+from ledgerloom.operators import derive, extraction, relational, review
 from ledgerloom.plans import frames
 from ledgerloom.plans import register_queries as Q
 from ledgerloom.plans import text_queries as X
@@ -78,7 +78,7 @@ _REL = f"""SELECT document_id, kinds[k] AS kind, coalesce({X._ref("q")}, {X._ref
     (SELECT document_id, arg_min(target_ref, list_position(['amends', 'governed_by', 'references', 'supersedes'], kind)) AS target_ref FROM (SELECT document_id, kind, arg_min(target_ref, place) AS target_ref FROM ({_REL}) GROUP BY ALL) WHERE target_ref <> '' GROUP BY 1) USING (document_id)""", "docs")
 def d8_agreement_order(spark: SparkSession, d: str) -> DataFrame:
     docs = frames.documents(spark, d)
-    claims = docs.select("document_id", F.posexplode_outer(scoping.relations(F.col("text"))).alias("place", "r")).where("r is not null").select("document_id", "place", "r.kind", "r.target_ref")
+    claims = extraction.relations_of(docs).select("document_id", "place", "kind", "target_ref")
     declared = docs.select("document_id", scoping.self_declared_ref(F.col("doc_type"), F.col("text")).alias("agreement_ref"))
     return derive.agreement_of(claims, declared)
 

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import grounding, hashing, injection, scoping
 from ledgerloom.functions import text as T
-from ledgerloom.operators import relational, review
+from ledgerloom.operators import extraction, relational, review
 from ledgerloom.plans import frames
 from ledgerloom.plans.registry import query
 
 _NL2 = "chr(10) || chr(10)"
 
 
-def _re2(pattern: str) -> str:
+def re2(pattern: str) -> str:
     """A fixed pattern as the SQL engine writes it: its U flag means something else, and it looks at nothing ahead."""
     return pattern.replace("(?iU)", "(?i)").replace("(?mU)", "(?m)").replace("(?U)", "").replace("(?=", "(?:").replace("'", "''")
 
 
 def _ref(text: str) -> str:
-    return f"nullif(regexp_replace(upper(regexp_extract({text}, '{_re2(T.AGREEMENT_REF)}', 1)), '[.,;:]+$', ''), '')"
+    return f"nullif(regexp_replace(upper(regexp_extract({text}, '{re2(T.AGREEMENT_REF)}', 1)), '[.,;:]+$', ''), '')"
 
 
 @query("""SELECT p_partkey AS file_id,
@@ -77,8 +77,8 @@ def t2_block_offsets(spark: SparkSession, d: str) -> DataFrame:
     return frames.blocks(spark, d).select("document_id", "block_index", "char_start", "char_end", "text")
 
 
-_IMPERATIVES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{_re2(p)}') THEN '{n}' END" for n, p in injection.IMPERATIVES.items()) + "], lambda x: x IS NOT NULL)"
-_FIRSTS = "list_filter([" + ", ".join(f"trim(regexp_extract(text, '{_re2(p)}', 0), ' ' || chr(9) || chr(10) || chr(13))" for p in injection.IMPERATIVES.values()) + "], lambda x: x <> '')"
+_IMPERATIVES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{re2(p)}') THEN '{n}' END" for n, p in injection.IMPERATIVES.items()) + "], lambda x: x IS NOT NULL)"
+_FIRSTS = "list_filter([" + ", ".join(f"trim(regexp_extract(text, '{re2(p)}', 0), ' ' || chr(9) || chr(10) || chr(13))" for p in injection.IMPERATIVES.values()) + "], lambda x: x <> '')"
 
 
 # What each turn reads like once hidden text is shown; the turns themselves hide nothing.
@@ -103,22 +103,22 @@ def g6_extractable_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("document_id", "block_index", "scope.obligation_scope")
 
 
+#: A block that speaks to the reader's model, among these documents.
+FLAGGED = "regexp_matches(text, '(?i)\\bignore\\s+previous\\s+instructions\\b')"
+
 # Every block of these documents is one sentence, so what follows a quote in its block is the rest of its sentence.
-_FACTS = " UNION ALL ".join(f"SELECT document_id, block_index, text, '{k}' AS key, '{kind}' AS kind, regexp_extract(text, '(?i){_re2(p)}', 0) AS m, regexp_extract(text, '(?i){_re2(p)}', 1) AS n FROM blocks" for k, kind, p in grounding.FACT_PATTERNS)
-_CUES = f"(regexp_matches(rest, '{_re2(grounding.QUALIFIERS)}') OR regexp_matches(rest, '{_re2(grounding.ANCHORS)}'))"
+FACTS = " UNION ALL ".join(f"SELECT document_id, block_index, text, '{k}' AS key, '{kind}' AS kind, regexp_extract(text, '(?i){re2(p)}', 0) AS m, regexp_extract(text, '(?i){re2(p)}', 1) AS n FROM blocks" for k, kind, p in grounding.FACT_PATTERNS)
+_CUES = f"(regexp_matches(rest, '{re2(grounding.QUALIFIERS)}') OR regexp_matches(rest, '{re2(grounding.ANCHORS)}'))"
 
 
 @query(f"""SELECT document_id, block_index, key, CASE kind WHEN 'money' THEN '{{"amount":"$' || ltrim(n, '$') || '","currency":"USD"}}' WHEN 'receipt' THEN '{{"anchor":"receipt","days":' || n || '}}' ELSE '{{"days":' || n || '}}' END AS value,
       quote, quote_start, CAST(quote_start + length(quote) AS INT) AS quote_end, reason IS NULL AS ok, reason FROM
     (SELECT *, CASE WHEN kind = 'receipt' AND NOT regexp_matches(quote, '(?i)\\breceipt\\b') THEN key || '.anchor: runs from something else' WHEN kind = 'money' AND NOT regexp_matches(quote, 'USD|\\$') THEN key || '.currency: no currency' END AS reason FROM
-      (SELECT *, CAST(instr(text, m) - 1 AS INT) AS quote_start, CASE WHEN {_CUES} THEN substr(text, instr(text, m)) ELSE m END AS quote FROM (SELECT *, substr(text, instr(text, m) + length(m)) AS rest FROM ({_FACTS}) WHERE m <> '')))""", "blocks")
+      (SELECT *, CAST(instr(text, m) - 1 AS INT) AS quote_start, CASE WHEN {_CUES} THEN substr(text, instr(text, m)) ELSE m END AS quote FROM (SELECT *, substr(text, instr(text, m) + length(m)) AS rest FROM ({FACTS}) WHERE m <> '')))""", "blocks")
 def t5_t11_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Facts read from every block, each checked against its quote and its sentence."""
-    b = frames.blocks(spark, d).select("document_id", "block_index", "doc_type", "text", F.explode_outer(grounding.extracted(F.col("text"))).alias("f")).where("f is not null")
-    rows = b.select("document_id", "block_index", "doc_type", "text", "f.*")
-    scope = scoping.obligation_scope(F.col("doc_type"), F.col("doc_type") == "amendment")
-    rows = rows.select("*", grounding.grounded(F.col("key"), F.col("value"), F.col("quote")).alias("v"), grounding.contractual_clause(scope, F.col("text"), F.col("quote_start"), F.col("quote_end")).alias("q"))
-    return rows.select("document_id", "block_index", "key", "value", "quote", "quote_start", "quote_end", (F.col("v.ok") & F.col("q.ok")).alias("ok"), F.coalesce("v.reason", "q.reason").alias("reason"))
+    rows = extraction.checked(extraction.facts_of(frames.blocks(spark, d)))
+    return rows.select("document_id", "block_index", "key", "value", "quote", "quote_start", "quote_end", "ok", "reason")
 
 
 _CITED = "CASE document_id % 7 WHEN 0 THEN -1 ELSE 0 END AS s, CASE document_id % 7 WHEN 1 THEN length(text) + 1 WHEN 2 THEN 0 ELSE least(length(text), 12) END AS e, CASE document_id % 7 WHEN 3 THEN 'other words' ELSE substr(text, 1, least(length(text), 12)) END AS quote, CASE document_id % 7 WHEN 4 THEN block_index + 1 ELSE block_index END AS cited"
@@ -141,15 +141,14 @@ def t13_agreement_ref(spark: SparkSession, d: str) -> DataFrame:
 # Stops of abbreviations are hidden before texts are cut into sentences; no sentence of these documents comes twice.
 _SENTENCES = r"""SELECT document_id, text, i, replace(trim(l[i]), chr(3), '.') AS q FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT document_id, text,
     string_split_regex(regexp_replace(regexp_replace(text, '(?i)\b(no|nos|inc|ltd|co|sec)\.', '\1' || chr(3), 'g'), '([.!?])\s+(["“(A-Z])', '\1' || chr(2) || '\2', 'g'), '[' || chr(2) || chr(10) || ']+') AS l FROM docs))"""
-_CLAIMS = f"""[CASE WHEN (regexp_matches(q, '{_re2(scoping.AMENDS)}') OR regexp_matches(q, '{_re2(scoping.SUPERSESSION)}') AND regexp_matches(q, '{_re2(scoping.AMENDMENT_NOUN)}')) AND NOT regexp_matches(q, '{_re2(scoping.DENIED)}') THEN 'amends' END,
-    CASE WHEN regexp_matches(q, '{_re2(scoping.GOVERNED_BY)}') THEN 'governed_by' END, CASE WHEN regexp_matches(q, '{_re2(scoping.REFERENCES)}') THEN 'references' END, CASE WHEN regexp_matches(q, '{_re2(scoping.SUPERSESSION)}') THEN 'supersedes' END]"""
+_CLAIMS = f"""[CASE WHEN (regexp_matches(q, '{re2(scoping.AMENDS)}') OR regexp_matches(q, '{re2(scoping.SUPERSESSION)}') AND regexp_matches(q, '{re2(scoping.AMENDMENT_NOUN)}')) AND NOT regexp_matches(q, '{re2(scoping.DENIED)}') THEN 'amends' END,
+    CASE WHEN regexp_matches(q, '{re2(scoping.GOVERNED_BY)}') THEN 'governed_by' END, CASE WHEN regexp_matches(q, '{re2(scoping.REFERENCES)}') THEN 'references' END, CASE WHEN regexp_matches(q, '{re2(scoping.SUPERSESSION)}') THEN 'supersedes' END]"""
 
 
 @query(f"""SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY i, k) - 1 AS INT) AS place, kinds[k] AS kind, coalesce({_ref("q")}, {_ref("text")}, '') AS target_ref, q AS quote,
     CAST(instr(text, q) - 1 AS INT) AS quote_start, CAST(instr(text, q) - 1 + length(q) AS INT) AS quote_end FROM (SELECT *, unnest(range(1, len(kinds) + 1)) AS k FROM (SELECT *, list_filter({_CLAIMS}, lambda x: x IS NOT NULL) AS kinds FROM ({_SENTENCES})))""", "docs")
 def t14_t15_relations(spark: SparkSession, d: str) -> DataFrame:
-    rows = frames.documents(spark, d).select("document_id", F.posexplode_outer(scoping.relations(F.col("text"))).alias("place", "r")).where("r is not null")
-    return rows.select("document_id", "place", "r.*")
+    return extraction.relations_of(frames.documents(spark, d))
 
 
 @query(r"""SELECT document_id, CASE WHEN doc_type IN ('master_agreement', 'sow') THEN nullif(regexp_replace(upper(regexp_extract(text, '(?i)\b(?:master\s+services\s+agreement|agreement)\s*(?:no\b\.?)\s*([A-Za-z0-9][A-Za-z0-9./_-]{2,})', 1)), '[.,;:]+$', ''), '') END AS ref FROM docs""", "docs")
@@ -167,7 +166,7 @@ def _near(quote: str) -> str:
     before = f"substr(text, 1, instr(text, '{quote}') - 1)"
     sentence = f"trim(regexp_extract({before}, '[^.\\n]*$') || regexp_extract(substr(text, instr(text, '{quote}')), '^[^.\\n]*[.\\n]?'), ' ' || chr(10))"
     above = f"trim(regexp_extract(right(regexp_replace({before}, '[^\\n]*$', ''), {scoping.LEAD_IN}), '([^\\n]*\\S[^\\n]*)\\s*$', 1))"
-    replaces = lambda x: f"regexp_matches({x}, '{_re2(scoping.SUPERSESSION)}')"
+    replaces = lambda x: f"regexp_matches({x}, '{re2(scoping.SUPERSESSION)}')"
     return f"CASE WHEN instr(text, '{quote}') = 0 THEN NULL WHEN {replaces(sentence)} THEN {sentence} WHEN {replaces(above)} THEN {above} || ' ' || {sentence} END"
 
 
@@ -181,9 +180,9 @@ _INTRO = "'This agreement is between Acme Buyer LLC and Northstar Vendor Inc. It
 _SAID = "'Section 4.' || CAST(document_id % 9 AS VARCHAR) || ' Payment is due unless Disputed in good faith.'"
 
 
-@query(f"""SELECT document_id, {_ref("text")} AS agreement_id, regexp_extract(said, '{_re2(scoping.CLAUSE)}', 1) AS clause, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(said, '{_re2(scoping.CONDITION)}', 1), lambda x: lower(trim(x))))), '|') AS conditions,
-    nullif(regexp_extract(whole, '{_re2(scoping.EFFECTIVE)}', 1), '') AS effective_from, nullif(regexp_extract(whole, '{_re2(scoping.EXPIRES)}', 1), '') AS effective_to, CASE WHEN doc_type IN ('invoice', 'purchase_order') THEN 'operational' ELSE 'contractual' END AS obligation_scope,
-    array_to_string(list_sort([regexp_extract(whole, '{_re2(scoping.PARTIES)}', 1), regexp_extract(whole, '{_re2(scoping.PARTIES)}', 2)]), '|') AS parties FROM (SELECT *, {_INTRO} AS whole, {_SAID} AS said FROM docs)""", "docs")
+@query(f"""SELECT document_id, {_ref("text")} AS agreement_id, regexp_extract(said, '{re2(scoping.CLAUSE)}', 1) AS clause, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(said, '{re2(scoping.CONDITION)}', 1), lambda x: lower(trim(x))))), '|') AS conditions,
+    nullif(regexp_extract(whole, '{re2(scoping.EFFECTIVE)}', 1), '') AS effective_from, nullif(regexp_extract(whole, '{re2(scoping.EXPIRES)}', 1), '') AS effective_to, CASE WHEN doc_type IN ('invoice', 'purchase_order') THEN 'operational' ELSE 'contractual' END AS obligation_scope,
+    array_to_string(list_sort([regexp_extract(whole, '{re2(scoping.PARTIES)}', 1), regexp_extract(whole, '{re2(scoping.PARTIES)}', 2)]), '|') AS parties FROM (SELECT *, {_INTRO} AS whole, {_SAID} AS said FROM docs)""", "docs")
 def t19_fact_scope(spark: SparkSession, d: str) -> DataFrame:
     rows = frames.documents(spark, d)
     text = F.concat(F.lit("This agreement is between Acme Buyer LLC and Northstar Vendor Inc. It is effective "), F.date_format("ingested_at", "yyyy-MM-dd"), F.lit(" and expires on January 5, 2030.\n\n"), F.col("text"))
