@@ -26,9 +26,10 @@ def append_new(rows: DataFrame, path: str, key: list[str], batch: int, order: li
     rows = _sharded(rows, key)
     ranked = rows.groupBy(*key, "shard").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (*key, "shard")]), F.struct(*(order or key))).alias("_row"))
     rows = ranked.select(*key, "_row.*", "shard")
+    schema = rows.withColumn("batch", F.lit(batch)).schema  # batches without rows leave a folder without files
     if exists(spark, path):
         shards = [r[0] for r in rows.select("shard").distinct().collect()]  # SHARDS at most
-        stored = spark.read.parquet(path).where(F.col("shard").isin(*shards) & (F.col("batch") != batch)).select(*key)
+        stored = spark.read.schema(schema).parquet(path).where(F.col("shard").isin(*shards) & (F.col("batch") != batch)).select(*key)
         rows = rows.join(stored, key, "left_anti")
     rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "shard").parquet(path)
 

@@ -71,3 +71,91 @@ def test_run_states_and_waits(spark):
 def test_folders(spark):
     rows = spark.createDataFrame([("b", "/inbox/b"), ("a", "/inbox/a"), ("c", ""), ("d", None)], "slug string, watch_path string")
     assert watch.folders(rows) == [("a", "/inbox/a"), ("b", "/inbox/b")]
+
+
+def swept(spark, tmp_path, **more):
+    """One poll: a sweep and what the stream takes."""
+    at = {k: str(tmp_path / k) for k in ("inbox", "runs", "mark", "seen", "blocks")}
+    query = watch.ingest(spark, at["inbox"], "c", at["runs"], at["mark"], sightings=at["seen"], blocks_path=at["blocks"], **more)
+    query.awaitTermination(30)
+    taken = runs(spark, at["runs"]) if list((tmp_path / "runs").rglob("*.parquet")) else []
+    return taken, states(spark, at["mark"], "last")
+
+
+def states(spark, checkpoint, name):
+    """How many keys a stream holds a state for."""
+    with watch._state_store(spark):
+        return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load().count()
+
+
+def test_only_files_that_hold_still_are_taken(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("one\n\ntwo")
+    (inbox / "growing.txt").write_text("x")
+    (inbox / "b.part").write_text("partial")
+    assert swept(spark, tmp_path) == ([], 2)
+    (inbox / "growing.txt").write_text("x and more")
+    (inbox / "short.txt").write_text("gone soon")
+    assert swept(spark, tmp_path) == (["a.txt"], 3)
+    (inbox / "short.txt").unlink()
+    (inbox / "copy.txt").write_text("one\n\ntwo")
+    assert swept(spark, tmp_path) == (["a.txt", "growing.txt"], 3)
+    (inbox / "a.txt").unlink()
+    assert swept(spark, tmp_path) == (["a.txt", "growing.txt"], 2)
+    (inbox / "short.txt").write_text("gone soon")  # begins anew
+    assert swept(spark, tmp_path)[0] == ["a.txt", "growing.txt"]
+    assert swept(spark, tmp_path) == (["a.txt", "growing.txt", "short.txt"], 3)
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    assert sorted((r.path.rsplit("/", 1)[-1], r.block_index, r.text) for r in blocks.collect()) == [("a.txt", 0, "one"), ("a.txt", 1, "two"), ("growing.txt", 0, "x and more"), ("short.txt", 0, "gone soon")]
+    assert blocks.select("run_id").distinct().count() == 3
+
+
+def test_state_of_files_not_seen_any_more_is_forgotten(spark, tmp_path):
+    seen, mark, out = (str(tmp_path / x) for x in ("in", "mark", "out"))
+
+    def poll(*rows):
+        spark.createDataFrame(rows, watch.SIGHTING).coalesce(1).write.mode("append").parquet(seen)
+        with watch._state_store(spark):
+            stream = watch.held_still(spark.readStream.schema(watch.SIGHTING).parquet(seen), forget_ms=1)
+            q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        q.awaitTermination(30)
+        return states(spark, mark, "last")
+
+    poll(("a", 1, 5, 1), ("b", 1, 5, 1))
+    assert poll(("c", 2, 1, 1)) == 1
+    assert poll(("a", 2, 5, 1)) == 1 and spark.read.parquet(out).count() == 0
+
+
+def test_a_failed_sweep_is_done_again(spark, tmp_path):
+    inbox, seen = tmp_path / "inbox", tmp_path / "seen"
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("a")
+    assert watch.sweep(spark, str(inbox), str(seen)) == 1
+    (seen / "sweep-000000000002").mkdir()
+    assert watch.stored_polls(spark, str(seen)) == [1] and watch.sweep(spark, str(inbox), str(seen)) == 2
+
+
+def test_run_states_resume_and_drop_late_events(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=m)
+    schema = "run_id long, seq long, status string, at timestamp"
+    events, out, mark = (str(tmp_path / x) for x in ("events", "out", "mark"))
+
+    def step(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(events)
+        q = watch.keep_states(spark.readStream.schema(schema).parquet(events), out, mark)
+        q.awaitTermination(30)
+        return {r.run_id: (r.status, r.settled, r.n_events) for r in watch.latest_states(spark, out).collect()}, states(spark, mark, "run")
+
+    got, _ = step((1, 1, "running", at(0)), (2, 1, "running", at(0)), (1, 3, "committed", at(2)))
+    assert got == {1: ("committed", True, 2), 2: ("running", False, 1)}
+    # what comes out of order but on time counts, also after a restart
+    got, _ = step((1, 2, "awaiting_review", at(1)), (2, 2, "blocked", at(3)), (2, 3, "running", at(4)))
+    assert got == {1: ("committed", True, 3), 2: ("blocked", True, 3)}
+    every = spark.read.parquet(events)
+    assert {r.run_id: (r.status, r.settled, r.n_events) for r in watch.run_states(every).collect()} == got
+    got, _ = step((3, 1, "running", at(60)))
+    got, held = step((1, 9, "running", at(5)), (3, 2, "awaiting_review", at(61)))
+    assert got[1] == ("committed", True, 3) and got[3] == ("awaiting_review", False, 2) and held == 1
