@@ -42,9 +42,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges; root is the least node of its component.
 
-    Alternates large and small stars. Each round is two aggregations with map-side combining and two
-    equi-joins that adaptive execution can split; its edges are written to the shared folder, and only a
-    count and a checksum reach the driver.
+    Alternates large and small stars. Each round is two aggregations with map-side combining and two equi-joins; the least
+    neighbours are written before they are joined, so that adaptive execution may split the edges of a hub, whatever share
+    of all edges is its own. Edges are written to the shared folder, and only a count and a checksum reach the driver.
     """
     spark = edges.sparkSession
     now, path = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
@@ -55,10 +55,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         mark = tuple(seen)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least, least_at = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        large, large_at = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        low, low_at = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
         new, new_at = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        drop_path(spark, path)
+        for old in (path, least_at, large_at, low_at):
+            drop_path(spark, old)
         now, path = new, new_at

@@ -291,3 +291,10 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[x] == find(x) for x in got) and set(got) == {x for e in edges if e[0] != e[1] for x in e}
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    edges = [(0, k) for k in range(1, 3_000)] + [(k, k + 1) for k in range(10_000, 10_040)] + [(2_999, 10_020)]
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.root for r in got} == {0} and len(got) == 3_041
+
