@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.operators import ranges
+
 #: States of a run that is not over (fixed values).
 OPEN = ("running", "awaiting_review", "committing", "blocked")
 
@@ -41,6 +43,22 @@ def citation_counts(register: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.select(register["*"], F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("n_fingerprints", F.lit(0)).alias("n_fingerprints"), "first_fact")
 
 
+def cited_pages(register: DataFrame, citations: DataFrame, size: int = ranges.PAGE_SIZE) -> DataFrame:
+    """The columns of register with page, n, fact_ids: its facts in order, so many a page at most; a row that nothing is cited
+    for has one empty page."""
+    pages = ranges.paged(citations.select("item_id", "fact_id"), ["item_id"], ["fact_id"], F.col("fact_id"), "fact_ids", size)
+    rows = register.join(pages, "item_id", "left")
+    return rows.select(register["*"], F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("fact_ids", F.array().cast("array<bigint>")).alias("fact_ids"))
+
+
+def export_pages(register: DataFrame, citations: DataFrame, facts: DataFrame, size: int = ranges.PAGE_SIZE) -> DataFrame:
+    """export() in pages: the columns of register with page, n and at most size quotes in order of fact."""
+    quotes = citations.join(facts.select("fact_id", "document_id", "value"), "fact_id")
+    pages = ranges.paged(quotes, ["item_id"], ["fact_id"], F.struct("fact_id", "document_id", "value"), "quotes", size)
+    rows = register.join(pages, "item_id", "left")
+    return rows.select(register["*"], F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("quotes", F.array().cast("array<struct<fact_id:bigint,document_id:bigint,value:bigint>>")).alias("quotes"))
+
+
 def affected_keys(register: DataFrame, citations: DataFrame, facts: DataFrame, superseded: DataFrame, new: DataFrame) -> DataFrame:
     """agreement_id, key of rows that cite a superseded document's facts, and of new facts."""
     old = facts.join(superseded.select("document_id").distinct(), "document_id", "left_semi").select("fact_id")
@@ -189,11 +207,11 @@ def page_guard(uploads: DataFrame, chunks: str = "chunks", most_pages: int = 3,
 
 def whole_export(register: DataFrame, citations: DataFrame, facts: DataFrame, documents: DataFrame, findings: DataFrame, ruleset: DataFrame) -> DataFrame:
     """collection_id, section, place, body: the whole artifact in long form, a JSON body for each row of each section, in
-    order; register rows carry the number of their quotes, which are rows of their own."""
+    order, numbered by ranges; register rows carry the number of their quotes, which are rows of their own."""
 
     def section(name: str, frame: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("collection_id").orderBy(*order))
-        return frame.select("collection_id", F.lit(name).alias("section"), place.cast("long").alias("place"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
+        rows = ranges.numbered(frame, ["collection_id"], order, "place")
+        return rows.select("collection_id", F.lit(name).alias("section"), "place", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
 
     quotes = citations.join(facts.select("fact_id", "document_id", "value"), "fact_id")
     counts = quotes.groupBy("item_id").agg(F.count("*").alias("n_quotes"))

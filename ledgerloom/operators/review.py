@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import hashing, injection, scoping
+from ledgerloom.operators import ranges
 from ledgerloom.operators.relational import scoped_key
 from ledgerloom.sources.shared import written
 
@@ -127,10 +128,11 @@ def enforced(blockers: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def candidate_basis(register: DataFrame, ruleset_hash: Column, by: str = "collection_id") -> DataFrame:
-    """by, basis: the digest of what a candidate register says (key, value, state, version) and of its playbook."""
+    """by, basis: the digest of what a candidate register says (key, value, state, version) and of its playbook; by pages
+    where the register is large (ranges.digest)."""
     row = F.struct(scoped_key().alias("key"), "state", "value", "version")
-    whole = F.struct(F.array_sort(F.collect_list(row)).alias("register"), F.max(ruleset_hash).alias("ruleset"))
-    return register.groupBy(by).agg(hashing.sha256_text(hashing.canonical_json(whole)).alias("basis"))
+    rows = register.withColumn("_key", scoped_key())
+    return ranges.digest(rows, by, ["_key", "state", "value", "version"], row, "register", {"ruleset": ruleset_hash})
 
 
 def bound(items: DataFrame, basis: DataFrame, ruleset_hash: Column, by: str = "collection_id") -> DataFrame:
@@ -257,11 +259,9 @@ def ingested(documents: DataFrame, started: DataFrame, order: list[str]) -> Data
 def pinned(runs: DataFrame, rulesets: DataFrame) -> DataFrame:
     """runs (run_id, collection_id, started_at) with the playbook (ruleset_id, ruleset_hash of its raw text) that was active
     when they began; null if there was none, and then no rule runs."""
-    known = rulesets.select("collection_id", F.col("installed_at").alias("at"), F.struct("ruleset_id", F.sha2("raw", 256).alias("ruleset_hash")).alias("pin"), F.lit(None).cast("long").alias("run_id"))
-    asked = runs.select("collection_id", F.col("started_at").alias("at"), F.lit(None).cast(known.schema["pin"].dataType).alias("pin"), "run_id")
-    w = Window.partitionBy("collection_id").orderBy("at", F.col("run_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = known.unionByName(asked).withColumn("pin", F.last("pin", ignorenulls=True).over(w)).where("run_id is not null")
-    return rows.select("run_id", "pin.ruleset_id", "pin.ruleset_hash")
+    known = rulesets.select("collection_id", F.col("installed_at").alias("at"), F.struct("ruleset_id", F.sha2("raw", 256).alias("ruleset_hash")).alias("pin"))
+    asked = runs.select("run_id", "collection_id", F.col("started_at").alias("at"))
+    return ranges.as_of(asked, known, ["collection_id"], "at", "pin").select("run_id", "pin.ruleset_id", "pin.ruleset_hash")
 
 
 def ruleset_content(rules: DataFrame, by: str) -> DataFrame:
