@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import grounding, scoping
-from ledgerloom.operators import extraction, layout, review
+from ledgerloom.operators import extraction, layout, provider, review
 from ledgerloom.plans import frames
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_queries import FACTS, FLAGGED, re2
@@ -110,3 +110,36 @@ def g7_repaired_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def _open_blocks(spark: SparkSession, d: str) -> DataFrame:
     return review.quarantined(frames.blocks(spark, d)).where("not flagged").select("document_id", "block_index", "doc_type", "text")
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    docs = frames.documents(spark, d)
+    asked = docs.select(F.concat(F.lit("d"), F.col("document_id").cast("string")).alias("request_id"), F.lit("classify").alias("task"), F.col("text").alias("content"), F.lit("").alias("context"))
+    blocks = _open_blocks(spark, d).select(F.concat(F.lit("b"), F.col("document_id").cast("string"), F.lit(":"), F.col("block_index").cast("string")).alias("request_id"), F.lit("extract").alias("task"), F.col("text").alias("content"), F.lit("").alias("context"))
+    return asked.unionByName(blocks)
+
+
+_ASKED = f"SELECT document_id, 'classify' AS task, text FROM docs UNION ALL SELECT document_id, 'extract', text FROM blocks WHERE NOT {FLAGGED}"
+
+
+@query(f"""SELECT document_id AS run_id, task AS stage, 'ok' AS decision, CAST(count(*) AS VARCHAR) || ' calls, 0 retries, 0 failures' AS reason, 'offline' AS model, CAST(sum(greatest(1, length('Task: ' || task || chr(10) || chr(10) || 'Text:' || chr(10) || text) // 4)) AS BIGINT) AS tokens_in FROM ({_ASKED}) GROUP BY ALL""", "docs", "blocks")
+def u1_provider_usage(spark: SparkSession, d: str) -> DataFrame:
+    """What classifying every document and extracting every block used, as events."""
+    run = F.regexp_extract("request_id", "^[bd]([0-9]+)", 1).cast("long")
+    return provider.usage_events(provider.ask(_requests(spark, d)), run).select("run_id", "stage", "decision", "reason", "model", "tokens_in")
+
+
+_KIND = "CASE WHEN t LIKE '%amendment no%' OR t LIKE '%amendment to%' THEN ['amendment', '0.95'] WHEN t LIKE '%master services agreement%' THEN ['master_agreement', '0.96'] WHEN t LIKE '%invoice%' THEN ['invoice', '0.94'] WHEN t LIKE '%statement of work%' THEN ['sow', '0.93'] WHEN t LIKE '%purchase order%' THEN ['purchase_order', '0.93'] ELSE ['policy', '0.91'] END"
+
+
+@query(f"""SELECT 'd' || CAST(document_id AS VARCHAR) AS request_id, '{{"doc_type":"' || k[1] || '","confidence":' || k[2] || '}}' AS answer FROM (SELECT document_id, {_KIND} AS k FROM (SELECT document_id, lower(string_split(text, chr(10))[1]) AS t FROM docs))""", "docs")
+def u1_provider_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The offline provider's answers to what each document is."""
+    return provider.ask(_requests(spark, d).where("task = 'classify'")).select("request_id", "answer")
+
+
+@query(f"""SELECT document_id, block_index, key, CASE kind WHEN 'money' THEN '{{"amount":"$' || ltrim(n, '$') || '","currency":"USD"}}' WHEN 'receipt' THEN '{{"anchor":"receipt","days":' || n || '}}' ELSE '{{"days":' || n || '}}' END AS value, quote, NOT (kind = 'receipt' AND NOT regexp_matches(quote, '(?i)\\breceipt\\b') OR kind = 'money' AND NOT regexp_matches(quote, 'USD|\\$')) AS ok FROM
+    (SELECT *, CASE WHEN {_CUES} THEN substr(text, instr(text, m)) ELSE m END AS quote FROM (SELECT *, substr(text, instr(text, m) + length(m)) AS rest FROM ({FACTS}) WHERE m <> '' AND NOT {FLAGGED}))""", "blocks")
+def u1_provider_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts by a provider's answers, checked like any others; this one reads sentences to their end at once."""
+    return provider.extract(_open_blocks(spark, d))[0].select("document_id", "block_index", "key", "value", "quote", "ok")

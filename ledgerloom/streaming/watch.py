@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions import hashing
 from ledgerloom.operators import relational
 from ledgerloom.sources.files import LARGEST, blocks_of
-from ledgerloom.sources.tables import append_new, exists, stored
+from ledgerloom.sources.tables import append_new, compact, exists, stored
 
 # Fixed value: files that are still being written.
 PARTIAL = (".part", ".partial", ".crdownload", ".tmp", ".swp", ".swx")
@@ -190,7 +190,7 @@ def contents(still: DataFrame, folder: str) -> DataFrame:
 
 def sink(batch: DataFrame, batch_id: int, runs_path: str, collection: str, largest: int = LARGEST, blocks_path: str | None = None) -> None:
     """Stores what each file of a batch came to, once for each content that no run holds yet, and the blocks of those that
-    became runs. A batch that is run twice is stored once."""
+    became runs. A batch that is run twice is stored once; earlier ones are put together as they grow many."""
     files = keyed(batch, collection, largest)
     rows = judged(files).where("outcome <> 'unavailable'")
     append_new(rows, runs_path, ["collection", "watch_key"], batch_id, ["path"])
@@ -200,6 +200,8 @@ def sink(batch: DataFrame, batch_id: int, runs_path: str, collection: str, large
         blocks = blocks_of(taken.select("path", "length", "content")).where("error is null").drop("error")
         runs = taken.select("path", hashing.name_uuid(F.concat_ws(":", "collection", F.sha2("content", 256))).alias("run_id"))
         blocks.join(runs, "path").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(blocks_path)
+    if exists(batch.sparkSession, runs_path):
+        compact(batch.sparkSession, runs_path)
 
 
 def ingest(spark: SparkSession, folder: str, collection: str, runs_path: str, checkpoint: str, largest: int = LARGEST, sightings: str | None = None, blocks_path: str | None = None, forget_ms: int = FORGET_MS):

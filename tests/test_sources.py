@@ -74,3 +74,44 @@ def test_no_folder_of_ones_own_on_a_cluster():
 
     with pytest.raises(ValueError, match="share"):
         shared.shared_dir(Session())
+
+
+def keyed(spark, *rows):
+    return spark.createDataFrame(rows, "k string, v long")
+
+
+def test_compaction_keeps_what_is_stored(spark, tmp_path):
+    path, seen = str(tmp_path / "t"), {}
+    for batch in range(14):
+        tables.append_new(keyed(spark, (f"k{batch}", batch), ("same", batch), (f"k{batch // 2}", -batch)), path, ["k"], batch, ["v"])
+        seen.setdefault(f"k{batch}", batch)
+        seen.setdefault("same", batch)
+        tables.compact(spark, path, width=3)
+        assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("batch=")]) <= 4
+    got = {r.k: r.v for r in tables.stored(spark, path).collect()}
+    assert tables.stored(spark, path).count() == len(got) == 15 and got["same"] == 0 and got["k0"] == 0 and got["k13"] == 13
+    now = tables.manifest(spark, path)
+    assert sorted(p.name for p in (tmp_path / "t" / "_levels").iterdir()) == sorted(now["folders"]) and {f[0] for f in now["folders"]} == {"1", "2"}
+    # the latest batch may be run again
+    tables.append_new(keyed(spark, ("k13", 13), ("k12", 5)), path, ["k"], 13, ["v"])
+    assert tables.stored(spark, path).count() == 15
+
+
+def test_a_compaction_that_stops_leaves_old_or_new(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    for batch in range(4):
+        tables.append_new(keyed(spark, (f"k{batch}", batch)), path, ["k"], batch, ["v"])
+    whole = {f"k{b}" for b in range(4)}
+    keys = lambda: {r.k for r in tables.stored(spark, path).collect()}
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    for step in ("_write_text", "sweep"):
+        with monkeypatch.context() as m:
+            m.setattr(tables, step, stop)
+            with pytest.raises(RuntimeError):
+                tables.compact(spark, path, width=3)
+        assert keys() == whole and tables.stored(spark, path).count() == 4
+    tables.sweep(spark, path)
+    assert keys() == whole and [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("batch=")] == ["batch=3"]
