@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import scoping
+from ledgerloom.operators import ranges
 from ledgerloom.sources.shared import written
 
 GROUP = ["collection_id", "agreement_id", "key"]
@@ -105,6 +106,30 @@ def citations(facts: DataFrame, run: DataFrame, derived: DataFrame) -> DataFrame
     return cited.where((F.coalesce("conflict_kind", F.lit("")) != "supersession_candidate") | (F.col("_value") == F.col("value"))).select(*GROUP, "fact_id")
 
 
+def parallel(facts: DataFrame, run: DataFrame) -> DataFrame:
+    """GROUP, position, fact_id, document_id, value of the facts that stand beside each key's answer, of another scope than
+    its challenger's, from the oldest to the newest: those that n_parallel counts and that decide about the key."""
+    if "parties" not in facts.columns:
+        facts = facts.withColumn("parties", F.array().cast("array<string>"))
+    rows = active(facts.join(run, "collection_id", "left")).where("not in_scope")
+    placed = ranges.numbered(rows.select(*GROUP, *ORDER, "fact_id", "value"), GROUP, [*ORDER, "fact_id"], "_place")
+    return placed.select(*GROUP, (F.col("_place") - 1).alias("position"), "fact_id", "document_id", "value")
+
+
+def claims(facts: DataFrame, run: DataFrame, documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
+    """GROUP, evidence of the keys for which the run's new document claims a replacement: the sentence around the fact's own
+    quote (quotes: fact_id, quote), or the line above it, else the first such sentence of the document (documents:
+    document_id, text). Only new documents are read."""
+    new = facts.join(run.select("collection_id", F.col("new_document_id").alias("document_id")), ["collection_id", "document_id"], "left_semi")
+    rows = new.join(documents.select("document_id", F.col("text").alias("_text")), "document_id")
+    own = F.lit(None).cast("string")
+    if quotes is not None:
+        rows, own = rows.join(quotes.select("fact_id", "quote"), "fact_id", "left"), scoping.supersession_near(F.col("_text"), F.col("quote"))
+    said = scoping.supersession_evidence(F.col("_text"))
+    found = rows.where(said.isNotNull()).withColumn("_said", F.coalesce(own, said))
+    return found.groupBy(*GROUP).agg(F.max_by("_said", F.struct(*ORDER)).alias("evidence"))
+
+
 def agreement_of(relations: DataFrame, declared: DataFrame) -> DataFrame:
     """document_id, agreement_id: what a document declares of itself, else the first agreement that it amends, else is
     governed by, else references, else supersedes; of each kind only the first relation counts, and '' names none."""

@@ -86,11 +86,11 @@ def d8_agreement_order(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT * FROM (WITH der AS ({Q._DERIVED}), want AS (SELECT collection_id, 'MSA-9' AS agreement_id, 'term_end_date' AS key FROM collections) SELECT collection_id, agreement_id, key, state, reason FROM der UNION ALL SELECT collection_id, agreement_id, key, 'missing', 'no evidence' FROM want)", "collections", "facts")
 def d5_wanted_keys(spark: SparkSession, d: str) -> DataFrame:
     """Derivations of all keys and of one that no document is about."""
-    f = frames.facts(spark, d)
+    f = Q._facts(spark, d)
     claims = f.where("doc_type = 'amendment'").select("collection_id", "agreement_id", "key")
     named = f.where("agreement_id <> ''").groupBy("collection_id").agg(F.count_distinct("agreement_id").alias("n_named"))
     wanted = frames.collections(spark, d).select("collection_id", F.lit("MSA-9").alias("agreement_id"), F.lit("term_end_date").alias("key")).unionByName(f.select("collection_id", "agreement_id", "key"))
-    return derive.derive(f, Q._run(spark, d), claims, named, wanted).select("collection_id", "agreement_id", "key", "state", "reason")
+    return derive.derive(f, Q._run(spark, d, f), claims, named, wanted).select("collection_id", "agreement_id", "key", "state", "reason")
 
 
 @query(f"""SELECT f.finding_id, verdict, decision, coalesce(decision = 'dismissed' AND verdict <> 'pass', false) AS recheck FROM ({_FOUND}) f LEFT JOIN ({_DECIDED}) USING (finding_id)""", "facts", "rules")
@@ -101,7 +101,7 @@ def w5_finding_decisions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT document_id FROM (SELECT DISTINCT document_id FROM ({_FOUND})) ANTI JOIN (SELECT document_id FROM ({_FOUND}) WHERE document_id % 5 <> 0 AND document_id % 3 = 0 AND verdict <> 'pass') USING (document_id)""", "facts", "rules")
 def w12_g11_cache_after_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Cached documents whose verdicts still hold: a dismissal takes its document's entry away."""
-    found = _found(spark, d).withColumn("cache_key", F.col("document_id"))
+    found = Q.written(_found(spark, d), "found")[0].withColumn("cache_key", F.col("document_id"))
     rechecked = review.decided(found.select("finding_id", "verdict"), _decided(spark, d))
     return review.cache_of(found, found.select("cache_key").distinct(), rechecked).select(F.col("cache_key").alias("document_id"))
 
@@ -203,10 +203,10 @@ def o1_whole_export(spark: SparkSession, d: str) -> DataFrame:
     """The whole artifact of each collection by section: its rows and the length of their JSON."""
     from ledgerloom.operators import rules
 
-    f = frames.facts(spark, d).withColumn("item_id", Q._item())
+    f = Q._facts(spark, d).withColumn("item_id", Q._item())
     every = rules.applicable(frames.rules(spark).withColumn("target_keys", F.array().cast("array<string>")), frames.collections(spark, d).select("collection_id", F.lit("").alias("key")))
     found = _found(spark, d).select(F.col("run_id").alias("collection_id"), "code", F.col("document_id").alias("target"), "verdict", "severity")
-    out = relational.whole_export(Q._register(spark, d).withColumn("item_id", Q._item()), f.select("item_id", "fact_id"), f, frames.documents(spark, d), found, every)
+    out = relational.whole_export(Q._register(spark, d, f).withColumn("item_id", Q._item()), f.select("item_id", "fact_id"), f, frames.documents(spark, d), found, every)
     return out.groupBy("collection_id", "section").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("n_chars"))
 
 
@@ -221,8 +221,9 @@ def r3_assessed_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT * FROM (WITH der AS ({Q._DERIVED}), c AS (SELECT collection_id, agreement_id, key, count(*) AS n FROM facts GROUP BY ALL) SELECT collection_id, agreement_id, key, n_in_scope AS n_cited FROM der WHERE coalesce(conflict_kind, '') <> 'supersession_candidate')""", "facts")
 def d5_citations(spark: SparkSession, d: str) -> DataFrame:
     """How many facts each derivation cites, where none replaces another: all that are in scope."""
-    der = Q._derived(spark, d)
-    cited = derive.citations(frames.facts(spark, d), Q._run(spark, d), der)
+    f = Q._facts(spark, d)
+    der = Q.written(Q._derived(spark, d, f), "derived")[0]
+    cited = derive.citations(f, Q._run(spark, d, f), der)
     rows = der.where("coalesce(conflict_kind, '') <> 'supersession_candidate'").select("collection_id", "agreement_id", "key")
     return rows.join(cited, ["collection_id", "agreement_id", "key"]).groupBy("collection_id", "agreement_id", "key").agg(F.count("*").alias("n_cited"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ranges, relational, review, rules
+from ledgerloom.operators import derive, ranges, relational, review, rules
 from ledgerloom.plans import frames
 from ledgerloom.plans import register_queries as Q
 from ledgerloom.plans.registry import query
@@ -96,3 +96,20 @@ def j11_r12_many_rules(spark: SparkSession, d: str) -> DataFrame:
 def h4_facts_digest(spark: SparkSession, d: str) -> DataFrame:
     """A digest of all facts of each collection, by pages of a thousand."""
     return ranges.digest(frames.facts(spark, d), "collection_id", ["fact_id"], F.struct(F.col("fact_id").alias("fact"), F.col("value").alias("value")), "facts", {"ruleset": F.lit("r1")}, page=1_000)
+
+
+@query(f"""SELECT * FROM ({Q.DERIVED_STEPS} SELECT l.collection_id, l.agreement_id, l.key, row_number() OVER (PARTITION BY l.collection_id, l.agreement_id, l.key ORDER BY l.ingested_at, l.document_id, l.line, l.fact_id) - 1 AS position, l.fact_id, l.document_id, l.value FROM live l ANTI JOIN s ON s.fact_id = l.fact_id)""", "facts")
+def d6_parallel_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of other scopes that stand beside each key's answer, in order."""
+    f = Q._facts(spark, d)
+    return derive.parallel(f, Q._run(spark, d, f))
+
+
+# Every amendment of these tables claims to replace; a term that its own line does not name has the sentence above it.
+@query("""WITH run AS (SELECT collection_id, max_by(document_id, ROW(ingested_at, document_id)) AS new_document_id FROM facts WHERE doc_type = 'amendment' GROUP BY 1), n AS (SELECT f.*, d.text FROM facts f JOIN run ON run.collection_id = f.collection_id AND run.new_document_id = f.document_id JOIN docs d ON d.document_id = f.document_id WHERE f.doc_type = 'amendment')
+    SELECT collection_id, agreement_id, key, max_by(CASE WHEN line % 2 = 0 THEN string_split(text, chr(10) || chr(10))[2] || ' ' || string_split(text, chr(10) || chr(10))[3] ELSE 'This Amendment amends Agreement No.' END, ROW(ingested_at, document_id, line)) AS evidence FROM n GROUP BY ALL""".replace("WITH run AS", "SELECT * FROM (WITH run AS") + ")", "docs", "facts")
+def g9_replacement_claims(spark: SparkSession, d: str) -> DataFrame:
+    """What the newest amendment of each collection says about replacing each of its keys, by the key's own quote."""
+    f, docs = Q._facts(spark, d), frames.documents(spark, d)
+    quotes = f.select("fact_id", F.when(F.col("line") % 2 == 0, "Payment is due").otherwise("nowhere").alias("quote"))
+    return derive.claims(f, Q._run(spark, d, f.where("doc_type = 'amendment'")), docs, quotes)

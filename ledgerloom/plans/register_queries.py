@@ -100,11 +100,11 @@ _NEWEST = "SELECT f.* FROM facts f JOIN (SELECT collection_id, max_by(document_i
 @query(f"""WITH c AS (SELECT {_ITEM} AS item_id, f.* FROM facts f), gone AS (SELECT DISTINCT supersedes_id AS document_id FROM facts WHERE supersedes_id IS NOT NULL AND collection_id = 1)
     SELECT DISTINCT agreement_id, key FROM (SELECT agreement_id, key FROM c SEMI JOIN gone USING (document_id) UNION ALL SELECT agreement_id, key FROM ({_NEWEST}))""".replace("WITH c AS", "SELECT * FROM (WITH c AS") + ")", "facts")
 def j4_affected_keys(spark: SparkSession, d: str) -> DataFrame:
-    f = frames.facts(spark, d)
+    f = _facts(spark, d)
     items = f.withColumn("item_id", _item())
     gone = f.where("supersedes_id is not null and collection_id = 1").select(F.col("supersedes_id").alias("document_id"))
     rows = items.select("item_id", "agreement_id", "key").distinct()
-    return relational.affected_keys(rows, items.select("item_id", "fact_id"), f, gone, _newest(spark, d))
+    return relational.affected_keys(rows, items.select("item_id", "fact_id"), f, gone, _newest(spark, d, facts=f))
 
 
 @query(f"""SELECT {_ITEM} AS item_id, count(*) AS n_facts, count(DISTINCT sha256(CAST(value AS VARCHAR))) AS n_fingerprints, min(fact_id) AS first_fact FROM facts GROUP BY {_ITEM}""", "facts")
@@ -154,23 +154,28 @@ def _run(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFra
     return (facts or frames.facts(spark, d)).groupBy("collection_id").agg(F.max_by("document_id", F.struct("ingested_at", "document_id")).alias("new_document_id"))
 
 
-def _newest(spark: SparkSession, d: str, how: str = "left_semi") -> DataFrame:
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts worked out once, for queries that read them again and again."""
+    return written(frames.facts(spark, d), "facts")[0]
+
+
+def _newest(spark: SparkSession, d: str, how: str = "left_semi", facts: DataFrame | None = None) -> DataFrame:
     """Facts of each collection's newest document, or by left_anti those of all others."""
-    f, new = frames.facts(spark, d), _run(spark, d).select("collection_id", F.col("new_document_id").alias("document_id"))
+    f = facts or frames.facts(spark, d)
+    new = _run(spark, d, f).select("collection_id", F.col("new_document_id").alias("document_id"))
     return f.join(new, ["collection_id", "document_id"], how)
 
 
 def _derived(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
-    # facts are worked out once, for every step of the derivation reads them again
-    f = facts or written(frames.facts(spark, d), "facts")[0]
-    claims = f.where("doc_type = 'amendment'").select("collection_id", "agreement_id", "key").distinct()
+    f = facts or _facts(spark, d)
+    run = _run(spark, d, f)
     named = f.where("agreement_id <> ''").groupBy("collection_id").agg(F.count_distinct("agreement_id").alias("n_named"))
-    return derive.derive(f, _run(spark, d, f), claims, named)
+    return derive.derive(f, run, derive.claims(f, run, frames.documents(spark, d)), named)
 
 
 def _proposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(register, proposals), written once for what is committed and proved of them."""
-    f = written(frames.facts(spark, d), "facts")[0]
+    f = _facts(spark, d)
     reg = written(_register(spark, d, f), "register")[0]
     return reg, written(register.proposals(_hash(_derived(spark, d, f)), reg), "proposals")[0]
 
@@ -180,13 +185,14 @@ def _approved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return reg, proposed.where("kind in ('conflict', 'register_update') and after % 3 <> 0")
 
 
-_DERIVED = f"""SELECT * FROM (WITH run AS ({_RUN}), f AS (SELECT facts.*, new_document_id FROM facts JOIN run USING (collection_id)),
+DERIVED_STEPS = f"""WITH run AS ({_RUN}), f AS (SELECT facts.*, new_document_id FROM facts JOIN run USING (collection_id)),
     auth AS (SELECT * FROM (SELECT *, bool_or(obligation_scope = 'contractual') OVER g AS has_contract FROM f WINDOW g AS (PARTITION BY collection_id, agreement_id, key)) WHERE obligation_scope = 'contractual' OR NOT has_contract),
     ret AS (SELECT DISTINCT collection_id, agreement_id, key, supersedes_id AS document_id FROM auth WHERE supersedes_id IS NOT NULL AND document_id <> new_document_id),
     live AS MATERIALIZED (SELECT * FROM (SELECT *, bool_or(stays) OVER (PARTITION BY collection_id, agreement_id, key) AS any_stays FROM (SELECT a.*, r.document_id IS NULL AS stays FROM auth a LEFT JOIN ret r USING (collection_id, agreement_id, key, document_id))) WHERE stays OR NOT any_stays),
     ch AS (SELECT collection_id, agreement_id, key, max_by(fact_id, ROW(CAST(document_id = new_document_id AS INT), ingested_at, document_id, line)) AS challenger_id FROM live GROUP BY ALL),
     c AS MATERIALIZED (SELECT ch.*, l.value AS c_value, l.document_id AS c_doc, l.supersedes_id AS c_sup, l.obligation_scope AS c_scope, l.conditions AS c_cond, l.parties AS c_parties FROM ch JOIN live l ON l.fact_id = ch.challenger_id),
-    s AS (SELECT l.*, c.challenger_id, c_value, c_doc, c_sup, c_scope FROM live l JOIN c USING (collection_id, agreement_id, key) WHERE l.obligation_scope = c_scope AND l.conditions = c_cond AND CASE WHEN len(l.parties) = 0 OR len(c_parties) = 0 THEN true ELSE l.parties = c_parties END),
+    s AS (SELECT l.*, c.challenger_id, c_value, c_doc, c_sup, c_scope FROM live l JOIN c USING (collection_id, agreement_id, key) WHERE l.obligation_scope = c_scope AND l.conditions = c_cond AND CASE WHEN len(l.parties) = 0 OR len(c_parties) = 0 THEN true ELSE l.parties = c_parties END)"""
+_DERIVED = f"""SELECT * FROM ({DERIVED_STEPS},
     a AS (SELECT collection_id, agreement_id, key, count(*) AS n_in_scope, count(DISTINCT value) AS n_values, max_by(fact_id, ROW(ingested_at, document_id, line)) FILTER (WHERE value <> c_value) AS rival, min_by(fact_id, ROW(ingested_at, document_id, line)) AS oldest,
           any_value(challenger_id) AS challenger_id, any_value(c_value) AS c_value, any_value(c_doc) AS c_doc, any_value(c_sup) AS c_sup, any_value(c_scope) AS c_scope, any_value(new_document_id) AS nd FROM s GROUP BY ALL),
     n AS (SELECT collection_id, agreement_id, key, count(*) AS n_facts, bool_or(doc_type = 'amendment') AS claimed FROM f GROUP BY ALL),
@@ -579,7 +585,8 @@ def a16_method_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT collection_id, agreement_id, key, max_by(fact_id, ROW(CAST(document_id = nd AS INT), ingested_at, document_id, line)) AS challenger_id FROM facts JOIN (SELECT collection_id, max_by(document_id, ROW(ingested_at, document_id)) AS nd FROM facts GROUP BY 1) USING (collection_id) GROUP BY ALL""", "facts")
 def k3_challenger(spark: SparkSession, d: str) -> DataFrame:
-    f = frames.facts(spark, d).join(_run(spark, d), "collection_id")
+    f = _facts(spark, d)
+    f = f.join(_run(spark, d, f), "collection_id")
     return derive.sides(f).select("collection_id", "agreement_id", "key", F.col("challenger.fact_id").alias("challenger_id")).distinct()
 
 
@@ -625,8 +632,8 @@ def w9_ruleset_install(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT collection_id, agreement_id, key, CASE value % 3 WHEN 0 THEN 'finding' WHEN 1 THEN 'proposal' ELSE 'classification' END AS kind, CASE value % 3 WHEN 1 THEN value % 4 = 0 WHEN 0 THEN value % 5 = 0 ELSE false END AS refused FROM ({_REGISTER})""", "facts")
 def w11_decision_basis(spark: SparkSession, d: str) -> DataFrame:
-    reg = _register(spark, d)
-    basis = review.candidate_basis(reg, F.lit("r1"))
+    reg = written(_register(spark, d), "register")[0]
+    basis = written(review.candidate_basis(reg, F.lit("r1")), "basis")[0]
     now = reg.join(basis, "collection_id").select("collection_id", "agreement_id", "key", "version", "content_hash", "basis")
     kind = F.when(F.col("value") % 3 == 0, "finding").when(F.col("value") % 3 == 1, "proposal").otherwise("classification")
     supplied = reg.join(basis, "collection_id").select("collection_id", "agreement_id", "key", kind.alias("kind"), F.when(F.col("value") % 4 == 0, F.col("version") - 1).otherwise(F.col("version")).alias("supplied_version"), F.col("content_hash").alias("supplied_hash"), F.when(F.col("value") % 5 == 0, "old").otherwise(F.col("basis")).alias("supplied_basis"))
@@ -651,6 +658,7 @@ def g19_latest_values(spark: SparkSession, d: str) -> DataFrame:
     SELECT agreement_id, key, 'new' AS origin FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT agreement_id, key, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b))""", "facts")
 def s1_key_sets(spark: SparkSession, d: str) -> DataFrame:
     """Keys of the newest documents against those of all documents before them."""
-    return relational.key_sets(_newest(spark, d), _newest(spark, d, "left_anti"), ["agreement_id", "key"])
+    f = _facts(spark, d)
+    return relational.key_sets(_newest(spark, d, facts=f), _newest(spark, d, "left_anti", f), ["agreement_id", "key"])
 
 

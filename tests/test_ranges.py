@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ranges, relational, review, rules
+from ledgerloom.operators import derive, ranges, relational, review, rules
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +103,15 @@ def test_rules_of_a_large_playbook(spark, monkeypatch):
     assert Counter((r.id, r.key, r.code) for r in rules.applicable(sets, frame).collect()) == want
     assert rules.applicable(sets.where("size(target_keys) > 0"), frame).where("id = 3").count() == 0
     assert rules.applicable(sets.limit(0), frame).count() == 0
+
+
+def test_parallel_facts_and_claims(spark):
+    day = lambda k: dt.datetime(2024, 1, k)
+    schema = "fact_id long, collection_id long, agreement_id string, key string, document_id long, ingested_at timestamp, line long, value long, obligation_scope string, conditions string, supersedes_id long, doc_type string, parties array<string>"
+    rows = [(k, 1, "A", "days", k, day(k), 1, v, "contractual", c, None, "policy", []) for k, v, c in ((1, 30, ""), (2, 40, "if late"), (3, 30, ""), (4, 50, "if late"), (5, 45, ""))]
+    facts, run = spark.createDataFrame(rows, schema), spark.createDataFrame([(1, 5)], "collection_id long, new_document_id long")
+    assert [(r.position, r.fact_id, r.value) for r in derive.parallel(facts, run).orderBy("position").collect()] == [(0, 2, 40), (1, 4, 50)]
+    said = lambda text, quote: [r.evidence for r in derive.claims(facts, run, spark.createDataFrame([(5, text), (4, "It replaces all.")], "document_id long, text string"), spark.createDataFrame([(5, quote)], "fact_id long, quote string")).collect()]
+    text = "Preface. It supersedes the cap.\nSection 4 is replaced as follows:\n45 days. End."
+    assert said(text, "45 days") == ["Section 4 is replaced as follows: 45 days."] and said(text, "not there") == ["It supersedes the cap."]
+    assert said("Nothing new. 45 days.", "45 days") == []
