@@ -199,7 +199,7 @@ def test_excerpts_within_a_budget(spark):
     playbook = spark.createDataFrame([("P", "Payment terms must not exceed 45 days.", "major", "source", [])], "code string, rule_text string, severity string, scope string, target_keys array<string>")
     assert [(r.position, r.block_index) for r in rules.excerpted(blocks, playbook, 2, 40).orderBy("position").collect()] == [(0, 0), (1, 2)]
     with pytest.raises(ValueError, match="rules at most"):
-        rules.applicable(spark.range(rules.MOST_RULES + 1).selectExpr("cast(id as string) as code", "'t' as rule_text", "'major' as severity", "'both' as scope", "cast(array() as array<string>) as target_keys"), blocks)
+        rules.excerpted(blocks, spark.range(rules.MOST_RULES + 1).selectExpr("cast(id as string) as code", "'t' as rule_text", "'major' as severity", "'both' as scope", "cast(array() as array<string>) as target_keys"))
 
 
 def test_playbooks_load_whole_or_not_at_all(spark):
