@@ -121,7 +121,8 @@ def claims(facts: DataFrame, run: DataFrame, documents: DataFrame, quotes: DataF
     quote (quotes: fact_id, quote), or the line above it, else the first such sentence of the document (documents:
     document_id, text). Only new documents are read."""
     new = facts.join(run.select("collection_id", F.col("new_document_id").alias("document_id")), ["collection_id", "document_id"], "left_semi")
-    rows = new.join(documents.select("document_id", F.col("text").alias("_text")), "document_id")
+    newest = documents.join(run.select(F.col("new_document_id").alias("document_id")), "document_id", "left_semi")  # before texts are made
+    rows = new.join(newest.select("document_id", F.col("text").alias("_text")), "document_id")
     own = F.lit(None).cast("string")
     if quotes is not None:
         rows, own = rows.join(quotes.select("fact_id", "quote"), "fact_id", "left"), scoping.supersession_near(F.col("_text"), F.col("quote"))

@@ -90,12 +90,15 @@ def scoped(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.withColumn("scope", F.col("scope").withField("clause", scoping.clause(F.col("_sentence"))).withField("conditions", scoping.conditions(F.col("_sentence")))).drop("_sentence")
 
 
-def with_context(blocks: DataFrame, by: Column | int) -> DataFrame:
-    """blocks with context: the texts of up to so many blocks before and after each, between them its own; '' if by is 0."""
+def with_context(blocks: DataFrame, by: int) -> DataFrame:
+    """blocks with context: the texts of up to so many blocks before and after each, and its own between them; '' if by is 0.
+    Documents are dealt out by id to as many tasks as the session has for shuffles, for what follows is work on texts."""
+    if not by:
+        return blocks.withColumn("context", F.lit(""))
+    spark = blocks.sparkSession
     at = Window.partitionBy("document_id").orderBy("block_index")
-    before, after = F.lag("text").over(at), F.lead("text").over(at)
-    by = by if isinstance(by, Column) else F.lit(by)
-    return blocks.withColumn("context", F.when(by > 0, F.concat_ws("\n\n", before, "text", after)).otherwise(""))
+    near = [F.lag("text", k).over(at) for k in range(by, 0, -1)] + [F.col("text")] + [F.lead("text", k).over(at) for k in range(1, by + 1)]
+    return blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id").withColumn("context", F.concat_ws("\n\n", *near))
 
 
 def extract(blocks: DataFrame, extractor=None, most: int = MOST_REPAIRS) -> tuple[DataFrame, DataFrame]:

@@ -31,14 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out evenly if they come in fewer partitions than there are cores, as a file of one row group does: what is
+    done with texts is work for all cores. Larger tables come in enough partitions and are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("r_regionkey").cast("long")
     slug = T.slugify(F.col("r_name"))
     return table(spark, sf_dir, "region").select(key.alias("collection_id"), slug.alias("slug"), F.when(key % 2 == 0, F.concat(F.lit("/inbox/"), slug)).otherwise("").alias("watch_path"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, for_texts: bool = False) -> DataFrame:
     o = table(spark, sf_dir, "orders")
+    o = spread(o.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")) if for_texts else o
     ref = F.concat(F.lit("MSA-"), F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"))
     days, amount, notice = (10 + F.col("o_orderkey") % 80).cast("string"), F.floor("o_totalprice").cast("string"), (15 + F.col("o_custkey") % 60).cast("string")
     kind = F.element_at(F.array(*map(F.lit, DOC_TYPES)), (F.col("o_orderkey") % 6 + 1).cast("int"))
@@ -56,7 +64,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each part between blank lines, with its offsets."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, for_texts=True)
     return d.select("document_id", "collection_id", "doc_type", F.posexplode_outer(T.blocks_with_offsets(F.col("text"))).alias("block_index", "b")).select("document_id", "collection_id", "doc_type", F.col("block_index").cast("long").alias("block_index"), F.col("b.text").alias("text"), F.col("b.char_start").cast("long").alias("char_start"), F.col("b.char_end").cast("long").alias("char_end"))
 
 

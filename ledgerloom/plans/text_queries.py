@@ -148,7 +148,7 @@ _CLAIMS = f"""[CASE WHEN (regexp_matches(q, '{re2(scoping.AMENDS)}') OR regexp_m
 @query(f"""SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY i, k) - 1 AS INT) AS place, kinds[k] AS kind, coalesce({_ref("q")}, {_ref("text")}, '') AS target_ref, q AS quote,
     CAST(instr(text, q) - 1 AS INT) AS quote_start, CAST(instr(text, q) - 1 + length(q) AS INT) AS quote_end FROM (SELECT *, unnest(range(1, len(kinds) + 1)) AS k FROM (SELECT *, list_filter({_CLAIMS}, lambda x: x IS NOT NULL) AS kinds FROM ({_SENTENCES})))""", "docs")
 def t14_t15_relations(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.relations_of(frames.documents(spark, d))
+    return extraction.relations_of(frames.documents(spark, d, for_texts=True))
 
 
 @query(r"""SELECT document_id, CASE WHEN doc_type IN ('master_agreement', 'sow') THEN nullif(regexp_replace(upper(regexp_extract(text, '(?i)\b(?:master\s+services\s+agreement|agreement)\s*(?:no\b\.?)\s*([A-Za-z0-9][A-Za-z0-9./_-]{2,})', 1)), '[.,;:]+$', ''), '') END AS ref FROM docs""", "docs")
