@@ -7,8 +7,10 @@ filter's false positives in that language's slice, and the largest decides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ SLICE_BITS, BROADCAST_IDS = 12, 100_000
 
 _P = np.uint64(0x100000001B3)
 _BATCH = 1_000_000
+_BLANK = re.compile(r"\s")
 _letters: list[np.ndarray] = []
 
 
@@ -38,28 +41,69 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def grams(texts: list[str], lengths=tuple(GRAMS)) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Whether each text has a letter, and by length the hashes of the n-grams with their texts' indices.
-
-    Texts are lower-cased, and each run of other characters becomes one space.
-    """
-    low = [f" {t.lower()} " for t in texts]
+def _plain(low: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of lower-cased texts with one space for each run of others than letters, the indices of their texts,
+    and whether each text has a letter."""
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, low), np.int64, len(low)))
+    owner = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), np.int64, len(low)))
     alpha = letters()[codes]
-    has = np.bincount(owner[alpha], minlength=len(texts)) > 0
+    has = np.bincount(owner[alpha], minlength=len(low)) > 0
     before = np.concatenate([[False], alpha[:-1]])
     keep = alpha | before
     keep[np.flatnonzero(np.diff(owner, prepend=-1))] = True
-    codes = np.where(alpha, codes, 32)[keep].astype(np.uint64)
-    owner = owner[keep]
+    return np.where(alpha, codes, 32)[keep].astype(np.uint64), owner[keep], has
+
+
+def _windows(codes: np.ndarray, owner: np.ndarray, lengths, known: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, the hashes of the n-grams with their texts' indices, but for those among the first known symbols."""
     out, h = {}, codes + np.uint64(1)
     for n in range(2, max(lengths) + 1):
         h = h[:-1] * _P + codes[n - 1 :] + np.uint64(1) if codes.size >= n else h[:0]
         if n in lengths:
             inside = owner[: h.size] == owner[n - 1 :] if h.size else np.zeros(0, bool)
+            inside[: max(0, known - n + 1)] = False
             out[n] = mixed(h[inside] * np.uint64(2 * n + 1)), owner[: h.size][inside]
-    return has, out
+    return out
+
+
+def grams(texts: list[str], lengths=tuple(GRAMS)) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Whether each text has a letter, and by length the hashes of the n-grams with their texts' indices.
+
+    Texts are lower-cased, and each run of other characters becomes one space.
+    """
+    codes, owner, has = _plain([f" {t.lower()} " for t in texts])
+    return has, _windows(codes, owner, lengths)
+
+
+def _cuts(text: str, piece: int) -> Iterator[str]:
+    """A text in pieces of about so many characters, cut behind white space, so lower-casing does not see the cut; where
+    there is none for another piece's length, a cut is made anyway, which only the form of a Greek sigma there can show."""
+    at = 0
+    while len(text) - at > piece:
+        found = _BLANK.search(text, at + piece, at + 2 * piece)
+        end = found.end() if found else at + 2 * piece
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def gram_batches(texts: list[str], lengths=tuple(GRAMS), batch: int = _BATCH) -> Iterator[tuple[slice, np.ndarray, dict]]:
+    """What grams gives for consecutive slices of texts of about batch characters; a longer text comes as several pieces,
+    each with the last symbols of the one before, so that every n-gram is there once."""
+    sizes = [len(t) for t in texts]
+    for s in slices(sizes, batch):
+        if sum(sizes[s]) <= batch:
+            yield s, *grams(texts[s], lengths)
+            continue
+        for i in range(s.start, s.stop):
+            tail = np.zeros(0, np.uint64)
+            for k, piece in enumerate(chain(_cuts(texts[i], batch), (" ",))):
+                codes, _, has = _plain([piece.lower() if k else " " + piece.lower()])
+                if tail.size and codes.size and tail[-1] == codes[0] == 32:
+                    codes = codes[1:]
+                codes = np.concatenate([tail, codes])
+                yield slice(i, i + 1), has, _windows(codes, np.zeros(codes.size, np.int64), lengths, tail.size)
+                tail = codes[max(0, codes.size - max(lengths) + 1) :]
 
 
 def slots(h: np.ndarray) -> list[np.ndarray]:
@@ -89,33 +133,30 @@ class LanguageFilter:
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Whether each text has a letter; its corrected counts by language."""
-        has, found = grams(texts)
         hits = np.zeros((len(texts), len(self.langs)))
         total = np.zeros(len(texts))
-        for h, owner in found.values():
-            total += np.bincount(owner, minlength=len(texts))
-            at = slots(h)
-            for w, table in enumerate(self.table):
-                bits = table[at[0]] & table[at[1]] & table[at[2]]
-                for i in range(64 * w, min(64 * w + 64, len(self.langs))):
-                    hits[:, i] += np.bincount(owner[(bits >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
+        has = np.zeros(len(texts), bool)
+        for s, some, found in gram_batches(texts):
+            n = s.stop - s.start
+            has[s] |= some
+            for h, owner in found.values():
+                total[s] += np.bincount(owner, minlength=n)
+                at = slots(h)
+                for w, table in enumerate(self.table):
+                    bits = table[at[0]] & table[at[1]] & table[at[2]]
+                    for i in range(64 * w, min(64 * w + 64, len(self.langs))):
+                        hits[s, i] += np.bincount(owner[(bits >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=n)
         corrected = (hits - total[:, None] * self.false) / np.maximum(1 - self.false, 1e-9)
         return has, np.clip(corrected, 0, None)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its share of all languages' counts; ties go to the first, und has no letter."""
-        langs, scores = [], np.zeros(len(texts))
-        start = 0
-        for s in slices([len(t) for t in texts], _BATCH):
-            has, c = self.counts(texts[s])
-            if not self.langs:
-                has = np.zeros_like(has)
-            for j in range(len(has)):
-                k = int(np.argmax(c[j])) if has[j] else -1
-                langs.append(self.langs[k] if k >= 0 else "und")
-                scores[start + j] = c[j, k] / c[j].sum() if k >= 0 and c[j].sum() > 0 else 0.0
-            start += len(has)
-        return langs, scores
+        has, c = self.counts(texts)
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        best, sums = np.argmax(c, axis=1), c.sum(axis=1)
+        scores = np.where(has & (sums > 0), c[np.arange(len(texts)), best] / np.where(sums > 0, sums, 1), 0.0)
+        return [self.langs[k] if some else "und" for k, some in zip(best, has, strict=True)], scores
 
 
 def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
@@ -154,9 +195,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, kept: dict[int, int] = GRAM
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                texts = as_texts(group["text"])
-                for s in slices([len(t) for t in texts], _BATCH):
-                    for n, (h, _) in grams(texts[s], tuple(kept))[1].items():
+                for _, _, found in gram_batches(as_texts(group["text"]), tuple(kept)):
+                    for n, (h, _) in found.items():
                         h, c = np.unique(h, return_counts=True)
                         yield pd.DataFrame({"lang": lang, "n": n, "h": h.view(np.int64), "c": c.astype(np.int64)})
 

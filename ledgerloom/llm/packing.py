@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import as_texts
 
@@ -24,34 +29,35 @@ ROW = 2_048
 WINDOW = 2_000_000
 SCHEMA = "pack_id string, n_tokens int, n_segments int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
 
-_CACHE = 200_000
-# White space other than these two may join pieces across the split, so such texts are encoded whole.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Texts longer than so many characters are encoded in pieces, cut before a blank between two words.
+PIECE = 1_000_000
+_CUT = re.compile(r"\S (?=\S)")
 
 
-class Encoder(dict):
-    """Bytes of little-endian 16- or 32-bit ids for a text; pieces are remembered up to a bound."""
+class Encoder:
+    """Bytes of little-endian 16- or 32-bit ids for a text."""
 
     def __init__(self, ranks: bytes, pattern: str = PATTERN):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.width = np.dtype("<u2") if max(table.values()) < 65_535 else np.dtype("<u4")
+        self.code = "H" if max(table.values()) < 65_535 else "I"
+        self.width = np.dtype("<u2" if self.code == "H" else "<u4")
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHE:
-            self.clear()
-        out = np.array(self.encoding.encode_ordinary(piece), dtype=self.width).tobytes()
-        if len(piece) < 64:
-            self[piece] = out
-        return out
-
     def ids(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text):
-            return np.array(self.encoding.encode_ordinary(text), dtype=self.width).tobytes()
-        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+        out = array(self.code, self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def parts(self, text: str, piece: int = PIECE) -> Iterator[bytes]:
+        """The ids of a text in order, by pieces of about so many characters."""
+        at = 0
+        while len(text) - at > piece and (cut := _CUT.search(text, at + piece)):
+            yield self.ids(text[at : cut.start() + 1])
+            at = cut.start() + 1
+        yield self.ids(text[at:])
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}
@@ -114,7 +120,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
     cu_seqlens the bounds of its segments, position_resets where positions begin at 0 again, doc_ids and
     doc_offsets the document of each segment and the segment's first id in it. Every document ends with
     end, so a null or empty one is that id alone; one longer than a row is split and loses nothing.
-    Repeated rows and null ids are packed like others. Tasks pack what they read, without a shuffle.
+    Repeated rows and null ids are packed like others. Tasks pack what they read, without a shuffle. Long texts are
+    encoded in pieces and leave a task row by row, so a task holds a text, its window and little more.
     """
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # of one vocabulary's size
@@ -140,13 +147,79 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
 
         for batch in batches:
             for doc_id, text in zip(batch["_id"].tolist(), as_texts(batch["text"]), strict=True):
-                ids = encoder.ids(text) + fill
                 doc = None if doc_id is None else int(doc_id)
-                segments += [(doc, at // width.itemsize, ids[at : at + step]) for at in range(0, len(ids), step)]
-                held += len(ids) // width.itemsize
-                if held >= window:
-                    yield flush()
+                rest, start = b"", 0
+                for ids in chain(encoder.parts(text), (fill,)):
+                    rest += ids
+                    whole = len(rest) // step * step
+                    segments += [(doc, (start + at) // width.itemsize, rest[at : at + step]) for at in range(0, whole, step)]
+                    held += whole // width.itemsize
+                    rest, start = rest[whole:], start + whole
+                    if held >= window:
+                        yield flush()
+                if rest:
+                    segments.append((doc, start // width.itemsize, rest))
+                    held += len(rest) // width.itemsize
+                    if held >= window:
+                        yield flush()
         if segments:
             yield flush()
 
     return docs.select(docs["doc_id"].cast("string").alias("_id"), docs["text"].alias("text")).mapInPandas(run, SCHEMA)
+
+
+MATRIX = "matrix_id string, n_rows int, n_tokens long, input_ids binary, cu_seqlens array<long>, position_resets array<long>, doc_ids array<long>, doc_offsets array<long>"
+
+
+def matrices(packed: DataFrame, rows: int = 512, row: int = ROW) -> DataFrame:
+    """Rows of pack as id matrices of at most so many rows: see MATRIX; a task's rows stay together, without a shuffle.
+
+    input_ids is the matrix by rows. cu_seqlens has the bounds of all segments in it, where what fills a row up is a
+    segment of its own, so they cover the matrix; position_resets is where positions begin at 0 again. doc_ids and
+    doc_offsets have null for what fills up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, turn = TaskContext.get().partitionId(), 0
+        held: list[dict] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, turn
+            bounds, docs, offsets = [0], [], []
+            for k, r in enumerate(held):
+                bounds += [k * row + n for n in r["cu_seqlens"][1:]]
+                docs += r["doc_ids"]
+                offsets += r["doc_offsets"]
+                if bounds[-1] < (k + 1) * row:
+                    bounds.append((k + 1) * row)
+                    docs.append(None)
+                    offsets.append(None)
+            out = {
+                "matrix_id": f"{part}-{turn}",
+                "n_rows": len(held),
+                "n_tokens": sum(r["n_tokens"] for r in held),
+                "input_ids": b"".join(r["input_ids"] for r in held),
+                "cu_seqlens": bounds,
+                "position_resets": bounds[:-1],
+                "doc_ids": docs,
+                "doc_offsets": offsets,
+            }
+            held, turn = [], turn + 1
+            return pa.RecordBatch.from_pylist([out], schema)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append(r)
+                if len(held) == rows:
+                    yield flush()
+        if held:
+            yield flush()
+
+    longs = pa.list_(pa.int64())
+    schema = pa.schema({"matrix_id": pa.string(), "n_rows": pa.int32(), "n_tokens": pa.int64(), "input_ids": pa.binary(), "cu_seqlens": longs, "position_resets": longs, "doc_ids": longs, "doc_offsets": longs})
+    return packed.select("input_ids", "n_tokens", "cu_seqlens", "doc_ids", "doc_offsets").mapInArrow(run, MATRIX)
+
+
+def fill_rate(packed: DataFrame, row: int = ROW) -> DataFrame:
+    """n_rows, n_tokens and fill, the share of all places that hold a document's ids (null without rows)."""
+    return packed.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")).withColumn("fill", F.when(F.col("n_rows") > 0, F.col("n_tokens") / (F.col("n_rows") * row)))

@@ -488,3 +488,54 @@ def test_packing_round_trip(spark, odd):
     assert ends == Counter(i for i, _, _ in odd[0])
     total = sum(len(encoder.encoding.encode_ordinary(t or "")) + 1 for _, t, _ in odd[0])
     assert sum(r.n_tokens for r in rows) == total
+
+
+def test_long_texts_are_encoded_in_pieces():
+    with open(packing.VOCABULARY, "rb") as f:
+        encoder = packing.Encoder(f.read())
+    rng = random.Random(5)
+    signs = ["a", "word", " ", "\n", " ", "it's", "\t", "é", "12", "!!", "  ", "日本", "\x1c", " "]
+    for _ in range(3_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 30)))
+        assert b"".join(encoder.parts(text, rng.randint(1, 9))) == encoder.ids(text)
+    assert b"".join(encoder.parts("x" * 50, 5)) == encoder.ids("x" * 50)
+
+
+def test_packing_of_a_long_text_leaves_row_by_row(spark):
+    text = " ".join(f"w{k % 997}" for k in range(600_000))
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "a b"), (None, None)], "doc_id long, text string").coalesce(1), window=50_000).collect()
+    with open(packing.VOCABULARY, "rb") as f:
+        encoder = packing.Encoder(f.read())
+    got = sorted((at, bytes(r.input_ids)[2 * r.cu_seqlens[k] : 2 * r.cu_seqlens[k + 1]]) for r in rows for k, (d, at) in enumerate(zip(r.doc_ids, r.doc_offsets, strict=True)) if d == 1)
+    assert b"".join(x for _, x in got) == encoder.ids(text) + np.array([packing.END], "<u2").tobytes()
+    assert len({r.pack_id.split("-")[1] for r in rows}) > 2
+
+
+def test_matrices_hold_every_row(spark, odd):
+    big = 2**53 + 1
+    docs = odd[1].unionByName(spark.createDataFrame([(big, "one two three", None)], odd[1].schema))
+    packed = packing.pack(docs, row=256, window=3_000)
+    rows, found = packed.collect(), packing.matrices(packed, rows=3, row=256).collect()
+    assert Counter(bytes(r.input_ids) for r in rows) == Counter(bytes(m.input_ids)[512 * k : 512 * k + 512] for m in found for k in range(m.n_rows))
+    for m in found:
+        assert m.n_rows <= 3 and len(m.input_ids) == 512 * m.n_rows and m.cu_seqlens[0] == 0 and m.cu_seqlens[-1] == 256 * m.n_rows
+        assert m.position_resets == m.cu_seqlens[:-1] and len(m.doc_ids) == len(m.doc_offsets) == len(m.position_resets)
+        assert m.n_tokens == sum(b - a for a, b, at in zip(m.cu_seqlens, m.cu_seqlens[1:], m.doc_offsets) if at is not None)
+    assert big in {d for m in found for d in m.doc_ids}
+    rate = packing.fill_rate(packed, 256).first()
+    assert rate.n_rows == len(rows) and rate.n_tokens == sum(r.n_tokens for r in rows) and 0 < rate.fill <= 1
+    assert packing.matrices(packing.pack(docs.limit(0))).count() == 0 and packing.fill_rate(packing.pack(docs.limit(0))).first().fill is None
+
+
+def test_language_of_long_texts_is_counted_in_pieces():
+    rng = random.Random(7)
+    signs = ["a", "B", "Σ", " ", "\n", ".", "é", "1", "zq", "İ", "  ", " "]
+    for k in range(1_500):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 4))]
+        has, whole = langid.grams(texts)
+        seen, pieces = np.zeros(len(texts), bool), {n: Counter() for n in whole}
+        for s, some, found in langid.gram_batches(texts, batch=rng.randint(20, 30)):
+            seen[s] |= some
+            for n, (h, owner) in found.items():
+                pieces[n].update(zip((owner + s.start).tolist(), h.tolist()))
+        assert (seen == has).all() and all(Counter(zip(o.tolist(), h.tolist())) == pieces[n] for n, (h, o) in whole.items())
