@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import document_queries, gate_queries, range_queries, register_queries, text_queries  # noqa: F401  (they register their queries)
+from ledgerloom.plans import document_queries, finding_queries, gate_queries, range_queries, register_queries, text_queries  # noqa: F401  (they register their queries)
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 

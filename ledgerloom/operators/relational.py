@@ -170,9 +170,9 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, columns: list[str]) -
 
 
 def with_decision(changes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """changes with decided: whether their id is a key of the decisions (a map by batch)."""
-    rows = changes.join(decisions, "batch_id", "left")
-    return rows.select(*changes.columns, F.coalesce(F.array_contains(F.map_keys("decisions"), F.col("change_id")), F.lit(False)).alias("decided"))
+    """changes (batch_id, change_id) with decided: whether there is a decision (batch_id, change_id) on them."""
+    known = decisions.select("batch_id", "change_id").distinct().withColumn("_known", F.lit(True))
+    return changes.join(known, ["batch_id", "change_id"], "left").select(*changes.columns, F.coalesce("_known", F.lit(False)).alias("decided"))
 
 
 def key_sets(new: DataFrame, old: DataFrame, columns: list[str]) -> DataFrame:

@@ -90,9 +90,9 @@ def cache_of(findings: DataFrame, cache: DataFrame, rechecked: DataFrame) -> Dat
 
 def reused(documents: DataFrame, order: list[str]) -> DataFrame:
     """documents (cache_key, run's own row) with reused_from and hit: the first document of a key, if that is another."""
-    w = Window.partitionBy("cache_key").orderBy(*order)
-    first = F.first("document_id").over(w)
-    return documents.withColumn("reused_from", first).withColumn("hit", F.col("document_id") != F.col("reused_from"))
+    first, _ = written(documents.groupBy(F.col("cache_key").alias("_key")).agg(F.min_by("document_id", F.struct(*order)).alias("reused_from")), "first")
+    rows = documents.join(first, F.col("cache_key").eqNullSafe(F.col("_key")), "left").drop("_key")
+    return rows.withColumn("hit", F.col("document_id") != F.col("reused_from"))
 
 
 def deliverable_targets(register: DataFrame, touched: DataFrame, by: list[str]) -> DataFrame:
@@ -194,11 +194,15 @@ def register_excerpts(rows: DataFrame, facts: DataFrame, blocks: DataFrame) -> D
 
 
 def approved_ids(requested: DataFrame, known: DataFrame) -> DataFrame:
-    """Requests (batch_id, ids) with problem: approval names each change, once; there is no approval of everything."""
+    """Requests (batch_id, ids) with problem: approval names each change, once; there is no approval of everything. Ids meet
+    those that are known (batch_id, change_id) a row each."""
     empty = (F.size("ids") == 0) | F.exists("ids", lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
-    rows = requested.join(known.groupBy("batch_id").agg(F.collect_set("change_id").alias("_known")), "batch_id", "left")
-    unknown = F.size(F.array_except("ids", F.coalesce("_known", F.array().cast("array<string>")))) > 0
-    return rows.withColumn("problem", F.when(F.col("ids").isNull() | empty, "names no change").when(F.size(F.array_distinct("ids")) < F.size("ids"), "names a change twice").when(unknown, "names an unknown change")).drop("_known")
+    named = requested.select(F.col("batch_id").alias("_batch"), F.col("ids").alias("_ids")).distinct().select("_batch", "_ids", F.explode("_ids").alias("change_id"))
+    there = known.select(F.col("batch_id").alias("_batch"), "change_id").distinct()
+    unknown = named.join(there, ["_batch", "change_id"], "left_anti").select("_batch", "_ids").distinct().withColumn("_unknown", F.lit(True))
+    rows = requested.join(unknown, F.col("batch_id").eqNullSafe(F.col("_batch")) & F.col("ids").eqNullSafe(F.col("_ids")), "left")
+    problem = F.when(F.col("ids").isNull() | empty, "names no change").when(F.size(F.array_distinct("ids")) < F.size("ids"), "names a change twice").when(F.col("_unknown"), "names an unknown change")
+    return rows.select(*requested.columns, problem.alias("problem"))
 
 
 def permitted(requests: DataFrame) -> DataFrame:
