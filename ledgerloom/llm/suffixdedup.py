@@ -5,9 +5,9 @@
 2. Documents are dealt into groups. A group's different strings of one bucket of minimisers are a shard: its
    suffixes are sorted once, where its texts are, and only its transform and the least doc_id of each string travel.
 3. Where a bucket's shards meet, their transforms alone are merged. A transform says what stands before each of its
-   suffixes and where that longer suffix lies, so an interleave of all shards by h symbols becomes one by h + 2 by
-   a stable distribution on the two symbols before; suffixes are not sorted again. Neighbours that a round leaves in one
-   block have a common prefix of h + 2; the intervals that are left at LEAST symbols are the repeated windows.
+   suffixes and where that longer suffix lies, so an interleave of all shards by h symbols becomes one by h + 2 k by
+   a stable distribution on the k pairs of symbols before; suffixes are not sorted again. Neighbours that a round leaves
+   in one block have a common prefix of h + 2 k; the intervals that are left at LEAST symbols are the repeated windows.
 4. An interval's least doc_id goes back to the shards, whose documents lose what a smaller one has.
 """
 
@@ -34,7 +34,9 @@ PARTS = 16
 #: Minimisers with more bytes of strings than this are split: their windows are dealt one by one, by their own hash.
 HOT_BYTES = 4_000_000
 
-_CHUNK, _SORTED = 250_000, 400_000
+_CHUNK, _SORTED = 62_500, 400_000
+#: Pairs of symbols that a round of the merge takes at most.
+_PAIRS = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = []
 
@@ -109,40 +111,62 @@ def _window_hashes(data: bytes) -> np.ndarray:
     return mixed((total[LEAST:] - total[:-LEAST]) * inverse[: len(data) - LEAST + 1])
 
 
+def _numbered(pair: np.ndarray) -> tuple[np.ndarray, int]:
+    """16-bit values as numbers in their order without gaps, and the bits these take."""
+    there = np.bincount(pair, minlength=1 << 16) > 0
+    number = np.cumsum(there, dtype=np.uint64)
+    return (number - np.uint64(1))[pair], int(number[-1] - np.uint64(1)).bit_length()
+
+
+def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys of so many bits, and the keys in it. Sorting values is several times faster than sorting
+    places by them, so a place goes below its key where both fit in 64 bits."""
+    low = max(1, key.size - 1).bit_length()
+    if bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    key = key << np.uint64(low) | np.arange(key.size, dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << low) - 1)).astype(np.int64), key >> np.uint64(low)
+
+
 def transform(strings: list[bytes], piece: np.ndarray) -> np.ndarray:
     """The transform of the strings of each piece, pieces (ascending) one after the other.
 
     Symbols are bytes plus one; 0 ends a string, and ends of equal suffixes stand in the order of their strings.
-    Suffixes are sorted by eight symbols, then by doubling among those that are still equal.
+    Suffixes are sorted by eight symbols, or as many of these as fit beside a place, then by doubling among those that
+    are still equal.
     """
     size = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
     codes = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)  # no UTF-8 text has 0xff
     n = codes.size
     at = np.arange(n)
     left = np.repeat(np.cumsum(size) - 1, size) - at
-    key, width = codes.astype(np.uint64), 1
-    while width < 8:  # nothing follows an end
+    pair = codes.astype(np.uint16) << np.uint16(8)
+    pair[:-1] |= codes[1:]
+    pair[left == 0] = 0  # nothing follows an end
+    key, bits = _numbered(pair)
+    width = 2
+    while width < 8 and 2 * bits + n.bit_length() <= 64:
         ahead = np.zeros(n, np.uint64)
         ahead[:-width] = key[width:]
         ahead[left < width] = 0
-        key = key << np.uint64(8 * width) | ahead
-        width *= 2
-    order = np.argsort(key)
-    key = key[order]
+        key = key << np.uint64(bits) | ahead
+        width, bits = 2 * width, 2 * bits
+    order, key = _ordered(key, bits)
     new = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-    length = width
+    length, half = width, n.bit_length()
     still = order[~(new & np.append(new[1:], True))]
     still = still[left[still] >= length]
     while still.size:
-        key = rank[still] << 32 | rank[still + length]
-        order = np.argsort(key)
-        still, key = still[order], key[order]
+        order, key = _ordered((rank[still] << half | rank[still + length]).view(np.uint64), 2 * half)
+        still, key = still[order], key.view(np.int64)
         place = np.arange(still.size)
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        block = np.concatenate([[True], key[1:] >> 32 != key[:-1] >> 32])
-        rank[still] = (key >> 32) + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(block, place, 0))
+        block = np.concatenate([[True], key[1:] >> half != key[:-1] >> half])
+        rank[still] = (key >> half) + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(block, place, 0))
         length *= 2
         still = still[~(new & np.append(new[1:], True))]
         still = still[left[still] >= length]
@@ -160,14 +184,12 @@ class Shards:
         size = [t.size for t in transforms]
         self.before = np.concatenate(transforms)
         n = self.before.size
-        shard = np.repeat(np.arange(len(size), dtype=np.uint16 if len(size) < 1 << 16 else np.int64), size)
-        by = np.argsort(self.before, kind="stable")
-        by = by[np.argsort(shard[by], kind="stable")]
-        self.longer = np.empty(n, np.int32)
-        self.longer[by] = np.arange(n, dtype=np.int32)
-        # each string is walked from its end, which stand first in their shard
-        ends = np.bincount(shard[self.before == 0], minlength=len(size))
         start = np.cumsum(size) - size
+        self.longer = np.empty(n, np.int64)
+        for t, at in zip(transforms, start.tolist(), strict=True):
+            self.longer[at + np.argsort(t, kind="stable")] = np.arange(at, at + t.size)
+        # each string is walked from its end, which stand first in their shard
+        ends = np.array([np.count_nonzero(t == 0) for t in transforms], np.int64)
         now = np.repeat(start - (np.cumsum(ends) - ends), ends) + np.arange(ends.sum())
         self.n_strings, who = ends, np.arange(now.size, dtype=np.int32)
         self.string, self.left, self.length = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(now.size, np.int64)
@@ -175,8 +197,10 @@ class Shards:
         while now.size:
             self.string[now], self.left[now] = who, step
             more = self.before[now] > 0
-            self.length[who[~more]] = step
-            now, who = self.longer[now[more]], who[more]
+            if not more.all():
+                self.length[who[~more]] = step
+                now, who = now[more], who[more]
+            now = self.longer[now]
             step += 1
 
     def windows(self, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -184,17 +208,29 @@ class Shards:
         and whether each is the first of an interval whose windows have all of them in common.
 
         A round's blocks are the suffixes with h symbols in common; the next round's are derived from these and the
-        two symbols before. Only suffixes that lead to a window are carried: those `least` - h symbols behind its start.
+        symbols before, as many pairs of these as fit, numbered in their order, in 64 bits beside a place. Only suffixes
+        that lead to a window are carried: those `least` - h symbols behind its start.
         """
-        place = np.flatnonzero(self.left <= self.length[self.string] - least).astype(np.int32)
+        place = np.flatnonzero(self.left <= self.length[self.string] - least)
         begins = np.ones(place.size, bool)
+        if not place.size:
+            return place, begins
         pair = self.before[self.longer].astype(np.uint16) << np.uint16(8) | self.before
+        one, width = _numbered(pair)
         twice = self.longer[self.longer]
+        most = max(1, min(least // 2, (64 - place.size.bit_length()) // max(width, 1), _PAIRS))
+        rounds, rest = divmod(least // 2, most)
+        symbols, longer = one, twice
+        steps = {1: (symbols, longer)}
+        for k in range(2, most + 1):
+            symbols, longer = symbols[twice] << np.uint64(width) | one, longer[twice]
+            if k in (most, rest):
+                steps[k] = symbols, longer
         block = np.zeros(place.size, np.int32)
-        for _ in range(0, least, 2):
-            key = pair[place]
-            order = np.argsort(key, kind="stable")
-            key, place, block = key[order], twice[place[order]], block[order]
+        for k in [most] * rounds + [rest] * (rest > 0):
+            symbols, longer = steps[k]
+            order, key = _ordered(symbols[place], k * width)
+            place, block = longer[place[order]], block[order]
             begins[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             block = np.cumsum(begins, dtype=np.int32)
         return place, begins
@@ -263,7 +299,11 @@ class _Group:
         self.own = np.array([int(i) for i in self.ids[:named]], np.int64)
         h, doc, at, count, string = runs(self.texts[:named])
         key = ((h % np.uint64(buckets)) << np.uint64(32) | (h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.lexsort((string, key))
+        order, ordered = _ordered(key.view(np.uint64), 32 + (buckets - 1).bit_length())
+        tied = np.append(ordered[1:] == ordered[:-1], False)
+        tied = np.flatnonzero(tied | np.append(False, tied[:-1])) if tied.size else tied
+        some = order[tied]
+        order[tied] = some[np.lexsort((some, string[some], key[some]))]
         self.doc, self.at, self.count, self.key = doc[order], at[order], count[order], key[order]
         string = string[order]
         #: First run of each minimiser and of each different string; runs stay in the order of doc_id within a string.

@@ -239,6 +239,31 @@ def test_transform_of_one_string():
     assert [max(x - 1, 0) for x in suffixdedup.transform([text], np.zeros(1, int)).tolist()] == want
 
 
+@pytest.mark.parametrize("symbols", [4, 250])
+def test_rounds_of_a_merge(symbols, monkeypatch):
+    """As many pairs of symbols a round as fit: 25 rounds of one pair cost twice the time. Bytes of all kinds fit less."""
+    rng = random.Random(symbols)
+    strings = [bytes(rng.randrange(symbols) for _ in range(400)) for _ in range(200)]
+    strings += [s[rng.randrange(300) :] for s in strings[:60]]
+    docs = np.array([rng.randrange(99) for _ in strings])
+    shard = np.arange(len(strings)) // 90
+    made = np.split(suffixdedup.transform(strings, shard), np.cumsum([sum(len(s) + 1 for s, k in zip(strings, shard, strict=True) if k == j) for j in range(3)])[:-1])
+    rounds, ordered = [], suffixdedup._ordered
+    monkeypatch.setattr(suffixdedup, "_ordered", lambda key, bits: rounds.append(bits) or ordered(key, bits))
+    got = suffixdedup.least_of_windows(made, [docs[shard == j] for j in range(3)])
+    least = least_by_hand(strings, docs)
+    assert [g.tolist() for g in got] == [[least[s[i : i + 50]] for s, k in zip(strings, shard, strict=True) if k == j for i in range(len(s) - 49)] for j in range(3)]
+    assert len(rounds) == (5 if symbols == 4 else 13)
+
+
+@pytest.mark.parametrize("bits", [9, 60])
+def test_order_of_keys(bits):
+    """Equal keys stay in order, whether places fit beside them or not."""
+    key = np.random.default_rng(bits).integers(0, 300, 5_000).astype(np.uint64) << np.uint64(bits - 9)
+    order, ordered = suffixdedup._ordered(key, bits)
+    assert order.tolist() == np.argsort(key, kind="stable").tolist() and ordered.tolist() == sorted(key.tolist())
+
+
 def digests(rows):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows if r.doc_id is not None)
 
