@@ -27,6 +27,8 @@ GRAMS = {2: 700, 3: 4_000, 4: 8_000}
 SLOTS, HASHES = 1 << 19, 3
 #: Bits of the slices that hashes of ids are counted by, and ids up to which the sample is broadcast.
 SLICE_BITS, BROADCAST_IDS = 12, 100_000
+#: Ids of a language whose texts are counted together, and about how many different grams a task holds before it gives them out.
+PART_IDS, HELD_GRAMS = 200, 1_000_000
 
 _P = np.uint64(0x100000001B3)
 _BATCH = 1_000_000
@@ -160,9 +162,9 @@ class LanguageFilter:
 
 
 def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
-    """lang, doc_id of the ids to learn from: at most sample of each language, those with the least hash.
+    """lang, doc_id, part of the ids to learn from: at most sample of each language, those with the least hash.
 
-    Chosen by ids alone. Hashes are counted by slice, which tells how many slices a language needs; only what is in
+    A language's parts have PART_IDS ids each but for the last. Chosen by ids alone. Hashes are counted by slice, which tells how many slices a language needs; only what is in
     these is ranked.
     """
     key = [F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang")]
@@ -175,32 +177,73 @@ def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
     narrow = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     few = ids.join(F.broadcast(ends) if narrow else ends, "lang").where("_slice <= _end")
     rank = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    out, _ = written(few.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= sample).select("lang", "doc_id"), "sample")
+    out, _ = written(few.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= sample).select("lang", "doc_id", F.floor((F.col("_rank") - 1) / PART_IDS).cast("int").alias("part")), "sample")
     drop_path(labelled.sparkSession, path)
     return out
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, kept: dict[int, int] = GRAMS) -> LanguageFilter:
-    """A filter from doc_id, text and lang of the rows that have all three.
+class _Counts:
+    """Grams counted so far, by language and length."""
 
-    At most sample ids of a language are read, with whole texts; of rows that repeat an id and language the least text
-    counts. Grams are counted in every task and summed; each language sends the driver its most frequent ones,
-    sum(kept) 64-bit hashes at most.
+    def __init__(self):
+        self.held: dict[tuple, list] = {}
+        self.size = self.merged = 0
+
+    def add(self, lang: str, n: int, h: np.ndarray) -> None:
+        h, c = np.unique(h, return_counts=True)
+        self.held.setdefault((lang, n), []).append((h, c.astype(np.int64)))
+        self.size += h.size
+        if self.size > 2 * self.merged + HELD_GRAMS // 4:
+            self.merge()
+
+    def merge(self) -> None:
+        for key, found in self.held.items():
+            h, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+            c = np.zeros(h.size, np.int64)
+            np.add.at(c, at, np.concatenate([c for _, c in found]))
+            self.held[key] = [(h, c)]
+        self.size = self.merged = sum(found[0][0].size for found in self.held.values())
+
+    def given(self) -> Iterator[pd.DataFrame]:
+        self.merge()
+        for (lang, n), [(h, c)] in self.held.items():
+            yield pd.DataFrame({"lang": lang, "n": n, "h": h.view(np.int64), "c": c})
+        self.__init__()
+
+
+def partial_counts(labelled: DataFrame, sample: int = SAMPLE, kept: dict[int, int] = GRAMS) -> DataFrame:
+    """lang, n, h, c: how often each gram is in the texts to learn from, to be summed.
+
+    Texts are dealt out by language and part, so a gram has a row for each part of its language at most, however many
+    partitions there are, but where a task finds more than HELD_GRAMS.
     """
     chosen = _sampled(labelled, sample)
     few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("text is not null")
-    rows = texts.join(F.broadcast(chosen) if few else chosen, ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rows = texts.join(F.broadcast(chosen) if few else chosen, ["lang", "doc_id"]).groupBy("lang", "part", "doc_id").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = _Counts()
         for batch in batches:
             for lang, group in batch.groupby("lang"):
                 for _, _, found in gram_batches(as_texts(group["text"]), tuple(kept)):
                     for n, (h, _) in found.items():
-                        h, c = np.unique(h, return_counts=True)
-                        yield pd.DataFrame({"lang": lang, "n": n, "h": h.view(np.int64), "c": c.astype(np.int64)})
+                        counts.add(lang, n, h)
+                    if counts.merged > HELD_GRAMS:
+                        yield from counts.given()
+        yield from counts.given()
+
+    return rows.repartition("lang", "part").select("lang", "text").mapInPandas(counted, "lang string, n int, h long, c long")
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE, kept: dict[int, int] = GRAMS) -> LanguageFilter:
+    """A filter from doc_id, text and lang of the rows that have all three.
 
-    counts = rows.select("lang", "text").mapInPandas(counted, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
+    At most sample ids of a language are read, with whole texts; of rows that repeat an id and language the least text
+    counts. Grams are counted in every task and summed; each language sends the driver its most frequent ones,
+    sum(kept) 64-bit hashes at most.
+    """
+    counts = partial_counts(labelled, sample, kept).groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
     best = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "h")))
     limit = F.lit(0)
     for n, most in kept.items():

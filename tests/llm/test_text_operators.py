@@ -149,6 +149,44 @@ def test_language_by_hand(spark, sf_dir):
     assert right >= 0.98 * sum(map(bool, has))
 
 
+def test_partial_counts_of_language_do_not_follow_the_partitions(spark, monkeypatch):
+    """A gram has a row for each part of its language at most, and the sums are those of the texts."""
+    rows = [(i, prose(i, 30) + "ab" * (i % 3), ("en", "fr")[i % 2]) for i in range(120)]
+    want = Counter()
+    for _, text, lang in rows:
+        for n, (h, _) in langid.grams([text])[1].items():
+            want.update((lang, n, x) for x in h.view(np.int64).tolist())
+    monkeypatch.setattr(langid, "PART_IDS", 40)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for partitions in (2, 48):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = langid.partial_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(partitions)).collect()
+            assert len(got) <= 2 * len(want)
+            sums = Counter()
+            for r in got:
+                sums[r.lang, r.n, r.h] += r.c
+            assert sums == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_partial_counts_are_given_out_when_a_task_holds_many(monkeypatch):
+    monkeypatch.setattr(langid, "HELD_GRAMS", 8)
+    counts, sums = langid._Counts(), Counter()
+    for k in range(30):
+        counts.add("en", 2, np.array([k, k, k + 1], np.uint64))
+        if counts.merged > langid.HELD_GRAMS:
+            for f in counts.given():
+                sums.update(dict(zip(f["h"].tolist(), f["c"].tolist(), strict=True)))
+            assert not counts.held
+    for f in counts.given():
+        sums.update(dict(zip(f["h"].tolist(), f["c"].tolist(), strict=True)))
+    assert sums == Counter({0: 2, 30: 1} | {k: 3 for k in range(1, 30)})
+
+
 def lines_by_hand(rows, least_docs=5):
     holders = defaultdict(set)
     lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
