@@ -18,20 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import as_texts, drop_path, mixed, slices, written
+from ledgerloom.llm.common import as_texts, mixed, slices, written
 
 #: Labelled ids of each language to learn from at most: those with the least hash.
 SAMPLE = 400
 #: Grams kept for each length and language, by frequency; equal for all languages, so none is favoured.
 GRAMS = {2: 700, 3: 4_000, 4: 8_000}
 SLOTS, HASHES = 1 << 19, 3
-#: Bits of the slices that hashes of ids are counted by, and ids up to which the sample is broadcast.
+#: Bits of the slices that hashes of ids are counted by, and rows up to which the slices' ends and the sample are broadcast.
 SLICE_BITS, BROADCAST_IDS = 12, 100_000
 #: Ids of a language whose texts are counted together, and about how many different grams a task holds before it gives them out.
 PART_IDS, HELD_GRAMS = 200, 1_000_000
 
 _P = np.uint64(0x100000001B3)
-_BATCH = 1_000_000
+#: Characters worked on at once: a worker keeps the most memory that it ever took, so this bounds what all of them hold.
+#: A blank is looked for so many more characters on before a text is cut without one.
+_BATCH, _AHEAD = 1 << 16, 1_000_000
 _BLANK = re.compile(r"\s")
 _letters: list[np.ndarray] = []
 
@@ -77,19 +79,19 @@ def grams(texts: list[str], lengths=tuple(GRAMS)) -> tuple[np.ndarray, dict[int,
     return has, _windows(codes, owner, lengths)
 
 
-def _cuts(text: str, piece: int) -> Iterator[str]:
+def _cuts(text: str, piece: int, ahead: int) -> Iterator[str]:
     """A text in pieces of about so many characters, cut behind white space, so lower-casing does not see the cut; where
-    there is none for another piece's length, a cut is made anyway, which only the form of a Greek sigma there can show."""
+    there is none in so many more ahead, a cut is made anyway, which only the form of a Greek sigma there can show."""
     at = 0
     while len(text) - at > piece:
-        found = _BLANK.search(text, at + piece, at + 2 * piece)
-        end = found.end() if found else at + 2 * piece
+        found = _BLANK.search(text, at + piece, at + piece + ahead)
+        end = found.end() if found else at + piece + ahead
         yield text[at:end]
         at = end
     yield text[at:]
 
 
-def gram_batches(texts: list[str], lengths=tuple(GRAMS), batch: int = _BATCH) -> Iterator[tuple[slice, np.ndarray, dict]]:
+def gram_batches(texts: list[str], lengths=tuple(GRAMS), batch: int = _BATCH, ahead: int = _AHEAD) -> Iterator[tuple[slice, np.ndarray, dict]]:
     """What grams gives for consecutive slices of texts of about batch characters; a longer text comes as several pieces,
     each with the last symbols of the one before, so that every n-gram is there once."""
     sizes = [len(t) for t in texts]
@@ -99,7 +101,7 @@ def gram_batches(texts: list[str], lengths=tuple(GRAMS), batch: int = _BATCH) ->
             continue
         for i in range(s.start, s.stop):
             tail = np.zeros(0, np.uint64)
-            for k, piece in enumerate(chain(_cuts(texts[i], batch), (" ",))):
+            for k, piece in enumerate(chain(_cuts(texts[i], batch, ahead), (" ",))):
                 codes, _, has = _plain([piece.lower() if k else " " + piece.lower()])
                 if tail.size and codes.size and tail[-1] == codes[0] == 32:
                     codes = codes[1:]
@@ -161,25 +163,28 @@ class LanguageFilter:
         return [self.langs[k] if some else "und" for k, some in zip(best, has, strict=True)], scores
 
 
+def _small(df: DataFrame, tag: str) -> DataFrame:
+    """df worked out once: up to BROADCAST_IDS rows as a broadcast without a file, more as a table in the shared folder."""
+    rows = df.limit(BROADCAST_IDS + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= BROADCAST_IDS else written(df, tag)[0]
+
+
 def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
     """lang, doc_id, part of the ids to learn from: at most sample of each language, those with the least hash.
 
-    A language's parts have PART_IDS ids each but for the last. Chosen by ids alone. Hashes are counted by slice, which tells how many slices a language needs; only what is in
-    these is ranked.
+    A language's parts have PART_IDS ids each but for the last. Chosen by ids alone. Hashes are counted by slice, which tells
+    how many slices a language needs; only what is in these is ranked. Ids are read twice rather than written: on a local
+    file system Hadoop forks the executor for each new file's mode, and the child counts as the executor once more.
     """
     key = [F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang")]
-    ids = labelled.where("doc_id is not null and lang is not null and text is not null").select(*key).distinct().withColumn("_h", F.xxhash64("doc_id")).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS))
-    ids, path = written(ids, "sampled")
+    ids = labelled.where("doc_id is not null and lang is not null and text is not null").select(*key).withColumn("_h", F.xxhash64("doc_id")).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS))
     before = Window.partitionBy("lang").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ids.groupBy("lang", "_slice").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ends = counts.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_slice").alias("_end"))
+    counts = ids.distinct().groupBy("lang", "_slice").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # a language may be that of most rows: the few ends go to them
-    narrow = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    few = ids.join(F.broadcast(ends) if narrow else ends, "lang").where("_slice <= _end")
+    ends = _small(counts.where(F.col("_before") < sample).groupBy("lang").agg(F.max("_slice").alias("_end")), "ends")
+    few = ids.join(ends, "lang").where("_slice <= _end").select("lang", "doc_id", "_h").distinct()
     rank = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    out, _ = written(few.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= sample).select("lang", "doc_id", F.floor((F.col("_rank") - 1) / PART_IDS).cast("int").alias("part")), "sample")
-    drop_path(labelled.sparkSession, path)
-    return out
+    return _small(few.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= sample).select("lang", "doc_id", F.floor((F.col("_rank") - 1) / PART_IDS).cast("int").alias("part")), "sample")
 
 
 class _Counts:
@@ -217,10 +222,8 @@ def partial_counts(labelled: DataFrame, sample: int = SAMPLE, kept: dict[int, in
     Texts are dealt out by language and part, so a gram has a row for each part of its language at most, however many
     partitions there are, but where a task finds more than HELD_GRAMS.
     """
-    chosen = _sampled(labelled, sample)
-    few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("text is not null")
-    rows = texts.join(F.broadcast(chosen) if few else chosen, ["lang", "doc_id"]).groupBy("lang", "part", "doc_id").agg(F.min("text").alias("text"))
+    rows = texts.join(_sampled(labelled, sample), ["lang", "doc_id"]).groupBy("lang", "part", "doc_id").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _Counts()

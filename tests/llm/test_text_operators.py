@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -605,3 +606,35 @@ def test_language_of_long_texts_is_counted_in_pieces():
             for n, (h, owner) in found.items():
                 pieces[n].update(zip((owner + s.start).tolist(), h.tolist()))
         assert (seen == has).all() and all(Counter(zip(o.tolist(), h.tolist())) == pieces[n] for n, (h, o) in whole.items())
+
+
+def test_language_works_in_little_memory():
+    """Workers keep the most that they ever took, so what a batch takes must not follow its texts."""
+    text = prose(3, 6_000)
+    model = langid.LanguageFilter.build({"x": langid.grams([text])[1][3][0]})
+    for texts in ([text] * 60, [text * 60]):
+        tracemalloc.start()
+        model.predict(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(map(len, texts)) > 1_500_000 and peak < 30e6
+    rng = random.Random(8)
+    for ahead in (5, 40):  # where no blank is near, a cut is made anyway
+        long = "".join(rng.choice("aBé1 ") if rng.random() < 0.3 else "zq" for _ in range(900))
+        whole, pieces = langid.grams([long])[1], [found for _, _, found in langid.gram_batches([long], batch=20, ahead=ahead)]
+        assert len(pieces) > 10 and all(sorted(h.tolist()) == sorted(x for p in pieces for x in p[n][0].tolist()) for n, (h, _) in whole.items())
+
+
+def test_language_sample_needs_no_files(spark, monkeypatch):
+    """Each new file forks the executor; the sample is the same whether its rows are few or go through tables."""
+    docs = spark.createDataFrame([(i % 300, f"a text {i}", ("en", "fr", "de")[i % 3]) for i in range(900)] + [(None, "x", "en"), (5, "x", None), (7, None, "es")], "doc_id long, text string, lang string")
+    tables, write = [], langid.written
+    monkeypatch.setattr(langid, "written", lambda df, tag: tables.append(tag) or write(df, tag))
+    monkeypatch.setattr(langid, "PART_IDS", 20)
+    few = sorted(map(tuple, langid._sampled(docs, 30).collect()))
+    assert not tables
+    order = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"))).collect() if r[0] is not None}
+    ranked = {lang: sorted((i for i in range(300) if i % 3 == k), key=lambda i: (order[i], str(i)))[:30] for k, lang in enumerate(("en", "fr", "de"))}
+    assert few == sorted((lang, str(i), at // 20) for lang, ids in ranked.items() for at, i in enumerate(ids))
+    monkeypatch.setattr(langid, "BROADCAST_IDS", 2)
+    assert sorted(map(tuple, langid._sampled(docs, 30).collect())) == few and tables == ["ends", "sample"]
