@@ -105,6 +105,22 @@ def test_rules_of_a_large_playbook(spark, monkeypatch):
     assert rules.applicable(sets.limit(0), frame).count() == 0
 
 
+def test_rules_are_tallied_without_pairs(spark):
+    rng = random.Random(12)
+    book = [(f"R{k}", k, rng.sample(["p", "q", "r", "s"], rng.randint(1, 2)) if k % 50 else []) for k in range(1, 2_000)] + [("A", 7, ["p", "p"])]
+    targets = [(k, key) for k, key in enumerate(["p", "q", None, "other", "p"])] + [(0, "p")]
+    sets = spark.createDataFrame(book, "code string, n long, target_keys array<string>")
+    frame = spark.createDataFrame(targets, "id long, key string")
+    want = {t: [(c, n) for c, n, keys in book if not keys or t[1] in keys] * targets.count(t) for t in targets}
+    got = rules.tallied(sets, frame, F.col("n"))
+    assert {(r.id, r.key): (r.n_rules, r.first_rule, r.total) for r in got.collect()} == {t: (len(x), min(x)[0], sum(n for _, n in x)) for t, x in want.items()}
+    few = rules.tallied(sets.where("size(target_keys) > 0"), frame, F.col("n")).collect()
+    assert sorted(r.id for r in few) == [0, 1, 4] and rules.tallied(sets.limit(0), frame, F.col("n")).count() == 0
+    # three billion pairs
+    many = rules.tallied(spark.range(50_000).select(F.col("id").cast("string").alias("code"), F.col("id").alias("n"), F.array(F.lit("p")).alias("target_keys")), spark.range(60_000).select("id", F.lit("p").alias("key")), F.col("n"))
+    assert many.agg(F.count("*"), F.sum("n_rules"), F.max("total")).first()[:] == (60_000, 3_000_000_000, 49_999 * 25_000)
+
+
 def test_parallel_facts_and_claims(spark):
     day = lambda k: dt.datetime(2024, 1, k)
     schema = "fact_id long, collection_id long, agreement_id string, key string, document_id long, ingested_at timestamp, line long, value long, obligation_scope string, conditions string, supersedes_id long, doc_type string, parties array<string>"
