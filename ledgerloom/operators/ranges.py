@@ -6,8 +6,13 @@ and order, which cut a key wherever it is large; a small table of the ranges tel
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import hashing
@@ -75,13 +80,19 @@ def first_seen(rows: DataFrame, keys: list[str], what: str, order: list[str]) ->
     return placed.select(*keys, (F.col("position") - 1).alias("position"), what)
 
 
-def digest(rows: DataFrame, by: str, order: list[str], entry: Column, name: str, rest: dict[str, Column], page: int = DIGEST_PAGE) -> DataFrame:
+def digest(rows: DataFrame, by: str, order: list[str], entry: Column, name: str, rest: dict[str, Column], page: int = DIGEST_PAGE, levels: int | None = None) -> DataFrame:
     """by, basis: the SHA-256 of the canonical JSON object of name (the entries in order) and rest (single values).
 
     With more than a page of entries, each page's digest (of the JSON array of its entries) takes their place in the list,
     and so on until a list is one page: a tree whose form follows from the order alone. One page or less gives the digest of
     the whole text.
+
+    With levels, entries are replaced by digests of pages so many times at most, and the list that is left is hashed as it is
+    read, whatever its length: it passes through one task, for such a digest has no parts, but is never held.
     """
+    if levels is not None and levels < 1:
+        raise ValueError("levels must be positive")
+    depth = 0
     placed = numbered(rows.select(F.col(by), entry.alias("_entry"), *[c.alias(f"_rest_{k}") for k, c in rest.items()], *[F.col(o).alias(f"_order_{i}") for i, o in enumerate(order)]), [by], [f"_order_{i}" for i in range(len(order))], "_at")
     level = placed.select(by, "_at", hashing.canonical_json(F.col("_entry")).alias("_text"), *[f"_rest_{k}" for k in rest])
     rests = [F.max(f"_rest_{k}").alias(f"_rest_{k}") for k in rest]
@@ -94,7 +105,46 @@ def digest(rows: DataFrame, by: str, order: list[str], entry: Column, name: str,
         up = pages.join(many, by)
         text = F.when(F.col("_last") > 0, F.concat(F.lit('"'), F.sha2("_list", 256), F.lit('"'))).otherwise(F.substring("_list", F.lit(2), F.length("_list") - 2))
         level = up.select(by, (F.col("_page") + 1).alias("_at"), text.alias("_text"), *[f"_rest_{k}" for k in rest])
+        depth += 1
+        if depth == levels:
+            return _hashed(level, by, name, rest)
     fields = sorted([name, *rest])
-    alone = lambda c: F.regexp_extract(hashing.canonical_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)  # noqa: E731  (JSON functions take no bare value)
-    body = [F.concat(F.lit(f'"{f}":'), F.col("_list") if f == name else alone(F.col(f"_rest_{f}"))) for f in fields]
+    body = [F.concat(F.lit(f'"{f}":'), F.col("_list") if f == name else _alone(F.col(f"_rest_{f}"))) for f in fields]
     return pages.select(by, F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *body), F.lit("}")), 256).alias("basis"))
+
+
+def _alone(c: Column) -> Column:
+    """The JSON of one value, for JSON functions take no bare one."""
+    return F.regexp_extract(hashing.canonical_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _hashed(level: DataFrame, by: str, name: str, rest: dict[str, Column]) -> DataFrame:
+    """digest()'s last step over the texts of a list in their order, a row at a time."""
+    field = lambda f: F.concat(F.lit(f'"{f}":'), _alone(F.col(f"_rest_{f}")))
+    before = F.concat_ws(",", *[field(f) for f in sorted(rest) if f < name], F.lit(f'"{name}":['))
+    after = F.concat_ws(",", F.lit("]"), *[field(f) for f in sorted(rest) if f > name])
+    rows = level.select(by, "_at", "_text", F.concat(F.lit("{"), before).alias("_before"), F.concat(after, F.lit("}")).alias("_after"))
+    kind = rows.schema[by].dataType
+    # read again: a plan that had shuffled for a join by the same key leaves this shuffle out, and may then broadcast instead
+    rows, _ = written(rows, "digests")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = text = end = out = None
+        for batch in batches:
+            out = pa.schema([(by, batch.schema.field(by).type), ("basis", pa.string())])
+            done = []
+            for key, _, entry, head, tail in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if text is None or key != now:
+                    if text is not None:
+                        text.update(end)
+                        done.append((now, text.hexdigest()))
+                    now, end, text = key, tail.encode(), hashlib.sha256(head.encode())
+                else:
+                    text.update(b",")
+                text.update(entry.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t.type) for i, t in enumerate(out)], schema=out)
+        if text is not None:
+            text.update(end)
+            yield pa.RecordBatch.from_arrays([pa.array([now], out[0].type), pa.array([text.hexdigest()])], schema=out)
+
+    return rows.repartition(by).sortWithinPartitions(by, "_at").mapInArrow(run, StructType([StructField(by, kind), StructField("basis", StringType())]))

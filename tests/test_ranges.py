@@ -70,6 +70,23 @@ def test_digest(spark, page):
     assert {r.c: r.basis for r in got.collect()} == {c: tree([{"id": i, "v": v} for cc, i, v in rows if cc == c], page, 'q\\"x') for c in ("big", "one", "few")}
 
 
+@pytest.mark.parametrize(("name", "levels"), [("rows", 1), ("a", 1), ("z", 2)])
+def test_digest_of_fixed_levels(spark, name, levels):
+    rows = [(c, k, k % 7) for c, n in (("big", 2_000), ("more", 1_500), ("one", 1), ("few", 5)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "c string, id long, v long").repartition(4)
+    got = ranges.digest(frame, "c", ["id"], F.struct("id", "v"), name, {"set": F.lit('q"x'), "b": F.lit(1)}, 3, levels)
+
+    def whole(entries):
+        texts = [json.dumps(e, separators=(",", ":")) for e in entries]
+        for _ in range(levels):
+            if len(texts) > 3:
+                texts = ['"' + hashlib.sha256(f"[{','.join(texts[i : i + 3])}]".encode()).hexdigest() + '"' for i in range(0, len(texts), 3)]
+        fields = {name: f"[{','.join(texts)}]", "set": '"q\\"x"', "b": "1"}
+        return hashlib.sha256(("{" + ",".join(f'"{f}":{fields[f]}' for f in sorted(fields)) + "}").encode()).hexdigest()
+
+    assert sorted((r.c, r.basis) for r in got.collect()) == sorted((c, whole([{"id": i, "v": v} for cc, i, v in rows if cc == c])) for c in ("big", "more", "one", "few"))
+
+
 def test_a_register_of_one_page_has_the_digest_of_its_whole_text(spark):
     rows = [(1, "MSA", f"k{k}", "supported", k, 1) for k in range(5)]
     frame = spark.createDataFrame(rows, "collection_id long, agreement_id string, key string, state string, value long, version long")
