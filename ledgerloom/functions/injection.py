@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.functions.grounding import let
 from ledgerloom.functions.text import strip
 
 # Characters without a rendering, markup that a page hides, and the named imperatives.
 INVISIBLE = "[\\u00AD\\u180E\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2064\\u206A-\\u206F\\uFEFF]"
 TAG_CHARACTERS = "[\\x{E0000}-\\x{E007F}]"
+#: Whatever invisible characters, entities and forms have in it: a text without any of it reads as it stands.
+UNFOLDED = r"[^\x03-\x25\x27-\x7F]"
 HIDDEN_MARKUP = r"""(?isU)<!--.*?-->|<[^>]*\b(?:alt|title|aria-label|data-[\w-]+)\s*=\s*["'][^"']*["'][^>]*>"""
 HIDDEN_MARKDOWN = r"""(?U)!\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\([^)\s]*\s+"[^"]*"\)"""
 IMPERATIVES = {
@@ -30,15 +34,18 @@ IMPERATIVES = {
 
 @F.pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
+    return text.map(lambda t: unicodedata.normalize("NFKC", html.unescape(t)), na_action="ignore")
 
 
 def _unwrapped(text: Column, pattern: str, marks: str) -> Column:
     """The matches of pattern with its marks blanked, the rest as it is."""
     spaced = F.regexp_replace(text, _grouped(pattern), "\u0001$1\u0002")
-    parts = F.split(spaced, "\u0001")
-    inner = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.regexp_replace(F.substring_index(p, "\u0002", 1), marks, " "), F.element_at(F.split(p, "\u0002", 2), 2)))
-    return F.concat(F.element_at(parts, 1), F.array_join(inner, ""))
+
+    def of(parts: Column) -> Column:
+        inner = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.regexp_replace(F.substring_index(p, "\u0002", 1), marks, " "), F.element_at(F.split(p, "\u0002", 2), 2)))
+        return F.concat(F.element_at(parts, 1), F.array_join(inner, ""))
+
+    return let(F.split(spaced, "\u0001"), of)
 
 
 def _grouped(pattern: str) -> str:
@@ -46,9 +53,19 @@ def _grouped(pattern: str) -> str:
 
 
 def normalise(text: Column) -> Column:
-    """A text as a model reads it: invisible characters out, entities and forms folded, hidden markup unwrapped."""
+    """A text as a model reads it: invisible characters out, entities and forms folded, hidden markup unwrapped. Each step
+    takes only the texts that have something for it: most go to Python as nulls."""
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, TAG_CHARACTERS, ""), INVISIBLE, ""), "[\u0001\u0002]", "")
-    return _unwrapped(_unwrapped(_folded(clean), HIDDEN_MARKUP, r"[<>!\[\]()\"']"), HIDDEN_MARKDOWN, r"[!\[\]()\"']")
+    odd = text.rlike(UNFOLDED)
+    folded = F.when(odd, _folded(F.when(odd, clean))).otherwise(text)
+    shown = let(folded, lambda t: F.when(F.contains(t, F.lit("<")), _unwrapped(t, HIDDEN_MARKUP, r"[<>!\[\]()\"']")).otherwise(t))
+    return let(shown, lambda t: F.when(F.contains(t, F.lit("[")), _unwrapped(t, HIDDEN_MARKDOWN, r"[!\[\]()\"']")).otherwise(t))
+
+
+def suspicious(text: Column) -> Column:
+    """scan(text).suspicious alone, with the text normalised once however the plan moves it, as filters move below what they
+    are about and take its parts with them, once for each place."""
+    return let(normalise(text), lambda cleaned: F.coalesce(reduce(Column.__or__, [cleaned.rlike(p) for p in IMPERATIVES.values()]), F.lit(False)))
 
 
 def scan_of(cleaned: Column, text: Column, method: Column | str = "txt") -> Column:
