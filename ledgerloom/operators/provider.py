@@ -124,7 +124,8 @@ def offline(requests: DataFrame) -> DataFrame:
         .when(F.col("task") == "read_page", F.to_json(F.struct(text.alias("text"))))
     )
     rows = requests.select("request_id", "task", answer.alias("answer"), T.tokens_estimate(prompt_of(F.col("task"), F.col("content"), F.col("context"))).alias("tokens_in"))
-    error = F.when(F.col("answer").isNull(), F.lit("unknown task"))
+    # every known task has an answer; told by the task, so that who asks for usage alone has no answers made
+    error = F.when(~F.coalesce(F.col("task").isin(*TASKS), F.lit(False)), F.lit("unknown task"))
     out = F.when(F.col("answer").isNotNull(), T.tokens_estimate(F.col("answer"))).otherwise(0)
     return rows.select("request_id", "task", "answer", error.alias("error"), F.lit("offline").alias("model"), "tokens_in", out.cast("long").alias("tokens_out"), F.lit(1).alias("attempts"), F.lit(0).cast("long").alias("duration_ms"))
 

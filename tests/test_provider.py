@@ -72,3 +72,12 @@ def test_extraction_through_a_provider_is_repaired(spark):
     facts, attempts = provider.extract(blocks, "narrow")
     assert [(r.document_id, r.attempt, r.ok, r.quote[-8:]) for r in facts.collect()] == [(1, 1, True, "receipt.")]
     assert {r.document_id: r.outcome for r in extraction.outcomes(attempts).collect()} == {1: "repaired", 2: "stored"}
+
+
+def test_who_asks_for_usage_alone_has_no_answers_made(spark):
+    rows = requests(spark, ("1", "classify", "Invoice", ""), ("2", "extract", None, None), ("3", "judge", "x", ""), ("4", "read_page", None, ""), ("5", "sing", "x", ""), ("6", None, "x", ""))
+    answers = provider.ask(rows)
+    assert {r.request_id: (r.answer is None, r.error) for r in answers.collect()} == {k: (False, None) for k in "1234"} | {k: (True, "unknown task") for k in "56"}
+    events = provider.usage_events(answers, F.col("request_id")).select("run_id", "decision", "tokens_in")
+    assert {r.run_id: r.decision for r in events.collect()} == {k: "ok" for k in "1234"} | {k: "failed" for k in "56"}
+    assert "to_json" not in events._jdf.queryExecution().optimizedPlan().toString()
