@@ -11,10 +11,19 @@ from ledgerloom.operators import ranges
 from ledgerloom.sources.shared import written
 
 GROUP = ["collection_id", "agreement_id", "key"]
+#: Rows of a side that is handed to all facts at most (a challenger is some hundred bytes); larger ones meet them by a shuffle.
+BROADCAST_KEYS = 100_000
 #: Facts are ordered from the oldest to the newest by these.
 ORDER = ["ingested_at", "document_id", "line"]
 
 
+def beside(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a side that is worked out and counted first: keys are few where facts are many, and then the facts
+    are not shuffled for them."""
+    side, _ = written(side, "side")
+    return rows.join(F.broadcast(side) if side.count() <= BROADCAST_KEYS else side, on, how)
+
+
 def active(facts: DataFrame, new_document: str = "new_document_id") -> DataFrame:
     """The facts that decide each key: contract terms, or operational ones where there are no others; without those of
     documents that another than the run's own document has superseded, unless none would be left.
@@ -26,9 +35,10 @@ def active(facts: DataFrame, new_document: str = "new_document_id") -> DataFrame
     """
     contractual = F.col("obligation_scope") == "contractual"
     counts = facts.groupBy(*GROUP).agg(F.count("*").alias("n_facts"), F.bool_or(contractual).alias("_any"))
-    rows = facts.join(counts, GROUP).where(contractual | ~F.col("_any")).drop("_any")
+    rows = beside(facts, counts, GROUP).where(contractual | ~F.col("_any")).drop("_any")
     retired = rows.where(F.col("supersedes_id").isNotNull() & ~F.col("document_id").eqNullSafe(F.col(new_document))).select(*GROUP, F.col("supersedes_id").alias("document_id")).distinct().withColumn("_retired", F.lit(True))
     rows = rows.join(retired, [*GROUP, "document_id"], "left").withColumn("_stays", F.col("_retired").isNull()).drop("_retired")
+    rows, _ = written(rows, "stays")  # read twice: for the challengers, and beside them
     return _against_challenger(rows, new_document)
 
 
@@ -37,7 +47,7 @@ def _against_challenger(rows: DataFrame, new_document: str) -> DataFrame:
     side = F.struct("fact_id", "document_id", "value", "supersedes_id", "obligation_scope", "conditions", "doc_type", "parties")
     best = rows.groupBy(*GROUP).agg(F.bool_or("_stays").alias("_some"), F.max_by(side, F.when(F.col("_stays"), at)).alias("_live"), F.max_by(side, at).alias("_newest"))
     best = best.select(*GROUP, "_some", F.when(F.col("_some"), F.col("_live")).otherwise(F.col("_newest")).alias("challenger"))
-    rows = rows.join(best, GROUP).where(F.col("_stays") | ~F.col("_some")).drop("_stays", "_some")
+    rows = beside(rows, best, GROUP).where(F.col("_stays") | ~F.col("_some")).drop("_stays", "_some")
     # facts of one key are of one agreement already
     scope = lambda at: F.struct(F.lit(None).cast("string").alias("agreement_id"), *[F.col(f"{at}{c}").alias(c) for c in ("parties", "obligation_scope", "conditions")])
     return rows.withColumn("in_scope", scoping.comparable(scope(""), scope("challenger.")))
@@ -48,16 +58,23 @@ def sides(facts: DataFrame, new_document: str = "new_document_id") -> DataFrame:
     return _against_challenger(facts.withColumn("_stays", F.lit(True)), new_document)
 
 
-def derive(facts: DataFrame, run: DataFrame, evidence: DataFrame | None = None, named: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+def scoped(facts: DataFrame, run: DataFrame) -> DataFrame:
+    """The active facts in their challenger's scope, written once for derive() and citations()."""
+    if "parties" not in facts.columns:
+        facts = facts.withColumn("parties", F.array().cast("array<string>"))
+    rows = active(beside(facts, run, ["collection_id"], "left")).where("in_scope")
+    return written(rows.select(*GROUP, *[c for c in ORDER if c not in GROUP], "fact_id", "value", "n_facts", "challenger", "new_document_id"), "active")[0]
+
+
+def derive(facts: DataFrame, run: DataFrame, evidence: DataFrame | None = None, named: DataFrame | None = None, wanted: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """A row for each key: value, state, conflict_kind, incumbent_id, challenger_id, n_in_scope, n_parallel, reason.
 
     run gives each collection's new_document_id; evidence the keys (GROUP) for which the new document claims a
     replacement; named the number of agreements a collection names, which makes an unnamed contractual value
-    ambiguous if there are two or more; wanted the keys that need a row, missing if no fact is about them.
+    ambiguous if there are two or more; wanted the keys that need a row, missing if no fact is about them; rows what
+    scoped() gives, if it is there already.
     """
-    if "parties" not in facts.columns:
-        facts = facts.withColumn("parties", F.array().cast("array<string>"))
-    rows, _ = written(active(facts.join(run, "collection_id", "left")).where("in_scope"), "active")
+    rows = scoped(facts, run) if rows is None else rows
     at = F.struct(*[F.col(c) for c in ORDER])
     differs = F.col("value") != F.col("challenger.value")
     out = rows.groupBy(*GROUP).agg(
@@ -96,13 +113,11 @@ def derive(facts: DataFrame, run: DataFrame, evidence: DataFrame | None = None,
     return out.unionByName(lost.select(*GROUP, *[empty.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in out.schema if f.name not in GROUP]))
 
 
-def citations(facts: DataFrame, run: DataFrame, derived: DataFrame) -> DataFrame:
+def citations(facts: DataFrame, run: DataFrame, derived: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """GROUP, fact_id of what each derivation cites, one row each: all facts in scope, or those with the value that
-    replaces another."""
-    if "parties" not in facts.columns:
-        facts = facts.withColumn("parties", F.array().cast("array<string>"))
-    rows = active(facts.join(run, "collection_id", "left")).where("in_scope").select(*GROUP, "fact_id", F.col("value").alias("_value"))
-    cited = rows.join(derived.select(*GROUP, "value", "conflict_kind"), GROUP)
+    replaces another. rows as for derive()."""
+    rows = (scoped(facts, run) if rows is None else rows).select(*GROUP, "fact_id", F.col("value").alias("_value"))
+    cited = beside(rows, derived.select(*GROUP, "value", "conflict_kind"), GROUP)
     return cited.where((F.coalesce("conflict_kind", F.lit("")) != "supersession_candidate") | (F.col("_value") == F.col("value"))).select(*GROUP, "fact_id")
 
 
@@ -111,7 +126,7 @@ def parallel(facts: DataFrame, run: DataFrame) -> DataFrame:
     its challenger's, from the oldest to the newest: those that n_parallel counts and that decide about the key."""
     if "parties" not in facts.columns:
         facts = facts.withColumn("parties", F.array().cast("array<string>"))
-    rows = active(facts.join(run, "collection_id", "left")).where("not in_scope")
+    rows = active(beside(facts, run, ["collection_id"], "left")).where("not in_scope")
     placed = ranges.numbered(rows.select(*GROUP, *ORDER, "fact_id", "value"), GROUP, [*ORDER, "fact_id"], "_place")
     return placed.select(*GROUP, (F.col("_place") - 1).alias("position"), "fact_id", "document_id", "value")
 

@@ -222,10 +222,12 @@ def r3_assessed_documents(spark: SparkSession, d: str) -> DataFrame:
 def d5_citations(spark: SparkSession, d: str) -> DataFrame:
     """How many facts each derivation cites, where none replaces another: all that are in scope."""
     f = Q._facts(spark, d)
-    der = Q.written(Q._derived(spark, d, f), "derived")[0]
-    cited = derive.citations(f, Q._run(spark, d, f), der)
+    run = Q.written(Q._run(spark, d, f), "run")[0]
+    active = derive.scoped(f, run)
+    der = Q.written(Q._derived(spark, d, f, active), "derived")[0]
+    cited = derive.citations(f, run, der, active)
     rows = der.where("coalesce(conflict_kind, '') <> 'supersession_candidate'").select("collection_id", "agreement_id", "key")
-    return rows.join(cited, ["collection_id", "agreement_id", "key"]).groupBy("collection_id", "agreement_id", "key").agg(F.count("*").alias("n_cited"))
+    return derive.beside(cited, rows, ["collection_id", "agreement_id", "key"]).groupBy("collection_id", "agreement_id", "key").agg(F.count("*").alias("n_cited"))
 
 
 @query("""SELECT run_id AS item, actor, decision, seq FROM (SELECT run_id, model AS actor, CASE WHEN cache_hit THEN 'rejected' ELSE 'approved' END AS decision, event_id AS seq, row_number() OVER w AS n,

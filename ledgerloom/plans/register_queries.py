@@ -166,11 +166,11 @@ def _newest(spark: SparkSession, d: str, how: str = "left_semi", facts: DataFram
     return f.join(new, ["collection_id", "document_id"], how)
 
 
-def _derived(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
+def _derived(spark: SparkSession, d: str, facts: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     f = facts or _facts(spark, d)
     run = _run(spark, d, f)
     named = f.where("agreement_id <> ''").groupBy("collection_id").agg(F.count_distinct("agreement_id").alias("n_named"))
-    return derive.derive(f, run, derive.claims(f, run, frames.documents(spark, d)), named)
+    return derive.derive(f, run, derive.claims(f, run, frames.documents(spark, d)), named, rows=rows)
 
 
 def _proposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -194,6 +194,23 @@ def test_gates(spark):
     assert {r.document_id: r.outcome for r in review.repair(tries).collect()} == {1: "stored", 2: "repaired", 3: "abstained"}
 
 
+def test_citations_read_the_facts_that_the_derivation_read(spark, monkeypatch):
+    rng = random.Random(14)
+    day = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k)
+    rows = [(k, k % 40, k % 2, rng.choice(["", "A"]), rng.choice("pq"), rng.randint(1, 3), rng.choice(["policy", "invoice"]), rng.choice(["contractual", "operational"]), rng.choice(["", "if late"]), rng.choice([None, None, k % 40 - 1]), day(k % 40), k, []) for k in range(300)]
+    facts = spark.createDataFrame(rows, FACT)
+    run = spark.createDataFrame([(0, 38), (1, 39)], "collection_id long, new_document_id long")
+    cite = lambda rows: sorted(map(str, derive.citations(facts, run, derive.derive(facts, run, rows=rows), rows).collect()))
+    once = derive.scoped(facts, run)
+    got = cite(once)
+    assert got == cite(None) and 0 < len(got) < 300
+    cited = derive.citations(facts, run, derive.derive(facts, run, rows=once), once)
+    plan = cited._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Scan parquet") == 2  # the written facts and the written derivations
+    monkeypatch.setattr(derive, "BROADCAST_KEYS", 0)
+    assert cite(None) == got
+
+
 def test_excerpts_within_a_budget(spark):
     blocks = spark.createDataFrame([(1, 0, "payment terms here", False), (1, 1, "payment terms " * 40, False), (1, 2, "payment", False), (1, 3, "payment terms flagged", True), (1, 4, "other words", False)], "document_id long, block_index long, text string, flagged boolean")
     playbook = spark.createDataFrame([("P", "Payment terms must not exceed 45 days.", "major", "source", [])], "code string, rule_text string, severity string, scope string, target_keys array<string>")
